@@ -112,14 +112,12 @@ def whole_windows(words: Words, n: int) -> np.ndarray:
     return words.doc[:m] == words.doc[n - 1:] if m > 0 else np.zeros(0, bool)
 
 
-def split_by_bucket(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of keys by bucket (then by key), and where each bucket begins (n_buckets + 1 places).
-
-    The bucket is the top of the mixed key's product with n_buckets, so sorted mixed keys are in order of bucket.
-    """
+def split_by_bucket(keys: np.ndarray, n_buckets: int) -> list[tuple[int, np.ndarray]]:
+    """Each bucket that has keys, with the places of its keys in order of key."""
     bucket = bucket_of(keys, n_buckets)
     order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+    found, begin = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, begin[1:]))) if len(keys) else []
 
 
 def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:

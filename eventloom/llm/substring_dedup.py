@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.blocks import U64, Words, bucket_of, in_blocks, split_by_bucket, texts_of, whole_windows, windows
+from eventloom.llm.blocks import U64, Words, in_blocks, split_by_bucket, texts_of, whole_windows, windows
 from eventloom.llm.common import block_count, table
 
 WINDOW, BASE, BLOCK_BYTES = 20, 10, 16 << 20
@@ -78,16 +78,13 @@ class Block:
 
 
 def _sent(block: int, n_buckets: int, h: np.ndarray, g: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
-    order, begin = split_by_bucket(h, n_buckets)
     rows = {"block": [], "bucket": [], "h": [], "g": [], "at": []}
-    for b in range(n_buckets):
-        part = order[begin[b]:begin[b + 1]]
-        if len(part):
-            rows["block"].append(block)
-            rows["bucket"].append(b)
-            rows["h"].append(h[part].tobytes())
-            rows["g"].append(None if g is None else g[part].tobytes())
-            rows["at"].append(None if places is None else places[part].tobytes())
+    for b, part in split_by_bucket(h, n_buckets):
+        rows["block"].append(block)
+        rows["bucket"].append(b)
+        rows["h"].append(h[part].tobytes())
+        rows["g"].append(None if g is None else g[part].tobytes())
+        rows["at"].append(None if places is None else places[part].tobytes())
     return pa.table(rows, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("at", pa.binary())]))
 
 
