@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from eventloom.llm import compression_quality, piece_codec, quality_rules, source_mix, substring_dedup
+from eventloom.llm import compression_quality, context_tree, piece_codec, quality_rules, simhash_neardup, source_mix, substring_dedup
 
 QUERIES = {
     "op1_compression_quality": compression_quality.query,
     "op2_quality_rules": quality_rules.query,
+    "op3_context_tree": context_tree.query,
     "op5_source_mix": source_mix.query,
     "op6_substring_dedup": substring_dedup.query,
     "op7_piece_codec": piece_codec.query,
+    "op9_simhash_neardup": simhash_neardup.query,
 }
 
 ORACLES: dict[str, str] = {
