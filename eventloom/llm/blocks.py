@@ -34,6 +34,25 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Byte planes: the high bytes of near values are runs, which the shuffle's compression makes small."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def unpack(raw: bytes, kind=U64) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def pack_sorted(x: np.ndarray) -> bytes:
+    """Sorted values by their differences."""
+    return pack(np.diff(x, prepend=U64(0)))
+
+
+def unpack_sorted(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpack(raw), dtype=U64)
+
+
 def powers(r: U64, n: int) -> np.ndarray:
     out = np.full(n, r, U64)
     if n:
@@ -41,14 +60,6 @@ def powers(r: U64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def inverse(r: U64) -> U64:
-    """Of an odd number, modulo 2**64, by Newton's method."""
-    x, r = int(r), int(r)
-    for _ in range(6):
-        x = x * (2 - r * x) & (2**64 - 1)
-    return U64(x)
-
-
 class Words:
     """The words of a run of texts, as places in one buffer of bytes.
 
@@ -74,8 +85,7 @@ class Words:
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word: a polynomial in its bytes, then mixed with its length."""
-        r = MULTIPLIERS[which]
-        value = mixed(self.data.astype(U64) + U64(1 + which))
+        r, value, data = MULTIPLIERS[which], mixed(np.arange(256, dtype=U64) + U64(1 + which)), self.data
         p = powers(r, 1 + int((self.end - self.start).max(initial=0)))
         out = np.zeros(len(self.start), U64)
         # words are short: one step for each letter, over all words that are as long
@@ -85,9 +95,9 @@ class Words:
         while len(live):
             if k == 64 and len(live):  # the few very long ones, one by one
                 for i in live:
-                    out[i] += (value[self.start[i] + k:self.end[i]] * p[k:size[i]]).sum(dtype=U64)
+                    out[i] += (value[data[self.start[i] + k:self.end[i]]] * p[k:size[i]]).sum(dtype=U64)
                 break
-            out[live] += value[self.start[live] + k] * p[k]
+            out[live] += value[data[self.start[live] + k]] * p[k]
             k += 1
             live = live[size[live] > k]
         return mixed(out ^ size.astype(U64))
@@ -124,10 +134,6 @@ def bucket_of(keys: np.ndarray, n_buckets: int) -> np.ndarray:
     return ((mixed(keys) >> U64(40)) % U64(n_buckets)).astype(np.int64)
 
 
-def column(table: pa.Table, name: str) -> list:
-    return table.column(name).to_pylist()
-
-
 def texts_of(table: pa.Table, name: str = "text") -> list[bytes]:
     """The texts' bytes; null is empty."""
     return [x or b"" for x in table.column(name).cast(pa.binary()).to_pylist()]

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.blocks import U64, Words, in_blocks, split_by_bucket, texts_of
+from eventloom.llm.blocks import U64, Words, in_blocks, pack, split_by_bucket, texts_of, unpack
 from eventloom.llm.common import block_count, remainder, table, written
 
 #: Bytes of context, bytes of context that a bucket shares, bytes of text in a block, and the byte that ends a text.
@@ -36,16 +36,6 @@ _SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.in
 _STEP = 4 << 20
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Byte planes: the high bytes of sorted values are runs, which the shuffle's compression makes small."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def unpack(raw: bytes, kind) -> np.ndarray:
-    size = np.dtype(kind).itemsize
-    return np.frombuffer(raw, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
-
-
 def _mask(n_bytes: int) -> U64:
     return U64((1 << (8 * n_bytes)) - 1)
 

@@ -22,14 +22,14 @@ from eventloom.llm.common import remainder, table, words_of, written
 WINDOW = 5
 #: Features that rules may use, from the counts of base_features().
 FEATURES = {
-    "n_words": F.col("n_words"),
-    "mean_word": F.col("word_chars") / F.greatest(F.col("n_words"), F.lit(1)),
-    "symbol_share": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-    "repeat_share": F.col("n_repeat_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "distinct_share": F.col("n_distinct_words") / F.greatest(F.col("n_words"), F.lit(1)),
-    "upper_share": F.col("n_upper") / F.greatest(F.col("word_chars"), F.lit(1)),
-    "line_words": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
+    "n_words": "n_words",
+    "mean_word": "word_chars / greatest(n_words, 1)",
+    "symbol_share": "n_symbols / greatest(word_chars, 1)",
+    "dup_line_share": "n_dup_lines / greatest(n_lines, 1)",
+    "repeat_share": "n_repeat_words / greatest(n_words, 1)",
+    "distinct_share": "n_distinct_words / greatest(n_words, 1)",
+    "upper_share": "n_upper / greatest(word_chars, 1)",
+    "line_words": "n_words / greatest(n_lines, 1)",
 }
 
 
@@ -111,7 +111,7 @@ def base_failed() -> Column:
 
 
 def with_features(counts: DataFrame) -> DataFrame:
-    return counts.select("*", *[c.cast("double").alias(f"f_{k}") for k, c in FEATURES.items()])
+    return counts.select("*", *[F.expr(c).cast("double").alias(f"f_{k}") for k, c in FEATURES.items()])
 
 
 def _statistics(rows: DataFrame, bins: dict[str, list[float]]) -> dict[tuple[str, bool, int], tuple[int, int]]:

@@ -6,8 +6,8 @@ first occurrence (smallest doc_id, then smallest start) of each word sequence st
 occurrence covers is removed.
 
 Blocks of documents send the distinct window hashes of each level to buckets of hashes and get back those that other
-blocks hold as well (see blocks.py), so a passage that many documents share costs one entry a block. Lower levels use 64
-bits of hash, where a collision only costs work; the last level compares 128 bits.
+blocks hold as well (see blocks.py), so a passage that many documents share costs one entry a block. Lower levels use 48
+bits of hash, where a collision only costs work; the last level compares 96 bits.
 
 Defined cases: null or empty texts have no words and stay as they are; a null doc_id counts as the largest id; rows that
 share a doc_id count as one document, whose windows at equal starts are one occurrence, so exact repeated rows get the
@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.blocks import U64, Words, in_blocks, split_by_bucket, texts_of, whole_windows, windows
+from eventloom.llm.blocks import U64, Words, in_blocks, pack, pack_sorted, split_by_bucket, texts_of, unpack, unpack_sorted, whole_windows, windows
 from eventloom.llm.common import block_count, table
 
-WINDOW, BASE, BLOCK_BYTES = 20, 10, 16 << 20
+WINDOW, BASE, BLOCK_BYTES = 20, 10, 8 << 20
 LAST_ID = np.iinfo(np.int64).max
 KEYS = "block int, bucket int, h binary, g binary, at binary"
 
@@ -40,6 +40,11 @@ def levels(window: int, base: int) -> list[int]:
     return out
 
 
+def short(h: np.ndarray) -> np.ndarray:
+    """The hash of the lower levels."""
+    return h >> U64(16)
+
+
 class Block:
     """The words of a block's documents in order of doc_id, with the document order of each word."""
 
@@ -59,6 +64,7 @@ class Block:
     def candidates(self, n: int, before: int, repeated: np.ndarray) -> np.ndarray:
         """Starts of windows of n words whose two halves of ``before`` words repeat; repeated: hashes that other blocks hold."""
         at, h = self.level(before)
+        h = short(h)
         order = np.argsort(h, kind="stable")
         s = h[order]
         twin = np.zeros(len(s), bool)
@@ -82,14 +88,14 @@ def _sent(block: int, n_buckets: int, h: np.ndarray, g: np.ndarray | None = None
     for b, part in split_by_bucket(h, n_buckets):
         rows["block"].append(block)
         rows["bucket"].append(b)
-        rows["h"].append(h[part].tobytes())
-        rows["g"].append(None if g is None else g[part].tobytes())
-        rows["at"].append(None if places is None else places[part].tobytes())
+        rows["h"].append(pack_sorted(h[part]))
+        rows["g"].append(None if g is None else pack(g[part]))
+        rows["at"].append(None if places is None else pack(places[part].T.ravel()))
     return pa.table(rows, schema=pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("h", pa.binary()), ("g", pa.binary()), ("at", pa.binary())]))
 
 
 def _replies(t: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(x, U64) for x in t.column("h").to_pylist()] if t.num_rows else []
+    parts = [unpack_sorted(x) for x in t.column("h").to_pylist()] if t.num_rows else []
     return np.concatenate(parts) if parts else np.zeros(0, U64)
 
 
@@ -111,10 +117,10 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
 
     def start(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
-        return _sent(block, n_buckets, np.unique(Block(t).level(steps[0])[1]))
+        return _sent(block, n_buckets, np.unique(short(Block(t).level(steps[0])[1])))
 
     def last(b: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return windows(b.h, window, 0)[at], windows(b.g, window, 1)[at]
+        return windows(b.h, window, 0)[at], (windows(b.g, window, 1)[at] >> U64(32)).astype(np.uint32)
 
     def firsts(block: int, b: Block, at: np.ndarray) -> pa.Table:
         h, g = last(b, at)
@@ -129,32 +135,32 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
             at = b.candidates(steps[k], steps[k - 1], _replies(replies))
             if k == len(steps) - 1:
                 return firsts(block, b, at)
-            return _sent(block, n_buckets, np.unique(windows(b.h, steps[k], 0)[at]))
+            return _sent(block, n_buckets, np.unique(short(windows(b.h, steps[k], 0)[at])))
 
         return step
 
     def shared(t: pa.Table) -> pa.Table:
         """Hashes that more than one block holds, back to each of these."""
-        blocks, parts = t.column("block").to_pylist(), [np.frombuffer(x, U64) for x in t.column("h").to_pylist()]
+        blocks, parts = t.column("block").to_pylist(), [unpack_sorted(x) for x in t.column("h").to_pylist()]
         found, times = np.unique(np.concatenate(parts), return_counts=True)
         found = found[times > 1]
         kept = [p[np.isin(p, found, assume_unique=True)] for p in parts]
-        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array([k.tobytes() for k in kept], pa.binary()), "g": pa.nulls(len(kept), pa.binary())})
+        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array([pack_sorted(k) for k in kept], pa.binary()), "g": pa.nulls(len(kept), pa.binary())})
 
     def earlier(t: pa.Table) -> pa.Table:
         """Of each block, the word sequences whose first occurrence is in another block."""
         blocks, raw = t.column("block").to_pylist(), [t.column(c).to_pylist() for c in ("h", "g", "at")]
-        h, g = (np.concatenate([np.frombuffer(x, U64) for x in raw[i]]) for i in (0, 1))
-        at = np.concatenate([np.frombuffer(x, np.int64).reshape(-1, 2) for x in raw[2]])
-        owner = np.repeat(np.arange(len(blocks)), [len(x) // 8 for x in raw[0]])
+        each = [unpack_sorted(x) for x in raw[0]]
+        h, g = np.concatenate(each), np.concatenate([unpack(x, np.uint32) for x in raw[1]])
+        at = np.concatenate([unpack(x, np.int64).reshape(2, -1).T for x in raw[2]])
+        owner = np.repeat(np.arange(len(blocks)), [len(x) for x in each])
         order = np.lexsort((at[:, 1], at[:, 0], g, h))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
         late = np.zeros(len(h), bool)
         late[order[~new]] = True
-        parts = [np.flatnonzero(late & (owner == k)) for k in range(len(blocks))] if len(blocks) < 64 else np.split(
-            np.flatnonzero(late), np.searchsorted(owner[late], np.arange(1, len(blocks))))
-        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array([h[p].tobytes() for p in parts], pa.binary()), "g": pa.array([g[p].tobytes() for p in parts], pa.binary())})
+        parts = np.split(np.flatnonzero(late), np.searchsorted(owner[late], np.arange(1, len(blocks))))
+        return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array([pack_sorted(h[p]) for p in parts], pa.binary()), "g": pa.array([pack(g[p]) for p in parts], pa.binary())})
 
     def end(t: pa.Table, replies: pa.Table) -> pa.Table:
         if not t.num_rows:
@@ -186,8 +192,8 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
 
 
 def _second(t: pa.Table) -> np.ndarray:
-    parts = [np.frombuffer(x, U64) for x in t.column("g").to_pylist()] if t.num_rows else []
-    return np.concatenate(parts) if parts else np.zeros(0, U64)
+    parts = [unpack(x, np.uint32) for x in t.column("g").to_pylist()] if t.num_rows else []
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def _kept_texts(mask: np.ndarray, words: Words) -> list[tuple[int, int, bytes]]:
