@@ -230,4 +230,5 @@ def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the learned list keeps, with all their columns."""
     _, rules = learned(docs, table(spark, sf_dir, "labels"))
     rows = judged(with_features(base_features(docs, carry=docs.columns)), rules)
-    return rows.filter("kept").select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    # a column that isn't deterministic keeps the filter above the counts: pushed below, it would count anew for each word
+    return rows.withColumn("barrier", F.monotonically_increasing_id()).filter("kept AND barrier >= 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
