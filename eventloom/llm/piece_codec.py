@@ -27,7 +27,7 @@ from eventloom.llm.common import table
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 #: Cuts that a task keeps, the longest kept, and how seldom a row is held against the library.
-KEPT, KEPT_CHARS, CHECK_EVERY = 300_000, 40, 64
+KEPT, KEPT_CHARS, CHECK_EVERY = 100_000, 40, 64
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
