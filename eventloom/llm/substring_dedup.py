@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.blocks import U64, Words, in_blocks, pack, pack_sorted, split_by_bucket, texts_of, unpack, unpack_sorted, whole_windows, windows
 from eventloom.llm.common import block_count, table
 
-WINDOW, BASE, BLOCK_BYTES = 20, 10, 8 << 20
+WINDOW, BASE, BLOCK_BYTES = 20, 10, 4 << 20
 LAST_ID = np.iinfo(np.int64).max
 KEYS = "block int, bucket int, h binary, g binary, at binary"
 
