@@ -104,16 +104,23 @@ class Words:
 
 
 def windows(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
-    """A hash of each n values in a row, from each start (len(h) - n + 1 of them)."""
+    """A hash of each n values in a row, from each start (len(h) - n + 1 of them).
+
+    A polynomial in the values. Runs of a and b values join as first * r^b + second, so doubling reaches n in few passes.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
-    r = MULTIPLIERS[1 - which]
-    out = np.zeros(m, U64)
-    for k in range(n):
-        out *= r
-        out += h[k:k + m]
-    return mixed(out)
+    p = powers(MULTIPLIERS[1 - which], n + 1)
+    run, size, out, done = h, 1, None, 0
+    while True:
+        if n & size:  # the runs that make up n, shortest first
+            out = run if out is None else out[:len(h) - done - size + 1] * p[size] + run[done:]
+            done += size
+        if done == n:
+            return mixed(out[:m])
+        run = run[:-size] * p[size] + run[size:]
+        size *= 2
 
 
 def whole_windows(words: Words, n: int) -> np.ndarray:

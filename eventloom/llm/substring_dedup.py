@@ -16,7 +16,9 @@ same result; texts shorter than a window lose nothing; extra columns are not loo
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 
 import numpy as np
 import pandas as pd
@@ -54,7 +56,12 @@ class Block:
         texts = texts_of(t)
         self.ids = ids[self.order]
         self.words = Words([texts[i] for i in self.order])
-        self.h, self.g = self.words.hashes(0), self.words.hashes(1)
+        self.h = self.words.hashes(0)
+
+    @functools.cached_property
+    def g(self) -> np.ndarray:
+        """The second hash of each word, which the last level alone compares."""
+        return self.words.hashes(1)
 
     def level(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the whole windows of n words, and their hashes."""
@@ -73,7 +80,9 @@ class Block:
         twin[:-1] |= same
         hit = np.zeros(len(self.words) + 1, bool)
         hit[at[order[twin]]] = True
-        hit[at[np.isin(h, repeated)]] = True
+        if len(repeated):
+            r = np.sort(repeated)
+            hit[at[order[r[np.minimum(np.searchsorted(r, s), len(r) - 1)] == s]]] = True
         at, _ = self.level(n)
         return at[hit[at] & hit[at + n - before]]
 
@@ -83,6 +92,14 @@ class Block:
         return np.column_stack([self.ids[doc], at - self.words.first[doc]])
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values in order, by sorting (quicker here than hashing)."""
+    s = np.sort(x)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    return s[new]
+
+
 def _sent(block: int, n_buckets: int, h: np.ndarray, g: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.Table:
     rows = {"block": [], "bucket": [], "h": [], "g": [], "at": []}
     for b, part in split_by_bucket(h, n_buckets):
@@ -101,7 +118,7 @@ def _replies(t: pa.Table) -> np.ndarray:
 
 def _first_of(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first equal (h, g) for each entry, and the indices that are such firsts."""
-    order = np.lexsort((np.arange(len(h)), g, h))
+    order = np.lexsort((g, h))  # stable: the first of equals stays first
     new = np.ones(len(h), bool)
     new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
     first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(h) else order
@@ -117,7 +134,7 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
 
     def start(t: pa.Table) -> pa.Table:
         block = t.column("block")[0].as_py()
-        return _sent(block, n_buckets, np.unique(short(Block(t).level(steps[0])[1])))
+        return _sent(block, n_buckets, _distinct(short(Block(t).level(steps[0])[1])))
 
     def last(b: Block, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return windows(b.h, window, 0)[at], (windows(b.g, window, 1)[at] >> U64(32)).astype(np.uint32)
@@ -135,7 +152,7 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
             at = b.candidates(steps[k], steps[k - 1], _replies(replies))
             if k == len(steps) - 1:
                 return firsts(block, b, at)
-            return _sent(block, n_buckets, np.unique(short(windows(b.h, steps[k], 0)[at])))
+            return _sent(block, n_buckets, _distinct(short(windows(b.h, steps[k], 0)[at])))
 
         return step
 
@@ -202,8 +219,9 @@ def _kept_texts(mask: np.ndarray, words: Words) -> list[tuple[int, int, bytes]]:
     for i in range(len(words.first) - 1):
         a, z = words.first[i], words.first[i + 1]
         gone = mask[a:z]
-        keep = np.flatnonzero(~gone) + a
-        out.append((int(z - a), int(gone.sum()), b" ".join(raw[s:e] for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist()))))
+        own = raw[words.start[a]:words.end[z - 1]].split() if z > a else []  # the six ASCII spaces
+        n = int(gone.sum())
+        out.append((int(z - a), n, b" ".join(itertools.compress(own, (~gone).tolist()) if n else own)))
     return out
 
 
