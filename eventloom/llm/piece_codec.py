@@ -3,7 +3,7 @@
 A text is cut where no piece of the vocabulary can reach across (before each run of spaces, which pieces hold only at
 their start). In each cut, an agenda of adjacent symbol pairs, ordered by score and then by place, is merged until no pair
 is a piece; symbols that are no piece become their UTF-8 bytes' pieces. Cuts repeat, so each task keeps those it has met,
-up to a fixed number. One row in CHECK_EVERY of each Arrow batch is encoded and decoded by the sentencepiece library as
+up to a fixed number. One row in CHECK_EVERY of each task is encoded and decoded by the sentencepiece library as
 well, and a difference stops the job.
 
 Defined cases: a null text counts as empty and gives the end id alone; repeated rows give repeated results; a very long
@@ -12,22 +12,25 @@ text without spaces is one cut, whose agenda is a heap, so time grows as n log n
 
 from __future__ import annotations
 
-import hashlib
 import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from eventloom.llm.common import table
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
-#: Cuts that a task keeps, the longest kept, and how seldom a row is held against the library.
-KEPT, KEPT_CHARS, CHECK_EVERY = 100_000, 40, 64
+#: Cuts that a task keeps (and as many older ones), the longest kept, how seldom a row is held against the library, and rows sent back at once.
+KEPT, KEPT_CHARS, CHECK_EVERY, SLICE_ROWS = 50_000, 40, 64, 256
+#: Up to so many symbols, the agenda is a plain list: its maximum is found quicker than a heap is kept.
+LISTED, NO_PIECE = 48, float("-inf")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -36,6 +39,25 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+class _Known(dict):
+    """What each cut gives: its ids joined by spaces, their number, and the bytes that they decode to."""
+
+    def __init__(self, codec: Codec):
+        self.codec, self.older = codec, {}
+
+    def __missing__(self, cut: str) -> tuple[str, int, bytes]:
+        found = self.older.get(cut)
+        if found is None:
+            ids = self.codec.encode_cut(cut)
+            found = " ".join(map(str, ids)), len(ids), self.codec.decode_bytes(ids)
+        if len(cut) <= KEPT_CHARS:
+            if len(self) >= KEPT:  # cuts met since the last time stay within reach
+                self.older = dict(self)
+                self.clear()
+            self[cut] = found
+        return found
+
+
 class Codec:
     """The vocabulary as tables, and the two directions."""
 
@@ -47,20 +69,23 @@ class Codec:
         self.ids = {self.pieces[i]: i for i in usable}
         self.scores = {self.pieces[i]: m.get_score(i) for i in usable}
         self.byte_ids = {int(self.pieces[i][3:5], 16): i for i in range(n) if m.is_byte(i)}
-        self.bytes = {i: b for b, i in self.byte_ids.items()}
+        bytes_of = {i: bytes([b]) for b, i in self.byte_ids.items()}
+        self.plain = [bytes_of.get(i) or (p.replace(SPACE, " ").encode() if p in self.ids else b"") for i, p in enumerate(self.pieces)]
         self.end, self.unknown = m.eos_id(), m.unk_id()
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("a piece holds a space after another character: cuts at spaces would not be exact")
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known: dict[str, tuple[str, int, bytes]] = {}
+        self.known = _Known(self)
 
     def merge(self, cut: str) -> list[str]:
         """The symbols of a cut once no adjacent pair is a piece: best score first, then leftmost."""
         scores, symbols = self.scores, list(cut)
         if len(symbols) < 2:
             return symbols
+        if len(symbols) <= LISTED:
+            return self._merge_listed(symbols)
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         agenda = []
         for i in range(len(symbols) - 1):
@@ -84,6 +109,20 @@ class Codec:
                         heapq.heappush(agenda, (-scores[pair], left, right, len(pair)))
         return [s for s in symbols if s]
 
+    def _merge_listed(self, symbols: list[str]) -> list[str]:
+        """The same order of merges with the agenda as a list by place: of equal scores, index() finds the leftmost."""
+        score = self.scores.get
+        agenda = [score(a + b, NO_PIECE) for a, b in itertools.pairwise(symbols)]
+        while agenda and (best := max(agenda)) != NO_PIECE:
+            i = agenda.index(best)
+            symbols[i] = merged = symbols[i] + symbols.pop(i + 1)
+            del agenda[i]
+            if i:
+                agenda[i - 1] = score(symbols[i - 1] + merged, NO_PIECE)
+            if i < len(agenda):
+                agenda[i] = score(merged + symbols[i + 1], NO_PIECE)
+        return symbols
+
     def encode_cut(self, cut: str) -> list[int]:
         out = []
         for s in self.merge(cut):
@@ -93,21 +132,7 @@ class Codec:
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for; control ids stand for nothing."""
-        return b"".join(
-            bytes([self.bytes[i]]) if i in self.bytes else self.pieces[i].replace(SPACE, " ").encode() if self.pieces[i] in self.ids else b""
-            for i in ids
-        )
-
-    def _cut(self, cut: str) -> tuple[str, int, bytes]:
-        found = self.known.get(cut)
-        if found is None:
-            ids = self.encode_cut(cut)
-            found = " ".join(map(str, ids)), len(ids), self.decode_bytes(ids)
-            if len(cut) <= KEPT_CHARS:
-                if len(self.known) >= KEPT:
-                    self.known.clear()
-                self.known[cut] = found
-        return found
+        return b"".join([self.plain[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, without the end id."""
@@ -117,10 +142,10 @@ class Codec:
         """The ids joined by spaces, their number, and the text that they decode to."""
         if not text:
             return "", 0, ""
-        parts = [self._cut(c) for c in self.cuts.findall(SPACE + text.replace(" ", SPACE))]
-        raw = b"".join(p[2] for p in parts)
+        ids, sizes, raws = zip(*map(self.known.__getitem__, self.cuts.findall(SPACE + text.replace(" ", SPACE))))
+        raw = b"".join(raws)
         # the space put before the text goes again; bytes that are no UTF-8 become the replacement character
-        return " ".join(p[0] for p in parts), sum(p[1] for p in parts), raw[1:].decode("utf-8", "replace")
+        return " ".join(ids), sum(sizes), raw[1:].decode("utf-8", "replace")
 
 
 _CODECS: dict[str, Codec] = {}
@@ -134,28 +159,38 @@ def codec(model_file: str) -> Codec:
 
 
 def encode_documents(docs: DataFrame, model_file: str, *, check_every: int = CHECK_EVERY, carry: list[str] = ()) -> DataFrame:
-    """doc_id (or the carried columns), ids (space-joined, with the end id), n_tokens, decoded."""
-
-    def batches(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        c = codec(model_file)
-        for texts in parts:
-            rows = []
-            for k, text in enumerate(texts):
-                text = text if isinstance(text, str) else ""
-                ids, n, decoded = c.encoded(text)
+    """doc_id (or the carried columns), ids (space-joined, with the end id), n_tokens, decoded.
+
+    The carried columns must not have the names of the three others.
+    """
+    carry = list(carry or ["doc_id"])
+    sent = docs.select(*carry, F.col("text").cast("string").alias("decoded"))
+
+    def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c, k = codec(model_file), 0
+        slices = (part.slice(at, SLICE_ROWS) for part in parts for at in range(0, part.num_rows, SLICE_ROWS))
+        for some in slices:
+            ids, sizes, decoded = [], [], []
+            for text in some.column(len(carry)).to_pylist():
+                text = text or ""
+                one, n, back = c.encoded(text)
                 if check_every and k % check_every == 0:
                     wanted = c.library.encode(text)
-                    if ids != " ".join(map(str, wanted)) or decoded != c.library.decode([*wanted, c.end]):
+                    if one != " ".join(map(str, wanted)) or back != c.library.decode([*wanted, c.end]):
                         raise ValueError(f"not what the library gives, for a text that starts with {text[:80]!r}")
-                rows.append((f"{ids} {c.end}" if ids else str(c.end), n + 1, decoded))
-            yield pd.DataFrame(rows, columns=["ids", "n_tokens", "decoded"])
+                k += 1
+                ids.append(f"{one} {c.end}" if one else str(c.end))
+                sizes.append(n + 1)
+                decoded.append(back)
+            new = [pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays([*some.columns[:-1], *new], names=[*carry, "ids", "n_tokens", "decoded"])
 
-    coded = F.pandas_udf(batches, "ids string, n_tokens long, decoded string")("text")
-    return docs.select(*(carry or ["doc_id"]), coded.alias("coded")).select(*(carry or ["doc_id"]), "coded.*")
+    schema = StructType([*sent.schema.fields[:-1], StructField("ids", StringType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
+    return sent.mapInArrow(batches, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hashes are taken beside the encoder, so that ids and texts don't travel back."""
+    """Hashes of what the operator returns."""
     return digests(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
