@@ -28,7 +28,7 @@ from eventloom.llm.common import table
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 #: Cuts that a task keeps (and as many older ones), the longest kept, how seldom a row is held against the library, and rows sent back at once.
-KEPT, KEPT_CHARS, CHECK_EVERY, SLICE_ROWS = 50_000, 40, 64, 256
+KEPT, KEPT_CHARS, CHECK_EVERY, SLICE_ROWS = 150_000, 40, 64, 256
 #: Up to so many symbols, the agenda is a plain list: its maximum is found quicker than a heap is kept.
 LISTED, NO_PIECE = 48, float("-inf")
 
