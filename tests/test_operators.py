@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from eventloom.functions import text
 from eventloom.operators import events as ev
 from eventloom.operators import graph as g
+from eventloom.operators import insights as ins
 from eventloom.plans import catalog
 from eventloom.streaming import replay
 
@@ -84,3 +85,19 @@ def test_query_equals_its_sql(spark, name):
     ours, theirs = entry.queries()[name](spark, SF).toPandas(), db.sql(entry.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert normal(ours) == normal(theirs)
+
+
+def test_pending_controls_and_steps(spark):
+    log = [("a", "up"), ("a", "wait"), ("b", "up"), ("b", "halt"), ("b", "hold"), ("c", "wait"), ("d", "up"), ("d", "wait"), ("d", "hold")]
+    events = spark.createDataFrame([(g_, i, k) for i, (g_, k) in enumerate(log)], "graph_id string, seq long, kind string")
+    roles = {"up": "running", "hold": "paused", "wait": "pause_requested", "halt": "stop_requested"}
+    assert rows(ins.pending_control(events, roles)) == [("a", "running", "pause"), ("b", "paused", "stop"), ("c", "idle", "none"), ("d", "paused", "none")]
+    assert rows(ins.ordered_steps(events.withColumn("seq", F.col("seq") + 1), ["up", "hold", "wait"])) == [("a", 1), ("b", 2), ("c", 0), ("d", 2)]
+
+
+def test_levels_roots_and_tokens(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
+    assert rows(ins.levels(edges, 3)) == [("a", 0), ("b", 1), ("c", 2)]
+    paths = spark.createDataFrame([("1", "x/y/z"), ("2", "x/yy"), ("3", "q")], "id string, path string")
+    assert rows(ins.nearest_root(paths, spark.createDataFrame([("x",), ("x/y",)], "root string"))) == [("1", "x/y"), ("2", "x")]
+    assert spark.range(1).select(ins.tokens(F.lit("A bc, D-ef9")).alias("t"), ins.tokens(F.lit(None).cast("string")).alias("n")).first() == (["bc", "ef9"], [])
