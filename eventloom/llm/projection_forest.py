@@ -9,6 +9,10 @@ The trees are fitted on a bounded sample (SAMPLE vectors in the order of a seede
 vectors are one class in the index, which keeps its smallest ids, as many as a result can name, so copies make no leaf
 large. Leaves with more than LEAF_MOST classes are cut into parts that each query meets.
 
+How many leaves a query opens follows from the table: for PROBES of the distinct query vectors the nearest classes are found
+by brute force, block by block, and as many leaves are opened as these probes need to meet AIM of them. Where no number below
+that will do, this is every leaf, and the result exact.
+
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part, nor do rows without an
 id; so do vectors of another length than the most frequent one; equal scores go to the smaller vec_id; with fewer
 candidates than wanted all are returned; an empty table gives an empty result; rows that repeat an id are candidates once.
@@ -28,8 +32,10 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import table, written
 
 NEAREST, EVERY = 20, 20
-#: Trees, vectors in the sample, classes wanted in a leaf, leaves that a query opens, classes in a part of a leaf.
-TREES, SAMPLE, LEAF, OPENED, LEAF_MOST = 12, 1 << 16, 512, 110, 4096
+#: Trees, vectors in the sample, classes wanted in a leaf, classes in a part of a leaf.
+TREES, SAMPLE, LEAF, LEAF_MOST = 12, 1 << 16, 512, 4096
+#: Query vectors that are held against brute force, and the recall wanted of them (0.9 with room for the sample's error).
+PROBES, AIM = 128, 0.95
 
 
 @dataclass
@@ -69,6 +75,29 @@ class Forest:
             found.append((t, node))
         return found
 
+    def distances(self, q: np.ndarray) -> np.ndarray:
+        """[tree, leaf]: the value by which search orders the leaves."""
+        projected = self.directions @ np.append(q, 0.0)
+        out = []
+        for t, levels in enumerate(self.cuts):
+            far = np.zeros(1)
+            for level, cut in enumerate(levels):
+                margin = projected[t, level] - cut
+                sides = np.column_stack([np.where(margin > 0, np.abs(margin), 0), np.where(margin > 0, 0, np.abs(margin))])
+                far = np.maximum(far[:, None], sides).ravel()
+            out.append(far)
+        return np.array(out)
+
+    def opened_for(self, probes: np.ndarray, near: list[np.ndarray], aim: float = AIM) -> int:
+        """The fewest leaves a query by which the probes meet the share aim of near, the leaves [neighbour, tree] of each."""
+        needed = []
+        for q, leaves in zip(probes, near):
+            far = self.distances(q)
+            nearest_leaf = far[np.arange(len(far)), leaves].min(axis=1)
+            needed.append(np.searchsorted(np.sort(far.ravel()), nearest_leaf, side="right"))
+        needed = np.sort(np.concatenate([[1], *needed]))[1:]
+        return int(needed[int(np.ceil(aim * len(needed))) - 1]) if len(needed) else 1
+
 
 def grow(sample: np.ndarray, n: int, norm: float, *, trees: int = TREES, leaf: int = LEAF, seed: int = 5) -> Forest:
     """A forest whose leaves hold about leaf of n vectors; a level's nodes without sample vectors are cut at the level's median."""
@@ -120,8 +149,36 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(column), -1)
 
 
-def nearest(vectors: DataFrame, is_query, *, k: int = NEAREST, opened: int = OPENED, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found for each row that is_query(vec_id) picks."""
+def neighbours_of(classes: DataFrame, probes: np.ndarray, sent, k: int) -> list[np.ndarray]:
+    """The leaves [neighbour, tree] of the k classes nearest to each probe, its own left out; by brute force."""
+    q_sent = classes.sparkSession.sparkContext.broadcast(probes)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, q = sent.value, q_sent.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x, reps = _matrix(pa.chunked_array([b.column("vector")])), b.column("rep").to_numpy()
+            s = q @ x.T
+            top = np.argpartition(-s, k, axis=1)[:, :k + 1] if len(x) > k + 1 else np.tile(np.arange(len(x)), (len(q), 1))
+            who, c = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+            other = (q[who] != x[c]).any(axis=1)
+            who, c = who[other], c[other]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(reps[c]), pa.array(s[who, c]), pa.array(list(forest.leaves(x[c])), pa.list_(pa.int64()))], ["probe", "rep", "score", "leaves"])
+
+    found = classes.select("rep", "vector").mapInArrow(best, "probe long, rep long, score double, leaves array<long>")
+    rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "rep"))
+    near = [[] for _ in probes]
+    for r in found.withColumn("c", rank).filter(F.col("c") <= k).select("probe", "leaves").toLocalIterator():
+        near[r["probe"]].append(r["leaves"])
+    return [np.array(x, np.int64).reshape(-1, len(sent.value.cuts)) for x in near]
+
+
+def nearest(vectors: DataFrame, is_query, *, k: int = NEAREST, opened: int | None = None, leaf: int = LEAF, leaf_most: int = LEAF_MOST) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found for each row that is_query(vec_id) picks.
+
+    opened: leaves that a query opens; by default as many as AIM needs.
+    """
     spark = vectors.sparkSession
     rows = written(valid(vectors), "vectors")
     classes = written(classes_of(rows, k + 1), "vector_classes")
@@ -129,8 +186,12 @@ def nearest(vectors: DataFrame, is_query, *, k: int = NEAREST, opened: int = OPE
     n = facts["n"]
     sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("vector")
     sample = np.array([r["vector"] for r in sample.toLocalIterator()], float)
-    sent = spark.sparkContext.broadcast(grow(sample.reshape(len(sample), -1), n, float(np.sqrt(facts["norm2"] or 0.0)), leaf=leaf))
+    sent = spark.sparkContext.broadcast(grow(sample.reshape(len(sample), -1 if len(sample) else 1), n, float(np.sqrt(facts["norm2"] or 0.0)), leaf=leaf))
     queries = rows.filter(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vector")
+    if opened is None:
+        probes = queries.select("vector").distinct().orderBy(F.xxhash64("vector")).limit(PROBES)
+        probes = np.array([r["vector"] for r in probes.collect()], float)
+        opened = sent.value.opened_for(probes, neighbours_of(classes, probes, sent, k)) if len(probes) else 1
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = sent.value

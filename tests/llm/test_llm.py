@@ -106,6 +106,15 @@ def test_projection_forest(spark):
     assert projection_forest.nearest(few.limit(0), lambda c: c == 0).count() == 0
 
 
+def test_projection_forest_recall_of_many_leaves(spark):
+    x = np.random.default_rng(3).standard_normal((8000, 32)).astype(np.float32)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = projection_forest.nearest(vectors, lambda c: c % 40 == 0, leaf=16).toPandas()  # 12 trees of 512 leaves
+    x = x.astype(float)
+    hits = [len(set(np.argsort(-np.where(np.arange(8000) == q, -np.inf, x @ x[q]))[:20]) & set(part.vec_id)) / 20 for q, part in out.groupby("query_id")]
+    assert len(hits) == 200 and np.mean(hits) >= 0.9
+
+
 def test_source_mix(odd, empty):
     out = source_mix.mix(odd).toPandas()
     assert sorted(out["size"]) == sorted(len(re.findall(WORD, r[1] or "")) for r in ODD)
