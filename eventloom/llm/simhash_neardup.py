@@ -176,16 +176,3 @@ def near_duplicates(docs: DataFrame, *, distance: int = DISTANCE, carry: list[st
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, the one that gives it its id, with all its columns.
-
-    Of rows with that same id, the one with the smallest text hash stays; a component without an id keeps the row with
-    the smallest text hash.
-    """
-    rows = near_duplicates(docs, carry=docs.columns)
-    rows = rows.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    key = Window.partitionBy("fp", "doc_id", "component_id").orderBy(F.xxhash64(F.col("row.text")))
-    rows = rows.withColumn("k", F.row_number().over(key)).filter("k = 1")
-    return rows.select(*[F.col("row")[c].alias(c) for c in docs.columns])

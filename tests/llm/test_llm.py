@@ -11,7 +11,7 @@ import sentencepiece
 import xxhash
 from pyspark.sql import functions as F
 
-from eventloom.llm import compression_quality, context_tree, piece_codec, preference_chat, projection_forest, quality_rules, revisits, simhash_neardup, source_mix, substring_dedup
+from eventloom.llm import compression_quality, context_tree, piece_codec, preference_chat, projection_forest, quality_rules, revisits, shingle_neardup, simhash_neardup, source_mix, substring_dedup
 
 SF = "/root/testdata/sf0.001"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -224,6 +224,37 @@ def test_simhash_links_lose_none(spark):
         assert groups(find) == groups(lambda x: got.get(x, x))
 
 
+def brute_kept(rows):
+    sets = []
+    for _, t in rows:
+        w = re.findall(WORD, (t or "").lower())
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(rows)))  # rows are in order of id
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                low, high = sorted((root[i], root[j]))
+                root = [low if x == high else x for x in root]
+    return {rows[i][0] for i in range(len(rows)) if root[i] == i}
+
+
+@pytest.mark.parametrize("tile", [shingle_neardup.TILE, 500])
+def test_pipeline_drops_near_copies_by_shingles(spark, tile):
+    rng = np.random.default_rng(4)
+    rows = [(0, None), (1, "a b"), (2, "A  b"), (3, " ")]
+    for _ in range(30):
+        base = [f"w{k}" for k in rng.integers(0, 5000, int(rng.integers(100, 300)))]
+        for copy in range(6):  # from 0.6 to 1 of the shingles in common, round the limit mostly
+            text = list(base)
+            for at in rng.choice(len(base), int(len(base) * copy * 0.007), replace=False):
+                text[at] = f"x{at}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    out = shingle_neardup.keep_stage(spark, docs, SF, tile=tile)
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == brute_kept(rows)
+    assert shingle_neardup.keep_stage(spark, docs.limit(0), SF).count() == 0
+
+
 def test_preference_chat(spark):
     turn = lambda *t: [dict(zip(("turn", "role", "text"), x)) for x in t]
     rows = [(1, turn((0, "user", "q"), (1, "assistant", "a")), turn((0, "user", "q"), (1, "assistant", "b"))), (2, turn((0, "user", "q")), turn((0, "user", "q"))), (3, [], turn((0, "user", "q")))]
