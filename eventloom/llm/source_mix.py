@@ -1,9 +1,9 @@
 """Mixing sources to target weights by exact subset sums over document lengths.
 
 Spark counts documents by source and exact word count. Each source's target is met by whole passes over the source, then
-by a part of one more pass: in proportion for all but the last stretch, and for that stretch by bounded-knapsack dynamic
-programming over the length counts (bits of one integer are the sums that can be reached). Documents of a length are then
-taken in the order of a seeded hash, by their exact rank.
+by a part of one more pass: in proportion for all but a last stretch, evenly along the lengths from a seeded start, and for
+that stretch by bounded-knapsack dynamic programming over the length counts, in a seeded order (bits of one integer are the
+sums that can be reached). Documents of a length are then taken in the order of a seeded hash, by their exact rank.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; documents of size 0 take
 nothing; repeated rows, also of the same id, are documents of their own; an empty table gives an empty result. Ties of the
@@ -12,8 +12,9 @@ hash go to the smaller doc_id, then to the text's hash; rows alike in all of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import SPACES, table
 
 WEIGHTS, BUDGET, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-#: Words of the stretch that dynamic programming fits; a bound on its memory.
+#: Words of the stretch that dynamic programming fits (two of the longest documents if these are more); a bound on its memory.
 STRETCH = 1 << 16
 
 
@@ -57,19 +58,44 @@ def targets(sizes: DataFrame, *, weights=WEIGHTS, budget: float = BUDGET, most:
         "source", "source_size", F.least("cap", F.coalesce(F.col("w") * F.col("found"), F.col("cap"))).alias("target"))
 
 
-def fit_counts(lengths: list[int], counts: list[int], goal: int, stretch: int = STRETCH) -> list[int]:
+def fit_counts(lengths: list[int], counts: list[int], goal: int, stretch: int = STRETCH, seed: int = 0) -> list[int]:
     """How many documents of each length to take, so that the words come as near to goal as they can.
 
-    All but the last ``stretch`` words are taken in proportion; the rest of each length then takes part in a bounded
-    knapsack whose reachable sums are the bits of an integer.
+    All but a last stretch is taken in proportion. The stretch is that of a few of the longest documents at first; while the
+    goal is not met to the word it grows, up to ``stretch``.
     """
+    goal = max(0, min(goal, sum(n * c for n, c in zip(lengths, counts))))
+    longest = max(lengths, default=0)
+    most = max(stretch, 2 * longest)
+    last, best = min(most, 4 * longest), None
+    while True:
+        take = fit_stretch(lengths, counts, goal, last, seed)
+        gap = abs(goal - sum(n * t for n, t in zip(lengths, take)))
+        if best is None or gap < best[0]:
+            best = gap, take
+        if not best[0] or last >= min(most, goal):
+            return best[1]
+        last = min(most, 4 * last)
+
+
+def fit_stretch(lengths: list[int], counts: list[int], goal: int, stretch: int, seed: int) -> list[int]:
+    """The counts if all but ``stretch`` words are taken in proportion.
+
+    Of the documents in order of length every (1 / share)th is taken, so that lengths of one document alone have their share
+    too, and what is left is no more than a longest document away from the stretch. The rest of each length then takes part
+    in a bounded knapsack whose reachable sums are the bits of an integer.
+    """
+    rng = np.random.default_rng(seed)
     total = sum(n * c for n, c in zip(lengths, counts))
-    goal = max(0, min(goal, total))
     share = max(0, goal - stretch) / total if total else 0.0
-    take = [int(c * share) for c in counts]
+    order = np.argsort(lengths, kind="stable")
+    marks = np.floor(np.cumsum(np.array(counts, np.int64)[order]) * share + rng.random()).astype(np.int64)
+    take = np.zeros(len(lengths), np.int64)
+    take[order] = np.minimum(np.diff(marks, prepend=0), np.array(counts, np.int64)[order])
+    take = take.tolist()
     left = goal - sum(n * t for n, t in zip(lengths, take))
     # items by powers of two, so that every count up to what is left can be made
-    reach, items, seen = 1, [], []
+    reach, items, seen, offered = 1, [], [], []
     bound = max(0, left) + max(lengths, default=0)
     mask = (1 << (bound + 1)) - 1
     for i, (n, c, t) in enumerate(zip(lengths, counts, take)):
@@ -78,13 +104,16 @@ def fit_counts(lengths: list[int], counts: list[int], goal: int, stretch: int =
         spare, step = min(c - t, bound // n), 1
         while spare > 0:
             k = min(step, spare)
-            grown = reach | (reach << (n * k)) & mask
-            if grown != reach:
-                items.append((i, k))
-                seen.append(reach)
-                reach = grown
+            offered.append((i, k))
             spare, step = spare - k, step * 2
-        if left >= 0 and reach >> left & 1 and left < bound:
+    for at in rng.permutation(len(offered)):  # a seeded spread of lengths, not the shortest first
+        i, k = offered[at]
+        grown = reach | (reach << (lengths[i] * k)) & mask
+        if grown != reach:
+            items.append((i, k))
+            seen.append(reach)
+            reach = grown
+        if left >= 0 and reach >> left & 1:
             break
     # the reachable sum nearest to what is left, the smaller one of two
     down = (reach & ((1 << (left + 1)) - 1)).bit_length() - 1 if left >= 0 else 0
@@ -98,7 +127,7 @@ def fit_counts(lengths: list[int], counts: list[int], goal: int, stretch: int =
     return take
 
 
-def plan(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
+def plan(histogram: DataFrame, wanted: DataFrame, seed: int = 0) -> DataFrame:
     """source_key, size, passes (of the whole source), more (documents of this size taken once more).
 
     A source's histogram has at most as many rows as lengths, which is the square root of twice its words or fewer.
@@ -111,7 +140,8 @@ def plan(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
         total, target = int(pdf["source_size"].iloc[0]), float(pdf["target"].iloc[0])
         passes = min(int(target // total), int(MOST)) if total else 0
         rest = round(target - passes * total) if passes < MOST else 0
-        return pdf[["source_key", "size"]].assign(passes=passes, more=fit_counts(lengths, counts, rest))
+        own = zlib.crc32(f"{seed} {pdf['source_key'].iloc[0]}".encode("utf-8", "surrogatepass"))
+        return pdf[["source_key", "size"]].assign(passes=passes, more=fit_counts(lengths, counts, rest, seed=own))
 
     return joined.groupBy("source_key").applyInPandas(of_source, "source_key string, size long, passes long, more long")
 
@@ -129,7 +159,7 @@ def mix(docs: DataFrame, *, seed: int = 11, carry: list[str] = ()) -> DataFrame:
     named = sizes.withColumn("source", F.when(F.col("source_key") != "-", F.expr("substring(source_key, 2)")))
     wanted = targets(named.select("source", "source_size")).withColumn(
         "source_key", F.coalesce(F.concat(F.lit("="), "source"), F.lit("-"))).select("source_key", "source_size", "target")
-    taking = plan(histogram, wanted)
+    taking = plan(histogram, wanted, seed)
     # exact ranks within a source and length: by slices of the hash, so that no slice grows with its group
     total = Window.partitionBy("source_key", "size")
     slices = rows.groupBy("source_key", "size", slice_of(F.col("at")).alias("slice")).agg(F.count("*").alias("m"))

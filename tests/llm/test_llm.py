@@ -134,6 +134,20 @@ def test_knapsack_is_nearest(goal):
     assert abs(goal - sum(n * t for n, t in zip(lengths, take))) <= best
 
 
+@pytest.mark.parametrize("top", [1000, 4000])
+def test_partial_pass_takes_of_every_length(top):
+    lengths, counts = [*range(1, top)], [3] * 50 + [1] * (top - 51)
+    total = sum(n * c for n, c in zip(lengths, counts))
+    taken = np.zeros(len(lengths))
+    for seed in range(30):
+        take = np.array(source_mix.fit_counts(lengths, counts, total // 2, seed=seed))
+        assert (take <= counts).all() and (take * lengths).sum() == total // 2
+        for part in np.array_split(np.arange(len(lengths)), 4):  # each quarter of the lengths gives about its half
+            assert 0.3 < (take * lengths)[part].sum() / (np.array(counts) * lengths)[part].sum() < 0.7
+        taken += take
+    assert (taken > 0).all()
+
+
 def brute_dedup(rows, n=20):
     seen, out = set(), []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
