@@ -2,9 +2,10 @@
 
 A text is cut where no piece of the vocabulary can reach across (before each run of spaces, which pieces hold only at
 their start). In each cut, an agenda of adjacent symbol pairs, ordered by score and then by place, is merged until no pair
-is a piece; symbols that are no piece become their UTF-8 bytes' pieces. Cuts repeat, so each task keeps those it has met,
-up to a fixed number. One row in CHECK_EVERY of each task is encoded and decoded by the sentencepiece library as
-well, and a difference stops the job.
+is a piece; symbols that are no piece become their UTF-8 bytes' pieces. The agendas of all distinct cuts
+are rows of one array, from each of which the best pair is taken at a time; a very long cut has a heap of its own. Cuts
+repeat, so each is coded once for a few megabytes of text; nothing is kept from one to the next. Every text is encoded and decoded by the sentencepiece
+library as well, in Arrow batches, and a difference stops the job.
 
 Defined cases: a null text counts as empty and gives the end id alone; repeated rows give repeated results; a very long
 text without spaces is one cut, whose agenda is a heap, so time grows as n log n; extra columns are not looked at.
@@ -15,9 +16,12 @@ from __future__ import annotations
 import heapq
 import itertools
 import re
+import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,10 +31,10 @@ from eventloom.llm.common import table
 
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
-#: Cuts that a task keeps (and as many older ones), the longest kept, how seldom a row is held against the library, and rows sent back at once.
-KEPT, KEPT_CHARS, CHECK_EVERY, SLICE_ROWS = 150_000, 40, 64, 256
-#: Up to so many symbols, the agenda is a plain list: its maximum is found quicker than a heap is kept.
-LISTED, NO_PIECE = 48, float("-inf")
+#: Bytes of text that are coded at once and sent back.
+SLICE_BYTES = 4 << 20
+#: Cuts of up to so many symbols share one array of agendas, in classes of like lengths; so many cuts at a time.
+TOGETHER, AT_ONCE, NO_PIECE = (6, 10, 16, 32, 64), 1 << 14, float("-inf")
 
 
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
@@ -39,23 +43,84 @@ def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-class _Known(dict):
-    """What each cut gives: its ids joined by spaces, their number, and the bytes that they decode to."""
-
-    def __init__(self, codec: Codec):
-        self.codec, self.older = codec, {}
-
-    def __missing__(self, cut: str) -> tuple[str, int, bytes]:
-        found = self.older.get(cut)
-        if found is None:
-            ids = self.codec.encode_cut(cut)
-            found = " ".join(map(str, ids)), len(ids), self.codec.decode_bytes(ids)
-        if len(cut) <= KEPT_CHARS:
-            if len(self) >= KEPT:  # cuts met since the last time stay within reach
-                self.older = dict(self)
-                self.clear()
-            self[cut] = found
-        return found
+class Merges:
+    """Which two symbols make a piece: a table of pairs, with what they make and its score, found by hash."""
+
+    def __init__(self, pieces: dict[str, float]):
+        self.symbols = {x: i for i, x in enumerate(sorted({*pieces, *(c for p in pieces for c in p)}), 1)}  # 0: in no piece
+        self.of_character = np.zeros(1 + sys.maxunicode, np.int32)
+        for x, i in self.symbols.items():
+            if len(x) == 1:
+                self.of_character[ord(x)] = i
+        found = [(self.symbols[p[:k]], self.symbols[p[k:]], self.symbols[p], score) for p, score in pieces.items()
+                 for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols]
+        left, right, made, score = zip(*found) if found else ((), (), (), ())
+        self.keys = np.append(self._key(np.array(left, np.int64), np.array(right, np.int64)), -1)
+        self.made, self.score = np.append(np.array(made, np.int64), 0), np.append(np.array(score, float), NO_PIECE)
+        self.bits = max(10, int(np.ceil(np.log2(len(self.keys)))) + 2)
+        at = self._slot(self.keys[:-1])
+        self.slots = np.full(1 << self.bits, len(found), np.int32)
+        self.slots[at] = np.arange(len(found))
+        rest = np.flatnonzero(self.slots[at] != np.arange(len(found)))  # pairs whose slot another one has
+        self.rest = rest[np.argsort(self.keys[rest])]
+        self.crowded = np.zeros(1 << self.bits, bool)
+        self.crowded[at[rest]] = True
+
+    @staticmethod
+    def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return left << 32 | right
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each pair in the table; the last place, of no piece, for pairs that make none."""
+        keys = self._key(left, right)
+        slot = self._slot(keys)
+        at = self.slots[slot]
+        miss = self.keys[at] != keys
+        second = np.flatnonzero(miss & self.crowded[slot])
+        at = np.where(miss, len(self.keys) - 1, at)
+        if len(second):
+            known = self.keys[self.rest]
+            i = np.minimum(np.searchsorted(known, keys[second]), len(known) - 1)
+            at[second] = np.where(known[i] == keys[second], self.rest[i], at[second])
+        return at
+
+    def merged(self, characters: np.ndarray, size: np.ndarray, width: int) -> np.ndarray:
+        """[cut, place]: the symbol that starts at each character once nothing merges; -1 where none starts. 0 is a character in no piece."""
+        n = len(size)
+        inside = np.arange(width) < size[:, None]
+        symbol = np.full((n, width + 1), -1, np.int64)
+        symbol[:, :width][inside] = self.of_character[characters]
+        after = np.where(np.arange(1, width + 1) < size[:, None], np.arange(1, width + 1), width)
+        before = np.tile(np.arange(-1, width), (n, 1))  # of the place past the end: never looked at
+        agenda = np.full((n, width), len(self.keys) - 1, np.int64)
+        pair = inside & (after < width)
+        r, i = np.nonzero(pair)
+        agenda[r, i] = self.pairs(symbol[r, i], symbol[r, i + 1])
+        score = self.score[agenda]
+        live = np.arange(n)
+        while len(live):
+            i = score[live].argmax(axis=1)  # of equal scores the leftmost
+            some = score[live, i] != NO_PIECE
+            live, i = live[some], i[some]
+            if not len(live):
+                break
+            j = after[live, i]
+            symbol[live, i] = self.made[agenda[live, i]]
+            symbol[live, j], score[live, j] = -1, NO_PIECE
+            after[live, i] = k = after[live, j]
+            before[live, k] = i
+            # the pairs on both sides have changed
+            for at in (before[live, i], i):
+                ok = at >= 0
+                row, at = live[ok], at[ok]
+                to = after[row, at]
+                found = self.pairs(symbol[row, at], np.where(to < width, symbol[row, to], 0))
+                found = np.where(to < width, found, len(self.keys) - 1)
+                agenda[row, at], score[row, at] = found, self.score[found]
+        return symbol[:, :width]
 
 
 class Codec:
@@ -77,15 +142,21 @@ class Codec:
         if len(self.byte_ids) != 256:
             raise ValueError("the vocabulary has no byte pieces")
         self.cuts = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-        self.known = _Known(self)
+        self.merges = Merges(self.scores)
+        # by symbol: the ids as text, their number and bytes
+        told = [("", 0, b""), *(self.tell(self.ids_of(x)) for x in self.merges.symbols)]
+        self.told = pa.array([x[0] for x in told]), np.array([x[1] for x in told], np.int64), pa.array([x[2] for x in told], pa.binary())
+
+    def ids_of(self, symbol: str) -> list[int]:
+        i = self.ids.get(symbol)
+        return [i] if i is not None else [self.byte_ids[b] for b in symbol.encode("utf-8", "surrogatepass")]
+
+    def tell(self, ids: list[int]) -> tuple[str, int, bytes]:
+        return " ".join(map(str, ids)), len(ids), self.decode_bytes(ids)
 
     def merge(self, cut: str) -> list[str]:
         """The symbols of a cut once no adjacent pair is a piece: best score first, then leftmost."""
         scores, symbols = self.scores, list(cut)
-        if len(symbols) < 2:
-            return symbols
-        if len(symbols) <= LISTED:
-            return self._merge_listed(symbols)
         before, after = list(range(-1, len(symbols) - 1)), [*range(1, len(symbols)), -1]
         agenda = []
         for i in range(len(symbols) - 1):
@@ -109,26 +180,39 @@ class Codec:
                         heapq.heappush(agenda, (-scores[pair], left, right, len(pair)))
         return [s for s in symbols if s]
 
-    def _merge_listed(self, symbols: list[str]) -> list[str]:
-        """The same order of merges with the agenda as a list by place: of equal scores, index() finds the leftmost."""
-        score = self.scores.get
-        agenda = [score(a + b, NO_PIECE) for a, b in itertools.pairwise(symbols)]
-        while agenda and (best := max(agenda)) != NO_PIECE:
-            i = agenda.index(best)
-            symbols[i] = merged = symbols[i] + symbols.pop(i + 1)
-            del agenda[i]
-            if i:
-                agenda[i - 1] = score(symbols[i - 1] + merged, NO_PIECE)
-            if i < len(agenda):
-                agenda[i] = score(merged + symbols[i + 1], NO_PIECE)
-        return symbols
+    def told_of(self, cuts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Of each cut its ids joined by spaces, their number, and the bytes that they decode to."""
+        size = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        order, parts, begin = np.argsort(size, kind="stable"), [], 0
+        for width in TOGETHER:
+            end = int(np.searchsorted(size[order], width, side="right"))
+            parts += [self._told_together([cuts[i] for i in order[a:min(end, a + AT_ONCE)]], width) for a in range(begin, end, AT_ONCE)]
+            begin = end
+        long = [self.tell(self.encode_cut(cuts[i])) for i in order[begin:]]
+        parts.append((pa.array([x[0] for x in long], pa.string()), np.array([x[1] for x in long], np.int64), pa.array([x[2] for x in long], pa.binary())))
+        back = np.empty(len(cuts), np.int64)
+        back[order] = np.arange(len(cuts))
+        ids, sizes, raws = zip(*parts)
+        return pa.concat_arrays(ids).take(pa.array(back)), np.concatenate(sizes)[back], pa.concat_arrays(raws).take(pa.array(back))
+
+    def _told_together(self, cuts: list[str], width: int) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        characters = np.frombuffer("".join(cuts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        size = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        table = self.merges.merged(characters, size, width)
+        row, place = np.nonzero(table >= 0)
+        symbol, (ids, count, raw) = table[row, place], self.told
+        lone = np.flatnonzero(symbol == 0)
+        if len(lone):  # characters in no piece are told by their bytes
+            which, kind = np.unique(characters[(np.cumsum(size) - size)[row[lone]] + place[lone]], return_inverse=True)
+            more = [self.tell(self.ids_of(chr(c))) for c in which.tolist()]
+            symbol[lone] = len(count) + kind
+            ids, raw = pa.concat_arrays([ids, pa.array([x[0] for x in more])]), pa.concat_arrays([raw, pa.array([x[2] for x in more], pa.binary())])
+            count = np.append(count, [x[1] for x in more])
+        first = np.searchsorted(row, np.arange(len(cuts) + 1))
+        return _joined(ids, symbol, first, " "), np.add.reduceat(count[symbol], first[:-1]), _joined(raw, symbol, first, b"")
 
     def encode_cut(self, cut: str) -> list[int]:
-        out = []
-        for s in self.merge(cut):
-            i = self.ids.get(s)
-            out += [i] if i is not None else [self.byte_ids[b] for b in s.encode("utf-8", "surrogatepass")]
-        return out
+        return [i for s in self.merge(cut) for i in self.ids_of(s)]
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         """The bytes that ids stand for; control ids stand for nothing."""
@@ -136,16 +220,46 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text, without the end id."""
-        return [int(x) for x in self.encoded(text)[0].split()]
-
-    def encoded(self, text: str) -> tuple[str, int, str]:
-        """The ids joined by spaces, their number, and the text that they decode to."""
-        if not text:
-            return "", 0, ""
-        ids, sizes, raws = zip(*map(self.known.__getitem__, self.cuts.findall(SPACE + text.replace(" ", SPACE))))
-        raw = b"".join(raws)
-        # the space put before the text goes again; bytes that are no UTF-8 become the replacement character
-        return " ".join(ids), sum(sizes), raw[1:].decode("utf-8", "replace")
+        return [int(x) for x in self.encoded([text])[0][0].as_py().split()]
+
+    def encoded(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """Of each text the ids joined by spaces, their number, and the text that they decode to."""
+        cuts = [self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
+        begin = np.append(0, np.cumsum([len(c) for c in cuts], dtype=np.int64))
+        flat = pa.array(itertools.chain.from_iterable(cuts), pa.string(), size=int(begin[-1])).dictionary_encode()
+        ids, count, raw = self.told_of(flat.dictionary.to_pylist())
+        which = flat.indices.to_numpy()
+        total = np.append(0, np.cumsum(count[which]))
+        plain = _joined(raw, which, begin, b"")
+        try:
+            decoded = plain.cast(pa.string())
+        except pa.ArrowInvalid:  # bytes that are no UTF-8 become the replacement character
+            decoded = pa.array([x.decode("utf-8", "replace") for x in plain.to_pylist()], pa.string())
+        decoded = pc.utf8_slice_codeunits(decoded, 1)  # the space put before the text goes again
+        return _joined(ids, which, begin, " "), total[begin[1:]] - total[begin[:-1]], decoded
+
+    def check(self, texts: list[str], ids: pa.Array, decoded: pa.Array) -> None:
+        """Holds what was found against the library."""
+        wanted = self.library.encode(texts, num_threads=1)
+        back = self.library.decode([[*x, self.end] for x in wanted], num_threads=1)
+        for text, x, y, one, own in zip(texts, wanted, back, ids.to_pylist(), decoded.to_pylist()):
+            if one != " ".join(map(str, x)) or own != y:
+                raise ValueError(f"not what the library gives, for a text that starts with {text[:80]!r}")
+
+
+def _joined(told: pa.Array, which: np.ndarray, begin: np.ndarray, separator) -> pa.Array:
+    """told[which], joined from each begin to the next."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), told.take(pa.array(which))), separator)
+
+
+def _slices(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about SLICE_BYTES of text; a row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    at = 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 _CODECS: dict[str, Codec] = {}
@@ -158,7 +272,7 @@ def codec(model_file: str) -> Codec:
     return _CODECS[model_file]
 
 
-def encode_documents(docs: DataFrame, model_file: str, *, check_every: int = CHECK_EVERY, carry: list[str] = ()) -> DataFrame:
+def encode_documents(docs: DataFrame, model_file: str, *, carry: list[str] = ()) -> DataFrame:
     """doc_id (or the carried columns), ids (space-joined, with the end id), n_tokens, decoded.
 
     The carried columns must not have the names of the three others.
@@ -167,22 +281,14 @@ def encode_documents(docs: DataFrame, model_file: str, *, check_every: int = CHE
     sent = docs.select(*carry, F.col("text").cast("string").alias("decoded"))
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, k = codec(model_file), 0
-        slices = (part.slice(at, SLICE_ROWS) for part in parts for at in range(0, part.num_rows, SLICE_ROWS))
-        for some in slices:
-            ids, sizes, decoded = [], [], []
-            for text in some.column(len(carry)).to_pylist():
-                text = text or ""
-                one, n, back = c.encoded(text)
-                if check_every and k % check_every == 0:
-                    wanted = c.library.encode(text)
-                    if one != " ".join(map(str, wanted)) or back != c.library.decode([*wanted, c.end]):
-                        raise ValueError(f"not what the library gives, for a text that starts with {text[:80]!r}")
-                k += 1
-                ids.append(f"{one} {c.end}" if one else str(c.end))
-                sizes.append(n + 1)
-                decoded.append(back)
-            new = [pa.array(ids, pa.string()), pa.array(sizes, pa.int64()), pa.array(decoded, pa.string())]
+        c = codec(model_file)
+        for some in (x for part in parts for x in _slices(part, len(carry))):
+            texts = [text or "" for text in some.column(len(carry)).to_pylist()]
+            ids, sizes, decoded = c.encoded(texts)
+            c.check(texts, ids, decoded)
+            end = str(c.end)
+            ids = pc.if_else(pc.equal(ids, ""), end, pc.binary_join_element_wise(ids, end, " "))
+            new = [ids, pa.array(sizes + 1), decoded]
             yield pa.RecordBatch.from_arrays([*some.columns[:-1], *new], names=[*carry, "ids", "n_tokens", "decoded"])
 
     schema = StructType([*sent.schema.fields[:-1], StructField("ids", StringType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())])

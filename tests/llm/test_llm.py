@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import sentencepiece
 import xxhash
@@ -180,17 +181,27 @@ def test_substring_dedup_odd(spark, odd, empty):
     assert {r["doc_id"]: r["text"] for r in stage.collect()}[6] == "lead tail"
 
 
-def test_piece_codec(odd, empty):
+def test_piece_codec(spark, odd, empty):
     path = piece_codec.vocabulary_path()
     library, own = sentencepiece.SentencePieceProcessor(model_file=path), piece_codec.codec(path)
     for t in ["", " ", "a  b\n\nc\t d ", "▁a▁ b", "é\x00ü😀", "aaaaaaaa" * 50, "日本語テスト", "x" + " " * 40 + "y", "<s>x</s><unk><0x0A>"]:
         ids = library.encode(t)
-        assert own.encode(t) == ids and own.encoded(t)[2] == library.decode([*ids, 2])
+        assert own.encode(t) == ids and own.encoded([t])[2].to_pylist() == [library.decode([*ids, 2])]
+    rng = np.random.default_rng(2)
+    parts = np.array([*"abcdeé ü▁ \n\t😀日本\x00.,", "the ", "ing", " ▁", "a" * 70])
+    texts = ["".join(rng.choice(parts, int(n))) for n in rng.integers(0, 90, 400)]
+    ids, sizes, decoded = own.encoded(texts)
+    own.check(texts, ids, decoded)
+    with pytest.raises(ValueError, match="library"):
+        own.check(["a b"], *own.encoded(["a c"])[::2])
+    assert sizes.tolist() == [len(x.split()) for x in ids.to_pylist()] and not len(own.encoded([])[1])
     out = {r["doc_id"]: r for r in piece_codec.digests(odd, path).collect()}
     for doc_id, text in ((r[0], r[1]) for r in ODD):
         ids = [*library.encode(text or ""), 2]
         assert (out[doc_id]["n_tokens"], out[doc_id]["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     assert piece_codec.digests(empty, path).count() == 0
+    stage = piece_codec.encode_stage(spark, odd.withColumn("ids", F.lit(1)), SF)  # a column of the result's name gives way
+    assert stage.columns == [*odd.columns, "token_ids", "n_tokens"] and stage.filter(F.size("token_ids") != F.col("n_tokens")).count() == 0
 
 
 def brute_fingerprint(t):
@@ -297,7 +308,7 @@ def test_query_equals_its_sql(spark, module):
     for t in ("documents", "conversations", "pages"):
         db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     ours, theirs = module.query(spark, SF).toPandas(), db.sql(module.ORACLE).df()
-    cell = lambda y: None if y is None or y != y else int(y) if isinstance(y, float) else y
+    cell = lambda y: None if pd.isna(y) else int(y) if isinstance(y, float) else y
     key = lambda f: sorted(tuple(str(cell(y)) for y in r) for r in f[sorted(f.columns)].astype(object).values.tolist())
     assert key(ours) == key(theirs)
 
