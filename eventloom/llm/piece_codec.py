@@ -56,7 +56,7 @@ class Merges:
                  for k in range(1, len(p)) if p[:k] in self.symbols and p[k:] in self.symbols]
         left, right, made, score = zip(*found) if found else ((), (), (), ())
         self.keys = np.append(self._key(np.array(left, np.int64), np.array(right, np.int64)), -1)
-        self.made, self.score = np.append(np.array(made, np.int64), 0), np.append(np.array(score, float), NO_PIECE)
+        self.made, self.score = np.append(np.array(made, np.int32), np.int32(0)), np.append(np.array(score, np.float32), np.float32(NO_PIECE))
         self.bits = max(10, int(np.ceil(np.log2(len(self.keys)))) + 2)
         at = self._slot(self.keys[:-1])
         self.slots = np.full(1 << self.bits, len(found), np.int32)
@@ -68,7 +68,7 @@ class Merges:
 
     @staticmethod
     def _key(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return left << 32 | right
+        return left.astype(np.int64) << 32 | right
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -91,11 +91,11 @@ class Merges:
         """[cut, place]: the symbol that starts at each character once nothing merges; -1 where none starts. 0 is a character in no piece."""
         n = len(size)
         inside = np.arange(width) < size[:, None]
-        symbol = np.full((n, width + 1), -1, np.int64)
+        symbol = np.full((n, width + 1), -1, np.int32)
         symbol[:, :width][inside] = self.of_character[characters]
-        after = np.where(np.arange(1, width + 1) < size[:, None], np.arange(1, width + 1), width)
-        before = np.tile(np.arange(-1, width), (n, 1))  # of the place past the end: never looked at
-        agenda = np.full((n, width), len(self.keys) - 1, np.int64)
+        after = np.where(np.arange(1, width + 1) < size[:, None], np.arange(1, width + 1), width).astype(np.int32)
+        before = np.tile(np.arange(-1, width, dtype=np.int32), (n, 1))  # of the place past the end: never looked at
+        agenda = np.full((n, width), len(self.keys) - 1, np.int32)
         pair = inside & (after < width)
         r, i = np.nonzero(pair)
         agenda[r, i] = self.pairs(symbol[r, i], symbol[r, i + 1])
@@ -200,7 +200,7 @@ class Codec:
         size = np.fromiter(map(len, cuts), np.int64, len(cuts))
         table = self.merges.merged(characters, size, width)
         row, place = np.nonzero(table >= 0)
-        symbol, (ids, count, raw) = table[row, place], self.told
+        symbol, (ids, count, raw) = table[row, place].astype(np.int64), self.told
         lone = np.flatnonzero(symbol == 0)
         if len(lone):  # characters in no piece are told by their bytes
             which, kind = np.unique(characters[(np.cumsum(size) - size)[row[lone]] + place[lone]], return_inverse=True)
@@ -224,10 +224,24 @@ class Codec:
 
     def encoded(self, texts: list[str]) -> tuple[pa.Array, np.ndarray, pa.Array]:
         """Of each text the ids joined by spaces, their number, and the text that they decode to."""
-        cuts = [self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in texts]
-        begin = np.append(0, np.cumsum([len(c) for c in cuts], dtype=np.int64))
-        flat = pa.array(itertools.chain.from_iterable(cuts), pa.string(), size=int(begin[-1])).dictionary_encode()
-        ids, count, raw = self.told_of(flat.dictionary.to_pylist())
+        column = pa.array(texts, pa.string())
+        # single spaces between words are cut by Arrow, all other texts by the pattern
+        odd = pc.match_substring_regex(column, f"^$|^ |  |{SPACE}").to_numpy(zero_copy_only=False).astype(bool)
+        words = pc.split_pattern(column.filter(pa.array(~odd)), " ")
+        cuts = [self.cuts.findall(SPACE + text.replace(" ", SPACE)) if text else [] for text in itertools.compress(texts, odd)]
+        parts = [
+            self._encoded_cuts(words.flatten().dictionary_encode(), SPACE, pc.list_value_length(words).to_numpy()),
+            self._encoded_cuts(pa.array(itertools.chain.from_iterable(cuts), pa.string(), size=sum(map(len, cuts))).dictionary_encode(), "", np.array([len(c) for c in cuts], np.int64)),
+        ]
+        back = np.empty(len(texts), np.int64)
+        back[np.concatenate([np.flatnonzero(~odd), np.flatnonzero(odd)])] = np.arange(len(texts))
+        ids, sizes, decoded = zip(*parts)
+        return pa.concat_arrays(ids).take(pa.array(back)), np.concatenate(sizes)[back], pa.concat_arrays(decoded).take(pa.array(back))
+
+    def _encoded_cuts(self, flat: pa.DictionaryArray, lead: str, length: np.ndarray) -> tuple[pa.Array, np.ndarray, pa.Array]:
+        """The same from the cuts of all texts, each after ``lead``, and how many each text has."""
+        begin = np.append(0, np.cumsum(length, dtype=np.int64))
+        ids, count, raw = self.told_of([lead + x for x in flat.dictionary.to_pylist()])
         which = flat.indices.to_numpy()
         total = np.append(0, np.cumsum(count[which]))
         plain = _joined(raw, which, begin, b"")
