@@ -1,7 +1,7 @@
 """Exchange between blocks of documents and buckets of keys.
 
 Operators that need corpus-wide facts about very many small keys (windows, words, byte contexts) work in two kinds of
-group. A block holds documents of about a fixed number of bytes, dealt out by a hash of the id. A bucket holds the keys
+group. A block holds documents of about a fixed number of bytes, dealt out by a hash of id and text. A bucket holds the keys
 that share a hash remainder. A block sends each bucket its distinct keys, packed as one binary value, so a key costs a few
 bytes rather than a row, and a key that many documents share costs one entry a block. A bucket answers each block in the
 same way. Blocks and buckets keep their size as the corpus grows; only their number grows.
@@ -20,8 +20,11 @@ MULTIPLIERS = (U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F))
 
 
 def in_blocks(docs: DataFrame, n_blocks: int, *columns) -> DataFrame:
-    """The given columns with ``block``, dealt out by block. Every user of the result shares one exchange."""
-    block = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(n_blocks)).cast("int")
+    """The given columns with ``block``, dealt out by block. Every user of the result shares one exchange.
+
+    Blocks go by id and text, so that many rows of one id, or of none, don't share one.
+    """
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int")
     return docs.select(block.alias("block"), *columns).repartition(n_blocks, "block")
 
 

@@ -25,15 +25,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventloom.llm.blocks import U64, Words, in_blocks, pack, split_by_bucket, texts_of, unpack
+from eventloom.llm.blocks import U64, Words, in_blocks, pack, pack_sorted, split_by_bucket, texts_of, unpack, unpack_sorted
 from eventloom.llm.common import block_count, remainder, table, written
 
 #: Bytes of context, bytes of context that a bucket shares, bytes of text in a block, and the byte that ends a text.
-DEPTH, SUFFIX, BLOCK_BYTES, END = 5, 3, 32 << 20, 0
+DEPTH, SUFFIX, BLOCK_BYTES, END = 6, 3, 16 << 20, 0
+#: Buckets for each block: a bucket's tree takes several times the room of its sequences.
+BUCKETS = 4
 HELD_OUT = 1
 NODES = "ctx long, node int, a double, b double, lw double"
 _SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
-_STEP = 4 << 20
+#: Bytes of text and sequences that are worked on at once.
+_STEP, _KEYS = 2 << 20, 1 << 18
 
 
 def _mask(n_bytes: int) -> U64:
@@ -72,21 +75,15 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(shift)
 
 
-def decisions(byte: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """The eight decisions of each byte: the node (1 to 255) and the bit taken."""
-    return [((1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1) for j in range(8)]
+def decision(keys: np.ndarray, j: int) -> tuple[np.ndarray, np.ndarray]:
+    """The j-th decision of each key's last byte: the context joined with the node (1 to 255) in the byte's place, and the bit taken."""
+    byte = (keys & U64(255)).astype(np.int64)
+    return keys >> U64(8) << U64(8) | ((1 << j) | (byte >> (8 - j))).astype(U64), (byte >> (7 - j)) & 1
 
 
-def count_level(keys: np.ndarray, counts: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts of depth d joined with nodes (context * 256 + node, sorted), zeros and ones of each."""
-    short, inverse = np.unique(keys & _mask(d + 1), return_inverse=True)
-    c = np.bincount(inverse, weights=counts, minlength=len(short))
-    byte, ctx = (short & U64(255)).astype(np.int64), short >> U64(8) << U64(8)
-    where = [(ctx | node.astype(U64), bit) for node, bit in decisions(byte)]
-    u, inverse = np.unique(np.concatenate([w[0] for w in where]), return_inverse=True)
-    bit, c = np.concatenate([w[1] for w in where]), np.tile(c, 8)
-    ones = np.bincount(inverse, weights=c * bit, minlength=len(u))
-    return u, np.bincount(inverse, weights=c, minlength=len(u)) - ones, ones
+def _runs_of(sorted_keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys begins."""
+    return np.flatnonzero(np.append(True, sorted_keys[1:] != sorted_keys[:-1])) if len(sorted_keys) else np.zeros(0, np.int64)
 
 
 def weigh(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -99,22 +96,47 @@ def weigh(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.nd
 
 
 class Subtree:
-    """The levels of the tree from depth ``top`` to ``depth`` over the counted sequences of a bucket."""
+    """The levels of the tree from depth ``top`` to ``depth`` over the counted sequences of a bucket.
+
+    Only the sequences themselves are kept, by depth. Sorted sequences are also in the order of each decision's nodes, so
+    the nodes of one of the eight decisions are counted without sorting, used and dropped before the next one's.
+    """
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, top: int, depth: int):
-        self.top, self.depth, self.levels, self.lw = top, depth, {}, {}
-        below = None
+        """keys: distinct and sorted."""
+        self.top, self.depth, self.counted = top, depth, {}
+        counts = counts.astype(float)
         for d in range(depth, top - 1, -1):
-            u, a, b = count_level(keys, counts, d)
-            if below is not None:
-                up = self._parent(below[0], d + 1)
-                s = np.bincount(np.searchsorted(u, up), weights=below[1], minlength=len(u))
-                lw, w = weigh(a, b, s)
-            else:
+            if d < depth:
+                keys = keys & _mask(d + 1)
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                at = _runs_of(keys)
+                keys, counts = keys[at], np.add.reduceat(counts[order], at) if len(at) else counts
+            self.counted[d] = keys, counts
+
+    def level(self, d: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes (context of depth d with the node, sorted) of the j-th decision, with their zeros and ones."""
+        keys, counts = self.counted[d]
+        nodes, bit = decision(keys, j)
+        at = _runs_of(nodes)
+        if not len(at):
+            return nodes, counts, counts
+        ones = np.add.reduceat(counts * bit, at)
+        return nodes[at], np.add.reduceat(counts, at) - ones, ones
+
+    def levels(self, j: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+        """Of the j-th decision by depth: nodes, zeros, ones and the weight of their own estimates; and the top's logarithms."""
+        out, below = {}, None
+        for d in range(self.depth, self.top - 1, -1):
+            u, a, b = self.level(d, j)
+            if below is None:
                 lw, w = weigh(a, b, None)
-            self.levels[d] = (u, a, b, w)
-            self.lw[d] = lw
-            below = (u, lw)
+            else:
+                up = self._parent(below[0], d + 1)
+                lw, w = weigh(a, b, np.bincount(np.searchsorted(u, up), weights=below[1], minlength=len(u)))
+            out[d], below = (u, a, b, w), (u, lw)
+        return out, below[1]
 
     @staticmethod
     def _parent(u: np.ndarray, d: int) -> np.ndarray:
@@ -128,28 +150,34 @@ class Subtree:
         give, the weight they have, and the node's own estimate; the rest of the weight is for deeper ones.
         """
         out = np.zeros(len(keys))
-        ctx, byte = keys >> U64(8), (keys & U64(255)).astype(np.int64)
-        for node, bit in decisions(byte):
-            # from the shallow end: the ones' share so far, the weight still to give, the deepest estimate met
-            ones, rest, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
-            for d, (known, ones_above, mass_above, own) in enumerate(above):
-                i, there = _find(known, (ctx & _mask(d)) << U64(8) | node.astype(U64))
-                if not there.any():
-                    break
-                ones, rest, last = np.where(there, ones_above[i], ones), np.where(there, 1 - mass_above[i], rest), np.where(there, own[i], last)
-            for d in range(self.top, self.depth + 1):
-                u, a, b, w = self.levels[d]
-                i, there = _find(u, (ctx & _mask(d)) << U64(8) | node.astype(U64))
-                if not there.any():
-                    break
-                p = (b[i] + 0.5) / (a[i] + b[i] + 1)
-                last = np.where(there, p, last)
-                ones = np.where(there, ones + rest * w[i] * p, ones)
-                rest = np.where(there, rest * (1 - w[i]), rest)
-            p = ones + rest * last
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+        for j in range(8):
+            levels, _ = self.levels(j)
+            for at in range(0, len(keys), _KEYS):
+                out[at:at + _KEYS] += self._log10_of(keys[at:at + _KEYS], j, levels, above)
         return out
 
+    def _log10_of(self, keys: np.ndarray, j: int, levels: dict, above: list) -> np.ndarray:
+        full, bit = decision(keys, j)
+        ctx, node = full >> U64(8), full & U64(255)
+        # from the shallow end: the ones' share so far, the weight still to give, the deepest estimate met
+        ones, rest, last = np.zeros(len(keys)), np.ones(len(keys)), np.full(len(keys), 0.5)
+        for d, (known, ones_above, mass_above, own) in enumerate(above):
+            i, there = _find(known, (ctx & _mask(d)) << U64(8) | node)
+            if not there.any():
+                break
+            ones, rest, last = np.where(there, ones_above[i], ones), np.where(there, 1 - mass_above[i], rest), np.where(there, own[i], last)
+        for d in range(self.top, self.depth + 1):
+            u, a, b, w = levels[d]
+            i, there = _find(u, (ctx & _mask(d)) << U64(8) | node)
+            if not there.any():
+                break
+            p = (b[i] + 0.5) / (a[i] + b[i] + 1)
+            last = np.where(there, p, last)
+            ones = np.where(there, ones + rest * w[i] * p, ones)
+            rest = np.where(there, rest * (1 - w[i]), rest)
+        p = ones + rest * last
+        return np.log10(np.where(bit == 1, p, 1 - p))
+
 
 def _find(u: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(u):
@@ -181,25 +209,34 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.where(h == 0, U64(1), h), np.zeros(len(texts), U64)]), np.concatenate([w.doc, np.arange(len(texts))])
 
 
+def met(texts: list[bytes], depth: int, kind: int):
+    """By runs of texts: first and last text, the distinct sequences (kind 0) or tokens (kind 1) in order, which of them
+    each place holds, and the number of the text of each place."""
+    for a, z in _runs(texts):
+        if kind == 0:
+            values = grams(texts[a:z], depth)
+            doc = np.repeat(np.arange(a, z), np.fromiter((len(x) + 1 for x in texts[a:z]), np.int64, z - a))
+        else:
+            values, doc = word_tokens(texts[a:z])
+            doc = doc + a
+        u, inverse = np.unique(values, return_inverse=True)
+        yield a, z, u, inverse.astype(np.int32), doc
+
+
+def by_bucket(keys: np.ndarray, kind: int, n_buckets: int, suffix: int) -> list[tuple[int, np.ndarray]]:
+    """The places of the sorted keys that each bucket gets, in order."""
+    return [(b, np.sort(part)) for b, part in split_by_bucket(keys >> U64(8) & _mask(suffix) if kind == 0 else keys, n_buckets)]
+
+
 def gather(t: pa.Table, n_buckets: int, depth: int, suffix: int) -> pa.Table:
     """Of a block: its distinct sequences (kind 0) and tokens (kind 1) with their counts in training rows, by bucket."""
     block, texts = t.column("block")[0].as_py(), texts_of(t)
     train = np.array(t.column("train").to_pylist(), bool)
-    found: tuple[list, list] = ([], [])
-    for a, z in _runs(texts):
-        part, kept = texts[a:z], train[a:z]
-        for kind, of in ((0, lambda x: grams(x, depth)), (1, lambda x: word_tokens(x)[0])):
-            for used in (True, False):
-                chosen = [x for x, k in zip(part, kept) if k == used]
-                if chosen:
-                    u, c = np.unique(of(chosen), return_counts=True)
-                    found[kind].append((u, c if used else np.zeros(len(u), np.int64)))
     rows = {name: [] for name in _SENT.names}
     for kind in (0, 1):
-        keys, counts = _merge(found[kind])
-        for b, part in split_by_bucket(keys >> U64(8) & _mask(suffix) if kind == 0 else keys, n_buckets):
-            part = np.sort(part)
-            for name, x in zip(_SENT.names, (block, b, kind, pack(keys[part]), pack(counts[part].astype(np.uint32)))):
+        keys, counts = _merge([(u, np.bincount(inverse, weights=train[doc], minlength=len(u))) for _, _, u, inverse, doc in met(texts, depth, kind)])
+        for b, part in by_bucket(keys, kind, n_buckets, suffix):
+            for name, x in zip(_SENT.names, (block, b, kind, pack_sorted(keys[part]), pack(counts[part].astype(np.uint32)))):
                 rows[name].append(x)
     return pa.table(rows, schema=_SENT)
 
@@ -207,7 +244,7 @@ def gather(t: pa.Table, n_buckets: int, depth: int, suffix: int) -> pa.Table:
 def _kind(t: pa.Table, kind: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
     rows = [i for i, k in enumerate(t.column("kind").to_pylist()) if k == kind]
     pick = lambda name: [t.column(name)[i].as_py() for i in rows]
-    return pick("block"), [unpack(x, U64) for x in pick("keys")], [unpack(x, np.uint32).astype(np.int64) for x in pick("counts")]
+    return pick("block"), [unpack_sorted(x) for x in pick("keys")], [unpack(x, np.uint32).astype(np.int64) for x in pick("counts")]
 
 
 def _counted(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -228,8 +265,11 @@ def summary(t: pa.Table, depth: int, suffix: int) -> pa.Table:
     asked = np.unique(np.concatenate([k >> U64(8) & _mask(suffix - 1) for k in keys])) if keys else np.zeros(0, U64)
     bucket = float(t.column("bucket")[0].as_py())
     if len(u):
-        tree = Subtree(u, c, suffix, depth)
-        (nodes, a, b, _), lw = tree.levels[suffix], tree.lw[suffix]
+        tree, found = Subtree(u, c, suffix, depth), []
+        for j in range(8):
+            levels, top = tree.levels(j)
+            found.append((*levels[suffix][:3], top))
+        nodes, a, b, lw = (np.concatenate(x) for x in zip(*found))
     none = np.zeros(len(asked))
     return pa.table({
         "ctx": np.concatenate([(nodes >> U64(8)).astype(np.int64), asked.astype(np.int64), [-1]]),
@@ -275,10 +315,11 @@ def _sql_log_gamma(x):
 
 
 def answer(t: pa.Table, above: pa.Table, depth: int, suffix: int) -> pa.Table:
-    """Of a bucket: to each block, log10 of each sequence it holds, and the count of each token."""
-    schema = pa.schema([("block", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("logs", pa.binary())])
+    """Of a bucket: to each block, log10 of each sequence and the count of each token, in the order in which it sent them."""
+    schema = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("logs", pa.binary())])
     rows = {name: [] for name in schema.names}
     if t.num_rows:
+        bucket = t.column("bucket")[0].as_py()
         owners, keys, counts = _kind(t, 0)
         if keys:
             k = above.column("ctx").to_numpy().astype(U64) << U64(8) | above.column("node").to_numpy().astype(U64)
@@ -286,47 +327,45 @@ def answer(t: pa.Table, above: pa.Table, depth: int, suffix: int) -> pa.Table:
             for d in range(suffix):
                 rows_d = order[of[order] == d]
                 shallow_part.append((k[rows_d], *(above.column(c).to_numpy()[rows_d] for c in ("ones", "mass", "last"))))
-            tree = Subtree(*_counted(keys, counts), suffix, depth)
-            wanted = np.unique(np.concatenate(keys))
-            logs = np.concatenate([tree.log10(wanted[i:i + (1 << 18)], shallow_part) for i in range(0, len(wanted), 1 << 18)])
+            tree, wanted = Subtree(*_counted(keys, counts), suffix, depth), np.unique(np.concatenate(keys))
+            logs = tree.log10(wanted, shallow_part)
             for owner, own in zip(owners, keys):
-                for name, x in zip(schema.names, (owner, 0, pack(own), pack(logs[np.searchsorted(wanted, own)].astype(np.float32)))):
+                for name, x in zip(schema.names, (owner, bucket, 0, pack(logs[np.searchsorted(wanted, own)].astype(np.float32)))):
                     rows[name].append(x)
         owners, keys, counts = _kind(t, 1)
         if keys:
             u, c = _merge(list(zip(keys, counts)))
             for owner, own in zip(owners, keys):
-                for name, x in zip(schema.names, (owner, 1, pack(own), pack(c[np.searchsorted(u, own)].astype(np.uint32)))):
+                for name, x in zip(schema.names, (owner, bucket, 1, pack(c[np.searchsorted(u, own)].astype(np.uint32)))):
                     rows[name].append(x)
     return pa.table(rows, schema=schema)
 
 
-def apply_logs(t: pa.Table, replies: pa.Table, depth: int, n_tokens: int, n_distinct: int) -> pa.Table:
+def apply_logs(t: pa.Table, replies: pa.Table, depth: int, suffix: int, n_buckets: int, n_tokens: int, n_distinct: int) -> pa.Table:
     """Of a block: the scores of each document, from the answers of all buckets."""
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
     if not t.num_rows:
         return schema.empty_table()
-    texts, tables = texts_of(t), []
-    for kind in (0, 1):
-        rows = [i for i, k in enumerate(replies.column("kind").to_pylist()) if k == kind]
-        keys = np.concatenate([unpack(replies.column("keys")[i].as_py(), U64) for i in rows])
-        logs = np.concatenate([unpack(replies.column("logs")[i].as_py(), (np.float32, np.uint32)[kind]) for i in rows]).astype(np.float64)
-        order = np.argsort(keys)
-        tables.append((keys[order], logs[order]))
-    lengths = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
+    texts, place = texts_of(t), {}
+    for i, of in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist())):
+        place[of] = i
     total = math.log10(n_tokens + 0.5 * (n_distinct + 1))
     score, tokens, known, base = (np.zeros(len(texts)) for _ in range(4))
-    for a, z in _runs(texts):
-        u, logs = tables[0]
-        each = logs[np.searchsorted(u, grams(texts[a:z], depth))]
-        score[a:z] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths[a:z])[:-1]]))
-        h, doc = word_tokens(texts[a:z])
-        u, counts = tables[1]
-        c = counts[np.searchsorted(u, h)]
-        tokens[a:z] = np.bincount(doc, minlength=z - a)
-        known[a:z] = np.bincount(doc, weights=c > 0, minlength=z - a)
-        base[a:z] = np.bincount(doc, weights=np.log10(c + 0.5) - total, minlength=z - a)
-    held = [not x for x in t.column("train").to_pylist()]
+    for kind in (0, 1):
+        runs = list(met(texts, depth, kind))
+        keys = np.unique(np.concatenate([r[2] for r in runs]))
+        logs = np.empty(len(keys))
+        for b, part in by_bucket(keys, kind, n_buckets, suffix):
+            logs[part] = unpack(replies.column("logs")[place[kind, b]].as_py(), (np.float32, np.uint32)[kind])
+        for a, z, u, inverse, doc in runs:
+            each, doc, n = logs[np.searchsorted(keys, u)][inverse], doc - a, z - a
+            if kind == 0:
+                score[a:z] = np.bincount(doc, weights=each, minlength=n)
+            else:
+                tokens[a:z] = np.bincount(doc, minlength=n)
+                known[a:z] = np.bincount(doc, weights=each > 0, minlength=n)
+                base[a:z] = np.bincount(doc, weights=np.log10(each + 0.5) - total, minlength=n)
+    held, lengths = [not x for x in t.column("train").to_pylist()], np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
     return pa.table([t.column("doc_id"), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(lengths)], schema=schema)
 
 
@@ -334,9 +373,11 @@ def score(docs: DataFrame, *, depth: int = DEPTH, suffix: int = SUFFIX, block_by
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte."""
     lower = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     n_blocks = block_count(docs, block_bytes)
-    n_buckets = max(8, n_blocks)
+    n_buckets = max(8, BUCKETS * n_blocks)
     rows = in_blocks(docs, n_blocks, F.col("doc_id").cast("long").alias("doc_id"), lower.alias("text"), (remainder(F.col("doc_id")) != HELD_OUT).alias("train"))
     sent = written(rows.groupBy("block").applyInArrow(lambda t: gather(t, n_buckets, depth, suffix), "block int, bucket int, kind int, keys binary, counts binary"), "sequences")
+    # set apart by number, so that adaptive execution doesn't join buckets, small in bytes but not in work, into few tasks
+    sent = sent.repartition(n_buckets, "bucket")
     found = written(sent.groupBy("bucket").applyInArrow(lambda t: summary(t, depth, suffix), NODES), "nodes")
     words = found.filter("ctx = -1").agg(F.sum("a").alias("n"), F.sum("b").alias("v")).first()
     n_tokens, n_distinct = int(words["n"] or 0), int(words["v"] or 0)
@@ -345,9 +386,9 @@ def score(docs: DataFrame, *, depth: int = DEPTH, suffix: int = SUFFIX, block_by
         F.struct(F.lit(d).alias("d"), F.col("ctx").bitwiseAND(F.lit((1 << (8 * d)) - 1)).alias("ctx")) for d in range(suffix)])).alias("x"))
     above = asked.select("bucket", "x.*").distinct().join(above, ["d", "ctx"]).select("bucket", "d", "ctx", "node", "ones", "mass", "last")
     back = sent.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(
-        lambda t, up: answer(t, up, depth, suffix), "block int, kind int, keys binary, logs binary")
+        lambda t, up: answer(t, up, depth, suffix), "block int, bucket int, kind int, logs binary")
     out = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        lambda t, r: apply_logs(t, r, depth, n_tokens, n_distinct),
+        lambda t, r: apply_logs(t, r, depth, suffix, n_buckets, n_tokens, n_distinct),
         "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(n_tokens).cast("long").alias("train_tokens"), "base_score", "score",

@@ -174,8 +174,10 @@ def removed_spans(docs: DataFrame, n_blocks: int, *, window: int = WINDOW, base:
         order = np.lexsort((at[:, 1], at[:, 0], g, h))
         new = np.ones(len(h), bool)
         new[1:] = (h[order][1:] != h[order][:-1]) | (g[order][1:] != g[order][:-1])
+        # rows of one id in several blocks may hold a sequence at the same place, which is one occurrence
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]]
         late = np.zeros(len(h), bool)
-        late[order[~new]] = True
+        late[order[(at[order] != at[first]).any(axis=1)]] = True
         parts = np.split(np.flatnonzero(late), np.searchsorted(owner[late], np.arange(1, len(blocks))))
         return pa.table({"block": pa.array(blocks, pa.int32()), "h": pa.array([pack_sorted(h[p]) for p in parts], pa.binary()), "g": pa.array([pack(g[p]) for p in parts], pa.binary())})
 
