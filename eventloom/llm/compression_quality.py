@@ -1,16 +1,16 @@
 """Quality scores from compressed sizes under two zstandard dictionaries.
 
-One dictionary is trained on good labelled texts, one on bad ones. A text is compressed with each; the difference of the
-sizes, relative to their sum, is its evidence, and a logistic curve fitted on other labelled texts turns the evidence into
-a probability.
+One dictionary holds good labelled texts, the other bad ones, as they are. A text is compressed with each; the difference
+of the two sizes, relative to the text's own size, is its evidence, and a logistic curve fitted on other labelled texts
+turns the evidence, as it is and scaled by the logarithm of the text's size, into a probability.
 
 Defined cases: a null text counts as empty; an empty text has evidence zero; a null doc_id is scored and held out or not
 by the crc32 of the empty text; repeated rows give repeated results; without labelled texts of both kinds the score is
 the share of good labels (0.5 without any). Columns other than doc_id and text are never looked at. Labels that
 contradict each other count as the lower one.
 
-The fit reads a bounded sample: SAMPLE labelled rows of each kind, in the order of a seeded hash of the id, leaving out
-texts over SAMPLE_BYTES bytes. All other work covers every row and whole texts.
+The fit reads a bounded sample: the first SAMPLE labelled rows of each kind in the order of a seeded hash of the id, as
+far as their texts stay within SAMPLE_BYTES together. All other work covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -22,15 +22,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import remainder, table
 
-#: Labelled rows of each kind that the fit may read, and the longest text it may read.
-SAMPLE, SAMPLE_BYTES = 1500, 1 << 16
-#: Bytes of a dictionary, and the compression level.
-DICTIONARY_BYTES, LEVEL = 112_640, 3
+#: Labelled rows of each kind that the fit may read, and bytes of their texts.
+SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
+#: Most bytes of a dictionary, and the compression level.
+DICTIONARY_BYTES, LEVEL = 1 << 20, 12
 THRESHOLD = 0.3
 
 
@@ -46,26 +46,28 @@ class Model:
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     if not dictionary:
         return zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    d = zstandard.ZstdCompressionDict(dictionary)
+    d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     d.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_dict_id=False)
 
 
-def evidence(texts: list[str | None], good: bytes, bad: bytes) -> np.ndarray:
-    """One row a text: (bad size - good size) / (sum of both), that difference by the text's length's logarithm, and the
-    logarithm of the text's own size over the good size (texts that repeat themselves stand out under any dictionary)."""
-    g, b = _compressor(good), _compressor(bad)
-    out = np.zeros((len(texts), 3))
+def compressors(model: Model) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
+    return _compressor(model.good), _compressor(model.bad)
+
+
+def evidence(texts: list[str | None], good: zstandard.ZstdCompressor, bad: zstandard.ZstdCompressor) -> np.ndarray:
+    """One row a text: (bad size - good size) / own size, and that difference by the logarithm of the own size."""
+    out = np.zeros((len(texts), 2))
     for i, text in enumerate(texts):
         if text:
             raw = text.encode("utf-8", "surrogatepass")
-            x, y = len(g.compress(raw)), len(b.compress(raw))
-            out[i] = (y - x) / (x + y), (y - x) / (x + y) * math.log2(1 + len(raw)), math.log2(len(raw) / x)
+            d = (len(bad.compress(raw)) - len(good.compress(raw))) / len(raw)
+            out[i] = d, d * math.log2(1 + len(raw))
     return out
 
 
 def _features(x: np.ndarray) -> np.ndarray:
-    return np.column_stack([np.ones(len(x)), x[:, 0] * 10, x[:, 1], x[:, 2], np.maximum(x[:, 2] - 2, 0)])
+    return np.column_stack([np.ones(len(x)), x[:, 0] * 10, x[:, 1]])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -83,13 +85,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
 
 
 def _dictionary(texts: list[bytes]) -> bytes:
-    """A trained dictionary; where the trainer finds too little material, the texts themselves as raw content."""
-    if not texts:
-        return b""
-    try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(texts)[-DICTIONARY_BYTES:]
+    """Whole texts, one after the other, as far as they fit; what comes last is the cheapest to point at."""
+    kept, size = [], 0
+    for t in texts:
+        if size + len(t) < DICTIONARY_BYTES:
+            kept.append(t)
+            size += len(t) + 1
+    return b"\n".join(kept)
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int = 7) -> Model:
@@ -99,9 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     shares = {r["good"]: r["count"] for r in marks.groupBy("good").count().collect()}
     # a third of the sample's ids as a reserve, for ids without a text; 2 * sample ids are a fixed bound for the broadcast
     few = marks.filter("good = 1").orderBy("at").limit(sample).unionByName(marks.filter("good = 0").orderBy("at").limit(sample))
-    rows = docs.select("doc_id", "text").filter("doc_id is not null and length(text) > 0").filter(F.octet_length("text") <= SAMPLE_BYTES)
+    rows = docs.select("doc_id", "text").filter("doc_id is not null and length(text) > 0")
     rows = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"), F.first("at").alias("at"))
-    rows = sorted(rows.collect(), key=lambda r: (r["at"], r["doc_id"]))
+    sofar = F.sum(F.octet_length("text")).over(Window.partitionBy("good").orderBy("at", "doc_id"))  # at most 2 * sample rows
+    rows = sorted(rows.withColumn("sofar", sofar).filter(F.col("sofar") <= SAMPLE_BYTES).collect(), key=lambda r: (r["at"], r["doc_id"]))
     of = lambda good, part: [r["text"].encode("utf-8", "surrogatepass") for i, r in enumerate(r for r in rows if r["good"] == good) if i % 3 != 2 or not part]
     good, bad = _dictionary(of(1, True)), _dictionary(of(0, True))
     held = [r for kind in (0, 1) for i, r in enumerate(r for r in rows if r["good"] == kind) if i % 3 == 2]
@@ -109,8 +112,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     total = sum(shares.values())
     if not len(y) or y.min() == y.max():
         share = (shares.get(1, 0) + 0.5) / (total + 1) if total else 0.5
-        return Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0))
-    x = _features(evidence([r["text"] for r in held], good, bad))
+        return Model(b"", b"", (math.log(share / (1 - share)), 0.0, 0.0))
+    x = _features(evidence([r["text"] for r in held], *compressors(Model(good, bad, ()))))
     w = _logistic(x, y)
     # the sample takes both kinds alike: move the curve to the shares among all labels
     w[0] += math.log((shares[1] / shares[0]) / (y.sum() / (len(y) - y.sum())))
@@ -123,8 +126,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = sent.value
+        good, bad = compressors(m)
         for texts in batches:
-            z = _features(evidence([t if isinstance(t, str) else None for t in texts], m.good, m.bad)) @ np.array(m.weights)
+            z = _features(evidence([t if isinstance(t, str) else None for t in texts], good, bad)) @ np.array(m.weights)
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return docs.select("doc_id", F.pandas_udf(scores, "double")("text").alias("score"))

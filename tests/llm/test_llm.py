@@ -44,8 +44,30 @@ def test_compression_scores(spark, odd, empty, labels):
     for docs, n in ((odd, len(ODD)), (empty, 0)):
         found = compression_quality.score(docs, compression_quality.fit(docs, labels)).collect()
         assert len(found) == n and all(0 <= r["score"] <= 1 for r in found)
-    out = compression_quality.query(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").toPandas()
-    assert (out.predicted == out.quality).mean() > 0.9
+    # repeated rows give repeated results; labels that contradict each other count as the lower one
+    twice = compression_quality.score(odd, compression_quality.fit(odd, labels)).filter("doc_id = 7").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_compression_fit_of_odd_labels(spark):
+    docs = spark.createDataFrame([(i, ("good words of the best kind " if i % 2 else "$$$ win cash now $$$ ") * (3 + i % 7)) for i in range(200)], "doc_id long, text string")
+    marks = [(i, i % 2, 0) for i in range(200)]
+    of = lambda rows: spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+    plain = compression_quality.fit(docs, of(marks))
+    assert plain == compression_quality.fit(docs, of(marks + [(i, 1, 0) for i in range(0, 200, 2)]))  # the lower label counts
+    out = compression_quality.score(docs, plain).collect()
+    assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in out)
+    one = compression_quality.score(docs, compression_quality.fit(docs, of([m for m in marks if m[1]]))).collect()
+    assert len({r["score"] for r in one}) == 1 and one[0]["score"] > 0.9
+    assert {r["score"] for r in compression_quality.score(docs, compression_quality.fit(docs, of([]))).collect()} == {0.5}
+
+
+def test_compression_accuracy_on_held_out_rows(spark):
+    d = "/root/testdata/sf0.1"
+    out = compression_quality.query(spark, d).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").filter("held_out").toPandas()
+    good, bad = out[out.quality == 1], out[out.quality == 0]
+    assert ((good.score >= 0.5).mean() + (bad.score < 0.5).mean()) / 2 > 0.93
+    assert (out.predicted == out.quality).mean() > 0.95
 
 
 def brute_counts(t):
