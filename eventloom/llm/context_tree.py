@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from eventloom.llm.blocks import U64, Words, in_blocks, pack, pack_sorted, split_by_bucket, texts_of, unpack, unpack_sorted
 from eventloom.llm.common import block_count, remainder, table, written
 
-#: Bytes of context, bytes of context that a bucket shares, bytes of text in a block, and the byte that ends a text.
-DEPTH, SUFFIX, BLOCK_BYTES, END = 6, 3, 16 << 20, 0
+#: Bytes of context (five at most: a sequence is a number of 48 bits), bytes of context that a bucket shares, bytes of text in a block, and the byte that ends a text.
+DEPTH, SUFFIX, BLOCK_BYTES, END = 5, 3, 16 << 20, 0
 #: Buckets for each block: a bucket's tree takes several times the room of its sequences.
 BUCKETS = 4
 HELD_OUT = 1
@@ -209,18 +209,46 @@ def word_tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.where(h == 0, U64(1), h), np.zeros(len(texts), U64)]), np.concatenate([w.doc, np.arange(len(texts))])
 
 
-def met(texts: list[bytes], depth: int, kind: int):
-    """By runs of texts: first and last text, the distinct sequences (kind 0) or tokens (kind 1) in order, which of them
-    each place holds, and the number of the text of each place."""
+def _values(texts: list[bytes], depth: int, kind: int) -> np.ndarray:
+    """The sequences (kind 0) or tokens (kind 1) of some texts."""
+    return grams(texts, depth) if kind == 0 else word_tokens(texts)[0]
+
+
+def _add(keys: np.ndarray, counts: np.ndarray, u: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adds sorted distinct u with counts c to sorted distinct keys."""
+    if not len(keys):
+        return u, c
+    i = np.searchsorted(keys, u)
+    at = np.minimum(i, len(keys) - 1)
+    old = keys[at] == u
+    counts[at[old]] += c[old]
+    return np.insert(keys, i[~old], u[~old]), np.insert(counts, i[~old], c[~old])
+
+
+def counted(texts: list[bytes], train: np.ndarray, depth: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sequences or tokens of all texts, in order, with their counts in training texts; run by run, so that no
+    array is as long as the block."""
+    keys, counts = np.zeros(0, U64), np.zeros(0, np.int64)
     for a, z in _runs(texts):
-        if kind == 0:
-            values = grams(texts[a:z], depth)
-            doc = np.repeat(np.arange(a, z), np.fromiter((len(x) + 1 for x in texts[a:z]), np.int64, z - a))
-        else:
-            values, doc = word_tokens(texts[a:z])
-            doc = doc + a
-        u, inverse = np.unique(values, return_inverse=True)
-        yield a, z, u, inverse.astype(np.int32), doc
+        for used in (True, False):
+            some = [x for x, k in zip(texts[a:z], train[a:z]) if k == used]
+            if some:
+                u, c = np.unique(_values(some, depth, kind), return_counts=True)
+                keys, counts = _add(keys, counts, u, c if used else np.zeros(len(u), np.int64))
+    return keys, counts
+
+
+def looked_up(values: np.ndarray, keys: np.ndarray, logs: np.ndarray) -> np.ndarray:
+    """logs of each value's place among the sorted keys.
+
+    Values of 48 bits are sorted in chunks together with their places in the chunk, so that they are found in order.
+    """
+    out = np.empty(len(values))
+    for a in range(0, len(values), 1 << 16):
+        part = values[a:a + (1 << 16)]
+        both = np.sort(part << U64(16) | np.arange(len(part), dtype=U64))
+        out[a + (both & U64(0xFFFF)).astype(np.int64)] = logs[np.searchsorted(keys, both >> U64(16))]
+    return out
 
 
 def by_bucket(keys: np.ndarray, kind: int, n_buckets: int, suffix: int) -> list[tuple[int, np.ndarray]]:
@@ -234,7 +262,7 @@ def gather(t: pa.Table, n_buckets: int, depth: int, suffix: int) -> pa.Table:
     train = np.array(t.column("train").to_pylist(), bool)
     rows = {name: [] for name in _SENT.names}
     for kind in (0, 1):
-        keys, counts = _merge([(u, np.bincount(inverse, weights=train[doc], minlength=len(u))) for _, _, u, inverse, doc in met(texts, depth, kind)])
+        keys, counts = counted(texts, train, depth, kind)
         for b, part in by_bucket(keys, kind, n_buckets, suffix):
             for name, x in zip(_SENT.names, (block, b, kind, pack_sorted(keys[part]), pack(counts[part].astype(np.uint32)))):
                 rows[name].append(x)
@@ -347,26 +375,30 @@ def apply_logs(t: pa.Table, replies: pa.Table, depth: int, suffix: int, n_bucket
     if not t.num_rows:
         return schema.empty_table()
     texts, place = texts_of(t), {}
+    train = np.array(t.column("train").to_pylist(), bool)
     for i, of in enumerate(zip(replies.column("kind").to_pylist(), replies.column("bucket").to_pylist())):
         place[of] = i
+    lengths = np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
     total = math.log10(n_tokens + 0.5 * (n_distinct + 1))
     score, tokens, known, base = (np.zeros(len(texts)) for _ in range(4))
     for kind in (0, 1):
-        runs = list(met(texts, depth, kind))
-        keys = np.unique(np.concatenate([r[2] for r in runs]))
+        keys, _ = counted(texts, train, depth, kind)
         logs = np.empty(len(keys))
         for b, part in by_bucket(keys, kind, n_buckets, suffix):
             logs[part] = unpack(replies.column("logs")[place[kind, b]].as_py(), (np.float32, np.uint32)[kind])
-        for a, z, u, inverse, doc in runs:
-            each, doc, n = logs[np.searchsorted(keys, u)][inverse], doc - a, z - a
+        for a, z in _runs(texts):
+            n = z - a
             if kind == 0:
-                score[a:z] = np.bincount(doc, weights=each, minlength=n)
+                each = looked_up(grams(texts[a:z], depth), keys, logs)
+                score[a:z] = np.add.reduceat(each, np.concatenate([[0], np.cumsum(lengths[a:z])[:-1]]))
             else:
+                h, doc = word_tokens(texts[a:z])
+                u, inverse = np.unique(h, return_inverse=True)
+                each = logs[np.searchsorted(keys, u)][inverse]
                 tokens[a:z] = np.bincount(doc, minlength=n)
                 known[a:z] = np.bincount(doc, weights=each > 0, minlength=n)
                 base[a:z] = np.bincount(doc, weights=np.log10(each + 0.5) - total, minlength=n)
-    held, lengths = [not x for x in t.column("train").to_pylist()], np.fromiter((len(x) + 1 for x in texts), np.int64, len(texts))
-    return pa.table([t.column("doc_id"), pa.array(held), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(lengths)], schema=schema)
+    return pa.table([t.column("doc_id"), pa.array(~train), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score), pa.array(lengths)], schema=schema)
 
 
 def score(docs: DataFrame, *, depth: int = DEPTH, suffix: int = SUFFIX, block_bytes: int = BLOCK_BYTES) -> DataFrame:
