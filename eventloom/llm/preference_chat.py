@@ -56,14 +56,15 @@ def preferences(pairs: DataFrame) -> DataFrame:
 
 
 def neighbour_pairs(turns: DataFrame) -> DataFrame:
-    """Pairs for a table that has no preferences: the rejected side is the same conversation with its last turn taken from
-    the conversation whose id differs in the lowest bit (its own where there is none)."""
+    """Pairs for a table that has no preferences: the rejected side keeps the first conv_id modulo n of the n turns and goes
+    on as the conversation whose id differs in the lowest bit (as itself where there is none), so that sides part at every
+    depth and may end at different lengths."""
     convs = conversations(turns)
-    others = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.element_at("turns", -1).alias("other"))
-    both = convs.join(others, "conv_id", "left")
-    last = F.element_at("turns", -1)
-    swapped = F.struct(last["turn"].alias("turn"), last["role"].alias("role"), F.coalesce(F.col("other.text"), last["text"]).alias("text"))
-    return both.select("conv_id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.size("turns") - 1), F.array(swapped)).alias("rejected"))
+    others = convs.select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), F.col("turns").alias("other"))
+    both = convs.join(others, "conv_id", "left").withColumn("other", F.coalesce("other", "turns"))
+    both = both.withColumn("own", F.pmod(F.col("conv_id"), F.size("turns").cast("long")).cast("int"))
+    rest = F.slice("other", F.col("own") + 1, F.greatest(F.size("other") - F.col("own"), F.lit(0)))
+    return both.select("conv_id", F.col("turns").alias("chosen"), F.concat(F.slice("turns", F.lit(1), F.col("own")), rest).alias("rejected"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,16 +80,19 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
-n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY conv_id) AS m FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-e AS (SELECT a.*, CASE WHEN a.i = a.m THEN coalesce(b.text, a.text) ELSE a.text END AS other FROM n a LEFT JOIN n b ON b.conv_id = xor(a.conv_id, 1) AND b.i = b.m),
-k AS (SELECT *, CASE WHEN i < m OR other = text THEN 1 ELSE 0 END AS same,
-             '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS r,
-             '<|im_start|>' || role || chr(10) || other || '<|im_end|>' || chr(10) AS o FROM e)
-SELECT conv_id, sum(same)::BIGINT AS prompt_turns,
-       sha256(coalesce(string_agg(CASE WHEN same = 1 THEN r END, '' ORDER BY i), '')) AS prompt_sha256,
-       sha256(coalesce(string_agg(CASE WHEN same = 0 THEN r END, '' ORDER BY i), '')) AS chosen_sha256,
-       sha256(coalesce(string_agg(CASE WHEN same = 0 THEN o END, '' ORDER BY i), '')) AS rejected_sha256,
-       sum(CASE WHEN same = 0 AND role = 'assistant' THEN length(text) + 11 ELSE 0 END)::BIGINT AS chosen_masked_chars,
-       sum(CASE WHEN same = 0 AND role = 'assistant' THEN length(other) + 11 ELSE 0 END)::BIGINT AS rejected_masked_chars
-FROM k GROUP BY conv_id
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS m FROM t),
+k AS (SELECT DISTINCT conv_id, conv_id % m AS own, CASE WHEN xor(conv_id, 1) IN (SELECT conv_id FROM n) THEN xor(conv_id, 1) ELSE conv_id END AS other FROM n),
+r AS (SELECT conv_id, i, role, text FROM n WHERE i <= conv_id % m
+      UNION ALL SELECT k.conv_id, n.i, n.role, n.text FROM k JOIN n ON n.conv_id = k.other AND n.i > k.own),
+j AS (SELECT conv_id, i, n.role AS crole, n.text AS ctext, r.role AS rrole, r.text AS rtext FROM n FULL JOIN r USING (conv_id, i)),
+d AS (SELECT *, min(CASE WHEN crole IS DISTINCT FROM rrole OR ctext IS DISTINCT FROM rtext THEN i END) OVER (PARTITION BY conv_id) AS first,
+             '<|im_start|>' || crole || chr(10) || ctext || '<|im_end|>' || chr(10) AS c, '<|im_start|>' || rrole || chr(10) || rtext || '<|im_end|>' || chr(10) AS x FROM j),
+s AS (SELECT *, coalesce(i < first, TRUE) AS same FROM d)
+SELECT conv_id, count(*) FILTER (same)::BIGINT AS prompt_turns,
+       sha256(coalesce(string_agg(c, '' ORDER BY i) FILTER (same), '')) AS prompt_sha256,
+       sha256(coalesce(string_agg(c, '' ORDER BY i) FILTER (NOT same), '')) AS chosen_sha256,
+       sha256(coalesce(string_agg(x, '' ORDER BY i) FILTER (NOT same), '')) AS rejected_sha256,
+       coalesce(sum(length(ctext) + 11) FILTER (NOT same AND crole = 'assistant'), 0)::BIGINT AS chosen_masked_chars,
+       coalesce(sum(length(rtext) + 11) FILTER (NOT same AND rrole = 'assistant'), 0)::BIGINT AS rejected_masked_chars
+FROM s GROUP BY conv_id
 """

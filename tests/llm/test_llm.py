@@ -311,6 +311,24 @@ def test_preference_chat(spark):
     assert out[2]["prompt_turns"] == 1 and out[2]["chosen"] == [] and out[3]["prompt"] == "" and len(out[3]["rejected"]) == 2
 
 
+def test_preference_pairs_of_odd_conversations(spark):
+    long = "word " * 30000
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 1, "assistant", "a"), (0, 0, "user", "q"), (0, 1, None, None), (0, None, "user", "first"), (None, 0, "user", "x"), (5, 0, "user", long), (5, 1, "user", long)]
+    turns = spark.createDataFrame([(*r, 7, "c") for r in rows], "conv_id long, turn int, role string, text string, chosen int, prompt string")
+    convs = {r["conv_id"]: [tuple(t) for t in r["turns"]] for r in preference_chat.conversations(turns).collect()}
+    assert convs == {0: [(None, "user", "first"), (0, "user", "q"), (1, "", "")], 1: [(0, "user", "q"), (1, "assistant", "a")], 5: [(0, "user", long), (1, "user", long)]}
+    out = {r["conv_id"]: r for r in preference_chat.preferences(preference_chat.neighbour_pairs(turns)).collect()}
+    assert {k: r["prompt_turns"] for k, r in out.items()} == {0: 0, 1: 1, 5: 2} and out[5]["chosen"] == out[5]["rejected"] == []
+    assert [s["text"] for s in out[1]["rejected"]] == ["<|im_start|>user\n", "q<|im_end|>\n", "<|im_start|>\n", "<|im_end|>\n"]
+    assert preference_chat.preferences(preference_chat.neighbour_pairs(turns.limit(0))).count() == 0
+
+
+def test_preference_pairs_part_at_every_depth(spark):
+    turns = spark.createDataFrame([(c, t, ("user", "assistant")[t % 2], f"{c} {t}") for c in range(24) for t in range(6 - c // 2 % 2)], "conv_id long, turn int, role string, text string")
+    out = preference_chat.preferences(preference_chat.neighbour_pairs(turns)).collect()
+    assert {r["prompt_turns"] for r in out} == set(range(6)) and all(r["prompt_turns"] == r["conv_id"] % (6 - r["conv_id"] // 2 % 2) for r in out)
+
+
 def test_revisits(spark):
     head = "record_id long, url string, at long, kind string, headers map<string,string>, payload string"
     rows = [
@@ -324,6 +342,23 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], head)).count() == 0
 
 
+@pytest.mark.parametrize("slices", [None, 7])
+def test_revisits_of_ties_and_repeats(spark, slices):
+    head = "record_id long, url string, at long, kind string, headers map<string,string>, payload string, found long"
+    rng = np.random.default_rng(8)
+    rows = [(i, f"http://h/{rng.integers(3)}", int(rng.integers(40)), ("response", "revisit")[int(rng.integers(2))], {"etag": f'"{rng.integers(2)}"'}, f"p{i}", 5) for i in range(300)]
+    rows += rows[:50] + [(900, "http://h/0", None, "revisit", None, None, None), (901, "http://h/1", None, "response", {}, "x", None)]
+    got = revisits.resolve(spark.createDataFrame(rows, head), slices).collect()
+    want = []
+    for i, url, at, kind, headers, _, _ in rows:
+        if kind == "revisit":
+            seen = [r for r in rows if r[3] == "response" and r[1] == url and at is not None and r[2] is not None and r[2] < at]
+            best = max(seen, key=lambda r: (r[2], r[0]), default=None)
+            status = "unmatched" if best is None else "resolved" if best[4] == headers else "mismatch"
+            want.append((i, status, best[0] if status == "resolved" else None, best[5] if status == "resolved" else None))
+    assert sorted(((r["record_id"], r["status"], r["response_id"], r["payload"]) for r in got), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("module", [substring_dedup, preference_chat, revisits])
 def test_query_equals_its_sql(spark, module):
     db = duckdb.connect()
