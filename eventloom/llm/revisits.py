@@ -4,18 +4,21 @@ A revisit names a page that had not changed. It is joined, by canonical URL, to
 their validators agree, the revisit takes that response's payload and headers, updated by those headers that a
 not-modified answer may carry.
 
-The as-of join runs in two steps, so that a URL with very many captures is not one task: within slices of time of a URL by
-a window, and across its slices over one row a slice.
+The as-of join looks at each time of a URL once, whatever the number of records at that time, and runs in two steps, so that
+a URL with very many captures is not one task: within slices of time of a URL by a window, and across its slices over one
+row a slice. Slices hold about equal numbers of times, by quantiles.
 
 Defined cases: a null URL stays null and joins nothing; a record without a time joins nothing; among responses of equal
 time the larger record id is the later; a revisit at the same time as a response does not see it; an entity tag decides
 where both sides have one, else Last-Modified does, and without a validator on both sides the status is 'no_validator';
 weak tags compare by their opaque part; header names are compared in lower case, and of repeated names the last counts;
-repeated records give repeated results.
+a revisit that is repeated gives repeated results, and of responses that repeat a record id the latest counts once (of
+equal times the larger URL, then a hash of what it holds).
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +26,8 @@ from eventloom.llm.common import table
 
 #: Headers that a not-modified answer may update (fixed values).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
-SLICES = 64
+#: Times of a URL in a slice, about, and most slices.
+SLICE_TIMES, MOST_SLICES = 200_000, 4096
 
 
 def canonical_url(url: Column) -> Column:
@@ -45,31 +49,35 @@ def lower_keys(headers: Column) -> Column:
     return F.map_from_entries(F.transform(last, lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
 
 
-def latest_before(records: DataFrame, slices: int = SLICES) -> DataFrame:
-    """The revisits of records (record_id, url, at, kind) with ``found``: the id of the latest earlier response, or null."""
-    span = records.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, width = span["lo"] or 0, max(1, -(-((span["hi"] or 0) - (span["lo"] or 0) + 1) // slices))
-    rows = records.filter("url is not null and at is not null").withColumn("slice", F.floor((F.col("at") - lo) / width).cast("int"))
-    full = F.when(F.col("kind") == "response", F.struct("at", "record_id"))
-    inside = Window.partitionBy("url", "slice").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
-    seen = rows.withColumn("here", F.max(full).over(inside)).filter("kind = 'revisit'")
-    ends = rows.filter("kind = 'response'").groupBy("url", "slice").agg(F.max(F.struct("at", "record_id")).alias("end"))
-    marks = ends.unionByName(seen.select("url", "slice").distinct().withColumn("end", F.lit(None).cast(ends.schema["end"].dataType)))
-    marks = marks.groupBy("url", "slice").agg(F.max("end").alias("end"))
+def latest_before(records: DataFrame, slices: int | None = None) -> DataFrame:
+    """url, at, found for the times of revisits in records (record_id, url, at, kind): the id of the latest earlier response, or null."""
+    kind = lambda k: F.max(F.when(F.col("kind") == k, F.col("record_id")))
+    times = records.filter("url is not null and at is not null").groupBy("url", "at").agg(kind("response").alias("response"), kind("revisit").alias("revisit"))
+    if slices is None:
+        slices = min(MOST_SLICES, 1 + times.count() // SLICE_TIMES)
+    cuts = times.agg(F.percentile_approx("at", [k / slices for k in range(1, slices)], 10 * slices)).first()[0] if slices > 1 else []
+    edges = [float("-inf"), *map(float, sorted(set(cuts or []))), float("inf")]
+    times = Bucketizer(splits=edges, inputCol="when", outputCol="slice").transform(times.withColumn("when", F.col("at").cast("double"))) if len(edges) > 2 else times.withColumn("slice", F.lit(0.0))
+    full = F.when(F.col("response").isNotNull(), F.struct("at", F.col("response").alias("record_id")))
+    inside = Window.partitionBy("url", "slice").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    seen = times.withColumn("here", F.max(full).over(inside)).filter("revisit is not null").select("url", "at", "slice", "here")
+    ends = times.groupBy("url", "slice").agg(F.max(full).alias("end"))
     before = F.max("end").over(Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    out = seen.join(marks.withColumn("before", before).drop("end"), ["url", "slice"])
-    return out.withColumn("found", F.coalesce("here", "before")["record_id"]).drop("here", "before", "slice")
+    out = seen.join(ends.withColumn("before", before).drop("end"), ["url", "slice"])
+    return out.select("url", "at", F.coalesce("here", "before")["record_id"].alias("found"))
 
 
-def resolve(records: DataFrame) -> DataFrame:
+def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     """One row a revisit: record_id, url, status, response_id, headers, payload.
 
     records: record_id, url, at (seconds), kind ('response' or 'revisit'), headers (map), payload.
     """
-    named = records.withColumn("url", canonical_url(F.col("url"))).withColumn("headers", lower_keys(F.col("headers")))
-    revisits = latest_before(named.select("record_id", "url", "at", "kind")).select("record_id", "found").distinct()
-    revisits = named.filter("kind = 'revisit'").join(revisits, "record_id", "left")
-    responses = named.filter("kind = 'response'").select(F.col("record_id").alias("found"), F.col("headers").alias("old"), F.col("payload").alias("old_payload"))
+    named = records.select("record_id", canonical_url(F.col("url")).alias("url"), "at", "kind", lower_keys(F.col("headers")).alias("headers"), "payload")
+    found = latest_before(named.select("record_id", "url", "at", "kind"), slices)
+    revisits = named.filter("kind = 'revisit'").join(found, ["url", "at"], "left")
+    content = F.struct(F.col("headers").alias("old"), F.col("payload").alias("old_payload"))
+    responses = named.filter("kind = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("found")).agg(
+        F.max_by(content, F.struct("at", "url", F.xxhash64("payload", F.to_json("headers")))).alias("c")).select("found", "c.*")
     both = revisits.drop("payload").join(responses, "found", "left")
     tag = lambda c: F.regexp_replace(F.col(c)["etag"], "^W/", "")
     date = lambda c: F.col(c)["last-modified"]
@@ -84,18 +92,18 @@ def resolve(records: DataFrame) -> DataFrame:
 
 
 def records_of_pages(pages: DataFrame) -> DataFrame:
-    """A capture history from pages: a response for each, and for each third one a later revisit, of which some carry
-    another entity tag, some none, and some come before the response."""
+    """A capture history from pages: of each a response and a revisit, later mostly; some revisits carry another entity tag,
+    some none, and some come before the response."""
     tag = F.concat(F.lit('"'), F.substring(F.md5(F.coalesce("html", F.lit(""))), 1, 16), F.lit('"'))
     at = F.col("page_id") * 60
     responses = pages.select(
         (2 * F.col("page_id")).alias("record_id"), "url", at.alias("at"), F.lit("response").alias("kind"),
         F.create_map(F.lit("ETag"), tag, F.lit("Content-Type"), F.lit("text/html"), F.lit("Date"), at.cast("string"), F.lit("Last-Modified"), (at - 5).cast("string")).alias("headers"),
         F.col("html").alias("payload"))
-    k = F.pmod(F.floor(F.col("page_id") / 3), F.lit(8))
+    k = F.pmod(F.col("page_id"), F.lit(8))
     own = F.when(k == 0, F.lit('"changed"')).when(k != 1, F.concat(F.when(k == 2, "W/").otherwise(""), tag))
     later = at + F.when(k == 7, -30).otherwise(3600)
-    revisits = pages.filter("page_id % 3 = 0").select(
+    revisits = pages.select(
         (2 * F.col("page_id") + 1).alias("record_id"), "url", later.alias("at"), F.lit("revisit").alias("kind"),
         F.map_filter(F.create_map(F.lit("etag"), own, F.lit("date"), later.cast("string"), F.lit("content-length"), F.lit("0"),
                                   F.lit("last-modified"), F.when(k == 1, (at - 5).cast("string"))), lambda k, v: v.isNotNull()).alias("headers"),
@@ -110,13 +118,13 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = r"""
-WITH p AS (SELECT page_id, html, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, page_id * 60 AS ts, (page_id // 3) % 8 AS k, trim(url) AS u FROM pages WHERE page_id IS NOT NULL),
+WITH p AS (SELECT page_id, html, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, page_id * 60 AS ts, page_id % 8 AS k, trim(url) AS u FROM pages WHERE page_id IS NOT NULL),
 c AS (SELECT *, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' THEN u ELSE
   lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)), ':(80|443)$', '')
   || regexp_replace(regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')
   || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&'), ''), '') END AS url FROM p),
 v AS (SELECT page_id, url, ts + CASE WHEN k = 7 THEN -30 ELSE 3600 END AS ts, k, tag, ts AS own,
-             CASE WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS bare, CASE WHEN k = 2 THEN 'W/' || tag WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS etag FROM c WHERE page_id % 3 = 0),
+             CASE WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS bare, CASE WHEN k = 2 THEN 'W/' || tag WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS etag FROM c),
 j AS (SELECT v.*, r.page_id AS rid, r.ts AS rat, r.tag AS rtag, r.html AS rhtml, row_number() OVER (PARTITION BY v.page_id ORDER BY r.ts DESC, r.page_id DESC) AS n
       FROM v LEFT JOIN c r ON r.url = v.url AND r.ts < v.ts),
 s AS (SELECT *, CASE WHEN rid IS NULL THEN 'unmatched' WHEN (CASE WHEN bare IS NOT NULL THEN bare = rtag ELSE own - 5 = rat - 5 END) THEN 'resolved' ELSE 'mismatch' END AS status FROM j WHERE n = 1)
