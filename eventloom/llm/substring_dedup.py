@@ -25,6 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from eventloom.llm.blocks import U64, Words, in_blocks, pack, pack_sorted, split_by_bucket, texts_of, unpack, unpack_sorted, whole_windows, windows
 from eventloom.llm.common import block_count, table
@@ -273,18 +274,19 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     carried = [c for c in own if c not in ("doc_id", "text")]
 
     def finish(t: pa.Table, mask, words) -> pa.Table:
+        rest = {"rest": t.column("rest")} if carried else {}
         if not t.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "n_removed": pa.array([], pa.int64()), "rest": pa.array([], pa.string())})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string()), "n_removed": pa.array([], pa.int64()), **rest})
         done, texts = _kept_texts(mask, words), t.column("text").to_pylist()
         text = [d[2].decode("utf-8", "replace") if d[1] else x for d, x in zip(done, texts)]
-        return pa.table({"doc_id": t.column("doc_id"), "text": pa.array(text, pa.string()), "n_removed": pa.array([d[1] for d in done], pa.int64()), "rest": t.column("rest")})
-
-    # the other columns travel as one JSON value, so their types and names don't matter here
-    schema = "doc_id long, text string, n_removed long, rest string"
-    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.to_json(F.struct(*carried), {"ignoreNullFields": "false"}).alias("rest"))
-    out = removed_spans(packed, block_count(docs, BLOCK_BYTES), finish=finish, schema=schema, columns=("doc_id", "text", "rest"))
-    kind = docs.select(*carried).schema
-    out = out.withColumn("rest", F.from_json("rest", kind)).filter((F.col("n_removed") == 0) | (F.col("text") != ""))
+        return pa.table({"doc_id": t.column("doc_id"), "text": pa.array(text, pa.string()), "n_removed": pa.array([d[1] for d in done], pa.int64()), **rest})
+
+    # the other columns travel as they are, in a struct, so that their names don't matter here
+    packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *([F.struct(*carried).alias("rest")] if carried else []))
+    kind = packed.schema
+    schema = StructType([*kind.fields[:2], StructField("n_removed", LongType()), *kind.fields[2:]])
+    out = removed_spans(packed, block_count(docs, BLOCK_BYTES), finish=finish, schema=schema, columns=packed.columns)
+    out = out.filter((F.col("n_removed") == 0) | (F.col("text") != ""))
     n_chars = {"n_chars": F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("rest.n_chars"))} if "n_chars" in carried else {}
-    pick = lambda c: F.col(c) if c in ("doc_id", "text") else n_chars[c].cast(kind[c].dataType).alias(c) if c in n_chars else F.col("rest")[c].alias(c)
+    pick = lambda c: F.col(c) if c in ("doc_id", "text") else n_chars[c].cast(docs.schema[c].dataType).alias(c) if c in n_chars else F.col("rest")[c].alias(c)
     return out.select(*[pick(c) for c in own])
