@@ -370,11 +370,3 @@ def test_query_equals_its_sql(spark, module):
     assert key(ours) == key(theirs)
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        assert stage(spark, docs, SF).columns == docs.columns, name
-    out = corpus_pipeline.run(spark, SF)
-    assert set(docs.columns) < set(out.columns) and out.filter(F.size("token_ids") != F.col("n_tokens")).count() == 0 and out.count() > 0
