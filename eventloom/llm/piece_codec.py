@@ -32,7 +32,7 @@ from eventloom.llm.common import table
 #: The mark that stands for a space in pieces.
 SPACE = "▁"
 #: Bytes of text that are coded at once and sent back.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Cuts of up to so many symbols share one array of agendas, in classes of like lengths; so many cuts at a time.
 TOGETHER, AT_ONCE, NO_PIECE = (6, 10, 16, 32, 64), 1 << 14, float("-inf")
 
@@ -304,6 +304,7 @@ def encode_documents(docs: DataFrame, model_file: str, *, carry: list[str] = ())
             ids = pc.if_else(pc.equal(ids, ""), end, pc.binary_join_element_wise(ids, end, " "))
             new = [ids, pa.array(sizes + 1), decoded]
             yield pa.RecordBatch.from_arrays([*some.columns[:-1], *new], names=[*carry, "ids", "n_tokens", "decoded"])
+        pa.default_memory_pool().release_unused()  # the worker stays, what this task took need not
 
     schema = StructType([*sent.schema.fields[:-1], StructField("ids", StringType()), StructField("n_tokens", LongType()), StructField("decoded", StringType())])
     return sent.mapInArrow(batches, schema)
