@@ -47,13 +47,13 @@ def health(events: DataFrame, bad: str) -> DataFrame:
 
 
 def drift(events: DataFrame, window: int = 5) -> DataFrame:
-    """Moving mean of the values against the mean before it, with a direction."""
+    """Moving mean of the values against the mean before it, with a direction; higher values are better."""
     w = Window.partitionBy("graph_id").orderBy("seq")
     now = F.avg("value").over(w.rowsBetween(-(window - 1), 0))
     before = F.avg("value").over(w.rowsBetween(-(2 * window - 1), -window))
     out = events.select("graph_id", "seq", F.round(now, 4).alias("mean_now"), F.round(before, 4).alias("mean_before"))
     gap = F.col("mean_now") - F.col("mean_before")
-    return out.withColumn("direction", F.when(gap > 0, "worsening").when(gap < 0, "improving").otherwise("stable"))
+    return out.withColumn("direction", F.when(gap > 0, "improving").when(gap < 0, "worsening").otherwise("stable"))
 
 
 def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
@@ -65,11 +65,11 @@ def sessions(events: DataFrame, gap_seconds: int) -> DataFrame:
 
 
 def spans(events: DataFrame, begin: str, end: str) -> DataFrame:
-    """Pairs each end event with the last begin event of its graph and node before it (SR22)."""
-    w = Window.partitionBy("graph_id", "node_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    opened = F.last(F.when(F.col("kind") == begin, F.struct("seq", "ts")), ignorenulls=True).over(w)
-    out = events.withColumn("opened", opened).filter((F.col("kind") == end) & F.col("opened").isNotNull())
-    return out.select("graph_id", "node_id", F.col("opened.seq").alias("begin_seq"), F.col("seq").alias("end_seq"), (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("opened.ts").cast("timestamp"))).alias("micros"))
+    """Pairs each begin event with the first end event of its graph and node after it and before the next begin (SR22)."""
+    w = Window.partitionBy("graph_id", "node_id").orderBy("seq")
+    e = events.filter(F.col("kind").isin(begin, end)).withColumn("next", F.lead(F.struct("kind", "seq", "ts")).over(w))
+    out = e.filter((F.col("kind") == begin) & (F.col("next.kind") == end))
+    return out.select("graph_id", "node_id", F.col("seq").alias("begin_seq"), F.col("next.seq").alias("end_seq"), (F.unix_micros(F.col("next.ts").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))).alias("micros"))
 
 
 def dashboard(events: DataFrame, bad: str, k: int) -> DataFrame:
@@ -83,11 +83,3 @@ def snapshot_diff(before: DataFrame, after: DataFrame, key: str, digest: str) ->
     a, b = before.select(key, F.col(digest).alias("old")), after.select(key, F.col(digest).alias("new"))
     state = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") != F.col("new"), "changed").otherwise("same")
     return a.join(b, key, "full_outer").select(key, state.alias("state"))
-
-
-def histogram(value: Column, bounds: list[float]) -> Column:
-    """The smallest bound that a value does not exceed; null above all."""
-    out = F.when(value <= bounds[0], F.lit(float(bounds[0])))
-    for b in bounds[1:]:
-        out = out.when(value <= b, F.lit(float(b)))
-    return out

@@ -7,6 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import kept
+
+#: Sources of one target that meet in one task.
+TILE = 1024
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Undirected adjacency (a, b), each pair once a direction (JO2)."""
@@ -60,12 +65,14 @@ def lens_summary(nodes: DataFrame, rules: dict[str, str]) -> DataFrame:
 
 
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, *, directed: bool = False) -> DataFrame:
-    """id, depth: nodes within depth steps of the seeds, at their least depth (GR1). One join a step; nothing is collected."""
-    near = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if directed else both_ways(edges)
-    reached = frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0))
+    """id, depth: nodes within depth steps of the seeds, at their least depth (GR1). One join a step, each from written tables; nothing is collected."""
+    near = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")) if directed else both_ways(edges), "adjacency")
+    reached = frontier = kept(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
     for d in range(1, depth + 1):
         step = near.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = step.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(d))
+        frontier = kept(step.join(reached.select("id"), "id", "left_anti").withColumn("depth", F.lit(d)), "frontier")
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
     return reached
 
@@ -98,11 +105,16 @@ def hubs(edges: DataFrame, least: int = 12) -> DataFrame:
 
 def cheapest_paths(edges: DataFrame, sources: DataFrame, cost: Column, hops: int) -> DataFrame:
     """id, cost, hops: cheapest directed walk of at most hops steps from any source; each step keeps one row a node."""
-    step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), cost.alias("c")).groupBy("a", "b").agg(F.min("c").alias("c"))
-    best = sources.select("id").distinct().select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops"))
-    for _ in range(hops):
-        more = best.join(step, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"))
-        best = best.unionByName(more).groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("m")).select("id", "m.cost", "m.hops")
+    step = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), cost.alias("c")).groupBy("a", "b").agg(F.min("c").alias("c")), "steps")
+    best = changed = kept(sources.select("id").distinct().select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), "best")
+    for _ in range(hops):  # only what became cheaper goes on
+        more = changed.join(step, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+        more = more.groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("m"))
+        known = best.select("id", F.struct("cost", "hops").alias("known"))
+        changed = kept(more.join(known, "id", "left").filter(F.col("known").isNull() | (F.col("m") < F.col("known"))).select("id", "m.cost", "m.hops"), "best")
+        if changed.isEmpty():
+            break
+        best = kept(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), "best")
     return best
 
 
@@ -128,13 +140,20 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def jaccard_neighbours(edges: DataFrame, kind: str, least: float) -> DataFrame:
-    """Pairs of sources that share targets, by Jaccard similarity; targets with very many sources are linked through their smallest source only once a pair is counted."""
+    """Pairs of sources that share targets, by Jaccard similarity.
+
+    Sources of a target that very many share are cut into tiles that meet two by two, so that no task grows with a target.
+    """
     e = edges.filter(F.col("kind") == kind).select("src", "dst").distinct()
     size = e.groupBy("src").agg(F.count("*").alias("n"))
     # prefix filter: a pair above the threshold shares one of the first few targets in a global rare-first order
     rare = e.join(e.groupBy("dst").agg(F.count("*").alias("f")), "dst").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("f", "dst"))).join(size, "src")
     prefix = rare.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("src", "dst")
-    pairs = prefix.select(F.col("src").alias("a"), "dst").join(prefix.select(F.col("src").alias("b"), "dst"), "dst").filter("a < b").select("a", "b").distinct()
+    tiles = prefix.groupBy("dst").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("src"), F.col("tiles")).cast("int")
+    dealt = prefix.join(tiles, "dst").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("src", "dst", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    pairs = dealt.withColumnRenamed("src", "a").join(dealt.withColumnRenamed("src", "b"), ["dst", "lo", "hi"]).filter("a < b").select("a", "b").distinct()
     common = pairs.join(e.select(F.col("src").alias("a"), "dst"), "a").join(e.select(F.col("src").alias("b"), "dst"), ["b", "dst"]).groupBy("a", "b").agg(F.count("*").alias("common"))
     out = common.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
     return out.withColumn("similarity", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -102,7 +104,7 @@ def tokens(x: Column) -> Column:
 
 def token_overlap(nodes: DataFrame, query: str) -> DataFrame:
     """id, score: the summed length of the query's tokens that a node's fields hold as substrings; repeated tokens count again (SEA2)."""
-    words = nodes.sparkSession.range(1).select(tokens(F.lit(query)).alias("t")).first()["t"]  # one row: the query's own words
+    words = re.findall("[a-z0-9]{2,}", query.lower())
     hay = F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", "id", "kind", "label", "path")), "[^a-z0-9]+", " "))
     score = F.lit(0)
     for w in words:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import text
 from eventloom.operators import events as ev
 from eventloom.operators import graph as g
+from eventloom.operators import runs, vectors
 from eventloom.sources import views as v
 
 QUERIES: dict = {}
@@ -141,9 +142,12 @@ def communities(spark, d):
     return g.communities(*graph(spark, d))
 
 
-@query(f"{WITH_GRAPH} SELECT DISTINCT a.src, a.dst FROM v_edges a JOIN v_edges b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst")
+@query(f"{WITH_GRAPH}, t AS (SELECT src, dst FROM v_edges UNION ALL SELECT dst, src FROM v_edges WHERE kind = 'references') SELECT DISTINCT a.src, a.dst FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src WHERE a.src <= a.dst")
 def two_cycles(spark, d):
-    return g.two_cycles(v.edges(spark, d)).select("src", "dst")
+    """The graph has none; with its references turned round as well, each of them is one."""
+    e = v.edges(spark, d).select("src", "dst", "kind")
+    back = e.filter("kind = 'references'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
+    return g.two_cycles(e.unionByName(back)).select("src", "dst")
 
 
 @query(f"{WITH_GRAPH}, e AS (SELECT DISTINCT src, dst FROM v_edges WHERE kind = 'depends_on'), s AS (SELECT src, count(*) AS n FROM e GROUP BY src), c AS (SELECT x.src AS a, y.src AS b, count(*) AS common FROM e x JOIN e y ON x.dst = y.dst AND x.src < y.src GROUP BY ALL) SELECT a, b, common::BIGINT AS common, round(common / (p.n + q.n - common), 6) AS similarity FROM c JOIN s p ON p.src = a JOIN s q ON q.src = b WHERE round(common / (p.n + q.n - common), 6) >= 0.5")
@@ -194,7 +198,7 @@ def sessions(spark, d):
     return ev.sessions(v.run_events(spark, d), 86400)
 
 
-@query(f"{WITH_RUN}, o AS (SELECT *, max(CASE WHEN kind = 'view' THEN seq END) OVER (PARTITION BY graph_id, node_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM v_run) SELECT o.graph_id, o.node_id, o.b::BIGINT AS begin_seq, o.seq AS end_seq, (epoch_us(o.ts) - epoch_us(v.ts))::BIGINT AS micros FROM o JOIN v_run v ON v.graph_id = o.graph_id AND v.seq = o.b WHERE o.kind = 'click'")
+@query(f"{WITH_RUN}, o AS (SELECT *, lead(kind) OVER v AS nk, lead(seq) OVER v AS ns, lead(ts) OVER v AS nt FROM v_run WHERE kind IN ('view', 'click') WINDOW v AS (PARTITION BY graph_id, node_id ORDER BY seq)) SELECT graph_id, node_id, seq AS begin_seq, ns::BIGINT AS end_seq, (epoch_us(nt) - epoch_us(ts))::BIGINT AS micros FROM o WHERE kind = 'view' AND nk = 'click'")
 def span_pairs(spark, d):
     return ev.spans(v.run_events(spark, d), "view", "click")
 
@@ -204,18 +208,16 @@ def dashboard(spark, d):
     return ev.dashboard(v.run_events(spark, d), "error", 10)
 
 
-@query(f"{WITH_RUN}, h AS (SELECT kind, CASE WHEN value <= 10 THEN 10.0::DOUBLE WHEN value <= 25 THEN 25 WHEN value <= 50 THEN 50 WHEN value <= 100 THEN 100 WHEN value <= 250 THEN 250 END AS le FROM v_run) SELECT kind, le, count(*)::BIGINT AS n FROM h GROUP BY ALL")
+@query(f"{WITH_RUN}, h AS (SELECT kind, value FROM v_run WHERE value IS NOT NULL), c AS (" + " UNION ALL ".join(f"SELECT kind, '{b}' AS le, count(*) FILTER (value <= {b}) AS n FROM h GROUP BY kind" for b in BOUNDS) + " UNION ALL SELECT kind, '+Inf', count(*) FROM h GROUP BY kind) SELECT c.kind, le, n::BIGINT AS n, round(t.s, 4) AS sum, t.k::BIGINT AS count FROM c JOIN (SELECT kind, sum(value) AS s, count(*) AS k FROM h GROUP BY kind) t USING (kind)")
 def metric_histogram(spark, d):
-    return v.run_events(spark, d).groupBy("kind", ev.histogram(F.col("value"), BOUNDS).alias("le")).agg(F.count("*").alias("n"))
+    return runs.histogram(v.run_events(spark, d), "value", BOUNDS, "kind").withColumn("sum", F.round("sum", 4))
 
 
+@query(f"{WITH_RUN}, m AS (SELECT graph_id, seq, round(avg(value) OVER (PARTITION BY graph_id ORDER BY seq ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 4) AS mean_now, round(avg(value) OVER (PARTITION BY graph_id ORDER BY seq ROWS BETWEEN 9 PRECEDING AND 5 PRECEDING), 4) AS mean_before FROM v_run) SELECT *, CASE WHEN mean_now - mean_before > 0 THEN 'improving' WHEN mean_now - mean_before < 0 THEN 'worsening' ELSE 'stable' END AS direction FROM m")
 def drift(spark, d):
     return ev.drift(v.run_events(spark, d))
 
 
-QUERIES["drift"] = drift
-
-
 @query("WITH b AS (SELECT doc_id, md5(text) AS h FROM documents WHERE doc_id % 7 <> 3), a AS (SELECT doc_id, md5(CASE WHEN doc_id % 11 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 7 <> 5) SELECT doc_id, CASE WHEN b.h IS NULL THEN 'added' WHEN a.h IS NULL THEN 'removed' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS state FROM b FULL JOIN a USING (doc_id)")
 def fingerprint_diff(spark, d):
     """Two snapshots of the files: some gone, some new, some changed (the split is the feature, all rows take part)."""
@@ -247,11 +249,27 @@ def redacted_documents(spark, d):
 
 @query("SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 5) AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.35")
 def similar_vectors(spark, d):
-    """Similar pairs within a label: the label is the join key, so its groups are met block by block, not all with all."""
+    """Similar pairs within a label."""
+    out = vectors.similar_pairs(v.table(spark, d, "embeddings"), "label", 0.35)
+    return out.select(F.col("a").alias("query_id"), F.col("b").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
+
+
+@query("WITH s AS (SELECT b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a, embeddings b WHERE a.vec_id = 5 AND b.label <> a.label) SELECT vec_id, round(s, 6) AS similarity FROM s ORDER BY s DESC, vec_id LIMIT 10")
+def nearest_vectors(spark, d):
+    """The ten vectors of other labels most like vector 5."""
+    e = v.table(spark, d, "embeddings")
+    q = e.filter("vec_id = 5").first()
+    return vectors.top_k(e.filter(F.col("label") != q["label"]), q["embedding"], 10)
+
+
+@query("WITH c AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 10 = 0), s AS (SELECT a.vec_id, avg(list_cosine_similarity(a.embedding::DOUBLE[], c.e)) AS m FROM embeddings a JOIN c ON c.label = a.label AND a.label % 2 = 0 GROUP BY a.vec_id), g AS (SELECT embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id = 1), d AS (SELECT a.vec_id, round(coalesce(m, CASE WHEN a.vec_id % 3 = 0 THEN NULL ELSE list_cosine_similarity(a.embedding::DOUBLE[], g.e) END, 0.7), 6) AS score FROM embeddings a LEFT JOIN s USING (vec_id), g) SELECT vec_id, score, CASE WHEN score >= 0.82 THEN 'closer' WHEN score >= 0.65 THEN 'holding' ELSE 'drifting' END AS direction FROM d")
+def drift_scores(spark, d):
+    """Vectors against criteria (every tenth vector, for even labels), else against a goal (vector 1; a third have none), else 0.7."""
     e = v.table(spark, d, "embeddings")
-    pair = e.alias("a").join(e.alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    out = pair.select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"), text.cosine(F.col("a.embedding"), F.col("b.embedding")).alias("s"))
-    return out.filter("s >= 0.35").select("query_id", "vec_id", F.round("s", 5).alias("similarity"))
+    goal = e.filter("vec_id = 1").first()["embedding"]
+    criteria = e.filter("vec_id % 10 = 0 AND label % 2 = 0").select("label", F.col("embedding").alias("criterion"))
+    outputs = e.withColumn("goal", F.when(F.col("vec_id") % 3 != 0, F.array(*[F.lit(float(x)) for x in goal])))
+    return vectors.drift_scores(outputs, criteria, "label").select("vec_id", F.round("score", 6).alias("score"), vectors.direction(F.round("score", 6)).alias("direction"))
 
 
 @query("SELECT role, count(*)::BIGINT AS n, count(DISTINCT conv_id)::BIGINT AS conversations, sum(length(text))::BIGINT AS chars FROM conversations GROUP BY role")

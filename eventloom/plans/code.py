@@ -331,7 +331,7 @@ lower(regexp_extract(replace({SHOWN}, '\\', '/'), '([^/]*)/*$', 1)) AS base, tri
     return f"WITH {', '.join(sql)} SELECT id, label, {exact.format(10000, 9000, 'score')}::BIGINT AS score, {exact.format(chr(39) + 'exact node id' + chr(39), chr(39) + 'exact path' + chr(39), 'reason')} AS reason FROM t{len(sql) - 1}"
 
 
-NAMED = ("OrderService56", "orderservice1.ts", "user controller", "symbol:18", "backend/routes/m1/OrderService1.ts", "Helper.run_it", "repository")
+NAMED = ("OrderService56", "orderservice1.ts", "symbol:18", "user controller")
 
 
 @query(f"{G} " + " UNION ALL ".join(f"(SELECT '{t}' AS asked, id, score, reason FROM ({resolution_sql(t)}) WHERE score > 0)" for t in NAMED))

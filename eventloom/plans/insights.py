@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.functions import text
 from eventloom.operators import insights as ins
+from eventloom.operators import paths
 from eventloom.plans.catalog import WITH_GRAPH, WITH_RUN, graph, query
 from eventloom.sources import views as v
 
@@ -135,7 +136,7 @@ def ready_tasks(spark, d):
 
 @query(f"{WITH_GRAPH}, e AS (SELECT DISTINCT src, dst FROM v_edges), l0 AS (SELECT DISTINCT src AS id FROM e WHERE src NOT IN (SELECT dst FROM e)), l1 AS (SELECT DISTINCT dst AS id FROM e JOIN l0 ON src = id), l2 AS (SELECT DISTINCT dst AS id FROM e JOIN l1 ON src = id), l3 AS (SELECT DISTINCT dst AS id FROM e JOIN l2 ON src = id) SELECT id, max(level)::INT AS level FROM (SELECT id, 0 AS level FROM l0 UNION ALL SELECT id, 1 FROM l1 UNION ALL SELECT id, 2 FROM l2 UNION ALL SELECT id, 3 FROM l3) GROUP BY id")
 def topological_levels(spark, d):
-    return ins.levels(v.edges(spark, d), 3)
+    return paths.levels(v.edges(spark, d))
 
 
 @query(f"{WITH_RUN}, l AS (SELECT node_id, max(ts) FILTER (kind = 'view') AS scanned, max(ts) FILTER (kind = 'click') AS touched FROM v_run GROUP BY node_id) SELECT node_id, scanned, touched, CASE WHEN scanned IS NULL THEN 'missing' WHEN touched > scanned THEN 'stale' ELSE 'fresh' END AS state FROM l WHERE scanned IS NOT NULL OR touched IS NOT NULL")
