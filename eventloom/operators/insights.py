@@ -147,17 +147,6 @@ def ready(tasks: DataFrame, needs: DataFrame, done: DataFrame) -> DataFrame:
     return tasks.join(open_needs.select("id"), "id", "left_anti")
 
 
-def levels(edges: DataFrame, most: int) -> DataFrame:
-    """id, level: the longest way from a node without incoming edges (TK9), where no way is longer than most; nodes of cycles alone have no level."""
-    e = edges.select("src", "dst").distinct()
-    at = e.select(F.col("src").alias("id")).distinct().join(e.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(0))
-    every = at
-    for n in range(1, most + 1):
-        at = e.join(at.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct().withColumn("level", F.lit(n))
-        every = every.unionByName(at)
-    return every.groupBy("id").agg(F.max("level").alias("level"))
-
-
 def freshness(events: DataFrame, scan: str, touch: str) -> DataFrame:
     """Each node's last scan against its last touch: missing, stale or fresh (PR11); a node of neither kind is left out."""
     last = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("ts")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.functions.text import cosine
@@ -57,9 +57,3 @@ def drift_scores(outputs: DataFrame, criteria: DataFrame, key: str) -> DataFrame
 def direction(score: Column) -> Column:
     """closer, holding or drifting (VE3)."""
     return F.when(score >= CLOSER, "closer").when(score >= HOLDING, "holding").otherwise("drifting")
-
-
-def latest(vectors: DataFrame, key: str, order: str) -> DataFrame:
-    """The last vector of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return vectors.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")

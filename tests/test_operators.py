@@ -11,6 +11,7 @@ from eventloom.functions import text
 from eventloom.operators import events as ev
 from eventloom.operators import graph as g
 from eventloom.operators import insights as ins
+from eventloom.operators import paths as p
 from eventloom.plans import catalog
 from eventloom.streaming import replay
 
@@ -97,7 +98,7 @@ def test_pending_controls_and_steps(spark):
 
 def test_levels_roots_and_tokens(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
-    assert rows(ins.levels(edges, 3)) == [("a", 0), ("b", 1), ("c", 2)]
+    assert rows(p.levels(edges)) == [("a", 0), ("b", 1), ("c", 2)]
     paths = spark.createDataFrame([("1", "x/y/z"), ("2", "x/yy"), ("3", "q")], "id string, path string")
     assert rows(ins.nearest_root(paths, spark.createDataFrame([("x",), ("x/y",)], "root string"))) == [("1", "x/y"), ("2", "x")]
     assert spark.range(1).select(ins.tokens(F.lit("A bc, D-ef9")).alias("t"), ins.tokens(F.lit(None).cast("string")).alias("n")).first() == (["bc", "ef9"], [])
