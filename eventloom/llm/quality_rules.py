@@ -228,7 +228,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows of docs that the learned list keeps, with all their columns."""
-    _, rules = learned(docs, table(spark, sf_dir, "labels"))
+    labels = table(spark, sf_dir, "labels")
+    marked = labels.filter("quality in (0, 1) and doc_id is not null").select("doc_id").distinct()
+    _, rules = learned(docs.join(marked, "doc_id", "left_semi"), labels)  # only labelled rows are counted for learning
     rows = judged(with_features(base_features(docs, carry=docs.columns)), rules)
     # a column that isn't deterministic keeps the filter above the counts: pushed below, it would count anew for each word
     return rows.withColumn("barrier", F.monotonically_increasing_id()).filter("kept AND barrier >= 0").select(*[F.col("row")[c].alias(c) for c in docs.columns])
