@@ -94,6 +94,7 @@ def seeds(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:
 
 def search_context(nodes: DataFrame, edges: DataFrame, query: str, *, k: int = 5, depth: int = 2) -> DataFrame:
     """Keyword search, seeds, bounded traversal: the nodes found with their depth and degree."""
+    nodes, edges = kept(nodes, "nodes"), kept(edges, "edges")
     found = bfs(edges, seeds(nodes, query, k), depth, directed=True)
     return found.join(nodes, "id").join(degree(edges).select("id", "degree"), "id", "left").select("id", "kind", "label", "depth", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
 

@@ -12,6 +12,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import kept
+
 # Kinds by what they mean here.
 ANCHORS, CODE = ("feature", "user_story", "requirement", "acceptance_criterion"), ("code_file", "code_symbol", "code_community")
 SETTLED = ("resolved", "completed", "superseded", "archived")
@@ -177,9 +179,9 @@ def code_intent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Runs are joined with what is beside them, so a run with very many files and tasks gives as many pairs; each is counted once.
     """
     code, run, task = is_code(), F.col("kind") == "agent_run", F.col("kind") == "task"
-    runs = beside(nodes, edges, ("touches",), code, run)
+    runs = kept(beside(nodes, edges, ("touches",), code, run), "code_runs")
     via = lambda near, kinds, of, to: near.join(beside(nodes, edges, kinds, of, to).withColumnRenamed("b", "c").withColumnRenamed("a", "b"), "b").select("a", F.col("c").alias("b"))
-    tasks = via(runs, ("produced_by",), run, task).unionByName(beside(nodes, edges, AREA_LINKS, code, task)).distinct()
+    tasks = kept(via(runs, ("produced_by",), run, task).unionByName(beside(nodes, edges, AREA_LINKS, code, task)).distinct(), "code_tasks")
     intents = beside(nodes, edges, INTENT_LINKS, code, is_anchor()).unionByName(via(runs, ("produced_by", "verifies"), run, is_anchor())).unionByName(via(tasks, INTENT_LINKS, task, is_anchor())).distinct()
     rows = nodes.filter(code).select(F.col("id").alias("task"))
     out = _counted(rows, runs=runs.withColumnRenamed("a", "task"), tasks=tasks.withColumnRenamed("a", "task"), intents=intents.withColumnRenamed("a", "task")).withColumnRenamed("task", "code")
@@ -256,16 +258,13 @@ def accepted_plans(prompts: DataFrame, nodes: DataFrame) -> DataFrame:
     return plans.join(nodes.select("id"), "id", "left_anti")
 
 
-def trace(nodes: DataFrame, edges: DataFrame, start: DataFrame, keep, *, hops: int = 2, most: int = 100) -> DataFrame:
-    """(id, hop, place): nodes within hops of the start, nearest first, then by time and id, at most ``most`` (GR12).
-
-    keep(df, name) writes a frame and reads it back, so that each step starts from a table.
-    """
+def trace(nodes: DataFrame, edges: DataFrame, start: DataFrame, *, hops: int = 2, most: int = 100) -> DataFrame:
+    """(id, hop, place): nodes within hops of the start, nearest first, then by time and id, at most ``most`` (GR12)."""
     near = both_ways(edges).distinct()
-    reached = frontier = keep(start.select("id").distinct().withColumn("hop", F.lit(0)), "trace")
+    reached = frontier = kept(start.select("id").distinct().withColumn("hop", F.lit(0)), "trace")
     for hop in range(1, hops + 1):
         step = near.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct().join(reached.select("id"), "id", "left_anti")
-        frontier = keep(step.withColumn("hop", F.lit(hop)), "trace")
+        frontier = kept(step.withColumn("hop", F.lit(hop)), "trace")
         reached = reached.unionByName(frontier)
     found = reached.join(nodes.select("id", "made"), "id").orderBy("hop", "made", "id").limit(most)
     return found.withColumn("place", F.row_number().over(Window.orderBy("hop", "made", "id")))  # at most ``most`` rows

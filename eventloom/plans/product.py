@@ -194,4 +194,4 @@ def accepted_plans(spark, d):
 f AS (SELECT * FROM n0 UNION ALL SELECT * FROM n1 UNION ALL SELECT * FROM n2) SELECT f.id, hop, made, row_number() OVER (ORDER BY hop, made, f.id)::INT AS place FROM f JOIN pn USING (id) QUALIFY place <= 100""")
 def product_trace(spark, d):
     nodes, edges = graph(spark, d)
-    return p.trace(nodes, edges, nodes.filter("id = 'question:2'"), kept)
+    return p.trace(nodes, edges, nodes.filter("id = 'question:2'"))
