@@ -190,3 +190,33 @@ def run_links(runs: DataFrame, touched: DataFrame, files: DataFrame) -> DataFram
     hit = safe.join(files.select("path", F.col("id").alias("dst")), "path").select(F.concat(F.lit("run:"), F.col("run").cast("string")).alias("src"), "dst", F.lit("touches").alias("kind"))
     made = runs.select(F.concat(F.lit("evidence:"), F.col("run").cast("string")).alias("src"), F.concat(F.lit("run:"), F.col("run").cast("string")).alias("dst"), F.lit("produced_by").alias("kind"))
     return hit.unionByName(made).distinct()
+
+
+def first_of(rows: DataFrame, keys: list[str], order: list, most: int | None = None) -> DataFrame:
+    """The first row of each key by an order, and of these the first ``most`` (SE5)."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    out = rows.withColumn("k_", F.row_number().over(w)).filter("k_ = 1").drop("k_")
+    return out if most is None else out.orderBy(*order).limit(most)
+
+
+def scope_files(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame:
+    """Of each task scope the k files with most edges, then dependencies, then symbols (AG20)."""
+    files = c.with_degree(nodes.filter("kind = 'code_file'"), edges)
+    dep = edges.filter("kind = 'depends_on'").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("dependencies"))
+    own = edges.filter("kind = 'belongs_to'").join(nodes.filter("kind = 'symbol'").select(F.col("id").alias("src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("symbols"))
+    rows = files.join(dep, "id", "left").join(own, "id", "left").fillna(0, ["dependencies", "symbols"]).withColumn("scope", F.explode(c.matched(F.col("path"), c.SCOPES)))
+    w = Window.partitionBy("scope").orderBy(F.desc("degree"), F.desc("dependencies"), F.desc("symbols"), "path", "id")
+    return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= k).select("scope", "id", F.col("degree").cast("long").alias("degree"), "dependencies", "symbols", "place")
+
+
+def guidance_faults(read_first: DataFrame, hubs: DataFrame) -> DataFrame:
+    """What is wrong with a read-first list: nothing in it, a test or generated path in it, or no label shared with the hubs' starts (GR23, GA5).
+
+    read_first: id, kind, label, path (a short list); hubs: shown.
+    """
+    row = read_first.agg(
+        F.count("*").alias("n"), F.count(F.when(c.is_test(), 1)).alias("tests"), F.count(F.when(F.col("path").rlike(f"(?i){c.GENERATED}"), 1)).alias("generated"))
+    shared = read_first.select(c.shown().alias("shown")).join(hubs.select("shown").distinct(), "shown", "left_semi").agg(F.count("*").alias("shared"))
+    faults = F.array_compact(F.array(
+        F.when(F.col("n") == 0, "empty"), F.when(F.col("tests") > 0, "tests_in_list"), F.when(F.col("generated") > 0, "generated_in_list"), F.when((F.col("n") > 0) & (F.col("shared") == 0), "apart_from_hubs")))
+    return row.crossJoin(shared).select(F.explode(faults).alias("fault"))  # single rows

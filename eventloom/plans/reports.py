@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import reports as r
 from eventloom.operators import workspace as ws
+from eventloom.operators.code import SCOPES
 from eventloom.plans.catalog import query
-from eventloom.plans.code import DEG, G, LIKE, ROLES, SHOWN, START, TEST, TEXT, CENTRAL, SCORE, ranked_sql, rl
+from eventloom.plans.code import DEG, G, LIKE, ROLES, SHOWN, START, TEST, TEXT, CENTRAL, SCORE, ranked_sql, rl, rules_sql
 from eventloom.plans.paths import graph
 from eventloom.plans.workspace import HOME
 from eventloom.sources import workspace as w
@@ -144,3 +145,20 @@ def run_links(spark, d):
     touched = w.of(spark, d, TOUCHED.replace("{path}", w.file_path("l_partkey")))
     files = w.nodes(spark, d).filter("kind = 'code_file'")
     return r.run_links(touched.select("run").distinct(), touched, files)
+
+
+@query(f"{G}, x AS (SELECT * FROM nodes QUALIFY row_number() OVER (PARTITION BY path ORDER BY kind, id) = 1) SELECT id, path FROM x ORDER BY kind, id LIMIT 40")
+def first_of_each_path(spark, d):
+    return r.first_of(w.nodes(spark, d), ["path"], ["kind", "id"], 40).select("id", "path")
+
+
+@query(f"{G}, {DEG}, dp AS (SELECT id, count(*)::BIGINT AS dependencies FROM (SELECT src AS id FROM edges WHERE kind = 'depends_on' UNION ALL SELECT dst FROM edges WHERE kind = 'depends_on') GROUP BY id), sy AS (SELECT dst AS id, count(*)::BIGINT AS symbols FROM edges WHERE kind = 'belongs_to' AND src IN (SELECT id FROM nodes WHERE kind = 'symbol') GROUP BY dst), f AS (SELECT n.id, path, coalesce(degree, 0)::BIGINT AS degree, coalesce(dependencies, 0)::BIGINT AS dependencies, coalesce(symbols, 0)::BIGINT AS symbols, unnest({rules_sql('path', SCOPES)}) AS scope FROM nodes n LEFT JOIN deg USING (id) LEFT JOIN dp USING (id) LEFT JOIN sy USING (id) WHERE kind = 'code_file') SELECT scope, id, degree, dependencies, symbols, row_number() OVER (PARTITION BY scope ORDER BY degree DESC, dependencies DESC, symbols DESC, path, id)::INT AS place FROM f QUALIFY place <= 5")
+def scope_files(spark, d):
+    return r.scope_files(*graph(spark, d))
+
+
+@query("SELECT 'tests_in_list' AS fault UNION ALL SELECT 'apart_from_hubs'")
+def guidance_faults(spark, d):
+    """A list of two tests, against starts of hubs that it shares nothing with."""
+    n = w.nodes(spark, d)
+    return r.guidance_faults(n.filter("kind = 'test'").orderBy("id").limit(2), n.filter("kind = 'config_file'").select(F.col("path").alias("shown")))

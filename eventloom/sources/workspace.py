@@ -5,6 +5,7 @@ Table names stand in braces: Spark binds them to DataFrames, the oracles to view
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "benchmark", "labels", "conversations", "pages", "embeddings")
@@ -81,6 +82,24 @@ def of(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+MANIFEST = "version string, rules string, files array<struct<path:string,size:long,hash:string>>"
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame | None:
+    """path, size, hash and rules of a manifest in JSON; None where there is none, or of another version (SR16)."""
+    try:
+        rows = spark.read.schema(MANIFEST).json(path, multiLine=True).filter("version = '1'").selectExpr("rules", "inline(files)")
+        return None if rows.isEmpty() else rows.select("path", "size", "hash", "rules")
+    except AnalysisException:
+        return None
+
+
+def load_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a graph in JSON with lists of these names (SR15)."""
+    rows = spark.read.json(path, multiLine=True)
+    return rows.selectExpr("inline(nodes)"), rows.selectExpr("inline(edges)")
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(spark, sf_dir, NODES)
 

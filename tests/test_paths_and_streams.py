@@ -121,3 +121,13 @@ def test_streams_equal_their_batches(spark, tmp_path):
     assert kept.filter("kept_for IS NULL AND tools IS NOT NULL").count() == 0 and kept.count() == log.count()
     counts = drained(folds.duration_counts(stream(spark, log, tmp_path / "log4"), "duration_ms", [100, 1000]), "durations_table", "complete").first()
     assert counts["count"] == log.filter("duration_ms IS NOT NULL").count() and counts["le_1000"] == log.filter("duration_ms <= 1000").count()
+
+
+def test_graphs_and_manifests_from_json(spark, tmp_path):
+    (tmp_path / "m.json").write_text('{"version": "1", "rules": "r", "files": [{"path": "a.ts", "size": 3, "hash": "h"}]}')
+    (tmp_path / "old.json").write_text('{"version": "0", "rules": "r", "files": [{"path": "a.ts", "size": 3, "hash": "h"}]}')
+    (tmp_path / "g.json").write_text('{"nodes": [{"id": "a", "kind": "symbol"}, {"id": "b", "kind": "test"}], "edges": [{"id": "e", "src": "a", "dst": "b"}]}')
+    assert [tuple(x) for x in w.load_manifest(spark, str(tmp_path / "m.json")).collect()] == [("a.ts", 3, "h", "r")]
+    assert w.load_manifest(spark, str(tmp_path / "old.json")) is None and w.load_manifest(spark, str(tmp_path / "none.json")) is None
+    nodes, edges = w.load_graph(spark, str(tmp_path / "g.json"))
+    assert nodes.count() == 2 and edges.select("src", "dst").collect() == [("a", "b")]
