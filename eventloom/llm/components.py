@@ -16,7 +16,8 @@ def connected(edges: DataFrame, *, rounds: int = 64) -> DataFrame:
     very many edges costs no task more than its share: minima are taken before the shuffle, and its label reaches its
     edges by a join that adaptive execution can split.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = written(edges.select("a", "b"), "edges")  # read both ways below: links that come in no fixed order must not be made twice
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = written(both.filter("a <> b").distinct(), "links")
     labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     for _ in range(rounds):
