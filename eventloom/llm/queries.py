@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventloom.llm import (
+    best_fit_packing,
     compression_quality,
     context_tree,
     piece_codec,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_preference_chat": preference_chat.query,
     "op9_simhash_neardup": simhash_neardup.query,
     "op10_revisits": revisits.query,
+    "op12_best_fit_packing": best_fit_packing.query,
 }
 
 ORACLES: dict[str, str] = {
