@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from eventloom.llm import (
+    ball_kmeans,
     best_fit_packing,
     compression_quality,
     context_tree,
@@ -14,6 +15,7 @@ from eventloom.llm import (
     simhash_neardup,
     source_mix,
     substring_dedup,
+    whitening,
 )
 
 QUERIES = {
@@ -27,11 +29,14 @@ QUERIES = {
     "op8_preference_chat": preference_chat.query,
     "op9_simhash_neardup": simhash_neardup.query,
     "op10_revisits": revisits.query,
+    "op11_ball_kmeans": ball_kmeans.query,
     "op12_best_fit_packing": best_fit_packing.query,
+    "op13_whitening": whitening.query,
 }
 
 ORACLES: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.ORACLE,
     "op8_preference_chat": preference_chat.ORACLE,
     "op10_revisits": revisits.ORACLE,
+    "op11_ball_kmeans": ball_kmeans.ORACLE,
 }
