@@ -68,8 +68,11 @@ def _state(kind, ids, size, members, sequence, offset) -> dict:
             "sequence_id": pa.array(sequence), "offset": pa.array(offset)}
 
 
-def swept(t: pa.Table, capacity: int, bucket: int, repeat: bool) -> pa.Table:
-    """One sweep over the items and gaps of a range, or sweeps until none fits; the rows after it, with ranks of what has no match."""
+def swept(t: pa.Table, capacity: int, bucket: int, repeat: bool, keep_gaps: bool) -> pa.Table:
+    """One sweep over the items and gaps of a range, or sweeps until none fits; the rows after it, with ranks of what has no match.
+
+    keep_gaps: gaps smaller than any item here are kept, for the pieces of bundles.
+    """
     kind, size, ids = _column(t, "kind"), _column(t, "size").copy(), _column(t, "id")
     members, placed = t.column("members"), []
     live = order_of(kind, size, ids)
@@ -80,7 +83,7 @@ def swept(t: pa.Table, capacity: int, bucket: int, repeat: bool) -> pa.Table:
         if not repeat or not len(found) or not len(alone):
             break
         live = np.concatenate([alone, gaps, rest])
-        live = live[(kind[live] != GAP) | (size[live] >= size[alone].min())]
+        live = live[(kind[live] != GAP) | (size[live] >= (1 if keep_gaps else size[alone].min()))]
         live = live[order_of(kind[live], size[live], ids[live])]
     none = np.full(len(t), -1)
     parts = placed + [_state(k, ids[x], size[x], members.take(pa.array(x)), none[:len(x)], none[:len(x)]) for k, x in ((ITEM, alone), (GAP, rest), (GAP, gaps))]
@@ -145,11 +148,11 @@ def in_ranges(state: DataFrame, found: list[tuple[int, int, int]], seed: int) ->
     return state.join(F.broadcast(sizes), "size").withColumn("bucket", F.col("first") + part).drop("first", "parts")
 
 
-def sweep(state: DataFrame, sizes: list[tuple[int, int]], capacity: int, seed: int, most: int) -> DataFrame:
+def sweep(state: DataFrame, sizes: list[tuple[int, int]], capacity: int, seed: int, most: int, keep_gaps: bool) -> DataFrame:
     """The state after one round (after all rounds that need no exchange, where one range holds all)."""
     found = ranges(sizes, most)
     single = len(found) > 0 and found[-1][1] + found[-1][2] == 1
-    local = in_ranges(state, found, seed).groupBy("bucket").applyInArrow(lambda key, t: swept(t, capacity, key[0].as_py(), single), LOCAL)
+    local = in_ranges(state, found, seed).groupBy("bucket").applyInArrow(lambda key, t: swept(t, capacity, key[0].as_py(), single, keep_gaps), LOCAL)
     columns = state.columns
     if single:
         return written(local.select(columns), "packing_round")
@@ -196,8 +199,9 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, *, bucket: int = BUCKET,
         items = {size: n for kind, size, n in counts if kind == ITEM}
         if not items:
             break
-        gaps = {size: n for kind, size, n in counts if kind == GAP and size >= min(items)}
-        live = live.filter((F.col("kind") == ITEM) | (F.col("size") >= min(items)))
+        open_gaps = {size: n for kind, size, n in counts if kind == GAP and size >= (1 if in_bundles else min(items))}
+        gaps = open_gaps if max(open_gaps, default=0) >= min(items) else {}
+        live = live.filter((F.col("kind") == ITEM) | (F.col("size") >= (1 if in_bundles else min(items))))
         if not gaps and in_bundles:
             single = live.select(F.explode("members").alias("m"))
             state = written(single.select(F.lit(ITEM).alias("kind"), F.col("m.key").alias("id"), F.col("m.size").alias("size"), F.array("m").alias("members"), none.alias("sequence_id"), none.alias("offset"))
@@ -214,7 +218,7 @@ def pack(lengths: DataFrame, capacity: int = CAPACITY, *, bucket: int = BUCKET,
             fresh = spark.range(opened, opened + new).select(F.lit(GAP).alias("kind"), "id", F.lit(capacity).cast("long").alias("size"), empty.alias("members"), none.alias("sequence_id"), none.alias("offset"))
             opened, gaps, live = opened + new, {capacity: new}, live.unionByName(fresh)
         sizes = {size: items.get(size, 0) + gaps.get(size, 0) for size in {*items, *gaps}}
-        state = sweep(live, list(sizes.items()), capacity, seed, bucket)
+        state = sweep(live, list(sizes.items()), capacity, seed, bucket, in_bundles)
     for part in done:
         ends = F.transform("members", lambda m: m["size"])
         before = F.transform("members", lambda m, i: F.aggregate(F.slice(ends, 1, i), F.lit(0).cast("long"), lambda a, x: a + x))
