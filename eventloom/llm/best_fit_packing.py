@@ -168,16 +168,15 @@ def sweep(state: DataFrame, sizes: list[tuple[int, int]], capacity: int, seed: i
     items = local.filter(F.col("kind") == ITEM).alias("i").join(runs.alias("r"), inside, "left")
     items = items.select("i.id", "i.size", "i.members", "r.of", (F.col("r.first") + F.col("i.rank") - F.col("r.low")).alias("at"))
     gaps = local.filter((F.col("kind") == GAP) & (F.col("rank") >= 0)).select(F.col("id").alias("gap_id"), F.col("size").alias("gap"), F.col("bucket").alias("of"), F.col("rank").alias("at"))
-    pairs = written(items.join(gaps, ["of", "at"], "full_outer"), "packing_pairs")
+    pairs = written(gaps.join(items.filter("of is not null"), ["of", "at"], "left"), "packing_pairs")
     none = F.lit(-1).cast("long")
-    both = F.col("id").isNotNull() & F.col("gap_id").isNotNull()
     item = lambda kind, sequence, offset: (F.lit(kind).alias("kind"), "id", "size", "members", sequence.alias("sequence_id"), offset.alias("offset"))
     empty = F.array().cast("array<struct<key:long,size:long>>")
     return (
         local.filter((F.col("kind") == PLACED) | (F.col("kind") == GAP) & (F.col("rank") < 0)).select(columns)
-        .unionByName(pairs.filter(both).select(*item(PLACED, F.col("gap_id"), capacity - F.col("gap"))))
-        .unionByName(pairs.filter("id is not null and gap_id is null").select(*item(ITEM, none, none)))
-        .unionByName(pairs.filter("gap_id is not null").select(F.lit(GAP).alias("kind"), F.col("gap_id").alias("id"), (F.col("gap") - F.when(F.col("id").isNotNull(), F.col("size")).otherwise(0)).alias("size"), empty.alias("members"), none.alias("sequence_id"), none.alias("offset")))
+        .unionByName(pairs.filter("id is not null").select(*item(PLACED, F.col("gap_id"), capacity - F.col("gap"))))
+        .unionByName(items.filter("of is null").select(*item(ITEM, none, none)))
+        .unionByName(pairs.select(F.lit(GAP).alias("kind"), F.col("gap_id").alias("id"), (F.col("gap") - F.when(F.col("id").isNotNull(), F.col("size")).otherwise(0)).alias("size"), empty.alias("members"), none.alias("sequence_id"), none.alias("offset")))
     )
 
 
