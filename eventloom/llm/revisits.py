@@ -9,11 +9,12 @@ a URL with very many captures is not one task: within slices of time of a URL by
 row a slice. Slices hold about equal numbers of times, by quantiles.
 
 Defined cases: a null URL stays null and joins nothing; a record without a time joins nothing; among responses of equal
-time the larger record id is the later; a revisit at the same time as a response does not see it; an entity tag decides
+time the larger record id is the later, and a response without an id is not found; a revisit at the same time as a response
+does not see it; record ids may repeat across URLs and times, as a response is known by all three; an entity tag decides
 where both sides have one, else Last-Modified does, and without a validator on both sides the status is 'no_validator';
 weak tags compare by their opaque part; header names are compared in lower case, and of repeated names the last counts;
-a revisit that is repeated gives repeated results, and of responses that repeat a record id the latest counts once (of
-equal times the larger URL, then a hash of what it holds).
+a revisit that is repeated gives repeated results, and of responses of one URL, time and record id one counts (by a hash of
+what it holds).
 """
 
 from __future__ import annotations
@@ -31,13 +32,14 @@ SLICE_TIMES, MOST_SLICES = 200_000, 4096
 
 
 def canonical_url(url: Column) -> Column:
-    """Lower-case scheme and host without default port, path without trailing slash, sorted query without tracking keys, no fragment."""
+    """Lower-case scheme and host without the scheme's default port, path without trailing slash, sorted query without tracking keys, no fragment."""
     u = F.trim(url)
     scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1)), r":(80|443)$", "")
+    host = F.lower(F.regexp_extract(u, r"^[^:/?#]+://([^/?#]*)", 1))
+    host = F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
     path = F.regexp_replace(F.regexp_extract(u, r"^[^:/?#]+://[^/?#]*([^?#]*)", 1), r"/+$", "")
     query = F.regexp_extract(u, r"\?([^#]*)", 1)
-    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^(utm_[a-z]+|ref)="))), "&")
+    kept = F.array_join(F.array_sort(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike("^utm_[a-z]+="))), "&")
     return F.when(scheme == "", u).otherwise(F.concat(scheme, F.lit("://"), host, path, F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
@@ -50,7 +52,7 @@ def lower_keys(headers: Column) -> Column:
 
 
 def latest_before(records: DataFrame, slices: int | None = None) -> DataFrame:
-    """url, at, found for the times of revisits in records (record_id, url, at, kind): the id of the latest earlier response, or null."""
+    """url, at, found_at, found for the times of revisits in records (record_id, url, at, kind): time and id of the latest earlier response, or null."""
     kind = lambda k: F.max(F.when(F.col("kind") == k, F.col("record_id")))
     times = records.filter("url is not null and at is not null").groupBy("url", "at").agg(kind("response").alias("response"), kind("revisit").alias("revisit"))
     if slices is None:
@@ -64,7 +66,8 @@ def latest_before(records: DataFrame, slices: int | None = None) -> DataFrame:
     ends = times.groupBy("url", "slice").agg(F.max(full).alias("end"))
     before = F.max("end").over(Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
     out = seen.join(ends.withColumn("before", before).drop("end"), ["url", "slice"])
-    return out.select("url", "at", F.coalesce("here", "before")["record_id"].alias("found"))
+    seen = F.coalesce("here", "before")
+    return out.select("url", "at", seen["at"].alias("found_at"), seen["record_id"].alias("found"))
 
 
 def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
@@ -76,9 +79,9 @@ def resolve(records: DataFrame, slices: int | None = None) -> DataFrame:
     found = latest_before(named.select("record_id", "url", "at", "kind"), slices)
     revisits = named.filter("kind = 'revisit'").join(found, ["url", "at"], "left")
     content = F.struct(F.col("headers").alias("old"), F.col("payload").alias("old_payload"))
-    responses = named.filter("kind = 'response' AND record_id IS NOT NULL").groupBy(F.col("record_id").alias("found")).agg(
-        F.max_by(content, F.struct("at", "url", F.xxhash64("payload", F.to_json("headers")))).alias("c")).select("found", "c.*")
-    both = revisits.drop("payload").join(responses, "found", "left")
+    responses = named.filter("kind = 'response' AND record_id IS NOT NULL").groupBy("url", F.col("at").alias("found_at"), F.col("record_id").alias("found")).agg(
+        F.max_by(content, F.xxhash64("payload", F.to_json("headers"))).alias("c")).select("url", "found_at", "found", "c.*")
+    both = revisits.drop("payload").join(responses, ["url", "found_at", "found"], "left")
     tag = lambda c: F.regexp_replace(F.col(c)["etag"], "^W/", "")
     date = lambda c: F.col(c)["last-modified"]
     agree = F.when(tag("headers").isNotNull() & tag("old").isNotNull(), tag("headers") == tag("old")).otherwise(date("headers") == date("old"))
@@ -120,9 +123,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE = r"""
 WITH p AS (SELECT page_id, html, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag, page_id * 60 AS ts, page_id % 8 AS k, trim(url) AS u FROM pages WHERE page_id IS NOT NULL),
 c AS (SELECT *, CASE WHEN regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) = '' THEN u ELSE
-  lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)), ':(80|443)$', '')
+  lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) || '://' || regexp_replace(lower(regexp_extract(u, '^[^:/?#]+://([^/?#]*)', 1)), CASE lower(regexp_extract(u, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) WHEN 'http' THEN ':80$' WHEN 'https' THEN ':443$' ELSE '^$' END, '')
   || regexp_replace(regexp_extract(u, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '')
-  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref)='))), '&'), ''), '') END AS url FROM p),
+  || coalesce('?' || nullif(array_to_string(list_sort(list_filter(string_split(regexp_extract(u, '\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^utm_[a-z]+='))), '&'), ''), '') END AS url FROM p),
 v AS (SELECT page_id, url, ts + CASE WHEN k = 7 THEN -30 ELSE 3600 END AS ts, k, tag, ts AS own,
              CASE WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS bare, CASE WHEN k = 2 THEN 'W/' || tag WHEN k = 0 THEN '"changed"' WHEN k <> 1 THEN tag END AS etag FROM c),
 j AS (SELECT v.*, r.page_id AS rid, r.ts AS rat, r.tag AS rtag, r.html AS rhtml, row_number() OVER (PARTITION BY v.page_id ORDER BY r.ts DESC, r.page_id DESC) AS n
