@@ -149,6 +149,27 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy().reshape(len(column), -1)
 
 
+def best_rows(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, score) of at least the k rows of x with the largest products with each q; ties go to the smaller id.
+
+    A matrix product picks all rows that may be among them, rounding included; scores are then taken row by row, so that
+    equal vectors get equal scores, and order the rest.
+    """
+    s = q @ x.T
+    if len(x) <= k:
+        who, c = np.repeat(np.arange(len(q)), len(x)), np.tile(np.arange(len(x)), len(q))
+        return who, c, (q[who] * x[c]).sum(axis=1)
+    kth = np.partition(s, len(x) - k, axis=1)[:, len(x) - k]
+    slack = 1e-15 * x.shape[1] * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max()
+    who, c = np.nonzero(s >= (kth - slack)[:, None])
+    score = (q[who] * x[c]).sum(axis=1)
+    order = np.lexsort((ids[c], -score, who))
+    who, c, score = who[order], c[order], score[order]
+    first = np.searchsorted(who, np.arange(len(q)))
+    few = np.arange(len(who)) - first[who] < k
+    return who[few], c[few], score[few]
+
+
 def neighbours_of(classes: DataFrame, probes: np.ndarray, sent, k: int) -> list[np.ndarray]:
     """The leaves [neighbour, tree] of the k classes nearest to each probe, its own left out; by brute force."""
     q_sent = classes.sparkSession.sparkContext.broadcast(probes)
@@ -159,12 +180,10 @@ def neighbours_of(classes: DataFrame, probes: np.ndarray, sent, k: int) -> list[
             if not b.num_rows:
                 continue
             x, reps = _matrix(pa.chunked_array([b.column("vector")])), b.column("rep").to_numpy()
-            s = q @ x.T
-            top = np.argpartition(-s, k, axis=1)[:, :k + 1] if len(x) > k + 1 else np.tile(np.arange(len(x)), (len(q), 1))
-            who, c = np.repeat(np.arange(len(q)), top.shape[1]), top.ravel()
+            who, c, score = best_rows(q, x, reps, k + 1)
             other = (q[who] != x[c]).any(axis=1)
-            who, c = who[other], c[other]
-            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(reps[c]), pa.array(s[who, c]), pa.array(list(forest.leaves(x[c])), pa.list_(pa.int64()))], ["probe", "rep", "score", "leaves"])
+            who, c, score = who[other], c[other], score[other]
+            yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(reps[c]), pa.array(score), pa.array(list(forest.leaves(x[c])), pa.list_(pa.int64()))], ["probe", "rep", "score", "leaves"])
 
     found = classes.select("rep", "vector").mapInArrow(best, "probe long, rep long, score double, leaves array<long>")
     rank = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "rep"))
@@ -236,13 +255,10 @@ def nearest(vectors: DataFrame, is_query, *, k: int = NEAREST, opened: int | Non
             j = who[oq[np.searchsorted(lq[oq], cell):np.searchsorted(lq[oq], cell, "right")]]
             for at in range(0, len(j), 256):
                 some = j[at:at + 256]
-                s = q[some] @ x[i].T
-                top = np.argpartition(-s, min(k + 8, len(i) - 1), axis=1)[:, :k + 9] if len(i) > k + 9 else np.tile(np.arange(len(i)), (len(some), 1))
-                r = np.repeat(np.arange(len(some)), top.shape[1])
-                c = i[top.ravel()]
+                r, c, score = best_rows(q[some], x[i], reps[i], k + 1)
                 out_q.append(ids[some][r])
-                out_r.append(reps[c])
-                out_s.append((q[some][r] * x[c]).sum(axis=1))  # row by row, so equal vectors get equal scores
+                out_r.append(reps[i][c])
+                out_s.append(score)
         a, b, s = np.concatenate(out_q), np.concatenate(out_r), np.concatenate(out_s)
         order = np.lexsort((b, -s, a))
         a, b, s = a[order], b[order], s[order]
