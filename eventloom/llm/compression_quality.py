@@ -10,7 +10,8 @@ the share of good labels (0.5 without any). Columns other than doc_id and text a
 contradict each other count as the lower one.
 
 The fit reads a bounded sample: the first SAMPLE labelled rows of each kind in the order of a seeded hash of the id, as
-far as their texts stay within SAMPLE_BYTES together. All other work covers every row and whole texts.
+far as their texts stay within SAMPLE_BYTES together. A labelled text of over TEXT_BYTES is left out of it; a kind with
+longer texts alone is learnt from their beginnings. All other work covers every row and whole texts.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import remainder, table
 
-#: Labelled rows of each kind that the fit may read, and bytes of their texts.
-SAMPLE, SAMPLE_BYTES = 1500, 8 << 20
+#: Labelled rows of each kind that the fit may read, bytes of their texts together, and of one.
+SAMPLE, SAMPLE_BYTES, TEXT_BYTES = 1500, 8 << 20, 1 << 17
 #: Most bytes of a dictionary, and the compression level.
 DICTIONARY_BYTES, LEVEL = 1 << 20, 12
 THRESHOLD = 0.3
@@ -103,6 +104,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, seed: int =
     few = marks.filter("good = 1").orderBy("at").limit(sample).unionByName(marks.filter("good = 0").orderBy("at").limit(sample))
     rows = docs.select("doc_id", "text").filter("doc_id is not null and length(text) > 0")
     rows = rows.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("good").alias("good"), F.first("at").alias("at"))
+    long = F.octet_length("text") > TEXT_BYTES
+    rows = rows.withColumn("none_short", F.min(long.cast("int")).over(Window.partitionBy("good"))).filter(~long | (F.col("none_short") == 1))
+    rows = rows.withColumn("text", F.when(long, F.substring("text", 1, TEXT_BYTES // 4)).otherwise(F.col("text")))  # a character is four bytes at most
     sofar = F.sum(F.octet_length("text")).over(Window.partitionBy("good").orderBy("at", "doc_id"))  # at most 2 * sample rows
     rows = sorted(rows.withColumn("sofar", sofar).filter(F.col("sofar") <= SAMPLE_BYTES).collect(), key=lambda r: (r["at"], r["doc_id"]))
     of = lambda good, part: [r["text"].encode("utf-8", "surrogatepass") for i, r in enumerate(r for r in rows if r["good"] == good) if i % 3 != 2 or not part]
