@@ -70,6 +70,33 @@ def test_compression_accuracy_on_held_out_rows(spark):
     assert (out.predicted == out.quality).mean() > 0.95
 
 
+def test_compression_fit_with_one_very_long_text(spark):
+    docs = [(i, ("good words of the best kind " if i % 2 else "$$$ win cash now $$$ ") * (3 + i % 7)) for i in range(200)]
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    marks = [(i, i % 2, 0) for i in range(200)]
+    plain = compression_quality.fit(of(docs, "doc_id long, text string"), of(marks, "doc_id long, quality int, toxic int"))
+    for k in (1000, 1001, 1002, 1003):  # some come first in the order of the hash
+        long = of(docs + [(k, "words $$$ " * 900_000)], "doc_id long, text string")
+        got = compression_quality.fit(long, of(marks + [(k, k % 2, 0)], "doc_id long, quality int, toxic int"))
+        assert (got.good, got.bad) == (plain.good, plain.bad) and np.allclose(got.weights[1:], plain.weights[1:])
+    only = compression_quality.fit(of([(i, "ab"[i % 2] * 200_000) for i in range(40)], "doc_id long, text string"), of(marks[:40], "doc_id long, quality int, toxic int"))
+    assert only.good and only.bad
+
+
+def test_nearest_of_equal_products(spark):
+    """Very many vectors of one product with the query: the smallest ids come first, however leaves are cut."""
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((1500, 8))
+    x[:, 0] = 1
+    rows = [(0, [1.0] + [0.0] * 7)] + [(i + 1, v) for i, v in enumerate(x.tolist())]
+    table = spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, leaf string")
+    for leaf, opened in ((64, 10_000), (512, None)):
+        out = projection_forest.nearest(table, lambda i: i == 0, leaf=leaf, opened=opened).orderBy("rank").collect()
+        if opened:
+            assert [r["vec_id"] for r in out] == list(range(1, 21))
+        assert [r["vec_id"] for r in out] == sorted(r["vec_id"] for r in out) and {r["score"] for r in out} == {1.0}
+
+
 def brute_counts(t):
     t = t or ""
     w = re.findall(WORD, t)
@@ -342,6 +369,21 @@ def test_revisits(spark):
     assert revisits.resolve(spark.createDataFrame([], head)).count() == 0
 
 
+def test_revisits_of_ids_that_repeat_across_urls(spark):
+    head = "record_id long, url string, at long, kind string, headers map<string,string>, payload string"
+    rows = [(1, "http://a/x", 10, "response", {"etag": "1"}, "a"), (1, "http://b/y", 20, "response", {"etag": "1"}, "b"), (1, "http://a/x", 30, "response", {"etag": "1"}, "later"),
+            (2, "http://a/x", 15, "revisit", {"etag": "1"}, None), (3, "http://b/y", 25, "revisit", {"etag": "1"}, None), (4, "http://b/y", 15, "revisit", {"etag": "1"}, None)]
+    out = {r["record_id"]: (r["status"], r["payload"]) for r in revisits.resolve(spark.createDataFrame(rows, head)).collect()}
+    assert out == {2: ("resolved", "a"), 3: ("resolved", "b"), 4: ("unmatched", None)}
+
+
+def test_canonical_urls(spark):
+    urls = {"http://H:80/a/?b=2&a=1&utm_source=z#f": "http://h/a?a=1&b=2", "http://h:443/a": "http://h:443/a", "https://h:443/a": "https://h/a", "https://h:80/a": "https://h:80/a",
+            "http://h/a?ref=v2": "http://h/a?ref=v2", " mailto:x ": "mailto:x", None: None}
+    rows = spark.createDataFrame([(u,) for u in urls], "u string").select("u", revisits.canonical_url(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in rows} == urls
+
+
 @pytest.mark.parametrize("slices", [None, 7])
 def test_revisits_of_ties_and_repeats(spark, slices):
     head = "record_id long, url string, at long, kind string, headers map<string,string>, payload string, found long"
