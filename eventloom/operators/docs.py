@@ -107,7 +107,7 @@ def resolved(found: DataFrame, files: DataFrame, heads: DataFrame) -> DataFrame:
 
     A target is tried as it is, as Markdown, as a folder's readme and, if it is a bare name, below docs folders.
     """
-    own = F.when(F.col("target") == "", F.col("path")).when(F.col("target").startswith("/"), F.substring("target", 2, 9999)).otherwise(normal_path(F.concat_ws("/", folder(F.col("path")), "target")))
+    own = F.when(F.col("target") == "", F.col("path")).when(F.col("target").startswith("/"), F.substring("target", F.lit(2), F.length("target"))).otherwise(normal_path(F.concat_ws("/", folder(F.col("path")), "target")))
     bare = ~F.col("target").contains("/") & ~F.col("target").rlike(r"(?i)\.[a-z0-9]+$") & (F.col("target") != "")
     plain = ~F.col("to").rlike(r"(?i)\.[a-z0-9]+$")
     also = F.when(plain, F.array(F.concat("to", F.lit(".md")), F.concat("to", F.lit("/README.md")))).otherwise(F.array().cast("array<string>"))
@@ -158,7 +158,7 @@ def heading_similarity(a: Column, b: Column) -> Column:
 def repairs(broken: DataFrame, files: DataFrame) -> DataFrame:
     """path, line, target, file, score, ambiguous: the best file for each broken link by equal path, case, name and stem (SEA19).
 
-    Names that more than 20 files share say too little and give one ambiguous candidate, the least path.
+    All files of a key have its score, so only the two least paths of a key can be a link's best or second candidate.
     """
     file, _ = split_target(F.col("target"))
     asks = broken.filter("reason = 'missing_file'").select("path", "line", "target", F.lower(normal_path(file)).alias("low"))
@@ -167,8 +167,9 @@ def repairs(broken: DataFrame, files: DataFrame) -> DataFrame:
     key = lambda kind, c: F.struct(F.lit(kind).alias("by"), c.alias("key"))
     keys = lambda c: F.array(key("case", c), key("name", name(c)), key("stem", stem(c)))
     index = files.select(F.col("path").alias("file"), F.explode(keys(F.lower("path"))).alias("k")).select("file", "k.*").filter("key <> ''")
-    count = index.groupBy("by", "key").agg(F.count("*").alias("m"), F.min("file").alias("least"))
-    index = index.join(count, ["by", "key"]).filter("m <= 20 OR file = least")
+    count = index.groupBy("by", "key").agg(F.count("*").alias("m"))
+    least = F.row_number().over(Window.partitionBy("by", "key").orderBy("file"))
+    index = index.withColumn("k", least).filter("k <= 2").drop("k").join(count, ["by", "key"])
     found = asks.withColumn("k", F.explode(keys(F.col("low")))).select("path", "line", "target", "k.*").join(index, ["by", "key"])
     score = F.when(F.col("by") == "case", 0.92).when((F.col("by") == "name") & (F.col("m") == 1), 0.8).when(F.col("by") == "name", 0.45).when(F.col("m") == 1, 0.85).otherwise(0.45)
     one = found.groupBy("path", "line", "target", "file").agg(F.max(score).alias("score"))

@@ -293,25 +293,41 @@ def cycles(edges: DataFrame, longest: int = 8) -> DataFrame:
     return found
 
 
-def levels(edges: DataFrame, most: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """id, level: the longest way to each node from one without predecessors; null for nodes in or behind a cycle (TK9).
 
-    Nodes without open predecessors leave level by level; what stays when none leaves is cyclic.
+    Nodes without open predecessors leave level by level, until none leaves; what stays then is cyclic. With keys (columns of
+    edges) each combination of them is a graph of its own, and all graphs are peeled at once: steps are as many as the longest
+    chain of any graph has.
     """
-    open_ = kept(edges.select("src", "dst").distinct(), "levels")
-    rest = kept(open_.select(F.col("src").alias("id")).union(open_.select("dst")).distinct(), "levels")
-    out = None
-    for level in range(most):
-        ready = kept(rest.join(open_.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level)), "levels")
+    key = list(keys)
+    open_ = kept(edges.select(*key, "src", "dst").distinct(), "levels")
+    rest = kept(open_.select(*key, F.col("src").alias("id")).union(open_.select(*key, "dst")).distinct(), "levels")
+    out, level = None, 0
+    while True:
+        ready = kept(rest.join(open_.select(*key, F.col("dst").alias("id")), [*key, "id"], "left_anti").withColumn("level", F.lit(level)), "levels")
         if ready.isEmpty():
             break
         out = ready if out is None else out.unionByName(ready)
-        rest = kept(rest.join(ready, "id", "left_anti"), "levels")
-        open_ = kept(open_.join(ready.select(F.col("id").alias("src")), "src", "left_anti"), "levels")
+        rest = kept(rest.join(ready, [*key, "id"], "left_anti"), "levels")
+        open_ = kept(open_.join(ready.select(*key, F.col("id").alias("src")), [*key, "src"], "left_anti"), "levels")
+        level += 1
     stuck = rest.withColumn("level", F.lit(None).cast("int"))
     return stuck if out is None else out.unionByName(stuck)
 
 
+def reachable(edges: DataFrame, starts: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """The ids that directed edges lead to from the starts (id), themselves included; of each graph where keys name its columns."""
+    key = list(keys)
+    way = kept(edges.select(*key, F.col("src").alias("id"), "dst").distinct(), "reachable_edges")
+    reached = frontier = kept(starts.select(*key, "id").distinct(), "reachable")
+    while not frontier.isEmpty():
+        step = way.join(frontier, [*key, "id"]).select(*key, F.col("dst").alias("id")).distinct()
+        frontier = kept(step.join(reached, [*key, "id"], "left_anti"), "reachable")
+        reached = kept(reached.unionByName(frontier), "reachable")
+    return reached
+
+
 def impact(nodes: DataFrame, edges: DataFrame, selected: DataFrame) -> DataFrame:
     """(id, role): what selected nodes import, what imports them, and what else is linked (GR15)."""
     pick = lambda end, other, role: edges.join(selected.select(F.col("id").alias(end)), end, "left_semi").select(F.col(other).alias("id"), role.alias("role"))

@@ -11,6 +11,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators.paths import levels, reachable
+from eventloom.session import kept
+
 STATES = {"node.executing": "executing", "node.completed": "completed", "node.failed": "failed", "node.superseded": "superseded"}
 GRAPH_STATES = {"run.started": "running", "run.completed": "completed", "run.failed": "blocked", "run.stopped": "stopped"}
 #: Severities of alerts, and their order.
@@ -305,10 +308,30 @@ def fallback_outputs(nodes: DataFrame, k: int = 3) -> DataFrame:
 
 
 def plan_faults(nodes: DataFrame, most: int = 12) -> DataFrame:
-    """(graph_id, fault): plans that are too large, have two nodes of one title, or no node without needs (GR19)."""
-    g = nodes.groupBy("graph_id").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"), F.max((F.col("needs") == "").cast("int")).alias("roots"))
-    faults = F.array_compact(F.array(F.when(F.col("n") > most, "too_many_nodes"), F.when(F.col("titles") < F.col("n"), "titles_repeat"), F.when(F.col("roots") == 0, "no_root")))
-    return g.select("graph_id", F.explode(faults).alias("fault"))
+    """(graph_id, fault) of all plans at once (GR19): too many nodes, titles that repeat, no node without needs, nodes that can't be
+    put in order (in or behind a cycle, or a need that isn't there), nodes that no such start leads to; and, where nodes have
+    the columns intent, artifact and criteria (their number), intents of under eight characters and contracts without either.
+    """
+    own = nodes.select("graph_id", "node_id")
+    needs = nodes.select("graph_id", "node_id", F.explode(F.array_distinct(F.split("needs", ","))).alias("need")).filter("need <> ''")
+    there = own.select("graph_id", F.col("node_id").alias("need"), F.lit(True).alias("there"))
+    needs = kept(needs.join(there, ["graph_id", "need"], "left"), "plan_needs")
+    # a need that isn't there never ends: its node waits for itself
+    order = levels(needs.select("graph_id", F.when(F.col("there"), F.col("need")).otherwise(F.col("node_id")).alias("src"), F.col("node_id").alias("dst")), ("graph_id",))
+    starts = nodes.filter("needs = ''").select("graph_id", F.col("node_id").alias("id"))
+    found = reachable(needs.filter("there").select("graph_id", F.col("need").alias("src"), F.col("node_id").alias("dst")), starts, ("graph_id",))
+    lost = own.join(found.withColumnRenamed("id", "node_id"), ["graph_id", "node_id"], "left_anti")
+    n = lambda x: F.count(F.when(x, 1))
+    text = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    vague = n(F.length(text("intent")) < 8) if "intent" in nodes.columns else F.lit(0)
+    unsigned = n((text("artifact") == "") | (F.coalesce("criteria", F.lit(0)) == 0)) if {"artifact", "criteria"} <= {*nodes.columns} else F.lit(0)
+    g = nodes.groupBy("graph_id").agg(F.count("*").alias("n"), F.countDistinct("title").alias("titles"), n(F.col("needs") == "").alias("roots"), vague.alias("vague"), unsigned.alias("unsigned"))
+    faults = F.array_compact(F.array(
+        F.when(F.col("n") > most, "too_many_nodes"), F.when(F.col("titles") < F.col("n"), "titles_repeat"), F.when(F.col("vague") > 0, "vague_intent"),
+        F.when(F.col("unsigned") > 0, "invalid_contract"), F.when(F.col("roots") == 0, "no_root")))
+    out = g.select("graph_id", F.explode(faults).alias("fault"))
+    some = lambda rows, name: rows.select("graph_id").distinct().select("graph_id", F.lit(name).alias("fault"))
+    return out.unionByName(some(order.filter("level IS NULL"), "cyclic")).unionByName(some(lost, "unreachable"))
 
 
 def similar_runs(target: DataFrame, others: DataFrame, k: int = 5) -> DataFrame:

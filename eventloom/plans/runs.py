@@ -232,11 +232,37 @@ def fallback_outputs(spark, d):
     return r.fallback_outputs(folded(spark, d)[0])
 
 
-@query(f"{R}, g AS (SELECT graph_id, count(*) AS n, count(DISTINCT title) AS t, max((needs = '')::INT) AS roots FROM rn GROUP BY graph_id) SELECT graph_id, 'too_many_nodes' AS fault FROM g WHERE n > 12 UNION ALL SELECT graph_id, 'titles_repeat' FROM g WHERE t < n UNION ALL SELECT graph_id, 'no_root' FROM g WHERE roots = 0")
+def shapes_sql(rounds: int) -> str:
+    """Faults of the plans in nd (g, n, title, needs list), whose chains are shorter than rounds, step by step."""
+    ctes = ["ne AS (SELECT DISTINCT g, n, unnest(needs) AS need FROM nd)", "o0 AS (SELECT g, n FROM nd WHERE len(needs) = 0)", "r0 AS (SELECT * FROM o0)"]
+    for k in range(1, rounds + 1):
+        ctes.append(f"o{k} AS MATERIALIZED (SELECT g, n FROM nd WHERE NOT EXISTS (SELECT 1 FROM ne LEFT JOIN o{k - 1} o ON o.g = ne.g AND o.n = need WHERE ne.g = nd.g AND ne.n = nd.n AND o.n IS NULL))")
+        ctes.append(f"r{k} AS MATERIALIZED (SELECT * FROM r{k - 1} UNION SELECT ne.g, ne.n FROM ne JOIN r{k - 1} r ON r.g = ne.g AND r.n = need)")
+    return ", ".join(ctes) + f""", fa AS (SELECT g AS graph_id, 'cyclic' AS fault FROM (SELECT g, n FROM nd EXCEPT SELECT * FROM o{rounds}) UNION SELECT g, 'unreachable' FROM (SELECT g, n FROM nd EXCEPT SELECT * FROM r{rounds})
+ UNION SELECT g, 'titles_repeat' FROM nd GROUP BY g HAVING count(DISTINCT title) < count(*) UNION SELECT g, 'no_root' FROM nd GROUP BY g HAVING count(*) FILTER (len(needs) = 0) = 0)"""
+
+
+NEEDS = "list_filter(string_split(needs, ','), lambda x: x <> '')"
+
+
+@query(f"{R}, nd AS (SELECT graph_id AS g, node_id AS n, title, {NEEDS} AS needs FROM rn), {shapes_sql(3)} SELECT * FROM fa UNION ALL SELECT g, 'too_many_nodes' FROM nd GROUP BY g HAVING count(*) > 12")
 def plan_faults(spark, d):
     return r.plan_faults(folded(spark, d)[0])
 
 
+#: Plans of the lines of each order: chains, with cycles among the first two and the fourth and fifth, and needs that aren't there.
+SHAPES = """SELECT 'o' || CAST(l_orderkey AS VARCHAR(19)) AS graph_id, 'n' || CAST(l_linenumber AS VARCHAR(9)) AS node_id, 'Step ' || CAST(CASE WHEN l_orderkey % 13 = 0 THEN 0 ELSE l_linenumber END AS VARCHAR(9)) AS title,
+CASE WHEN (l_orderkey + l_linenumber) % 17 = 0 THEN '  short ' ELSE 'Deliver part ' || CAST(min(l_partkey) AS VARCHAR(19)) END AS intent, CASE WHEN min(l_partkey) % 29 = 0 THEN CAST(NULL AS VARCHAR(9)) ELSE 'parcel' END AS artifact, CASE WHEN min(l_suppkey) % 31 = 0 THEN 0 ELSE 2 END AS criteria,
+CASE WHEN l_linenumber = 1 AND l_orderkey % 5 = 0 THEN 'n2' WHEN l_linenumber = 1 THEN '' WHEN l_linenumber IN (4, 5) AND l_orderkey % 7 = 0 THEN 'n' || CAST(9 - l_linenumber AS VARCHAR(9)) ELSE 'n' || CAST(l_linenumber - 1 AS VARCHAR(9)) || CASE WHEN l_linenumber % 3 = 0 THEN ',n1' ELSE '' END END AS needs
+FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+
+
+@query(f"""WITH sh AS ({w.bound(SHAPES)}), nd AS (SELECT graph_id AS g, node_id AS n, title, {NEEDS} AS needs FROM sh), {shapes_sql(8)} SELECT * FROM fa UNION ALL SELECT g, 'too_many_nodes' FROM nd GROUP BY g HAVING count(*) > 6
+UNION ALL SELECT graph_id, 'vague_intent' FROM sh GROUP BY ALL HAVING count(*) FILTER (length(trim(intent)) < 8) > 0 UNION ALL SELECT graph_id, 'invalid_contract' FROM sh GROUP BY ALL HAVING count(*) FILTER (artifact IS NULL OR criteria = 0) > 0""")
+def plan_shapes(spark, d):
+    return r.plan_faults(w.of(spark, d, SHAPES), 6)
+
+
 WORDS = "list_distinct(regexp_extract_all(lower(coalesce(t.text, '')), '[a-z0-9]{2,}'))"
 
 
