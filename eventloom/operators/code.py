@@ -331,16 +331,32 @@ def _total(parts) -> Column:
     return reduce(lambda a, b: a + b, parts, F.lit(0))
 
 
-def overlap(asked: list[str]) -> Column:
+def token_array(query: Column) -> Column:
+    """The words of two or more letters or digits of a query column (SEA1)."""
+    return F.filter(F.split(_normal(query), " "), lambda w: F.length(w) > 1)
+
+
+def haystack() -> Column:
+    """A node's fields as words, in which a query's words are looked up."""
+    return _normal(F.concat_ws(" ", "id", "kind", "label", F.coalesce("path", F.lit("")), F.coalesce("slug", F.lit("")), F.coalesce("parent", F.lit("")), F.coalesce("source_file", F.lit(""))))
+
+
+def _held(asked: Column, hay: Column, times: int = 1) -> Column:
+    """The lengths of the words that hay holds, so many times; hay is made once, not for every word."""
+    start = F.struct(F.lit(0).alias("n"), hay.alias("hay"))
+    add = lambda at, w: F.struct((at["n"] + F.when(at["hay"].contains(w), F.length(w) * times).otherwise(0)).alias("n"), at["hay"].alias("hay"))
+    return F.aggregate(asked, start, add, lambda at: at["n"])
+
+
+def overlap(asked: Column) -> Column:
     """The lengths of all words that a node's fields hold as substrings, repeated words counted each time (SEA2)."""
-    hay = _normal(F.concat_ws(" ", "id", "kind", "label", F.coalesce("path", F.lit("")), F.coalesce("slug", F.lit("")), F.coalesce("parent", F.lit("")), F.coalesce("source_file", F.lit(""))))
-    return _total(F.when(hay.contains(w), len(w)).otherwise(0) for w in asked)
+    return _held(asked, haystack())
 
 
-def section_score(asked: list[str]) -> Column:
+def section_score(asked: Column) -> Column:
     """Three times the lengths of the words that a documentation section holds (SEA12)."""
     hay = F.lower(F.concat_ws(" ", "label", F.coalesce("path", F.lit("")), F.coalesce("slug", F.lit("")), F.coalesce("parent", F.lit(""))))
-    return F.when(F.col("kind") == "doc_section", _total(F.when(hay.contains(w), 3 * len(w)).otherwise(0) for w in asked)).otherwise(0)
+    return F.when(F.col("kind") == "doc_section", _held(asked, hay, 3)).otherwise(0)
 
 
 def query_shape(query: Column) -> Column:
@@ -357,16 +373,21 @@ def effective_mode(query: Column, requested: Column) -> Column:
 
 def intent_ranked(nodes: DataFrame, query: str, requested: str = "balanced") -> DataFrame:
     """Nodes that hold words of the query, with score, penalties and surface, the order's first key (SEA9, SEA10)."""
-    asked, q = tokens(query), F.lit(query)
-    kind, label = F.col("kind"), F.lower(F.concat_ws(" ", "label", F.coalesce("path", F.lit(""))))
-    code, doc = kind.isin(*CODE_KINDS), kind.isin(*DOC_KINDS)
-    rows = nodes.withColumn("mode", effective_mode(q, F.lit(requested))).withColumn("shape", query_shape(q))
+    return ranked_for(nodes.withColumns({"query": F.lit(query), "requested": F.lit(requested)})).drop("query", "requested")
+
+
+def ranked_for(rows: DataFrame) -> DataFrame:
+    """The same for rows of nodes that each have a query and a requested mode of their own."""
+    columns = rows.columns
+    q, kind, label = F.col("query"), F.col("kind"), F.lower(F.concat_ws(" ", "label", F.coalesce("path", F.lit(""))))
+    code, doc, asked = kind.isin(*CODE_KINDS), kind.isin(*DOC_KINDS), F.col("asked_")
+    rows = rows.withColumns({"asked_": token_array(q), "mode": effective_mode(q, F.col("requested")), "shape": query_shape(q)})
     raw = F.when(kind == "doc_section", F.greatest(overlap(asked), section_score(asked))).otherwise(overlap(asked))
     rows = rows.withColumn("raw", raw).filter("raw > 0")
     boosted = doc & ((F.col("mode") == "docs") | ((F.col("mode") == "balanced") & q.rlike(DOCS_ASKED)))
     base = F.col("raw") + F.when(boosted, 40).otherwise(0)
     docs_home = (kind == "community") & F.col("label").rlike(r"(?i)\bdocs?\b")
-    only_words = reduce(lambda a, b: a & b, [label.contains(w) for w in asked], F.lit(bool(asked))) & ~F.col("label").rlike("(?i)(class|interface|service|controller|section|guide|architecture)")
+    only_words = (F.size(asked) > 0) & F.forall(asked, lambda w: label.contains(w)) & ~F.col("label").rlike("(?i)(class|interface|service|controller|section|guide|architecture)")
     in_code = F.when(code, 20).otherwise(0) - F.when(doc, 30).otherwise(0) - F.when(docs_home, 15).otherwise(0)
     in_docs = F.when(doc, 25).otherwise(0) + F.when(code, 5).otherwise(0)
     docs_shape, code_shape = F.col("shape") == "docs_oriented", F.col("shape") == "code_oriented"
@@ -380,24 +401,51 @@ def intent_ranked(nodes: DataFrame, query: str, requested: str = "balanced") ->
     surface = (
         F.when(mode == "code", F.when(code, 0).when(doc, 1).otherwise(2)).when(mode == "docs", F.when(doc, 0).when(code, 1).otherwise(2)).otherwise(0))
     score = F.greatest(F.lit(1), base + F.when(mode == "code", in_code).when(mode == "docs", in_docs).otherwise(mixed))
-    return rows.select(*nodes.columns, "mode", "shape", surface.alias("surface"), score.cast("long").alias("score"), penalties.alias("penalties"))
+    return rows.select(*columns, "mode", "shape", surface.alias("surface"), score.cast("long").alias("score"), penalties.alias("penalties"))
+
+
+def holding(nodes: DataFrame, queries: DataFrame) -> DataFrame:
+    """Nodes with each query (query_id, query, ...) of which they hold a word: one pass over the nodes for all queries.
+
+    A word's first three letters (two, if it has no more) are its key in an index of the nodes' letters; only letters that
+    some query asks for leave the scan, and a key alone is no match.
+    """
+    words_ = queries.select("query_id", F.explode(F.array_distinct(token_array(F.col("query")))).alias("word")).withColumn("gram", F.substring("word", 1, 3))
+    hay = nodes.select("id", haystack().alias("hay"))
+    at = F.sequence(F.lit(1), F.greatest(F.length("hay") - 1, F.lit(1)))
+    grams = F.array_distinct(F.concat(F.transform(at, lambda i: F.substring("hay", i, F.lit(3))), F.transform(at, lambda i: F.substring("hay", i, F.lit(2)))))
+    pairs = hay.select("id", "hay", F.explode(grams).alias("gram")).join(words_, "gram").filter(F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
+    return nodes.join(pairs, "id").join(queries, "query_id")
 
 
 def seeds(nodes: DataFrame, query: str, k: int = 5, requested: str = "balanced") -> DataFrame:
     """The k best nodes with their place; documentation is mixed in where it is asked for or symbols are few (SEA6)."""
-    order = Window.orderBy("surface", F.desc("score"), "label", "id")
-    ranked = intent_ranked(nodes, query, requested)
+    one = nodes.withColumns({"query_id": F.lit(0), "query": F.lit(query), "requested": F.lit(requested)})
+    return _seeds(one, nodes, k).drop("query_id", "query", "requested")
+
+
+def seeds_of(nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The seeds of every query (query_id, query, requested) at once (SEA6, SEA21)."""
+    return _seeds(holding(nodes, queries), nodes, k)
+
+
+def _seeds(rows: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    ranked = ranked_for(rows)
+    few = nodes.filter("kind = 'symbol'").limit(4).count()  # four rows at most
+    order = ("surface", F.desc("score"), "label", "id")
+    best = Window.partitionBy("query_id").orderBy(*order)
     doc = F.col("kind").isin(*DOC_KINDS)
-    # the best k, and of documentation the best few: bounded lists, ordered by one task each
-    best = ranked.orderBy("surface", F.desc("score"), "label", "id").limit(k).withColumn("place", F.row_number().over(order)).withColumn("turn", F.lit(0))
-    docs = ranked.filter(doc).orderBy("surface", F.desc("score"), "label", "id").limit(max(2, k // 2)).withColumn("place", F.row_number().over(order)).withColumn("turn", F.lit(1))
-    facts = best.agg(F.max((F.col("kind") == "symbol").cast("int")).alias("symbol_seeds"), F.first("mode").alias("mode_"))
-    few = nodes.filter("kind = 'symbol'").limit(4).agg(F.count("*").alias("symbols"))
-    sparse = (F.col("symbols") <= 3) | (F.col("symbol_seeds") == 0)
-    plain = F.col("mode_").isin("code", "balanced") & ~sparse & ~F.lit(query).rlike(DOCS_ASKED)
-    both = best.unionByName(docs).crossJoin(facts).crossJoin(few).filter((F.col("turn") == 0) | ~plain)  # single rows
-    first = both.withColumn("again", F.row_number().over(Window.partitionBy("id").orderBy("turn"))).filter("again = 1")
-    return first.withColumn("place", F.row_number().over(Window.orderBy("turn", "place"))).filter(F.col("place") <= k).select(*ranked.columns, "place")
+    # a query's best k, and of documentation its best few; both are cut before the shuffle
+    first = ranked.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k).withColumn("turn", F.lit(0))
+    docs = ranked.filter(doc).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= max(2, k // 2)).withColumn("turn", F.lit(1))
+    mine = Window.partitionBy("query_id")
+    rows = first.unionByName(docs).withColumns({
+        "symbols_": F.max(F.when(F.col("turn") == 0, (F.col("kind") == "symbol").cast("int"))).over(mine), "mode_": F.max("mode").over(mine)})
+    sparse = F.lit(few <= 3) | (F.col("symbols_") == 0)
+    plain = F.col("mode_").isin("code", "balanced") & ~sparse & ~F.col("query").rlike(DOCS_ASKED)
+    rows = rows.filter((F.col("turn") == 0) | ~plain)
+    rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("query_id", "id").orderBy("turn"))).filter("again = 1")
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("turn", "place"))).filter(F.col("place") <= k).select(*ranked.columns, "place")
 
 
 def intent_summary(found: DataFrame, query: str, requested: str = "balanced") -> DataFrame:
@@ -426,22 +474,37 @@ def looks_like_file(query: str) -> bool:
     return len(ending) >= 2 and ending in FILE_ENDINGS
 
 
+def is_file_query(said: Column) -> Column:
+    """The same for a column of trimmed lower-case queries with forward slashes."""
+    ending = F.substring_index(F.regexp_extract(said, "([^/]+)/*$", 1), ".", -1)
+    return (F.length(ending) >= 2) & ending.isin(*FILE_ENDINGS)
+
+
 def resolution(nodes: DataFrame, query: str) -> DataFrame:
     """Nodes with the score and the reason by which a query names them; those above zero are candidates (SEA3)."""
-    asked, said, text = tokens(query), query.strip().replace("\\", "/").lower(), words(query).strip()
-    text = " ".join(text.split())
-    file_query, simple = looks_like_file(query), bool(query.strip()) and query.strip().replace("_", "a").isalnum() and query.strip().isascii() and not query.strip()[0].isdigit()
-    stem = tokens(said.split("/")[-1].rsplit(".", 1)[0]) if file_query else []
+    return resolved_for(nodes.withColumn("query", F.lit(query))).drop("query")
+
+
+def resolved_for(rows: DataFrame) -> DataFrame:
+    """The same for rows of nodes that each have a query of their own."""
+    columns = rows.columns
+    trimmed = F.regexp_replace("query", r"^\s+|\s+$", "")
+    rows = rows.withColumn("said_q", F.lower(F.regexp_replace(trimmed, r"\\", "/")))
+    file_of = is_file_query(F.col("said_q"))
+    rows = rows.withColumns({
+        "asked_": token_array(F.col("query")), "text_": _normal(F.col("query")), "file_": file_of, "simple_": trimmed.rlike("^[A-Za-z_][A-Za-z0-9_]*$"),
+        "stem_": F.when(file_of, token_array(F.regexp_replace(F.regexp_extract("said_q", "([^/]*)$", 1), r"\.[^.]*$", ""))).otherwise(F.array().cast("array<string>"))})
+    asked, said, text, file_query, simple, stem = (F.col(x) for x in ("asked_", "said_q", "text_", "file_", "simple_", "stem_"))
     kind, label, low = F.col("kind"), F.col("label"), F.lower("label")
     path = F.lower(F.regexp_replace(F.coalesce("path", F.lit("")), r"\\", "/"))
     base = F.lower(F.regexp_extract(F.regexp_replace(shown(), r"\\", "/"), "([^/]*)/*$", 1))
     no = F.lit(False)
-    score = overlap(stem if file_query else asked)
+    score = overlap(F.when(file_query, stem).otherwise(asked))
     reason = F.when(score > 0, "token overlap").otherwise("no match")
     named = (base == said) & (base != "")
-    suffix, equal, prefix = ~named & path.endswith(f"/{said}"), low == said, (low != said) & low.startswith(f"{said} ")
+    suffix, equal, prefix = ~named & path.endswith(F.concat(F.lit("/"), said)), low == said, (low != said) & low.startswith(F.concat(said, F.lit(" ")))
     hit = named | suffix | equal | prefix
-    by_stem = reduce(lambda a, b: a & b, [base.contains(w) | path.contains(w) for w in stem], F.lit(bool(stem)))
+    by_stem = (F.size(stem) > 0) & F.forall(stem, lambda w: base.contains(w) | path.contains(w))
     aligned = hit | (path == said) | by_stem
     head = F.trim(F.regexp_extract(label, r"^([^(]*)", 1))
     name, owner = _normal(F.regexp_extract(head, r"([^.]*)$", 1)), _normal(F.trim(F.regexp_extract(label, r"^([^.]*)", 1)))
@@ -452,42 +515,34 @@ def resolution(nodes: DataFrame, query: str) -> DataFrame:
     root = (kind == "workspace") | ((kind == "project") & ((label == "workspace-root") | F.col("path").eqNullSafe(".")))
     steps: list[Column] = []
 
-    def step(on: Column, add: int = 0, why: str | None = None, *, most: int | None = None, only: str | None = None) -> None:
+    def step(on: Column, add: int | Column = 0, why: str | None = None, *, most: int | None = None, only: str | None = None) -> None:
         """Where ``on`` holds: adds, cuts the score at ``most``, and gives the reason (only to scores that are positive, or not)."""
         steps.append(F.struct(
-            F.coalesce(on, no).alias("on"), F.lit(add).alias("add"), F.lit(why).cast("string").alias("why"), F.lit(most).cast("int").alias("most"), F.lit(only).cast("string").alias("only")))
+            F.coalesce(on, no).alias("on"), (add if isinstance(add, Column) else F.lit(add)).cast("int").alias("add"), F.lit(why).cast("string").alias("why"), F.lit(most).cast("int").alias("most"), F.lit(only).cast("string").alias("only")))
 
     step(named, 2000, "path basename")
     step(suffix, 1500, "path suffix")
     step(equal, 1200, "exact label")
     step(prefix, 1000, "label prefix")
-    if file_query:
-        step(~aligned, -1_000_000, "no match", most=0)
-        step(file & aligned & ~hit, 0, "filename token", only="positive")
+    step(file_query & ~aligned, -1_000_000, "no match", most=0)
+    step(file_query & file & aligned & ~hit, 0, "filename token", only="positive")
     step(space, -2500)
-    if simple:
-        step(space & (_normal(head) != text), 0, "namespace penalty", most=0)
+    step(simple & space & (_normal(head) != text), 0, "namespace penalty", most=0)
     step(cls & (name == text), 3200, "class name exact")
-    step(cls & (name != text) & _normal(label).startswith(f"{text} "), 900, "class symbol")
+    step(cls & (name != text) & _normal(label).startswith(F.concat(text, F.lit(" "))), 900, "class symbol")
     step(face & (name == text), 1200, "interface name")
-    if simple:
-        step(face, -1500)
-        step(face, 0, "interface penalty", only="rest")
-        step(symbol & low.rlike(r"\((field|property)\)") & (owner == text), -2800, "field penalty")
-    if file_query:
-        step(call, -1800)
-        step(call, 0, "inner callable", only="positive")
-    if not set("._") & set(query):
-        step(symbol & low.rlike(r"\((field|method|property)\)|\.|_"), -250)
-    if file_query:
-        step(file & aligned, 4500, "code file path")
-    if simple:
-        step(file & (file_stem != text), -400)
-    for w in asked:
-        step((kind == "doc_section") & section.contains(w), 4 * len(w), "doc section")
+    step(simple & face, -1500)
+    step(simple & face, 0, "interface penalty", only="rest")
+    step(simple & symbol & low.rlike(r"\((field|property)\)") & (owner == text), -2800, "field penalty")
+    step(file_query & call, -1800)
+    step(file_query & call, 0, "inner callable", only="positive")
+    step(~F.col("query").rlike("[._]") & symbol & low.rlike(r"\((field|method|property)\)|\.|_"), -250)
+    step(file_query & file & aligned, 4500, "code file path")
+    step(simple & file & (file_stem != text), -400)
+    in_section = _held(asked, section, 4)
+    step((kind == "doc_section") & (in_section > 0), in_section, "doc section")
     step((kind == "doc_section") & path.contains(said), 300)
-    if not file_query:
-        step((kind == "doc_file") & reduce(lambda a, b: a | b, [file_stem.contains(w) for w in asked], no), 250, "doc file")
+    step(~file_query & (kind == "doc_file") & F.exists(asked, lambda w: file_stem.contains(w)), 250, "doc file")
     step(root, -500)
 
     def take(at: Column, x: Column) -> Column:
@@ -499,12 +554,12 @@ def resolution(nodes: DataFrame, query: str) -> DataFrame:
 
     # one fold over the steps, so that the expression grows with their number only
     start = F.struct(score.cast("int").alias("score"), reason.alias("reason"))
-    rows = nodes.withColumn("said_", F.aggregate(F.array(*steps), start, take))
+    rows = rows.withColumn("said_", F.aggregate(F.array(*steps), start, take))
     # an exact id or path counts for itself
-    own_id, own_path = F.lower("id") == query.strip().lower(), path == said
+    own_id, own_path = F.lower("id") == F.lower(trimmed), path == said
     exact = F.when(own_id, 10_000).when(own_path, 9_000)
     why = F.when(own_id, "exact node id").when(own_path, "exact path")
-    return rows.select(*nodes.columns, F.coalesce(exact, F.col("said_.score")).cast("long").alias("score"), F.coalesce(why, F.col("said_.reason")).alias("reason"))
+    return rows.select(*columns, F.coalesce(exact, F.col("said_.score")).cast("long").alias("score"), F.coalesce(why, F.col("said_.reason")).alias("reason"))
 
 
 def candidates(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:
@@ -512,6 +567,17 @@ def candidates(nodes: DataFrame, query: str, k: int = 5) -> DataFrame:
     return resolution(nodes, query).filter("score > 0").orderBy(F.desc("score"), "label", "id").limit(k)
 
 
+def candidates_of(nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """The k nodes that each query (query_id, query) names best, with their place (WI7, SEA5, SEA21).
+
+    A node can only be named by a query of which it holds a word; a query without words meets every node.
+    """
+    wordless = queries.filter(F.size(token_array(F.col("query"))) == 0)
+    rows = holding(nodes, queries).unionByName(nodes.crossJoin(wordless).select("query_id", *nodes.columns, *[x for x in queries.columns if x != "query_id"]))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "id")
+    return resolved_for(rows).filter("score > 0").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
+
+
 def path_intent(from_kind: Column, to_kind: Column) -> Column:
     """What a path between two kinds is for (SEA13)."""
     code, doc = lambda k: k.isin(*CODE_KINDS), lambda k: k.isin(*DOC_KINDS)

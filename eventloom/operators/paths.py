@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import batches
 from eventloom.operators import code as c
 from eventloom.operators import graph as g
 from eventloom.session import kept
@@ -35,35 +36,45 @@ def undirected(edges: DataFrame) -> DataFrame:
 def neighbourhood(nodes: DataFrame, edges: DataFrame, seeds: list[str], *, budget: int = 40, depth: int = 4, mode: str = "bfs") -> tuple[DataFrame, DataFrame, bool]:
     """The nodes found from the seeds with their place, the edges among them, and whether the budget ran out (GR1, GR2).
 
-    Neighbours are found in order of their parent's place, then id. Breadth first takes a level at a time; depth first takes
-    the one found last. At most ``budget`` ids are held by the driver; ids that are no nodes use the budget up as well.
+    Neighbours are found in order of their parent's place, then id; ids that are no nodes use the budget up as well. Breadth
+    first takes a level at a time, in Spark (``batches.neighbourhoods``); depth first takes the one found last, of at most
+    ``budget`` ids that the driver holds.
     """
-    near, spark = kept(undirected(edges), "adjacency"), edges.sparkSession
-    found, level = list(dict.fromkeys(seeds)), [(s, 0) for s in dict.fromkeys(seeds)]
-    lists: dict[str, list[str]] = {}
+    seeds = list(dict.fromkeys(seeds))
+    places = list(enumerate(seeds)) if mode == "bfs" else list(enumerate(_depth_first(edges, seeds, budget, depth)))
+    place = edges.sparkSession.createDataFrame([(0, i, p) for p, i in places], "query_id int, id string, place long")
+    if mode == "bfs":
+        place = batches.neighbourhoods(edges, place, budget=budget, depth=depth)
+    place = kept(place.select("id", F.col("place").cast("int").alias("place")), "neighbourhood")
+    ids = place.select("id")
+    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
+    return nodes.join(place, "id"), inner, place.count() >= budget
+
+
+def _depth_first(edges: DataFrame, seeds: list[str], budget: int, depth: int) -> list[str]:
+    spark, found, stack = edges.sparkSession, list(seeds), [(s, 0) for s in seeds]
+    met, lists = set(found), {}
 
     def fetch(ids: list[str]) -> None:
         """The first neighbours of each id that could be new: as many as the budget."""
-        asked = spark.createDataFrame([(i,) for i in ids if i not in lists], "a string")
+        asked = spark.createDataFrame([(i,) for i in ids], "a string")
         w = Window.partitionBy("a").orderBy("b")
-        rows = near.join(F.broadcast(asked), "a").withColumn("k", F.row_number().over(w)).filter(F.col("k") <= 2 * budget).select("a", "b").collect()  # bounded by the budget twice
-        lists.update({i: [] for i in ids if i not in lists})
+        rows = batches.around(edges, asked).distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= 2 * budget).select("a", "b").collect()  # bounded by the budget twice
+        lists.update({i: [] for i in ids})
         for r in sorted(rows, key=lambda r: (r["a"], r["b"])):
             lists[r["a"]].append(r["b"])
 
-    while level and len(found) < budget:
-        if any(i not in lists for i, d in level if d < depth):
-            fetch([i for i, d in level if d < depth])
-        at, d = level.pop(0) if mode == "bfs" else level.pop()
+    while stack and len(found) < budget:
+        missing = [i for i, d in stack if d < depth and i not in lists]
+        if missing:
+            fetch(missing)
+        at, d = stack.pop()
         for b in lists.get(at, []) if d < depth else []:
-            if b not in found and len(found) < budget:
+            if b not in met and len(found) < budget:
+                met.add(b)
                 found.append(b)
-                level.append((b, d + 1))
-    place = F.broadcast(spark.createDataFrame(list(enumerate(found)), "place int, id string"))
-    kept_nodes = nodes.join(place, "id")
-    ids = place.select("id")
-    inner = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(edges.columns)
-    return kept_nodes, inner, len(found) >= budget
+                stack.append((b, d + 1))
+    return found
 
 
 def search(nodes: DataFrame, edges: DataFrame, query: str, *, lens: str | None = None, requested: str = "balanced", k: int = 5, budget: int = 40, depth: int = 4, mode: str = "bfs") -> tuple[DataFrame, DataFrame, DataFrame, bool]:
@@ -164,83 +175,38 @@ def weighted(nodes: DataFrame, edges: DataFrame, *, mode: str = "balanced", inte
 
 def ranks(steps: DataFrame, start: str, *, most: int = 12, goal: str | None = None) -> DataFrame:
     """id, rank, pred, edge: the least rank of each node from start (cost, then tests, structural steps, hubs, inheritance and hops
-    on the way), within ``most`` steps (GR5).
+    on the way), within ``most`` steps (GR5); with a goal only of nodes below it.
 
-    Of equal ranks the predecessor with the least rank and id counts, then the least edge. Only nodes that improved go on, and
-    with a goal only those that are still below it.
+    Of equal ranks the predecessor with the least rank and id counts, then the least edge.
     """
-    spark = steps.sparkSession
-    kind = "struct<cost:double,tests:int,structural:int,hubs:int,inheritance:int,hops:int>"
-    schema = f"id string, rank {kind}, before {kind}, pred string, edge string"
-    zero = (0.0, 0, 0, 0, 0, 0)
-    best = frontier = kept(spark.createDataFrame([(start, zero, zero, None, None)], schema), "ranks")
-    for _ in range(most):
-        r = lambda name, add: (F.col("rank")[name] + F.col(add)).alias(name)
-        new = F.struct((F.col("rank.cost") + F.col("cost") + F.col("penalty")).alias("cost"), r("tests", "t"), r("structural", "structural"), r("hubs", "hub"), r("inheritance", "inheritance"), (F.col("rank.hops") + 1).alias("hops"))
-        step = steps.join(frontier.select(F.col("id").alias("a"), "rank"), "a").select("b", F.struct(new.alias("rank"), F.col("rank").alias("before"), F.col("a").alias("pred"), "edge").alias("x"))
-        step = step.groupBy(F.col("b").alias("id")).agg(F.min("x").alias("x"))
-        known = best.select("id", F.struct("rank", "before", "pred", "edge").alias("known"))
-        better = step.join(known, "id", "left").filter((F.col("id") != start) & (F.col("known").isNull() | (F.col("x") < F.col("known"))))
-        frontier = kept(better.select("id", "x.*"), "ranks")
-        if frontier.isEmpty():
-            break
-        best = kept(best.join(frontier.select("id"), "id", "left_anti").unionByName(frontier), "ranks")
-        if goal is not None:
-            at = best.filter(F.col("id") == goal).select("rank").first()
-            if at is not None:
-                bound = F.struct(*[F.lit(at["rank"][n]).cast("double" if n == "cost" else "int").alias(n) for n in RANK])
-                frontier = frontier.filter(F.col("rank") < bound)
-    return best
+    tries = steps.sparkSession.createDataFrame([(0, 0, "", start, goal)], "case_id int, pair int, how string, a string, b string")
+    return kept(batches.ranks_of(steps.withColumn("how", F.lit("")), tries, most=most).drop("case_id", "pair"), "ranks")
 
 
 def path_to(best: DataFrame, goal: str) -> list[dict] | None:
     """The steps from the start to a goal, by their predecessors; a path's length of rows."""
-    out, at = [], goal
-    while at is not None:
-        row = best.filter(F.col("id") == at).first()
-        if row is None:
-            return None
-        out.append({"id": at, "edge": row["edge"], "cost": row["rank"]["cost"]})
-        at = row["pred"]
-    return out[::-1]
+    key = {"case_id": F.lit(0), "pair": F.lit(0)}
+    goals = best.sparkSession.createDataFrame([(0, 0, goal)], "case_id int, pair int, id string")
+    rows = batches.traced(best.withColumns(key), goals).orderBy("hop").collect()
+    return [{"id": r["id"], "edge": r["edge"], "cost": r["cost"]} for r in rows] or None
 
 
-def ranked_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, *, lens: str | None = None, mode: str = "balanced", most: int = 12, whole: bool = True) -> tuple[list[dict] | None, str, str]:
-    """The path between the nodes that two queries name, its mode and its intent (GR8).
+def steps_by(nodes: DataFrame, edges: DataFrame, lens: str | None = None):
+    """What ``batches`` asks for the weighted steps of a mode and an intent."""
+    return lambda mode, intent: weighted(nodes, edges, mode=mode, intent=intent, lens=lens)
 
-    Only where the best pair of candidates isn't connected do other pairs count, the cheapest of them first. A balanced path
-    over hubs gives way to a semantic one without.
-    """
+
+def ranked_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, *, lens: str | None = None, mode: str = "balanced", most: int = 12, whole: bool = True) -> tuple[list[dict] | None, str, str]:
+    """The path between the nodes that two queries name, its mode and its intent: a single case of ``batches.ranked_paths`` (GR8)."""
     if lens:
         nodes, edges = c.lens_graph(nodes, edges, lens)
     nodes, edges = kept(nodes, "path_nodes"), kept(edges, "path_edges")
-    ends = [[(r["id"], r["kind"]) for r in c.candidates(nodes, q, 3).select("id", "kind", "score", "label").orderBy(F.desc("score"), "label", "id").collect()] for q in (source, target)]  # three rows each
-    if not ends[0] or not ends[1]:
-        return None, mode, "mixed_or_unknown"
-
-    def intent_of(a: str, b: str) -> str:
-        code, doc = a in c.CODE_KINDS and b in c.CODE_KINDS, a in c.DOC_KINDS and b in c.DOC_KINDS
-        mixed = (a in c.CODE_KINDS and b in c.DOC_KINDS) or (a in c.DOC_KINDS and b in c.CODE_KINDS)
-        return "code_to_code" if code else "doc_to_doc" if doc else "doc_to_code" if mixed else "mixed_or_unknown"
-
-    def between(a, b, how):
-        if a[0] == b[0]:
-            return None
-        steps = kept(weighted(nodes, edges, mode=how, intent=intent_of(a[1], b[1]), lens=lens), "steps")
-        return path_to(ranks(steps, a[0], most=most, goal=b[0]), b[0])
-
-    pairs = [(a, b) for a in ends[0] for b in ends[1]]
-    chosen, path = pairs[0], between(*pairs[0], mode)
-    if path is None and whole:
-        for pair in pairs[1:]:
-            other = between(*pair, mode)
-            if other is not None and (path is None or other[-1]["cost"] < path[-1]["cost"]):
-                chosen, path = pair, other
-    if path is not None and mode == "balanced" and has_hub(nodes, edges, path):
-        other = between(*chosen, "semantic")
-        if other is not None and not has_hub(nodes, edges, other):
-            path, mode = other, "semantic"
-    return path, mode, intent_of(chosen[0][1], chosen[1][1])
+    case = nodes.sparkSession.createDataFrame([(0, source, target, mode)], "case_id int, source string, target string, mode string")
+    chosen, paths = batches.ranked_paths(nodes, edges, case, steps_by(nodes, edges, lens), most=most, whole=whole)
+    one = chosen.first()
+    rows = paths.orderBy("hop").collect()
+    path = [{"id": r["id"], "edge": r["edge"], "cost": r["cost"]} for r in rows] or None
+    return (path, one["mode"], one["intent"]) if one else (None, mode, "mixed_or_unknown")
 
 
 def has_hub(nodes: DataFrame, edges: DataFrame, path: list[dict]) -> bool:

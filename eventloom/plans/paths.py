@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from eventloom.operators import batches
 from eventloom.operators import code as c
 from eventloom.operators import paths as p
 from eventloom.plans.catalog import query
@@ -159,3 +160,51 @@ def quick_filters(spark, d):
 def architecture_health(spark, d):
     n, e = graph(spark, d)
     return p.architecture_health(n, e, e.filter("kind = 'depends_on' AND id LIKE 'f:%'"))
+
+
+def batch_bfs_sql(seeds: str, budget: int, depth: int) -> str:
+    """The same levels for many queries: places by a window within a query."""
+    ctes = [f"q0 AS ({seeds})", "v0 AS (SELECT * FROM q0)"]
+    for k in range(1, depth + 1):
+        ctes.append(f"""q{k} AS MATERIALIZED (SELECT query_id, id, n + row_number() OVER (PARTITION BY query_id ORDER BY pp, id) - 1 AS place FROM (SELECT q.query_id, b AS id, min(place) AS pp FROM nr JOIN q{k - 1} q ON a = q.id
+ WHERE NOT EXISTS (SELECT 1 FROM v{k - 1} v WHERE v.query_id = q.query_id AND v.id = b) GROUP BY ALL) JOIN (SELECT query_id, count(*) AS n FROM v{k - 1} GROUP BY ALL) USING (query_id) QUALIFY place < {budget})""")
+        ctes.append(f"v{k} AS MATERIALIZED (SELECT * FROM v{k - 1} UNION ALL SELECT * FROM q{k})")
+    return ", ".join(ctes)
+
+
+COMMUNITIES = "SELECT id AS query_id, id, 0 AS place FROM nodes WHERE kind = 'community'"
+
+
+@query(f"{G}, {NEAR}, {batch_bfs_sql(COMMUNITIES, 30, 3)} SELECT query_id, id, place::BIGINT AS place FROM v3")
+def batched_neighbourhoods(spark, d):
+    """The neighbourhood of every community, all in one loop."""
+    n, e = graph(spark, d)
+    return batches.neighbourhoods(e, n.filter("kind = 'community'").select(F.col("id").alias("query_id"), "id", F.lit(0).alias("place")), budget=30, depth=3)
+
+
+#: case_id, query, and the patterns that a seed and a found node must match.
+CASES = [("docs", "order service architecture", "(?i)section|architecture", "(?i)service"), ("class", "OrderService", "(?i)orderservice", None), ("lost", "payment guide", "(?i)payment guide", "(?i)nothing of the kind"),
+         ("wrong", "user controller test", "(?i)^invoice", None), ("none", "zzqx", ".", None)]
+
+
+def case_sql(case: str, text: str, seed: str, result: str | None) -> str:
+    match = f"coalesce((SELECT max(regexp_matches(label, '{result}')::INT) FROM r), 0) = 1" if result else "(SELECT count(*) FROM r) > 0"
+    return f"""(WITH {seeds_sql(text, 'balanced')}, {bfs_sql('SELECT id, place - 1 AS place FROM seed', 24, 4)}, r AS (SELECT n.label FROM v4 JOIN nodes n USING (id)) SELECT '{case}' AS case_id, coalesce((SELECT max(regexp_matches(label, '{seed}')::INT) FROM seed), 0) = 1 AND {match} AS passed,
+ coalesce((SELECT string_agg(label, ',' ORDER BY place) FROM seed), '') AS seed_labels, (SELECT count(*) FROM r)::BIGINT AS found)"""
+
+
+@query(f"{G}, {NEAR} " + " UNION ALL ".join(case_sql(*x) for x in CASES))
+def query_benchmark(spark, d):
+    cases = spark.createDataFrame(CASES, "case_id string, query string, seed_pattern string, result_pattern string")
+    return batches.query_benchmark(*graph(spark, d), cases)
+
+
+@query()
+def path_benchmark(spark, d):
+    """Paths from a class to the files of its name, as their benchmark asks for them; held against plain Python in the tests."""
+    n, e = graph(spark, d)
+    none = ([], [], [])
+    rows = [("found", *ENDS, "balanced", "(?i)^orderservice", "(?i)^orderservice", None, *none), ("forbidden", *ENDS, "balanced", "(?i)^orderservice", "(?i)^orderservice", None, ["symbol"], [], []),
+            ("edge", *ENDS, "balanced", "(?i)^orderservice", "(?i)^orderservice", None, [], ["documents"], []), ("ends", *ENDS, "balanced", "(?i)^invoice", "(?i)^orderservice", None, *none)]
+    cases = spark.createDataFrame(rows, "case_id string, source string, target string, mode string, from_pattern string, to_pattern string, path_pattern string, forbidden array<string>, required array<string>, preferred array<string>")
+    return batches.path_benchmark(n, e, cases, p.steps_by(n, e))
