@@ -108,32 +108,67 @@ def split_large(rows: DataFrame, most: int = MAX_FILES) -> DataFrame:
     return out.drop("big", "new", "title", "kind", "signal").join(of, "key").select(*[x for x in out.columns if x not in ("big", "new", "title", "kind", "signal")], "x.*")
 
 
+def greedy_moves(tiny: DataFrame, wishes: DataFrame) -> DataFrame:
+    """(key, to) of a greedy pass over the tiny communities in order of their keys: each moves to the first of its wishes (key,
+    target, rank) that is still there, and is gone then; one without such a wish stays.
+
+    Only the fate of a tiny target with a lesser key is open. A round settles all communities whose first wish that isn't gone
+    is settled; the least that is open always is, so rounds are as many as the longest chain of open wishes has links.
+    """
+    also = tiny.select(F.col("key").alias("target"), F.lit(True).alias("tiny"))
+    earlier = F.coalesce("tiny", F.lit(False)) & (F.col("target") < F.col("key"))
+    open_ = kept(wishes.join(tiny, "key", "left_semi").join(also, "target", "left").select("key", "target", "rank", earlier.alias("earlier")), "wishes")
+    left = kept(tiny.select("key"), "tiny")
+    fates = None
+    while not left.isEmpty():
+        now = open_.join(left, "key", "left_semi")
+        gone = F.lit(None).cast("boolean")
+        if fates is not None:
+            now = now.join(fates.select(F.col("key").alias("target"), F.col("to").isNotNull().alias("gone")), "target", "left")
+            gone = F.col("gone")
+        gone = F.when(F.col("earlier"), gone).otherwise(F.lit(False))
+        first = now.withColumn("gone", gone).filter("gone IS NULL OR NOT gone").groupBy("key").agg(F.min_by(F.struct("target", F.col("gone").isNotNull().alias("settled")), F.struct("rank", "target")).alias("x"))
+        settled = left.join(first, "key", "left").filter("x IS NULL OR x.settled").select("key", F.col("x.target").alias("to"))
+        settled = kept(settled, "fates")
+        fates = settled if fates is None else fates.unionByName(settled)
+        left = kept(left.join(settled, "key", "left_anti"), "tiny")
+    return tiny.select("key", F.lit(None).cast("string").alias("to")).limit(0) if fates is None else fates.filter("to IS NOT NULL")
+
+
+def ends_of_moves(moves: DataFrame) -> DataFrame:
+    """(key, to, end): where each move ends, if its target moves on itself; ways are doubled until none is longer."""
+    ways = kept(moves.select("key", "to", F.col("to").alias("end")), "moves")
+    while True:
+        on = ways.select(F.col("key").alias("end"), F.col("end").alias("further"))
+        longer = kept(ways.join(on, "end", "left").select("key", "to", F.coalesce("further", "end").alias("end"), F.col("further").isNotNull().alias("moved")), "moves")
+        if longer.filter("moved").isEmpty():
+            return longer.drop("moved")
+        ways = longer.drop("moved")
+
+
 def merge_tiny(rows: DataFrame, depends: DataFrame, least: int = MIN_FILES) -> DataFrame:
-    """Communities of fewer than ``least`` files join their parent's, or the one that most dependencies (src, dst ids) tie them to (CO4).
+    """Communities of fewer than ``least`` files join their parent's, or the one that most dependencies (src, dst ids) of one
+    direction tie them to, one after the other in order of their keys (CO4); one that took others in moves on with them.
 
-    All decide by the communities as they are before any moves; a target that is tiny itself takes others in, and stays, if its
-    key is the lesser one.
+    Weights are those before any moves. A community's signal says how many it took in.
     """
     sizes = rows.groupBy("key", "kind").agg(F.count("*").alias("n"))
-    tiny = sizes.filter((F.col("n") < least) & (F.col("kind") != "generated")).select("key")
-    up = F.when(~F.col("key").startswith("ns:") & F.col("key").contains("/"), F.regexp_extract("key", r"^(.*)/[^/]*$", 1))
-    known = sizes.select(F.col("key").alias("target"))
-    parent = tiny.select("key", up.alias("target")).join(known, "target", "left_semi")
+    tiny = kept(sizes.filter((F.col("n") < least) & (F.col("kind") != "generated")).select("key"), "tiny")
+    up = F.when(~F.col("key").startswith("ns:") & ~F.col("key").startswith("generated/") & F.col("key").contains("/"), F.regexp_extract("key", r"^(.*)/[^/]*$", 1))
+    parent = tiny.select("key", up.alias("target")).join(sizes.select(F.col("key").alias("target")), "target", "left_semi").select("key", "target", F.lit(None).cast("long").alias("weight"))
     home = rows.select("id", "key")
-    pairs = depends.join(home.select(F.col("id").alias("src"), F.col("key").alias("a")), "src").join(home.select(F.col("id").alias("dst"), F.col("key").alias("b")), "dst").filter("a <> b")
-    tied = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy(F.col("a").alias("key"), F.col("b").alias("target")).agg(F.count("*").alias("weight"))
-    strongest = tied.join(tiny, "key", "left_semi").groupBy("key").agg(F.min_by("target", F.struct(-F.col("weight"), "target")).alias("target"))
-    wish = tiny.join(parent, "key", "left").join(strongest.withColumnRenamed("target", "other"), "key", "left").select("key", F.coalesce("target", "other").alias("target")).filter("target IS NOT NULL")
-    also = tiny.select(F.col("key").alias("target"), F.lit(True).alias("tiny"))
-    # a tiny target that moves on itself takes nobody in
-    moves = wish.join(also, "target", "left").filter(F.col("tiny").isNull() | (F.col("target") < F.col("key"))).select("key", "target", F.col("tiny").isNotNull().alias("tiny"))
-    leaving = moves.select(F.col("key").alias("target"), F.lit(True).alias("leaves"))
-    moves = moves.join(leaving, "target", "left").filter("leaves IS NULL").select("key", F.col("target").alias("to"))
-    out = rows.join(moves, "key", "left")
-    facts = rows.groupBy("key").agg(F.min_by(F.struct("title", "kind", "signal"), "path").alias("x")).withColumnRenamed("key", "to")
-    out = out.join(facts, "to", "left")
-    pick = lambda f: F.coalesce(F.col("x")[f], F.col(f)).alias(f)
-    return out.select(*[k for k in rows.columns if k not in ("key", "title", "kind", "signal")], F.coalesce("to", "key").alias("key"), pick("title"), pick("kind"), pick("signal"))
+    pairs = depends.join(home.select(F.col("id").alias("src"), F.col("key").alias("a")), "src").join(home.select(F.col("id").alias("dst"), F.col("key").alias("b")), "dst").filter("a <> b").groupBy("a", "b").agg(F.count("*").alias("weight"))
+    tied = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy(F.col("a").alias("key"), F.col("b").alias("target")).agg(F.max("weight").alias("weight"))
+    # the parent first, then the heavier tie
+    wishes = parent.unionByName(tied.join(tiny, "key", "left_semi")).select("key", "target", F.when(F.col("weight").isNull(), F.lit(-(1 << 62))).otherwise(-F.col("weight")).alias("rank"))
+    wishes = wishes.groupBy("key", "target").agg(F.min("rank").alias("rank"))
+    moves = ends_of_moves(greedy_moves(tiny, wishes))
+    took = moves.groupBy("to").agg(F.count("*").alias("took")).withColumnRenamed("to", "key")
+    out = rows.join(moves.select("key", "end"), "key", "left").withColumn("key", F.coalesce("end", "key")).drop("end", "title", "kind", "signal")
+    facts = rows.groupBy("key").agg(F.min_by(F.struct("title", "kind", "signal"), "path").alias("x")).join(took, "key", "left")
+    signal = F.concat("x.signal", F.repeat(F.lit("+merged"), F.coalesce("took", F.lit(0)).cast("int")))
+    facts = facts.select("key", F.col("x.title").alias("title"), F.col("x.kind").alias("kind"), signal.alias("signal"))
+    return out.join(facts, "key").select(*[k for k in rows.columns if k not in ("key", "title", "kind", "signal")], "key", "title", "kind", "signal")
 
 
 def finalised(rows: DataFrame) -> DataFrame:

@@ -36,11 +36,16 @@ SPLIT = f"""bg AS (SELECT key FROM se WHERE kind <> 'generated' GROUP BY key HAV
 sk AS (SELECT id, path, namespace, project, CASE WHEN NOT big OR sub = '' THEN key WHEN key = '.' THEN sub ELSE key || '/' || sub END AS key, CASE WHEN big AND kind <> 'namespace' THEN 'directory' ELSE kind END AS kind, CASE WHEN big THEN signal || '+split' ELSE signal END AS signal, title, big FROM sn),
 sf AS (SELECT *, CASE WHEN big THEN regexp_extract(key, '([^/]*)$', 1) ELSE title END AS t2 FROM sk), sy AS (SELECT key, arg_min(struct_pack(t := t2, k := kind, s := signal), path) AS x FROM sf GROUP BY key), sp AS (SELECT id, path, namespace, project, sf.key, x.t AS title, x.k AS kind, x.s AS signal FROM sf JOIN sy USING (key))"""
 DEPENDS = "dp AS (SELECT src, dst FROM edges WHERE kind = 'depends_on' AND id LIKE 'f:%')"
-MERGE = f"""sz AS (SELECT key, kind, count(*) AS n FROM sp GROUP BY ALL), tn AS (SELECT key FROM sz WHERE n < 2 AND kind <> 'generated'), pr AS (SELECT key, regexp_extract(key, '^(.*)/[^/]*$', 1) AS target FROM tn WHERE NOT starts_with(key, 'ns:') AND contains(key, '/') AND regexp_extract(key, '^(.*)/[^/]*$', 1) IN (SELECT key FROM sz)),
-pp AS (SELECT a.key AS a, b.key AS b FROM dp JOIN sp a ON a.id = src JOIN sp b ON b.id = dst WHERE a.key <> b.key), td AS (SELECT key, target, count(*) AS wt FROM (SELECT a AS key, b AS target FROM pp UNION ALL SELECT b, a FROM pp) GROUP BY ALL),
-stg AS (SELECT key, target FROM td WHERE key IN (SELECT key FROM tn) QUALIFY row_number() OVER (PARTITION BY key ORDER BY wt DESC, target) = 1), wi AS (SELECT tn.key, coalesce(pr.target, stg.target) AS target FROM tn LEFT JOIN pr USING (key) LEFT JOIN stg USING (key)),
-mv0 AS (SELECT key, target FROM wi WHERE target IS NOT NULL AND (target NOT IN (SELECT key FROM tn) OR target < key)), mv AS (SELECT * FROM mv0 WHERE target NOT IN (SELECT key FROM mv0)),
-ft AS (SELECT key AS target, arg_min(struct_pack(t := title, k := kind, s := signal), path) AS x FROM sp GROUP BY key), asg AS (SELECT id, path, namespace, project, coalesce(mv.target, sp.key) AS key, coalesce(x.t, title) AS title, coalesce(x.k, kind) AS kind, coalesce(x.s, signal) AS signal FROM sp LEFT JOIN mv USING (key) LEFT JOIN ft ON ft.target = mv.target)"""
+#: The greedy pass as one fold over the tiny communities in order; an element and the state have the same fields.
+MERGE = f"""sz AS (SELECT key, kind, count(*) AS n FROM sp GROUP BY ALL), tn AS (SELECT key FROM sz WHERE n < 2 AND kind <> 'generated'),
+pr AS (SELECT key, regexp_extract(key, '^(.*)/[^/]*$', 1) AS target, -1 AS pref, 0 AS wt FROM tn WHERE NOT starts_with(key, 'ns:') AND NOT starts_with(key, 'generated/') AND contains(key, '/') AND regexp_extract(key, '^(.*)/[^/]*$', 1) IN (SELECT key FROM sz)),
+pp AS (SELECT a.key AS a, b.key AS b, count(*) AS wt FROM dp JOIN sp a ON a.id = src JOIN sp b ON b.id = dst WHERE a.key <> b.key GROUP BY ALL), td AS (SELECT key, target, 0 AS pref, max(wt) AS wt FROM (SELECT a AS key, b AS target, wt FROM pp UNION ALL SELECT b, a, wt FROM pp) WHERE key IN (SELECT key FROM tn) GROUP BY ALL),
+wi AS (SELECT key, list(target ORDER BY pref, wt DESC, target) AS c FROM (SELECT * FROM pr UNION ALL SELECT * FROM td) GROUP BY key),
+sq AS (SELECT list_reduce(list(struct_pack(k := key, c := c, moved := []::VARCHAR[], tos := []::VARCHAR[]) ORDER BY key), lambda s, x: CASE WHEN len(list_filter(x.c, lambda y: NOT list_contains(s.moved, y))) = 0 THEN s
+ ELSE struct_pack(k := s.k, c := s.c, moved := list_append(s.moved, x.k), tos := list_append(s.tos, list_filter(x.c, lambda y: NOT list_contains(s.moved, y))[1])) END, struct_pack(k := '', c := []::VARCHAR[], moved := []::VARCHAR[], tos := []::VARCHAR[])) AS r FROM wi),
+mv AS (SELECT unnest(r.moved) AS key, unnest(r.tos) AS target FROM sq), en AS (SELECT key, tip FROM (WITH RECURSIVE z(key, tip) AS (SELECT key, target FROM mv UNION ALL SELECT z.key, mv.target FROM z JOIN mv ON mv.key = z.tip) SELECT * FROM z) WHERE tip NOT IN (SELECT key FROM mv)),
+tk AS (SELECT target AS key, count(*) AS took FROM mv GROUP BY target), ft AS (SELECT key, arg_min(struct_pack(t := title, k := kind, s := signal), path) AS x FROM sp GROUP BY key),
+asg AS (SELECT id, path, namespace, project, ft.key, x.t AS title, x.k AS kind, x.s || repeat('+merged', coalesce(took, 0)::INT) AS signal FROM sp LEFT JOIN en USING (key) JOIN ft ON ft.key = coalesce(en.tip, sp.key) LEFT JOIN tk ON tk.key = ft.key)"""
 LOWP = f"list_transform({PARTS}, lambda x: lower(x))"
 LENS = "CASE WHEN bool_or(" + DOCP + f" OR list_contains({LOWP}, 'docs')) THEN 'docs-handoff' " + " ".join(f"WHEN bool_or(len(list_intersect({LOWP}, [{names(ws)}])) > 0) THEN '{n}'" for n, ws in o.LENS_WORDS.items()) + " ELSE 'backend-runtime' END"
 FINAL = f"""fa AS (SELECT key, arg_min(struct_pack(t := title, k := kind), path) AS x, count(*)::BIGINT AS files, {LENS} AS lens, bool_and({GEN}) AS g, bool_and({TESTP}) AS t, bool_and({DOCP}) AS d, (SELECT string_agg(p, ', ' ORDER BY p) FROM (SELECT z.path AS p FROM asg z WHERE z.key = asg.key ORDER BY z.path LIMIT 4)) AS top,
