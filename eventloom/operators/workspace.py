@@ -466,3 +466,84 @@ def missing(expected: list[str], found: DataFrame, column: str) -> DataFrame:
     """Expected values that a column lacks (SE7)."""
     have = found.filter(F.col(column).isin(*expected)).agg(F.collect_set(column).alias("have"))  # at most as many as expected
     return have.select(F.explode(F.array_except(F.array(*[F.lit(x) for x in expected]), "have")).alias("missing"))
+
+
+# --- hubs ------------------------------------------------------------------------------------------------------------
+
+RELATIONS = "array<struct<kind:string,label:string,n:bigint>>"
+#: Relations that a hub keeps of each direction, and entries of its lists.
+TOP_RELATIONS, TOP_ENTRIES = 3, 6
+
+
+def top_relations(rows: Column, most: int = TOP_RELATIONS) -> Column:
+    """The commonest of some relations, of equal ones by label and kind."""
+    ordered = F.array_sort(F.transform(rows, lambda x: F.struct((-x["n"]).alias("o"), x["label"].alias("label"), x["kind"].alias("kind"))))
+    return F.transform(F.slice(ordered, 1, most), lambda x: F.struct(x["kind"].alias("kind"), x["label"].alias("label"), (-x["o"]).alias("n"))).cast(RELATIONS)
+
+
+def hubs_of(communities: DataFrame, depends: DataFrame, thin_files: int = MIN_FILES) -> DataFrame:
+    """A hub for each community of files (rows id, path, key, title, kind): its files, the first of them, and what it depends on or
+    is needed by, counted by the other's title (AG14). Folders and generic names with fewer than ``thin_files`` are thin."""
+    of = communities.groupBy("key").agg(F.min("title").alias("label"), F.min("kind").alias("kind"), F.count("*").alias("files"))
+    first = communities.select("key", "path").withColumn("k", F.row_number().over(Window.partitionBy("key").orderBy("path"))).filter(F.col("k") <= TOP_ENTRIES)
+    first = first.groupBy("key").agg(F.sort_array(F.collect_list("path")).alias("top_files"))
+    home = communities.select("id", "key", "title")
+    ends = depends.join(home.toDF("src", "a", "a_title"), "src").join(home.toDF("dst", "b", "b_title"), "dst").filter("a <> b")
+    n = ends.groupBy("a", "a_title", "b", "b_title").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("key").orderBy(F.desc("n"), "label")
+
+    def side(key: str, label: str, name: str) -> DataFrame:
+        rows = n.groupBy(F.col(key).alias("key"), F.col(label).alias("label")).agg(F.sum("n").alias("n")).withColumn("k", F.row_number().over(best)).filter(F.col("k") <= TOP_RELATIONS)
+        return rows.groupBy("key").agg(top_relations(F.collect_list(F.struct(F.lit("depends_on").alias("kind"), "label", "n"))).alias(name))
+
+    none = F.array().cast(RELATIONS)
+    rows = of.join(first, "key").join(side("b", "a_title", "incoming"), "key", "left").join(side("a", "b_title", "outgoing"), "key", "left")
+    return rows.select(F.col("key").alias("id"), "label", F.col("key").alias("path"), "files", ((F.col("files") < thin_files) & (is_generic(F.col("label")) | F.col("kind").isin("directory", "root"))).alias("thin"), "top_files", F.coalesce("incoming", none).alias("incoming"), F.coalesce("outgoing", none).alias("outgoing"))
+
+
+def hub_targets(hubs: DataFrame) -> DataFrame:
+    """(id, target): the hub that each thin one goes to: that of its parent path or name, else the one its commonest relation names.
+
+    Of several hubs that fit, the largest counts, then the least label and id; thin ones take nobody in.
+    """
+    order = F.struct((-F.col("files")).alias("o"), "label", "id")
+    takes = hubs.filter("NOT thin").select(F.col("id").alias("target"), F.col("label").alias("name"), F.col("path").alias("at"), order.alias("order"))
+    thin = hubs.filter("thin")
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    up = thin.select("id", F.when(F.size(parts) <= 1, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), "/")).alias("up"))
+    up = up.withColumn("last", F.regexp_extract("up", "([^/]*)$", 1))
+    parent = up.join(takes, F.col("at") == F.col("up")).select("id", "target", "order").unionByName(up.join(takes, F.col("name") == F.col("last")).select("id", "target", "order"))
+    parent = parent.groupBy("id").agg(F.min_by("target", "order").alias("parent"))
+    named = takes.groupBy("name").agg(F.min_by("target", "order").alias("target"))
+    ties = thin.select("id", F.posexplode(F.concat("incoming", "outgoing")).alias("place", "r")).join(named, F.col("r.label") == F.col("name"))
+    tie = ties.groupBy("id").agg(F.min_by("target", F.struct(-F.col("r.n"), "place")).alias("tied"))
+    return thin.select("id").join(parent, "id", "left").join(tie, "id", "left").select("id", F.coalesce("parent", "tied").alias("target")).filter("target IS NOT NULL")
+
+
+def merged_hubs(hubs: DataFrame) -> DataFrame:
+    """Hubs with the thin ones that go to them, largest first (AG15): files added up, lists joined and cut, relations added up
+    without those to the hub merged, and cut to the commonest after each; degree counts what was there before the last cut.
+
+    A hub's sources meet as one array, in order; a source is bounded by its lists.
+    """
+    moves = hub_targets(hubs)
+    source = F.struct((-F.col("files")).alias("o"), "label", "id", "files", "top_files", "incoming", "outgoing")
+    sources = hubs.join(moves, "id").groupBy(F.col("target").alias("id")).agg(F.sort_array(F.collect_list(source)).alias("sources"))
+    rows = hubs.join(moves, "id", "left_anti").join(sources, "id", "left")
+
+    def added(a: Column, b: Column, gone: Column) -> Column:
+        both = F.concat(a, b)
+        kinds = F.array_distinct(F.transform(both, lambda x: F.struct(x["kind"].alias("kind"), x["label"].alias("label"))))
+        total = lambda k: F.aggregate(F.filter(both, lambda x: (x["kind"] == k["kind"]) & (x["label"] == k["label"])), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+        return F.filter(F.transform(kinds, lambda k: F.struct(k["kind"].alias("kind"), k["label"].alias("label"), total(k).alias("n"))), lambda x: x["label"] != gone)
+
+    count = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda s, x: s + x["n"])
+
+    def take(at: Column, x: Column) -> Column:
+        incoming, outgoing = added(at["incoming"], x["incoming"], x["label"]), added(at["outgoing"], x["outgoing"], x["label"])
+        return F.struct(
+            (at["files"] + x["files"]).alias("files"), F.slice(F.array_distinct(F.concat(at["top_files"], x["top_files"])), 1, TOP_ENTRIES).alias("top_files"),
+            top_relations(incoming).alias("incoming"), top_relations(outgoing).alias("outgoing"), (count(incoming) + count(outgoing)).alias("degree"), F.array_append(at["merged"], x["label"]).alias("merged"))
+
+    start = F.struct("files", "top_files", "incoming", "outgoing", (count(F.col("incoming")) + count(F.col("outgoing"))).alias("degree"), F.array().cast("array<string>").alias("merged"))
+    return rows.withColumn("x", F.when(F.col("sources").isNull(), start).otherwise(F.aggregate("sources", start, take))).select("id", "label", "path", "x.*")

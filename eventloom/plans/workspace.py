@@ -330,3 +330,28 @@ def list_map_and_json_functions(spark, d):
     return t.select(
         "p_partkey", s.listed(F.split("p_name", " ")).alias("listed"), s.bounded(F.concat("p_name", F.lit("   "), "p_type"), 20).alias("bounded"), F.array_join(F.array_sort(F.map_keys(m)), ",").alias("keys"), s.number_of(m, "size").alias("number"),
         s.text_of(s.sanitised(m), "name").alias("name"), F.array_join(s.forbidden(json), ",").alias("forbidden"))
+
+
+SIDE = lambda key, label, name: f"{name} AS (SELECT key, list(struct_pack(o := -n, label := label, kind := 'depends_on') ORDER BY n DESC, label) AS r FROM (SELECT {key} AS key, {label} AS label, sum(n)::BIGINT AS n FROM hn GROUP BY {key}, {label} QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY sum(n) DESC, {label}) <= 3) GROUP BY key)"
+BOTH = "list_concat(s.{0}, x.{0})"
+ADDED = lambda f: f"""list_filter(list_transform(list_distinct(list_transform({BOTH.format(f)}, lambda y: struct_pack(label := y.label, kind := y.kind))), lambda k: struct_pack(o := coalesce(list_sum(list_transform(list_filter({BOTH.format(f)}, lambda y: y.label = k.label AND y.kind = k.kind), lambda y: y.o)), 0)::BIGINT, label := k.label, kind := k.kind)), lambda y: y.label <> x.label)"""
+COUNT = lambda r: f"(-coalesce(list_sum(list_transform({r}, lambda y: y.o)), 0))::BIGINT"
+#: Relations as o (the count, negative, so that lists sort by it), label and kind; the fold's elements and state have the same fields.
+HUBS = f"""hc AS (SELECT key AS id, min(title) AS label, min(kind) AS kind, count(*)::BIGINT AS files, list(path ORDER BY path)[1:6] AS top FROM asg GROUP BY key),
+hn AS (SELECT a.key AS a, a.title AS at_, b.key AS b, b.title AS bt, count(*) AS n FROM dp JOIN asg a ON a.id = src JOIN asg b ON b.id = dst WHERE a.key <> b.key GROUP BY ALL), {SIDE('b', 'at_', 'hi')}, {SIDE('a', 'bt', 'ho')},
+hu AS (SELECT hc.*, files < 5 AND (kind IN ('directory', 'root') OR {GENERIC.replace('title', 'label')}) AS thin, coalesce(hi.r, []) AS inc, coalesce(ho.r, []) AS outg, row_number() OVER (ORDER BY files DESC, label, id) AS place FROM hc LEFT JOIN hi ON hi.key = id LEFT JOIN ho ON ho.key = id),
+hp AS (SELECT id, CASE WHEN contains(trim(id, '/'), '/') THEN regexp_extract(id, '^(.*)/[^/]*$', 1) ELSE '.' END AS up FROM hu WHERE thin),
+ht AS (SELECT t.id, coalesce((SELECT arg_min(h.id, h.place) FROM hu h JOIN hp ON hp.id = t.id WHERE NOT h.thin AND (h.id = up OR h.label = regexp_extract(up, '([^/]*)$', 1))),
+ (SELECT arg_min(tid, struct_pack(o := o, p := p)) FROM (SELECT (SELECT arg_min(h.id, h.place) FROM hu h WHERE NOT h.thin AND h.label = r.label) AS tid, r.o, p FROM (SELECT unnest(list_concat(t.inc, t.outg)) AS r, generate_subscripts(list_concat(t.inc, t.outg), 1) AS p)) WHERE tid IS NOT NULL)) AS target FROM hu t WHERE thin),
+hs AS (SELECT target, list(struct_pack(files := files, top := top, inc := inc, outg := outg, degree := 0::BIGINT, merged := []::VARCHAR[], label := label) ORDER BY place) AS src FROM ht JOIN hu USING (id) WHERE target IS NOT NULL GROUP BY target),
+hx AS (SELECT id, label AS lb, list_reduce(coalesce(src, []), lambda s, x: struct_pack(files := s.files + x.files, top := list_concat(s.top, list_filter(x.top, lambda y: NOT list_contains(s.top, y)))[1:6], inc := list_sort({ADDED('inc')})[1:3], outg := list_sort({ADDED('outg')})[1:3],
+ degree := {COUNT(ADDED('inc'))} + {COUNT(ADDED('outg'))}, merged := list_append(s.merged, x.label), label := s.label), struct_pack(files := files, top := top, inc := inc, outg := outg, degree := {COUNT('inc')} + {COUNT('outg')}, merged := []::VARCHAR[], label := label)) AS x
+ FROM hu LEFT JOIN hs ON target = id WHERE id NOT IN (SELECT id FROM ht WHERE target IS NOT NULL))"""
+TOLD = "array_to_string(list_transform(x.{0}, lambda y: y.label || ':' || (-y.o)), ',')"
+
+
+@query(f"WITH {w.EDGES_SQL}, {F0}, {SEEDS}, {SPLIT}, {DEPENDS}, {MERGE}, {HUBS} SELECT id, lb AS label, x.files AS files, array_to_string(x.top, ',') AS top_files, {TOLD.format('inc')} AS incoming, {TOLD.format('outg')} AS outgoing, x.degree AS degree, array_to_string(x.merged, ',') AS merged FROM hx")
+def merged_hubs(spark, d):
+    hubs = kept(o.hubs_of(kept(o.assigned(files(spark, d), depends(spark, d)), "assigned"), depends(spark, d), 5), "hubs")
+    told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["label"], x["n"].cast("string"))), ",").alias(c)
+    return o.merged_hubs(hubs).select("id", "label", "files", F.array_join("top_files", ",").alias("top_files"), told("incoming"), told("outgoing"), "degree", F.array_join("merged", ",").alias("merged"))
