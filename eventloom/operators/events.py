@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from eventloom.operators import versions
+
 
 def projection(events: DataFrame, key: str, upsert: str) -> DataFrame:
     """Visible items: those whose last event is an upsert, with its payload and the sequence number first seen."""
@@ -13,10 +15,9 @@ def projection(events: DataFrame, key: str, upsert: str) -> DataFrame:
 
 
 def append(log: DataFrame, batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The batch with sequence numbers that follow each log's largest one (SR1, SR2)."""
+    """The batch with sequence numbers that follow each log's largest one (SR1, SR2); ``versions.append`` commits a batch."""
     top = log.groupBy(key).agg(F.max("seq").alias("top"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    return batch.withColumn("k", number).join(top, key, "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("k")).drop("k", "top")
+    return versions.numbered(batch, [order], [key]).join(top, key, "left").withColumn("seq", F.coalesce("top", F.lit(0)) + F.col("seq")).drop("top")
 
 
 def run_control(events: DataFrame, states: dict[str, str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.functions import scalars as s
 from eventloom.operators import code as c
 from eventloom.operators import graph as g
+from eventloom.operators import versions
 
 # How many labels a community shows of each part that nodes play.
 BUCKETS = {"start_with": 3, "core_implementation": 5, "public_contracts": 4, "related_tests": 3, "supporting_docs": 3, "operational_config": 3}
@@ -67,11 +68,11 @@ def spec_edges(tasks: DataFrame) -> DataFrame:
 def scan_events(graph_id: str, nodes: DataFrame, edges: DataFrame, edges_gone: DataFrame, nodes_gone: DataFrame, last_seq: int) -> DataFrame:
     """One batch of events that brings a log up to a scan: nodes, edges, then archived edges and nodes, numbered on (SR19, SR2, SE4).
 
-    The numbers of a batch follow one order, which one task gives; all frames hold ids, and no more rows than a scan changes.
+    The numbers of a batch follow one order, by prefix sums over ranges of it (``versions.numbered``).
     """
     of = lambda df, turn, kind: df.select(F.lit(turn).alias("turn"), F.lit(kind).alias("kind"), "id")
     rows = of(nodes, 0, "product.node.upserted").unionByName(of(edges, 1, "product.edge.upserted")).unionByName(of(edges_gone, 2, "product.edge.archived")).unionByName(of(nodes_gone, 3, "product.node.archived"))
-    return rows.select(F.lit(graph_id).alias("graph_id"), "kind", "id", (F.row_number().over(Window.partitionBy(F.lit(graph_id)).orderBy("turn", "id")) + last_seq).cast("long").alias("seq"))
+    return versions.numbered(rows, ["turn", "id"]).select(F.lit(graph_id).alias("graph_id"), "kind", "id", (F.col("seq") + last_seq).alias("seq"))
 
 
 def support_matrix(nodes: DataFrame, catalog: DataFrame) -> DataFrame:

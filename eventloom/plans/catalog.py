@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from eventloom.functions import text
 from eventloom.operators import events as ev
 from eventloom.operators import graph as g
-from eventloom.operators import runs, vectors
+from eventloom.operators import runs, vectors, versions
+from eventloom.session import shared_folder
 from eventloom.sources import views as v
 
 QUERIES: dict = {}
@@ -178,6 +181,17 @@ def event_log_append(spark, d):
     return ev.append(log, batch, "graph_id", "at").select("event_id", "graph_id", F.col("seq").cast("long").alias("seq"))
 
 
+@query(f"{WITH_RUN} SELECT event_id, graph_id, row_number() OVER (PARTITION BY graph_id ORDER BY event_id % 3 = 0, seq)::BIGINT AS seq FROM v_run")
+def committed_log(spark, d):
+    """Two batches committed to a new log, and a third of which only the data were written."""
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
+    log = v.run_events(spark, d).select("event_id", "graph_id", F.col("seq").alias("moment"))
+    for batch in (log.filter("event_id % 3 <> 0"), log.filter("event_id % 3 = 0")):
+        versions.append(path, batch, "graph_id", "moment")
+    log.withColumn("seq", F.lit(0).cast("long")).write.parquet(f"{path}/data/batch=unfinished")
+    return versions.events(spark, path).select("event_id", "graph_id", "seq")
+
+
 @query(f"{WITH_RUN}, s AS (SELECT *, CASE kind WHEN 'signup' THEN 'running' WHEN 'error' THEN 'paused' WHEN 'purchase' THEN 'completed' END AS st FROM v_run) SELECT graph_id, coalesce(arg_max(st, seq) FILTER (st IS NOT NULL), 'idle') AS state, max(seq)::BIGINT AS last_seq FROM s GROUP BY graph_id")
 def run_control(spark, d):
     return ev.run_control(v.run_events(spark, d), STATES)

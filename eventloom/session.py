@@ -34,18 +34,20 @@ def shipped(query):
     return run
 
 
-def kept(df: DataFrame, name: str) -> DataFrame:
-    """Writes df in the folder that driver and executors share and reads it back, so that its lineage ends there.
-
-    The folder is the session's checkpoint folder; without one a temporary folder serves local sessions alone.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder; without one a temporary one, for local sessions alone."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         folder = spark.sparkContext.getCheckpointDir()
-    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    return folder
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """Writes df in the shared folder and reads it back, so that its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
