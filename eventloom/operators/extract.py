@@ -139,10 +139,12 @@ def tested_files(files: DataFrame) -> DataFrame:
 def linked_paths(run_paths: DataFrame, files: DataFrame) -> DataFrame:
     """(run_path, file): paths that are equal, or one the end of the other after a slash, in any case (JO8).
 
-    They meet by their last part, which both must share, so that not all pairs are looked at.
+    Each path meets the ends of the others, after any slash, as a key: only paths that belong together meet, however many share
+    a name.
     """
-    last = lambda c: F.lower(F.regexp_extract(c, "([^/]*)$", 1))
-    a = run_paths.select(F.col("path").alias("run_path"), F.lower("path").alias("x"), last("path").alias("name"))
-    b = files.select(F.col("path").alias("file"), F.lower("path").alias("y"), last("path").alias("name"))
-    ends = lambda p, q: F.col(p).endswith(F.concat(F.lit("/"), F.col(q)))
-    return a.join(b, "name").filter((F.col("x") == F.col("y")) | ends("x", "y") | ends("y", "x")).select("run_path", "file").distinct()
+    a = run_paths.select(F.col("path").alias("run_path"), F.lower("path").alias("key")).distinct()
+    b = files.select(F.col("path").alias("file"), F.lower("path").alias("key")).distinct()
+    parts = F.split("key", "/")
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    tails = lambda df, name: df.select(name, F.explode(ends).alias("key"))
+    return tails(a, "run_path").join(b, "key").select("run_path", "file").unionByName(a.join(tails(b, "file"), "key").select("run_path", "file")).distinct()

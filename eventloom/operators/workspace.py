@@ -6,7 +6,6 @@ Files have path and optionally id, namespace, project; nodes and edges are those
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -310,8 +309,10 @@ def extension_counts(files: DataFrame) -> DataFrame:
 
 def type_signals(files: DataFrame, rules: dict[str, tuple[str, int, str, int]]) -> DataFrame:
     """Project types by score: type -> (marker pattern, points a marker, extension pattern, points a file, ten files at most) (AG26)."""
-    row = lambda name, marker, a, ext, b: files.agg((F.count(F.when(F.col("path").rlike(marker), 1)) * a + F.least(F.count(F.when(F.col("path").rlike(ext), 1)), F.lit(10)) * b).alias("score")).select(F.lit(name).alias("type"), "score")
-    return reduce(DataFrame.unionByName, [row(n, *r) for n, r in rules.items()]).filter("score > 0")
+    n = lambda pattern: F.count(F.when(F.col("path").rlike(pattern), 1))
+    score = lambda marker, a, ext, b: (n(marker) * a + F.least(n(ext), F.lit(10)) * b).alias("score")
+    row = files.agg(F.array(*[F.struct(F.lit(name).alias("type"), score(*rule)) for name, rule in rules.items()]).alias("x"))
+    return row.select(F.explode("x").alias("x")).select("x.*").filter("score > 0")
 
 
 # --- ignore rules ----------------------------------------------------------------------------------------------------
