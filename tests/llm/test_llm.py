@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 import duckdb
@@ -10,6 +11,7 @@ import pandas as pd
 import pytest
 import sentencepiece
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from eventloom.llm import compression_quality, context_tree, piece_codec, preference_chat, projection_forest, quality_rules, revisits, shingle_neardup, simhash_neardup, source_mix, substring_dedup
@@ -70,6 +72,51 @@ def test_compression_accuracy_on_held_out_rows(spark):
     assert (out.predicted == out.quality).mean() > 0.95
 
 
+def test_compression_scores_against_plain_python(spark):
+    """Sample, dictionaries, sizes, differences, curve and scores of the small table, each worked out anew."""
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    text = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    good = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    learn = [i for i in good if zlib.crc32(str(i).encode()) % 5 and text.get(i)]
+    at = {r["i"]: r["h"] for r in spark.createDataFrame([(i,) for i in learn], "i long").select("i", F.xxhash64(F.lit(7), "i").alias("h")).collect()}
+    dictionary, held = {}, []
+    for kind in (1, 0):
+        rows = sorted((i for i in learn if good[i] == kind), key=lambda i: (at[i], i))
+        part, size = [], 0
+        for k, i in enumerate(rows):
+            raw = text[i].encode()
+            if k % 3 == 2:
+                held.append(i)
+            elif size + len(raw) < compression_quality.DICTIONARY_BYTES:
+                part.append(raw)
+                size += len(raw) + 1
+        dictionary[kind] = b"\n".join(part)
+    compressor = {k: zstandard.ZstdCompressor(level=compression_quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_dict_id=False) for k, d in dictionary.items()}
+
+    def features(t):
+        raw = t.encode()
+        d = (len(compressor[0].compress(raw)) - len(compressor[1].compress(raw))) / len(raw) if raw else 0.0
+        return [1.0, 10 * d, d * np.log2(1 + len(raw)) if raw else 0.0]
+
+    x, y = np.array([features(text[i]) for i in held]), np.array([float(good[i]) for i in held])
+
+    def loss(w):  # of the penalised curve, which has one least point
+        z = x @ w
+        return np.logaddexp(0, z).sum() - y @ z + 0.005 * w @ w
+
+    model = compression_quality.fit(docs, labels)
+    assert (model.good, model.bad) == (dictionary[1], dictionary[0])
+    shares = Counter(q for i, q in good.items() if zlib.crc32(str(i).encode()) % 5)
+    w = np.array(model.weights)
+    w[0] -= np.log((shares[1] / shares[0]) / (y.sum() / (len(y) - y.sum())))
+    for k in range(3):
+        for step in (1e-3, -1e-3):
+            assert loss(w) <= loss(w + step * np.eye(3)[k])
+    for r in compression_quality.query(spark, SF).collect():
+        wanted = 1 / (1 + np.exp(-np.clip(np.array(features(text[r["doc_id"]])) @ np.array(model.weights), -30, 30)))
+        assert abs(r["score"] - wanted) < 1e-9 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_compression_fit_with_one_very_long_text(spark):
     docs = [(i, ("good words of the best kind " if i % 2 else "$$$ win cash now $$$ ") * (3 + i % 7)) for i in range(200)]
     of = lambda rows, schema: spark.createDataFrame(rows, schema)
