@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from eventloom.operators import extract as x
 from eventloom.plans.catalog import query
 from eventloom.session import kept
