@@ -224,10 +224,11 @@ def explained(nodes: DataFrame, edges: DataFrame, path: list[dict], *, mode: str
     return steps.join(nodes, "id").withColumn("penalty", penalty.cast("long")).join(e, "edge", "left").select("hop", "id", "label", "kind", "edge", "relation", "class", "edge_kind", "cost", "penalty")
 
 
-def quality(steps: DataFrame) -> DataFrame:
-    """One row about explained steps: edges by class, hubs, outside nodes, inheritance, directness between 0 and 1, relations in order (GR21)."""
+def quality(steps: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """One row about explained steps: edges by class, hubs, outside nodes, inheritance, directness between 0 and 1, relations in order (GR21);
+    with keys (columns of steps) a row for each path."""
     n = lambda x: F.count(F.when(x, 1))
-    out = steps.agg(
+    out = steps.groupBy(*keys).agg(
         n(F.col("class") == "semantic").alias("semantic"), n(F.col("class") == "structural").alias("structural"), n(F.col("kind").isin("community", "project", "workspace")).alias("hubs"), n(F.lower("label").contains("(external)")).alias("outside"),
         n(F.col("relation").isin("inherits", "implements") | (F.col("edge_kind") == "inherits")).alias("inheritance"), F.greatest(F.count("edge"), F.lit(1)).alias("hops"),
         F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("edge").isNotNull(), F.struct("hop", "relation")))), lambda x: x["relation"]), ",").alias("relations"))

@@ -134,11 +134,15 @@ def scorecard(scores: DataFrame) -> DataFrame:
     return one.unionByName(mean).withColumn("status", status(F.col("score")))
 
 
-def path_faults(quality: DataFrame, *, most: dict[str, int] = {}, directness: float = 0.0, forbidden: tuple[str, ...] = ()) -> DataFrame:
-    """The rules that a path's quality row breaks (GA6): most by column, the least directness, relations that must not occur."""
+def path_faults(quality: DataFrame, *, most: dict[str, int] = {}, directness: float = 0.0, forbidden: tuple[str, ...] = (), required: tuple[str, ...] = (), keys: tuple[str, ...] = ()) -> DataFrame:
+    """The rules that paths' quality rows break, with their keys (GA6): most by column, the least directness, relations that must not
+    occur, and relations that must, in this order."""
     faults = [F.when(F.col(k) > n, F.lit(f"too_many_{k}")) for k, n in most.items()]
     faults += [F.when(F.col("directness") < directness, F.lit("indirect"))] + [F.when(F.array_contains(F.split("relations", ","), r), F.lit(f"forbidden_{r}")) for r in forbidden]
-    return quality.select(F.explode(F.array_compact(F.array(*faults))).alias("fault"))
+    if required:
+        met = F.aggregate(F.split("relations", ","), F.lit(0), lambda at, x: F.when(F.element_at(F.array(*map(F.lit, required), F.lit("")), at + 1) == x, at + 1).otherwise(at))
+        faults.append(F.when(met < len(required), F.lit("required_order")))
+    return quality.select(*keys, F.explode(F.array_compact(F.array(*faults))).alias("fault"))
 
 
 def commands(lines: DataFrame) -> DataFrame:

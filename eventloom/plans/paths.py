@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import batches
 from eventloom.operators import code as c
 from eventloom.operators import paths as p
+from eventloom.operators import reports as r
 from eventloom.plans.catalog import query
 from eventloom.plans.code import BRIDGE, DEG, G, LOWP, RELATION, TEST, resolution_sql, seeds_sql
 from eventloom.session import kept
@@ -208,3 +209,21 @@ def path_benchmark(spark, d):
             ("edge", *ENDS, "balanced", "(?i)^orderservice", "(?i)^orderservice", None, [], ["documents"], []), ("ends", *ENDS, "balanced", "(?i)^invoice", "(?i)^orderservice", None, *none)]
     cases = spark.createDataFrame(rows, "case_id string, source string, target string, mode string, from_pattern string, to_pattern string, path_pattern string, forbidden array<string>, required array<string>, preferred array<string>")
     return batches.path_benchmark(n, e, cases, p.steps_by(n, e))
+
+
+#: Steps of a path for every order: its lines in order, with relations and kinds by number.
+STEPS_OF = """SELECT l_orderkey AS path, CAST(l_linenumber AS INT) AS hop, CASE WHEN l_linenumber > 1 THEN 'e' || CAST(l_linenumber AS VARCHAR(9)) END AS edge, CASE WHEN l_linenumber > 1 THEN split_part('calls,uses,inherits,belongs_to,declares', ',', CAST(1 + min(l_partkey) % 5 AS INT)) END AS relation,
+CASE WHEN l_linenumber > 1 THEN CASE WHEN min(l_partkey) % 5 < 2 THEN 'semantic' ELSE 'structural' END END AS class, CASE WHEN l_linenumber > 1 THEN 'k' END AS edge_kind, split_part('symbol,community,code_file,project', ',', CAST(1 + min(l_suppkey) % 4 AS INT)) AS kind, CASE WHEN min(l_suppkey) % 9 = 0 THEN 'X (external)' ELSE 'Y' END AS label FROM {lineitem} GROUP BY l_orderkey, l_linenumber"""
+QUALITY = f"""so AS ({w.bound(STEPS_OF)}), ql AS (SELECT *, round(greatest(0, least(1, (semantic + 1) / (semantic + structural + hubs + inheritance + hops))), 6)::DOUBLE AS directness FROM (SELECT path, count(*) FILTER (class = 'semantic') AS semantic, count(*) FILTER (class = 'structural') AS structural,
+ count(*) FILTER (kind IN ('community', 'project')) AS hubs, count(*) FILTER (label = 'X (external)') AS outside, count(*) FILTER (relation = 'inherits') AS inheritance, greatest(count(edge), 1) AS hops, coalesce(string_agg(relation, ',' ORDER BY hop) FILTER (edge IS NOT NULL), '') AS relations FROM so GROUP BY path))"""
+
+
+@query(f"WITH {QUALITY} SELECT path, semantic::BIGINT AS semantic, structural::BIGINT AS structural, hubs::BIGINT AS hubs, outside::BIGINT AS outside, inheritance::BIGINT AS inheritance, hops::BIGINT AS hops, relations, directness FROM ql")
+def path_qualities(spark, d):
+    return p.quality(w.of(spark, d, STEPS_OF), ("path",))
+
+
+@query(f"WITH {QUALITY} SELECT path, 'too_many_hubs' AS fault FROM ql WHERE hubs > 2 UNION ALL SELECT path, 'too_many_structural' FROM ql WHERE structural > 3 UNION ALL SELECT path, 'indirect' FROM ql WHERE directness < 0.3 UNION ALL SELECT path, 'forbidden_declares' FROM ql WHERE list_contains(string_split(relations, ','), 'declares') UNION ALL SELECT path, 'required_order' FROM ql WHERE NOT regexp_matches(',' || relations || ',', ',calls,(.*,)?uses,')")
+def path_faults(spark, d):
+    quality = p.quality(w.of(spark, d, STEPS_OF), ("path",))
+    return r.path_faults(quality, most={"hubs": 2, "structural": 3}, directness=0.3, forbidden=("declares",), required=("calls", "uses"), keys=("path",))

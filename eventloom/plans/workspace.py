@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from eventloom.functions import scalars as s
+from eventloom.operators import reports as r
 from eventloom.operators import workspace as o
 from eventloom.plans.catalog import query
 from eventloom.plans.code import G, RELATION, SHOWN, names
@@ -243,7 +244,10 @@ def merged_graph(spark, d):
     return o.updated(n, e, part, e.filter("id LIKE 'f:%'"), touched(n))[0].select("id", "label")
 
 
-@query(f"{G}, fi AS (SELECT * FROM nodes WHERE kind IN ('code_file', 'config_file', 'doc_file', 'test')), k AS (SELECT count(*) AS n, count(*) FILTER ({GEN}) AS g FROM fi) SELECT 'unsupported_language_risk' AS code, 'warn' AS severity, 4::BIGINT AS n UNION ALL SELECT 'partial_scan_breaker', 'warn', 2 UNION ALL SELECT 'generated_path_dominance', 'fail', g FROM k WHERE g * 100 / n > 40.5")
+GATES = f"{G}, fi AS (SELECT * FROM nodes WHERE kind IN ('code_file', 'config_file', 'doc_file', 'test')), k AS (SELECT count(*) AS n, count(*) FILTER ({GEN}) AS g FROM fi) SELECT 'unsupported_language_risk' AS code, 'warn' AS severity, 4::BIGINT AS n UNION ALL SELECT 'partial_scan_breaker', 'warn', 2 UNION ALL SELECT 'generated_path_dominance', 'fail', g FROM k WHERE g * 100 / n > 40.5"
+
+
+@query(GATES)
 def quality_gates(spark, d):
     markers = files(spark, d).filter(F.col("path").rlike(o.MARKER))
     return o.quality_gates(w.nodes(spark, d), markers, {"breaker": 2, "unsupported": 4})
@@ -355,3 +359,11 @@ def merged_hubs(spark, d):
     hubs = kept(o.hubs_of(kept(o.assigned(files(spark, d), depends(spark, d)), "assigned"), depends(spark, d), 5), "hubs")
     told = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["label"], x["n"].cast("string"))), ",").alias(c)
     return o.merged_hubs(hubs).select("id", "label", "files", F.array_join("top_files", ",").alias("top_files"), told("incoming"), told("outgoing"), "degree", F.array_join("merged", ",").alias("merged"))
+
+
+
+@query(f"{GATES} UNION ALL SELECT 'stale_handoff', 'warn', 0 UNION ALL SELECT 'symbol_regression', 'fail', count(*)::BIGINT FROM nodes WHERE kind = 'symbol'")
+def fusion_checks(spark, d):
+    """The gates of a graph with half the symbols that it had before, and of a report that is stale."""
+    symbols = w.nodes(spark, d).filter("kind = 'symbol'").count()
+    return r.fusion_checks(symbols, 2 * symbols, True, quality_gates(spark, d))
