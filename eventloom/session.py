@@ -5,22 +5,25 @@ from __future__ import annotations
 import functools
 import shutil
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SENT: set[str] = set()
+_SENDING = threading.Lock()  # several queries may start at once
 
 
 def ship(spark: SparkSession) -> None:
     """Sends this package once an application, as ``--py-files`` would."""
     context = spark.sparkContext
-    if context.applicationId not in _SENT:
-        root = Path(__file__).resolve().parent
-        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name)
-        context.addPyFile(archive)
-        _SENT.add(context.applicationId)
+    with _SENDING:
+        if context.applicationId not in _SENT:
+            root = Path(__file__).resolve().parent
+            archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='spark-')}/{root.name}", "zip", root.parent, root.name)
+            context.addPyFile(archive)
+            _SENT.add(context.applicationId)
 
 
 def shipped(query):
