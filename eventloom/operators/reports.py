@@ -170,6 +170,35 @@ def fusion_checks(symbols_now: int, symbols_before: int | None, stale: bool, gat
     return gates.unionByName(spark.createDataFrame(more, "code string, severity string, n long"))
 
 
+def retrieved_by(nodes: DataFrame, edges: DataFrame, ids: DataFrame, prefix: str, *, budget: int = 8, members: int = 12, links: int = 8) -> DataFrame:
+    """What each retrieval id (column retrieval_id) stands for, with what lies beside it (GR24): retrieval_id, kind, label, place, id,
+    edge_kind.
+
+    A node has its first neighbours, by label; a community its first members; a piece of documentation the other ends of its
+    first edges, by edge; a path its two ends; a benchmark nothing. An id of something that isn't there has no row, one
+    without neighbours a row without a place.
+    """
+    kind, first, second = s.retrieval_parts(prefix, F.col("retrieval_id"))
+    asked = ids.select("retrieval_id", kind.alias("kind"), first.alias("a"), second.alias("other")).distinct()
+    real = asked.join(nodes.select(F.col("id").alias("a"), F.col("label"), F.col("kind").alias("node_kind")), "a")
+    real = real.filter((F.col("kind") == "node") | (F.col("kind") == "community") & (F.col("node_kind") == "community") | (F.col("kind") == "doc") & F.col("node_kind").isin(*c.DOC_KINDS))
+    ends = edges.select("id", "src", "dst", "kind")
+    way = lambda a, b: ends.select(F.col(a).alias("a"), F.col(b).alias("b"), F.col("id").alias("edge"), F.col("kind").alias("edge_kind"), F.lit(a == "dst").alias("into"))
+    near = way("src", "dst").unionByName(way("dst", "src").filter("a <> b")).join(real.select("a", "kind", "retrieval_id"), "a")
+    labels = nodes.select(F.col("id").alias("b"), F.col("label").alias("b_label"))
+    first_of = lambda rows, most, *order: rows.withColumn("place", F.row_number().over(Window.partitionBy("retrieval_id").orderBy(*order))).filter(F.col("place") <= most).select("retrieval_id", "place", F.col("b").alias("id"), "edge_kind")
+    of_node = near.filter("kind = 'node' AND b <> a").groupBy("retrieval_id", "b").agg(F.min("edge_kind").alias("edge_kind")).join(labels, "b")
+    of_home = near.filter("kind = 'community' AND edge_kind = 'belongs_to' AND into").select("retrieval_id", "b", "edge_kind").distinct().join(labels, "b")
+    of_doc = near.filter("kind = 'doc'").join(labels, "b")
+    beside = first_of(of_node, budget, "b_label", "b").unionByName(first_of(of_home, members, "b_label", "b")).unionByName(first_of(of_doc, links, "edge"))
+    found = real.select("retrieval_id", "kind", "label").join(beside, "retrieval_id", "left")
+    paths = asked.filter("kind = 'path'").select("retrieval_id", "kind", F.concat_ws(" > ", "a", "other").alias("label"), F.posexplode(F.array_compact(F.array("a", "other"))).alias("k", "id"))
+    paths = paths.select("retrieval_id", "kind", "label", (F.col("k") + 1).alias("place"), "id", F.lit(None).cast("string").alias("edge_kind"))
+    none = F.lit(None).cast("string")
+    marks = asked.filter("kind = 'benchmark'").select("retrieval_id", "kind", F.col("a").alias("label"), F.lit(None).cast("int").alias("place"), none.alias("id"), none.alias("edge_kind"))
+    return found.unionByName(paths).unionByName(marks)
+
+
 def retrieved(nodes: DataFrame, edges: DataFrame, id: str, budget: int = 8) -> DataFrame:
     """The first neighbours of a node, by label, with the edge's kind (GR24)."""
     near = edges.filter(F.col("src") == id).select(F.col("dst").alias("id"), F.col("kind").alias("edge_kind")).unionByName(edges.filter(F.col("dst") == id).select(F.col("src").alias("id"), F.col("kind").alias("edge_kind")))

@@ -137,6 +137,22 @@ def context_slice(spark, d):
     return r.context_slice(n, e, n.filter("id IN ('file:3', 'file:5')").select("id"), "order service")[1].select("id", "src", "dst")
 
 
+#: Ids of every community, some symbols and sections as what they are and as what they aren't, of what isn't there, paths and benchmarks.
+ASKED_IDS = """SELECT 'g:community:' || id AS retrieval_id FROM nodes WHERE kind IN ('community', 'project') UNION ALL SELECT 'g:node:' || id FROM nodes WHERE kind = 'symbol' AND id LIKE '%7' UNION ALL SELECT 'g:doc:' || id FROM nodes WHERE kind IN ('doc_section', 'symbol') AND id LIKE '%3'
+UNION ALL SELECT 'g:node:gone' UNION ALL SELECT 'g:path:a:b' UNION ALL SELECT 'g:benchmark:speed' UNION ALL SELECT 'g:other:x'"""
+
+
+@query(f"""{G}, iq AS ({ASKED_IDS}), q AS (SELECT retrieval_id, string_split(retrieval_id, ':')[2] AS kind, regexp_replace(retrieval_id, '^g:[a-z]+:', '') AS a FROM iq), rl AS (SELECT q.*, label FROM q JOIN nodes n ON n.id = a WHERE q.kind = 'node' OR q.kind = 'community' AND n.kind = 'community' OR q.kind = 'doc' AND n.kind IN ('doc_file', 'doc_section')),
+nr AS (SELECT src AS a, dst AS b, id AS edge, kind AS edge_kind, FALSE AS into_ FROM edges UNION ALL SELECT dst, src, id, kind, TRUE FROM edges WHERE src <> dst), x AS (SELECT rl.retrieval_id, rl.kind, nr.*, n.label AS bl FROM rl JOIN nr USING (a) JOIN nodes n ON n.id = b),
+bs AS (SELECT retrieval_id, row_number() OVER (PARTITION BY retrieval_id ORDER BY bl, b) AS place, b AS id, edge_kind FROM (SELECT retrieval_id, b, bl, min(edge_kind) AS edge_kind FROM x WHERE kind = 'node' AND a <> b GROUP BY ALL) QUALIFY place <= 8
+ UNION ALL SELECT retrieval_id, row_number() OVER (PARTITION BY retrieval_id ORDER BY bl, b) AS place, b, edge_kind FROM (SELECT DISTINCT retrieval_id, b, bl, edge_kind FROM x WHERE kind = 'community' AND edge_kind = 'belongs_to' AND into_) QUALIFY place <= 12
+ UNION ALL SELECT retrieval_id, row_number() OVER (PARTITION BY retrieval_id ORDER BY edge) AS place, b, edge_kind FROM x WHERE kind = 'doc' QUALIFY place <= 8)
+SELECT retrieval_id, kind, label, place::INT AS place, bs.id, edge_kind FROM rl LEFT JOIN bs USING (retrieval_id) UNION ALL SELECT 'g:path:a:b', 'path', 'a > b', 1, 'a', NULL UNION ALL SELECT 'g:path:a:b', 'path', 'a > b', 2, 'b', NULL UNION ALL SELECT 'g:benchmark:speed', 'benchmark', 'speed', NULL, NULL, NULL""")
+def retrieved_ids(spark, d):
+    n, e = graph(spark, d)
+    return r.retrieved_by(n, e, spark.sql(ASKED_IDS.replace("FROM nodes", "FROM {nodes}"), nodes=n), "g")
+
+
 TOUCHED = "SELECT l_suppkey AS run, CASE l_linenumber % 3 WHEN 0 THEN '/abs/' WHEN 1 THEN '' ELSE '../' END || {path} AS path FROM {lineitem}"
 
 
