@@ -24,10 +24,10 @@ def around(edges: DataFrame, frontier: DataFrame) -> DataFrame:
 def neighbourhoods(edges: DataFrame, seeds: DataFrame, *, budget: int = 40, depth: int = 4) -> DataFrame:
     """query_id, id, place of what each query finds breadth first (GR1, SEA21), from seeds (query_id, id, place from 0 on).
 
-    Neighbours are found in order of their parent's place, then id; a query ends when its budget of ids is used up. Of a
-    parent's neighbours twice the budget, by id, hold as many new ones as the budget can take.
+    Neighbours are found in order of their parent's place, then id; a query ends when its budget of ids is used up, and keeps
+    all its seeds. Of a parent's neighbours twice the budget, by id, hold as many new ones as the budget can take.
     """
-    found = frontier = kept(seeds.filter(F.col("place") < budget).select("query_id", "id", F.col("place").cast("long").alias("place")), "neighbourhoods")
+    found = frontier = kept(seeds.select("query_id", "id", F.col("place").cast("long").alias("place")), "neighbourhoods")
     for _ in range(depth):
         near = around(edges, frontier.select("query_id", F.col("id").alias("a"), F.col("place").alias("parent"))).distinct()
         few = Window.partitionBy("query_id", "a").orderBy("b")

@@ -29,7 +29,7 @@ def bfs(edges, seeds, budget, depth):
     for a, b in edges:
         near.setdefault(a, set()).add(b)
         near.setdefault(b, set()).add(a)
-    found, level = list(dict.fromkeys(seeds))[:budget], list(dict.fromkeys(seeds))[:budget]
+    found, level = list(dict.fromkeys(seeds)), list(dict.fromkeys(seeds))
     for _ in range(depth):
         new = []
         for a in level:
@@ -41,7 +41,7 @@ def bfs(edges, seeds, budget, depth):
     return {(i, p) for p, i in enumerate(found)}
 
 
-@pytest.mark.parametrize(("budget", "depth"), [(7, 3), (40, 2)])
+@pytest.mark.parametrize(("budget", "depth"), [(7, 3), (40, 2), (2, 2)])
 def test_neighbourhoods_of_many_queries(spark, budget, depth):
     edges = random_edges(1, 30, 60)
     seeds = {"a": ["n1"], "b": ["n2", "n9", "lost"], "c": ["n1", "n1"], "d": ["lost"]}
