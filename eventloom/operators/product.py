@@ -148,16 +148,45 @@ def execution(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("*", (F.col("runs") == 0).alias("no_run"), (F.col("evidence") == 0).alias("no_evidence"), ((F.col("runs") == 0) | (F.col("evidence") == 0)).alias("drift"))
 
 
-def test_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Of each completed task the test results beside it, its runs and their evidence, and the evidence's test commands (PR5)."""
-    runs, is_run = task_runs(nodes, edges), F.col("kind") == "agent_run"
+def union_sizes(near: DataFrame, of: DataFrame) -> DataFrame:
+    """(task, n): how many distinct b the nodes a near a task have together; near (task, a), of (a, b). Tasks without any have no row.
+
+    A task's a with the most b counts by its size alone, and so do b that only one a has; listed are the others' shared b. So
+    tasks around one hub cost a row each, not as many as the hub has.
+    """
+    of = kept(of.distinct(), "union_of")
+    marked = of.join(of.groupBy("b").agg((F.count("*") > 1).alias("shared")), "b")
+    sizes = marked.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~F.col("shared"), 1)).alias("alone"))
+    most = Window.partitionBy("task").orderBy(F.desc("n"), "a")
+    near = kept(near.distinct().join(sizes, "a").withColumn("k", F.row_number().over(most)).withColumn("top", F.first("a").over(most)), "union_near")
+    listed = near.filter("k > 1").join(marked.filter("shared"), "a").select("task", "top", "b").distinct()
+    listed = listed.join(of.withColumnRenamed("a", "top"), ["top", "b"], "left_anti").select("task", F.lit(1).cast("long").alias("n"))
+    return near.select("task", F.when(F.col("k") == 1, F.col("n")).otherwise(F.col("alone")).alias("n")).unionByName(listed).groupBy("task").agg(F.sum("n").alias("n"))
+
+
+def _tested(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The runs (task, run) and evidence (task, evidence) of completed tasks, what may have test results (task, a), those (a, b), and test commands by task."""
+    runs, is_run = kept(task_runs(nodes, edges), "task_runs"), F.col("kind") == "agent_run"
     found = runs.join(beside(nodes, edges, ("produced_by",), is_run, F.col("kind") == "evidence").withColumnRenamed("a", "run"), "run").select("task", F.col("b").alias("evidence")).distinct()
+    found = kept(found, "task_evidence")
     related = _done(nodes).select("task", F.col("task").alias("a")).unionByName(runs.select("task", F.col("run").alias("a"))).unionByName(found.select("task", F.col("evidence").alias("a")))
-    results = related.join(beside(nodes, edges, ("verifies", "produced_by"), F.lit(True), F.col("kind") == "test_result"), "a").select("task", "b").distinct()
+    results = beside(nodes, edges, ("verifies", "produced_by"), F.lit(True), F.col("kind") == "test_result")
     commands = found.join(nodes.select(F.col("id").alias("evidence"), "tests"), "evidence").groupBy("task").agg(F.sum("tests").alias("commands"))
-    out = _counted(_done(nodes), runs=runs, evidence=found, results=results).join(commands, "task", "left").withColumn("commands", F.coalesce("commands", F.lit(0)).cast("long"))
+    return runs, found, related, results, commands
+
+
+def _linked(rows: DataFrame) -> DataFrame:
     linked = (F.col("runs") > 0) & (F.col("evidence") > 0)
-    return out.select("*", linked.alias("linked"), (linked & (F.col("results") == 0) & (F.col("commands") == 0)).alias("gap"))
+    return rows.select("*", linked.alias("linked"), (linked & (F.col("results") == 0) & (F.col("commands") == 0)).alias("gap"))
+
+
+def test_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Of each completed task the test results beside it, its runs and their evidence, and the evidence's test commands (PR5)."""
+    runs, found, related, results, commands = _tested(nodes, edges)
+    sizes = union_sizes(related, results).withColumnRenamed("n", "results")
+    out = _counted(_done(nodes), runs=runs, evidence=found).join(sizes, "task", "left").join(commands, "task", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return _linked(out.select("task", "runs", "evidence", zero("results"), zero("commands")))
 
 
 def execution_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
