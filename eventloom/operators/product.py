@@ -190,10 +190,13 @@ def test_evidence(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def execution_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """One row: completed tasks, and those that lack a run, evidence or tests (PR6, PR7)."""
-    n = lambda c: F.count(F.when(F.col(c), 1))
-    both = execution(nodes, edges).join(test_evidence(nodes, edges).select("task", "linked", "gap"), "task")
-    return both.agg(F.count("*").alias("completed"), n("drift").alias("with_drift"), n("no_run").alias("missing_run"), n("no_evidence").alias("missing_evidence"), n("linked").alias("with_evidence"), n("gap").alias("missing_tests"))
+    """One row: completed tasks, and those that lack a run, evidence or tests (PR6, PR7). Whether there are test results is enough here."""
+    runs, found, related, results, commands = _tested(nodes, edges)
+    tested = related.join(results.select("a"), "a", "left_semi")
+    out = _linked(_counted(_done(nodes), runs=runs, evidence=found, results=tested).join(commands, "task", "left").withColumn("commands", F.coalesce("commands", F.lit(0))))
+    n = lambda c: F.count(F.when(c, 1))
+    no_run, no_evidence = F.col("runs") == 0, F.col("evidence") == 0
+    return out.agg(F.count("*").alias("completed"), n(no_run | no_evidence).alias("with_drift"), n(no_run).alias("missing_run"), n(no_evidence).alias("missing_evidence"), n(F.col("linked")).alias("with_evidence"), n(F.col("gap")).alias("missing_tests"))
 
 
 def readiness(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -53,3 +53,13 @@ def test_test_results_behind_a_hub_are_counted(spark):
         evidence = set().union(*[near(kind, edges, x, ("produced_by",), ("evidence",)) for x in runs])
         results = set().union(*[near(kind, edges, x, ("verifies", "produced_by"), ("test_result",)) for x in {r["task"]} | runs | evidence])
         assert (r["runs"], r["evidence"], r["results"]) == (len(runs), len(evidence), len(results))
+
+
+def test_a_summary_counts_no_test_results(spark, monkeypatch):
+    n, e, _, _ = product_graph(spark)
+    rows = p.test_evidence(n, e).collect()
+    monkeypatch.setattr(p, "test_evidence", None)
+    monkeypatch.setattr(p, "union_sizes", None)
+    got = p.execution_summary(n, e).first()
+    assert (got["completed"], got["missing_run"], got["missing_evidence"], got["with_evidence"], got["missing_tests"]) == (
+        11, sum(r["runs"] == 0 for r in rows), sum(r["evidence"] == 0 for r in rows), sum(r["linked"] for r in rows), sum(r["gap"] for r in rows))
