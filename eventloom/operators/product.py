@@ -205,18 +205,31 @@ def readiness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _counted(tasks, blockers=blockers(nodes, edges).withColumnRenamed("node", "task")).withColumn("ready", F.col("blockers") == 0)
 
 
+def _behind(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, ...]:
+    """What is beside code: its runs and tasks (a, b), and the intents of code, of tasks and of runs, the runs' own and their tasks'."""
+    code, run, task = is_code(), F.col("kind") == "agent_run", F.col("kind") == "task"
+    runs = kept(beside(nodes, edges, ("touches",), code, run), "code_runs")
+    of_run = kept(beside(nodes, edges, ("produced_by",), run, task), "run_tasks")
+    of_task = kept(beside(nodes, edges, INTENT_LINKS, task, is_anchor()), "task_intents")
+    by_task = of_run.join(of_task.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
+    by_run = kept(beside(nodes, edges, ("produced_by", "verifies"), run, is_anchor()).unionByName(by_task).distinct(), "run_intents")
+    own = beside(nodes, edges, INTENT_LINKS, code, is_anchor())
+    area = kept(beside(nodes, edges, AREA_LINKS, code, task), "code_tasks")
+    return runs, of_run, area, own, of_task, by_run
+
+
 def code_intent(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Of each code node the runs that touched it, the tasks and the intents behind it, and whether changed code has none (PR9).
 
-    Runs are joined with what is beside them, so a run with very many files and tasks gives as many pairs; each is counted once.
+    The tasks and intents of a run are listed once a run; code counts them by ``union_sizes``.
     """
-    code, run, task = is_code(), F.col("kind") == "agent_run", F.col("kind") == "task"
-    runs = kept(beside(nodes, edges, ("touches",), code, run), "code_runs")
-    via = lambda near, kinds, of, to: near.join(beside(nodes, edges, kinds, of, to).withColumnRenamed("b", "c").withColumnRenamed("a", "b"), "b").select("a", F.col("c").alias("b"))
-    tasks = kept(via(runs, ("produced_by",), run, task).unionByName(beside(nodes, edges, AREA_LINKS, code, task)).distinct(), "code_tasks")
-    intents = beside(nodes, edges, INTENT_LINKS, code, is_anchor()).unionByName(via(runs, ("produced_by", "verifies"), run, is_anchor())).unionByName(via(tasks, INTENT_LINKS, task, is_anchor())).distinct()
-    rows = nodes.filter(code).select(F.col("id").alias("task"))
-    out = _counted(rows, runs=runs.withColumnRenamed("a", "task"), tasks=tasks.withColumnRenamed("a", "task"), intents=intents.withColumnRenamed("a", "task")).withColumnRenamed("task", "code")
+    runs, of_run, area, own, of_task, by_run = _behind(nodes, edges)
+    rows = nodes.filter(is_code()).select(F.col("id").alias("task"))
+    near = rows.select("task", F.col("task").alias("a")).unionByName(runs.select(F.col("a").alias("task"), F.col("b").alias("a")))
+    to_task = area.select(F.col("a").alias("task"), F.col("b").alias("a"))
+    tasks = union_sizes(near, of_run.unionByName(area)).withColumnRenamed("n", "tasks")
+    intents = union_sizes(near.unionByName(to_task), own.unionByName(by_run).unionByName(of_task.join(to_task.select("a"), "a", "left_semi"))).withColumnRenamed("n", "intents")
+    out = _counted(rows, runs=runs.withColumnRenamed("a", "task")).join(tasks, "task", "left").join(intents, "task", "left").fillna(0, ["tasks", "intents"]).withColumnRenamed("task", "code")
     return out.select("*", (F.col("runs") > 0).alias("changed"), ((F.col("runs") > 0) & (F.col("intents") == 0)).alias("drift"))
 
 

@@ -63,3 +63,11 @@ def test_a_summary_counts_no_test_results(spark, monkeypatch):
     got = p.execution_summary(n, e).first()
     assert (got["completed"], got["missing_run"], got["missing_evidence"], got["with_evidence"], got["missing_tests"]) == (
         11, sum(r["runs"] == 0 for r in rows), sum(r["evidence"] == 0 for r in rows), sum(r["linked"] for r in rows), sum(r["gap"] for r in rows))
+
+
+def test_tasks_and_intents_of_code_are_counted_once(spark, monkeypatch):
+    n, e, kind, edges = product_graph(spark)
+    used, real = [], p.union_sizes
+    monkeypatch.setattr(p, "union_sizes", lambda *x: used.append(1) or real(*x))
+    assert {r["code"]: (r["runs"], r["tasks"], r["intents"]) for r in p.code_intent(n, e).collect()} == behind(kind, edges)
+    assert len(used) == 2
