@@ -71,3 +71,10 @@ def test_tasks_and_intents_of_code_are_counted_once(spark, monkeypatch):
     monkeypatch.setattr(p, "union_sizes", lambda *x: used.append(1) or real(*x))
     assert {r["code"]: (r["runs"], r["tasks"], r["intents"]) for r in p.code_intent(n, e).collect()} == behind(kind, edges)
     assert len(used) == 2
+
+
+def test_drift_of_intent_counts_none(spark, monkeypatch):
+    n, e, kind, edges = product_graph(spark)
+    monkeypatch.setattr(p, "code_intent", None)
+    rows = [x for x in behind(kind, edges).values() if x[0]]
+    assert tuple(p.intent_drift(n, e).first()) == (len(rows), sum(x[2] > 0 for x in rows), sum(x[2] == 0 for x in rows))
