@@ -266,8 +266,7 @@ def planning_inputs(nodes: DataFrame, edges: DataFrame, k: int = 5) -> DataFrame
 def gate(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(code, n) of every check that fails: intent, run and test evidence, acceptance, freshness, or no data at all (PR20)."""
     row = lambda df, code, n: df.select(F.lit(code).alias("code"), n.cast("long").alias("n"))
-    execution_ = execution_summary(nodes, edges)
-    fresh = scan_freshness(nodes, edges)
+    execution_, fresh = kept(execution_summary(nodes, edges), "gate_execution"), kept(scan_freshness(nodes, edges), "gate_freshness")
     parts = [
         row(nodes.agg(F.count("*").alias("n")), "empty_product_graph", (F.col("n") == 0).cast("int")),
         row(intent_drift(nodes, edges), "code_intent_drift", F.col("without")), row(execution_, "execution_evidence_drift", F.col("with_drift")), row(execution_, "test_evidence_drift", F.col("missing_tests")),

@@ -78,3 +78,11 @@ def test_drift_of_intent_counts_none(spark, monkeypatch):
     monkeypatch.setattr(p, "code_intent", None)
     rows = [x for x in behind(kind, edges).values() if x[0]]
     assert tuple(p.intent_drift(n, e).first()) == (len(rows), sum(x[2] > 0 for x in rows), sum(x[2] == 0 for x in rows))
+
+
+def test_the_gate_computes_its_summaries_once(spark, monkeypatch):
+    n, e, _, _ = product_graph(spark)
+    names, real = [], p.kept
+    monkeypatch.setattr(p, "kept", lambda df, name: names.append(name) or real(df, name))
+    p.gate(n, e).collect()
+    assert names.count("gate_execution") == names.count("gate_freshness") == 1
