@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from eventloom.session import kept
 
-#: Sources of one target that meet in one task.
-TILE = 1024
+#: Sources of one target that meet in one task; targets that a source brings along as a list.
+TILE, LONGEST = 1024, 64
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
@@ -140,21 +140,35 @@ def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return member.groupBy("community").agg(F.count("*").alias("members")).join(crossing, "community", "left").select("community", "members", zero("inner_edges"), zero("crossing_edges"))
 
 
-def jaccard_neighbours(edges: DataFrame, kind: str, least: float) -> DataFrame:
+def jaccard_neighbours(edges: DataFrame, kind: str, least: float, longest: int = LONGEST) -> DataFrame:
     """Pairs of sources that share targets, by Jaccard similarity.
 
     Sources of a target that very many share are cut into tiles that meet two by two, so that no task grows with a target.
+    Sources bring their targets along, so that a pair is held against the threshold where it meets and only similar ones leave
+    the task; lists of more than ``longest`` targets stay rows, and pairs with such a source are counted by joins.
     """
     e = edges.filter(F.col("kind") == kind).select("src", "dst").distinct()
-    size = e.groupBy("src").agg(F.count("*").alias("n"))
     # prefix filter: a pair above the threshold shares one of the first few targets in a global rare-first order
-    rare = e.join(e.groupBy("dst").agg(F.count("*").alias("f")), "dst").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("f", "dst"))).join(size, "src")
-    prefix = rare.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("src", "dst")
+    rare = kept(e.join(e.groupBy("dst").agg(F.count("*").alias("f")), "dst"), "jaccard_edges")
+    size = rare.groupBy("src").agg(F.count("*").alias("n"))
+    e = rare.select("src", "dst")
+    short = rare.join(size.filter(F.col("n") <= longest), "src").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("f", "dst"))).alias("list"))
+    n = F.size("list")
+    short = short.select("src", n.cast("long").alias("n"), F.transform("list", lambda x: x["dst"]).alias("list"))
+    first = short.select("src", "n", "list", F.explode(F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("dst"))
+    many = rare.join(size.filter(F.col("n") > longest), "src").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("f", "dst")))
+    many = many.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("src", "n", F.lit(None).cast("array<string>").alias("list"), "dst")
+    prefix = first.unionByName(many)
     tiles = prefix.groupBy("dst").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     own = F.pmod(F.xxhash64("src"), F.col("tiles")).cast("int")
     dealt = prefix.join(tiles, "dst").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("src", "dst", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-    pairs = dealt.withColumnRenamed("src", "a").join(dealt.withColumnRenamed("src", "b"), ["dst", "lo", "hi"]).filter("a < b").select("a", "b").distinct()
-    common = pairs.join(e.select(F.col("src").alias("a"), "dst"), "a").join(e.select(F.col("src").alias("b"), "dst"), ["b", "dst"]).groupBy("a", "b").agg(F.count("*").alias("common"))
-    out = common.join(size.select(F.col("src").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("src").alias("b"), F.col("n").alias("nb")), "b")
-    return out.withColumn("similarity", F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity")
+    dealt = dealt.select("src", "n", "list", "dst", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    side = lambda x: dealt.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"), F.col("list").alias(f"list_{x}"), "dst", "lo", "hi")
+    similarity = F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)
+    met = side("a").join(side("b"), ["dst", "lo", "hi"]).filter("a < b").filter(F.round(F.least("na", "nb") / F.greatest("na", "nb"), 6) >= least)
+    listed = F.col("list_a").isNotNull() & F.col("list_b").isNotNull()
+    here = met.filter(listed).withColumn("common", F.size(F.array_intersect("list_a", "list_b")).cast("long"))
+    here = here.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity").distinct()
+    pairs = met.filter(~listed).select("a", "b", "na", "nb").distinct()
+    there = pairs.join(e.select(F.col("src").alias("a"), "dst"), "a").join(e.select(F.col("src").alias("b"), "dst"), ["b", "dst"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
+    return here.unionByName(there.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity"))

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
-from pyspark.sql import functions as F
-
+from eventloom.operators import graph, paths, vectors
 from eventloom.operators import product as p
+from eventloom.plans import code as code_plans
+from eventloom.plans import reports as report_plans
+from eventloom.sources import workspace as w
 
 NODE, EDGE = "id string, kind string, title string, status string, tests int, scanned boolean, made string", "id string, src string, dst string, kind string, trust string, made string"
+SF = "/root/testdata/sf0.001"
 
 
 def product_graph(spark):
@@ -86,3 +90,12 @@ def test_the_gate_computes_its_summaries_once(spark, monkeypatch):
     monkeypatch.setattr(p, "kept", lambda df, name: names.append(name) or real(df, name))
     p.gate(n, e).collect()
     assert names.count("gate_execution") == names.count("gate_freshness") == 1
+
+
+def test_similar_sources_leave_their_task_alone(spark):
+    have = {f"s{i}": {f"p{(i * k) % 23}" for k in range(1, 2 + i % 6)} | ({"hub"} if i % 2 else set()) for i in range(40)}
+    e = spark.createDataFrame([(a, b, "k") for a, bs in have.items() for b in sorted(bs)], "src string, dst string, kind string")
+    want = {(a, b, len(have[a] & have[b])) for a in have for b in have if a < b and round(len(have[a] & have[b]) / len(have[a] | have[b]), 6) >= 0.5}
+    for longest in (64, 2, 0):  # as lists, both ways, as rows
+        rows = graph.jaccard_neighbours(e, "k", 0.5, longest).collect()
+        assert len(rows) == len(want) and {(r["a"], r["b"], r["common"]) for r in rows} == want
