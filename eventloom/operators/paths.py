@@ -162,15 +162,20 @@ def weighted(nodes: DataFrame, edges: DataFrame, *, mode: str = "balanced", inte
     """Steps a to b of usable edges, with the parts of the rank that each adds (GR6, GR7)."""
     n = c.with_degree(nodes, edges).select(
         F.col("id"), node_penalty(mode, intent, lens).alias("penalty"), c.is_test().cast("int").alias("t"), (c.is_low_value_bridge() | (F.col("degree") >= 12)).cast("int").alias("hub"))
-    tests = n.select("id", (F.col("t") == 1).alias("test"))
-    e = edges.join(tests.select(F.col("id").alias("src"), F.col("test").alias("src_test")), "src", "left").join(tests.select(F.col("id").alias("dst"), F.col("test").alias("dst_test")), "dst", "left")
-    e = e.fillna(False, ["src_test", "dst_test"]).withColumn("cost", edge_cost(mode, intent, lens)).filter("cost IS NOT NULL")
     r, kind = c.relation(), F.col("kind")
     structural = r.isin("belongs_to", "source_file", "declares", "constructor", "project_reference", "using_directive") | kind.isin("belongs_to", "declares")
     heirs = r.isin("inherits", "implements") | kind.isin("inherits", "implements")
-    e = e.select("src", "dst", F.col("id").alias("edge"), F.col("cost").cast("double").alias("cost"), structural.cast("int").alias("structural"), heirs.cast("int").alias("inheritance"))
-    way = lambda a, b: e.select(F.col(a).alias("a"), F.col(b).alias("b"), "edge", "cost", "structural", "inheritance")
-    return way("src", "dst").unionByName(way("dst", "src")).join(n.withColumnRenamed("id", "b"), "b")
+    # both costs before the joins, with tests at the ends and without, so that few and narrow columns are shuffled
+    cost = edge_cost(mode, intent, lens).cast("double")
+    e = edges.withColumns({"src_test": F.lit(False), "dst_test": F.lit(False)}).withColumn("plain_cost", cost).withColumn("src_test", F.lit(True)).withColumn("test_cost", cost)
+    e = e.filter("plain_cost IS NOT NULL").select("src", "dst", F.col("id").alias("edge"), "plain_cost", F.col("test_cost").isNotNull().alias("for_tests"), structural.cast("int").alias("structural"), heirs.cast("int").alias("inheritance"))
+    end = lambda x: n.select(F.col("id").alias(x), F.struct("penalty", "t", "hub").alias(f"{x}_node"))
+    e = e.join(end("src"), "src", "left").join(end("dst"), "dst", "left")
+    test = lambda x: F.coalesce(F.col(f"{x}_node.t") == 1, F.lit(False))
+    e = e.filter(F.col("for_tests") | ~(test("src") | test("dst")))
+    ways = F.array(*[F.struct(F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"{b}_node").alias("node")) for a, b in (("src", "dst"), ("dst", "src"))])
+    steps = e.select(F.explode(ways).alias("way"), "edge", F.col("plain_cost").alias("cost"), "structural", "inheritance").filter("way.node IS NOT NULL")
+    return steps.select("way.b", "way.a", "edge", "cost", "structural", "inheritance", "way.node.penalty", "way.node.t", "way.node.hub")
 
 
 def ranks(steps: DataFrame, start: str, *, most: int = 12, goal: str | None = None) -> DataFrame:

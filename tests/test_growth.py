@@ -99,3 +99,9 @@ def test_similar_sources_leave_their_task_alone(spark):
     for longest in (64, 2, 0):  # as lists, both ways, as rows
         rows = graph.jaccard_neighbours(e, "k", 0.5, longest).collect()
         assert len(rows) == len(want) and {(r["a"], r["b"], r["common"]) for r in rows} == want
+
+
+def test_steps_of_paths_join_their_ends_once(spark):
+    steps = paths.weighted(w.nodes(spark, SF), w.edges(spark, SF), intent="code_to_code")
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftOuter") <= 4 and "Union" not in plan.split("Join")[0]
