@@ -274,17 +274,18 @@ def levels(edges: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """
     key = list(keys)
     open_ = kept(edges.select(*key, "src", "dst").distinct(), "levels")
-    rest = kept(open_.select(*key, F.col("src").alias("id")).union(open_.select(*key, "dst")).distinct(), "levels")
+    ends = open_.select(*key, F.col("src").alias("id"), F.lit(0).alias("n")).unionByName(open_.select(*key, F.col("dst").alias("id"), F.lit(1).alias("n")))
+    rest = kept(ends.groupBy(*key, "id").agg(F.sum("n").alias("n")), "levels")
+    # a node leaves once, and takes its own edges from its successors' open ones; edges are never written again
+    ready, rest = rest.filter("n = 0").select(*key, "id").withColumn("level", F.lit(0)), rest.filter("n > 0")
     out, level = None, 0
-    while True:
-        ready = kept(rest.join(open_.select(*key, F.col("dst").alias("id")), [*key, "id"], "left_anti").withColumn("level", F.lit(level)), "levels")
-        if ready.isEmpty():
-            break
+    while not ready.isEmpty():
         out = ready if out is None else out.unionByName(ready)
-        rest = kept(rest.join(ready, [*key, "id"], "left_anti"), "levels")
-        open_ = kept(open_.join(ready.select(*key, F.col("id").alias("src")), [*key, "src"], "left_anti"), "levels")
         level += 1
-    stuck = rest.withColumn("level", F.lit(None).cast("int"))
+        taken = open_.join(ready.select(*key, F.col("id").alias("src")), [*key, "src"], "left_semi").groupBy(*key, F.col("dst").alias("id")).agg(F.count("*").alias("taken"))
+        left = kept(rest.join(taken, [*key, "id"], "left").select(*key, "id", (F.col("n") - F.coalesce("taken", F.lit(0))).alias("n")), "levels")
+        ready, rest = left.filter("n = 0").select(*key, "id").withColumn("level", F.lit(level)), left.filter("n > 0")
+    stuck = rest.select(*key, "id").withColumn("level", F.lit(None).cast("int"))
     return stuck if out is None else out.unionByName(stuck)
 
 

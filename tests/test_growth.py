@@ -105,3 +105,12 @@ def test_steps_of_paths_join_their_ends_once(spark):
     steps = paths.weighted(w.nodes(spark, SF), w.edges(spark, SF), intent="code_to_code")
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("LeftOuter") <= 4 and "Union" not in plan.split("Join")[0]
+
+
+def test_levels_write_their_edges_once(spark, monkeypatch):
+    written, real = [], paths.kept
+    monkeypatch.setattr(paths, "kept", lambda df, name: written.append(df.columns) or real(df, name))
+    e = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("x", "x"), ("x", "y"), ("q", "r"), ("r", "q"), ("a", "q")]
+    got = paths.levels(spark.createDataFrame(e + e[:2], "src string, dst string"))
+    assert {r["id"]: r["level"] for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "x": None, "y": None, "q": None, "r": None}
+    assert sum("src" in c for c in written) == 1
