@@ -30,12 +30,15 @@ def shown(nodes: DataFrame) -> DataFrame:
 def edge_roles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """id, semantic, dependency: what an edge is on a code map, by relation, else by the kinds of its ends (FI18)."""
     kind = lambda end: nodes.select(F.col("id").alias(end), F.col("kind").alias(f"{end}_kind"))
-    rows = edges.join(kind("src"), "src", "left").join(kind("dst"), "dst", "left")
     symbols = (F.col("src_kind") == "symbol") & (F.col("dst_kind") == "symbol")
     on_map = lambda end: F.col(f"{end}_kind").isin("code_file", "symbol", "community")
     told = F.coalesce(F.col("relation").isin("calls", "uses", "semantic_calls", "semantic_constructor"), F.lit(False))
-    semantic = F.col("kind").isin("references", "inherits", "implements", "depends_on") & (told | F.coalesce(symbols, F.lit(False)))
-    dependency = (F.col("kind") == "depends_on") & (F.coalesce(F.col("relation").isin("imports", "import"), F.lit(False)) | F.coalesce(on_map("src") & on_map("dst"), F.lit(False)))
+    linked, depends = F.col("kind").isin("references", "inherits", "implements", "depends_on"), F.col("kind") == "depends_on"
+    # what the edge alone says comes first, so that the joins shuffle flags and not names
+    rows = edges.select("id", "src", "dst", linked.alias("linked"), told.alias("told"), depends.alias("depends"), F.coalesce(F.col("relation").isin("imports", "import"), F.lit(False)).alias("imports"))
+    rows = rows.join(kind("src"), "src", "left").join(kind("dst"), "dst", "left")
+    semantic = F.col("linked") & (F.col("told") | F.coalesce(symbols, F.lit(False)))
+    dependency = F.col("depends") & (F.col("imports") | F.coalesce(on_map("src") & on_map("dst"), F.lit(False)))
     return rows.select("id", semantic.alias("semantic"), dependency.alias("dependency"))
 
 

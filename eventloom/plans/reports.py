@@ -26,8 +26,7 @@ def shown_nodes(spark, d):
 
 @query(f"{G} SELECT e.id, e.kind IN ('references', 'inherits', 'implements', 'depends_on') AND (coalesce(relation IN ('calls', 'uses', 'semantic_calls', 'semantic_constructor'), FALSE) OR coalesce(s.kind = 'symbol' AND t.kind = 'symbol', FALSE)) AS semantic, e.kind = 'depends_on' AND (coalesce(relation IN ('imports', 'import'), FALSE) OR coalesce(s.kind IN ('code_file', 'symbol', 'community') AND t.kind IN ('code_file', 'symbol', 'community'), FALSE)) AS dependency FROM edges e LEFT JOIN nodes s ON s.id = src LEFT JOIN nodes t ON t.id = dst")
 def code_map_edges(spark, d):
-    n, e = graph(spark, d)
-    return r.edge_roles(e, n)
+    return r.edge_roles(w.edges(spark, d), w.nodes(spark, d))  # edges are read once, so they aren't written
 
 
 LOG = "SELECT event_id AS line, CASE event_type WHEN 'error' THEN 'graph.json missing for run ' || event_id WHEN 'signup' THEN 'password=' || event_id WHEN 'view' THEN '  roslyn not found, fallback ' || event_id ELSE 'all well' END AS text FROM {events}"

@@ -114,3 +114,8 @@ def test_levels_write_their_edges_once(spark, monkeypatch):
     got = paths.levels(spark.createDataFrame(e + e[:2], "src string, dst string"))
     assert {r["id"]: r["level"] for r in got.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "x": None, "y": None, "q": None, "r": None}
     assert sum("src" in c for c in written) == 1
+
+
+def test_code_map_edges_are_not_written_first(spark, monkeypatch):
+    monkeypatch.setattr(report_plans, "graph", None)
+    assert report_plans.code_map_edges(spark, SF).count() == w.edges(spark, SF).count()
