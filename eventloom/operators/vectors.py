@@ -50,7 +50,16 @@ def top_k(vectors: DataFrame, query: list[float], k: int) -> DataFrame:
 
 def drift_scores(outputs: DataFrame, criteria: DataFrame, key: str) -> DataFrame:
     """outputs with score: the mean cosine to the criteria of their key, else that to their goal, else 0.7 (VE2)."""
-    mean = outputs.select("vec_id", key, "embedding").join(criteria, key).groupBy("vec_id").agg(F.avg(cosine(F.col("embedding"), F.col("criterion"))).alias("mean"))
+    # a mean of cosines is a product with the sum of unit vectors: one for each key and length, so that rows don't meet criteria
+    total = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(total(F.col("criterion"), F.col("criterion")))
+    units = criteria.withColumn("norm", norm).filter("norm > 0").select(key, F.size("criterion").alias("size"), "norm", F.posexplode("criterion").alias("at", "x"))
+    sums = units.groupBy(key, "size", "at").agg(F.sum(F.col("x").cast("double") / F.col("norm")).alias("x"))
+    sums = sums.groupBy(key, "size").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "x"))), lambda v: v["x"]).alias("sum"))
+    rows = outputs.select("vec_id", key, "embedding", F.size("embedding").alias("size")).join(criteria.groupBy(key).agg(F.count("*").alias("n")), key).join(sums, [key, "size"], "left")
+    own = F.sqrt(total(F.col("embedding"), F.col("embedding")))
+    rows = rows.withColumn("cosines", F.when(F.col("sum").isNotNull() & (own > 0), total(F.col("embedding"), F.col("sum")) / own).otherwise(0.0))
+    mean = rows.groupBy("vec_id").agg((F.sum("cosines") / F.sum("n")).alias("mean"))
     return outputs.join(mean, "vec_id", "left").withColumn("score", F.coalesce("mean", F.when(F.col("goal").isNotNull(), cosine(F.col("embedding"), F.col("goal"))), F.lit(UNKNOWN))).drop("mean")
 
 

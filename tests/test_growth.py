@@ -119,3 +119,22 @@ def test_levels_write_their_edges_once(spark, monkeypatch):
 def test_code_map_edges_are_not_written_first(spark, monkeypatch):
     monkeypatch.setattr(report_plans, "graph", None)
     assert report_plans.code_map_edges(spark, SF).count() == w.edges(spark, SF).count()
+
+
+def test_drift_scores_are_mean_cosines(spark, monkeypatch):
+    calls, real = [], vectors.cosine
+    monkeypatch.setattr(vectors, "cosine", lambda a, b: calls.append(1) or real(a, b))
+    rows = [(1, "k", [1.0, 2.0]), (2, "k", [0.0, 0.0]), (3, "k", [1.0]), (4, "k", None), (5, "none", [1.0, 0.0]), (6, None, [1.0, 0.0]), (7, "k", [-3.0, 1.0]), (7, "m", [2.0, 2.0])]
+    criteria = [("k", [1.0, 0.0]), ("k", [0.0, 0.0]), ("k", [3.0, 4.0]), ("k", [2.0]), ("k", None), ("m", [0.0, 1.0])]
+    outputs = spark.createDataFrame([(*r, [0.0, 1.0] if r[0] == 6 else None) for r in rows], "vec_id long, key string, embedding array<double>, goal array<double>")
+    got = {(r["vec_id"], r["key"]): r["score"] for r in vectors.drift_scores(outputs, spark.createDataFrame(criteria, "key string, criterion array<double>"), "key").collect()}
+
+    def cos(a, b):
+        norm = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b)) if a and b and len(a) == len(b) else 0
+        return sum(x * y for x, y in zip(a, b)) / norm if norm else 0.0
+
+    for i, key, _ in rows:
+        found = [cos(a, c) for v, k, a in rows for q, c in criteria if v == i and k == q]
+        want = sum(found) / len(found) if found else 0.0 if i == 6 else 0.7
+        assert abs(got[i, key] - want) < 1e-12, (i, key)
+    assert len(calls) == 1  # with the goal; criteria are met as a sum
