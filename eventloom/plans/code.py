@@ -345,11 +345,9 @@ def name_scores(spark, d):
 
 @query(f"{G} " + " UNION ALL ".join(f"(SELECT '{t}' AS asked, id, score, reason FROM ({resolution_sql(t)}) WHERE score > 0 ORDER BY score DESC, label, id LIMIT 3)" for t in NAMED))
 def name_candidates(spark, d):
-    n, out = w.nodes(spark, d), None
-    for text in NAMED:
-        one = c.candidates(n, text, 3).select(F.lit(text).alias("asked"), "id", "score", "reason")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """All names in one pass over the nodes; a node is scored only by names of which it holds a word."""
+    asked = spark.createDataFrame([(text, text) for text in NAMED], "query_id string, query string")
+    return c.candidates_of(w.nodes(spark, d), asked, 3).select(F.col("query_id").alias("asked"), "id", "score", "reason")
 
 
 @query(f"""{G} SELECT e.id, CASE WHEN s.kind IN ({names(c.DOC_KINDS)}) AND t.kind IN ({names(c.DOC_KINDS)}) THEN 'doc_to_doc' WHEN s.kind IN ({names(c.DOC_KINDS)}) AND t.kind IN ({names(c.CODE_KINDS)}) OR s.kind IN ({names(c.CODE_KINDS)}) AND t.kind IN ({names(c.DOC_KINDS)}) THEN 'doc_to_code'

@@ -138,3 +138,10 @@ def test_drift_scores_are_mean_cosines(spark, monkeypatch):
         want = sum(found) / len(found) if found else 0.0 if i == 6 else 0.7
         assert abs(got[i, key] - want) < 1e-12, (i, key)
     assert len(calls) == 1  # with the goal; criteria are met as a sum
+
+
+def test_names_are_looked_up_in_one_pass(spark, monkeypatch):
+    n = w.nodes(spark, SF)
+    want = {(t, r["id"], r["score"], r["reason"]) for t in code_plans.NAMED for r in code_plans.c.candidates(n, t, 3).collect()}
+    monkeypatch.setattr(code_plans.c, "candidates", None)
+    assert {tuple(r) for r in code_plans.name_candidates(spark, SF).collect()} == want
