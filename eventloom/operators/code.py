@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import graph as g
+from eventloom.session import kept, sided
 
 # Lenses and task scopes as alternatives of patterns that must all hold; a leading "!" negates.
 LENSES = {
@@ -411,11 +412,13 @@ def holding(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     some query asks for leave the scan, and a key alone is no match.
     """
     words_ = queries.select("query_id", F.explode(F.array_distinct(token_array(F.col("query")))).alias("word")).withColumn("gram", F.substring("word", 1, 3))
+    words_ = kept(words_, "query_words")
     hay = nodes.select("id", haystack().alias("hay"))
     at = F.sequence(F.lit(1), F.greatest(F.length("hay") - 1, F.lit(1)))
     grams = F.array_distinct(F.concat(F.transform(at, lambda i: F.substring("hay", i, F.lit(3))), F.transform(at, lambda i: F.substring("hay", i, F.lit(2)))))
-    pairs = hay.select("id", "hay", F.explode(grams).alias("gram")).join(words_, "gram").filter(F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
-    return nodes.join(pairs, "id").join(queries, "query_id")
+    pairs = hay.select("id", "hay", F.explode(grams).alias("gram")).join(sided(words_, words_.count()), "gram").filter(F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
+    # merged: the nodes' files are far smaller than their rows, which the driver can't hold
+    return nodes.hint("merge").join(pairs, "id").join(queries, "query_id")
 
 
 def seeds(nodes: DataFrame, query: str, k: int = 5, requested: str = "balanced") -> DataFrame:

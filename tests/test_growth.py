@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from eventloom.operators import graph, paths, vectors
+from eventloom.operators import code, graph, paths, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
 from eventloom.plans import reports as report_plans
@@ -145,3 +145,15 @@ def test_names_are_looked_up_in_one_pass(spark, monkeypatch):
     want = {(t, r["id"], r["score"], r["reason"]) for t in code_plans.NAMED for r in code_plans.c.candidates(n, t, 3).collect()}
     monkeypatch.setattr(code_plans.c, "candidates", None)
     assert {tuple(r) for r in code_plans.name_candidates(spark, SF).collect()} == want
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_growing_tables_are_not_sent_to_every_executor(spark):
+    nodes, edges = w.nodes(spark, SF), w.edges(spark, SF)
+    assert "Broadcast" not in plan(edges)
+    queries = spark.createDataFrame([(0, "order service", "balanced")], "query_id int, query string, requested string")
+    found = plan(code.holding(nodes, queries))
+    assert found.count("BroadcastExchange") == 1 and "BuildRight" in found and "BuildLeft" not in found  # the queries' words alone
