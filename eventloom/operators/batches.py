@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import code as c
-from eventloom.session import kept
+from eventloom.session import kept, sided
 
 RANK = "struct<cost:double,tests:int,structural:int,hubs:int,inheritance:int,hops:int>"
 
@@ -54,19 +54,22 @@ def ranks_of(steps: DataFrame, tries: DataFrame, *, most: int = 12) -> DataFrame
     none = F.lit(None).cast("string")
     changed = frontier = kept(tries.select(*key, "how", F.col("a").alias("id"), F.struct(zero.alias("rank"), zero.alias("before"), none.alias("pred"), none.alias("edge")).alias("x")), "ranks")
     ends = tries.select(*key, F.col("a").alias("start"), F.col("b").alias("goal"))
+    n = total = frontier.count()
     for _ in range(most):
         r = lambda name, add: (F.col("rank")[name] + F.col(add)).alias(name)
         new = F.struct((F.col("rank.cost") + F.col("cost") + F.col("penalty")).alias("cost"), r("tests", "t"), r("structural", "structural"), r("hubs", "hub"), r("inheritance", "inheritance"), (F.col("rank.hops") + 1).alias("hops")).cast(RANK)
-        step = steps.join(frontier.select(*key, "how", F.col("id").alias("a"), F.col("x.rank").alias("rank")), ["how", "a"])
+        step = steps.join(sided(frontier.select(*key, "how", F.col("id").alias("a"), F.col("x.rank").alias("rank")), n), ["how", "a"])
         step = step.select(*key, "how", F.col("b").alias("id"), F.struct(new.alias("rank"), F.col("rank").alias("before"), F.col("a").alias("pred"), "edge").alias("x"))
         step = step.groupBy(*key, "how", "id").agg(F.min("x").alias("x"))
         known = changed.groupBy(*key, "id").agg(F.min("x").alias("known"))
         goal = ends.select(*key, F.col("goal").alias("id")).join(known, [*key, "id"]).select(*key, F.col("known.rank").alias("bound"))
-        better = step.join(known, [*key, "id"], "left").filter(F.col("known").isNull() | (F.col("x") < F.col("known")))
+        better = step.join(sided(known, total), [*key, "id"], "left").filter(F.col("known").isNull() | (F.col("x") < F.col("known")))
         better = better.join(ends, key).filter("id <> start").join(goal, key, "left")
         frontier = kept(better.withColumn("on", F.col("bound").isNull() | (F.col("x.rank") < F.col("bound"))).select(*key, "how", "id", "x", "on"), "ranks")
-        if frontier.isEmpty():
+        n = frontier.count()
+        if not n:
             break
+        total += n
         changed = changed.unionByName(frontier.drop("on"))
         # those that have reached no better place than the goal's are kept, but lead nowhere
         found = frontier.join(ends.select(*key, F.col("goal").alias("id")), [*key, "id"]).groupBy(*key).agg(F.min("x.rank").alias("now"))
@@ -133,7 +136,9 @@ def ranked_paths(nodes: DataFrame, edges: DataFrame, cases: DataFrame, steps_of,
     last = F.max("hop").over(Window.partitionBy("case_id"))
 
     def over_hubs(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("last", last).filter((F.col("hop") > 0) & (F.col("hop") < F.col("last"))).join(hubs, "id", "left_semi").select("case_id").distinct()
+        inner = rows.withColumn("last", last).filter((F.col("hop") > 0) & (F.col("hop") < F.col("last")))
+        met = hubs.join(F.broadcast(inner.select("id").distinct()), "id", "left_semi")  # of the hubs those on the paths alone are sent
+        return inner.join(F.broadcast(met), "id", "left_semi").select("case_id").distinct()
 
     retry = chosen.filter("mode = 'balanced'").join(over_hubs(paths), "case_id", "left_semi").withColumn("mode", F.lit("semantic"))
     again, best = solved(kept(retry, "path_retry"))

@@ -576,7 +576,7 @@ def candidates_of(nodes: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame
     A node can only be named by a query of which it holds a word; a query without words meets every node.
     """
     wordless = queries.filter(F.size(token_array(F.col("query"))) == 0)
-    rows = holding(nodes, queries).unionByName(nodes.crossJoin(wordless).select("query_id", *nodes.columns, *[x for x in queries.columns if x != "query_id"]))
+    rows = holding(nodes, queries).unionByName(nodes.crossJoin(F.broadcast(wordless)).select("query_id", *nodes.columns, *[x for x in queries.columns if x != "query_id"]))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "label", "id")
     return resolved_for(rows).filter("score > 0").withColumn("place", F.row_number().over(best)).filter(F.col("place") <= k)
 

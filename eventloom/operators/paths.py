@@ -226,6 +226,7 @@ def explained(nodes: DataFrame, edges: DataFrame, path: list[dict], *, mode: str
     steps = F.broadcast(nodes.sparkSession.createDataFrame([(i, s["id"], s["edge"]) for i, s in enumerate(path)], "hop int, id string, edge string"))  # a path's length
     e = edges.withColumn("src_test", F.lit(False)).withColumn("dst_test", F.lit(False)).select(F.col("id").alias("edge"), c.relation().alias("relation"), c.edge_class().alias("class"), edge_cost(mode, intent).alias("cost"), F.col("kind").alias("edge_kind"))
     penalty = F.when(F.col("hop") > 0, node_penalty(mode, intent)).otherwise(0)
+    e = F.broadcast(e.join(steps.select("edge"), "edge", "left_semi"))  # of the edges the path's alone are sent
     return steps.join(nodes, "id").withColumn("penalty", penalty.cast("long")).join(e, "edge", "left").select("hop", "id", "label", "kind", "edge", "relation", "class", "edge_kind", "cost", "penalty")
 
 

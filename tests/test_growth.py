@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
+from eventloom import session
 from eventloom.operators import code, graph, paths, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
@@ -157,3 +158,15 @@ def test_growing_tables_are_not_sent_to_every_executor(spark):
     queries = spark.createDataFrame([(0, "order service", "balanced")], "query_id int, query string, requested string")
     found = plan(code.holding(nodes, queries))
     assert found.count("BroadcastExchange") == 1 and "BuildRight" in found and "BuildLeft" not in found  # the queries' words alone
+
+
+def test_of_the_nodes_and_edges_only_those_of_a_path_are_sent(spark):
+    nodes, edges = session.kept(w.nodes(spark, SF), "n"), session.kept(w.edges(spark, SF), "e")
+    asked = spark.createDataFrame([("order service", "a"), ("?", "b")], "query string, query_id string")
+    crossed = plan(code.candidates_of(nodes, asked, 3))
+    assert "BroadcastNestedLoopJoin" not in crossed or "BroadcastNestedLoopJoin BuildRight" in crossed
+    steps = [{"id": e["src"], "edge": e["id"], "cost": 1.0} for e in edges.limit(2).collect()]
+    explained = plan(paths.explained(nodes, edges, steps))
+    assert "LeftSemi" in explained  # edges meet the path before they are sent
+    few, many = spark.range(3), spark.range(30)
+    assert "Broadcast" in plan(many.join(session.sided(few, 3), "id")) and "Broadcast" not in plan(many.join(session.sided(few, session.FEW + 1), "id"))
