@@ -185,8 +185,9 @@ def path_benchmark(nodes: DataFrame, edges: DataFrame, cases: DataFrame, steps_o
     """
     chosen, paths = ranked_paths(nodes, edges, cases.select("case_id", "source", "target", "mode"), steps_of)
     label = nodes.select("id", "label", "kind")
-    kinds = edges.select(F.col("id").alias("edge"), F.col("kind").alias("edge_kind"))
-    rows = paths.join(label, "id").join(kinds, "edge", "left").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("hop", "label", "kind", "edge_kind"))).alias("p"))
+    taken = F.broadcast(paths.filter("edge IS NOT NULL").select("edge").distinct())  # the steps of the cases' paths
+    kinds = edges.select(F.col("id").alias("edge"), F.col("kind").alias("edge_kind")).join(taken, "edge", "left_semi")
+    rows = paths.join(label, "id").join(F.broadcast(kinds), "edge", "left").groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("hop", "label", "kind", "edge_kind"))).alias("p"))
     ends = chosen.join(label.select(F.col("id").alias("a"), F.col("label").alias("from_label")), "a").join(label.select(F.col("id").alias("b"), F.col("label").alias("to_label")), "b").select("case_id", "from_label", "to_label")
     out = cases.join(ends, "case_id", "left").join(rows, "case_id", "left")
     labels, has = F.transform("p", lambda x: x["label"]), F.col("p").isNotNull()
