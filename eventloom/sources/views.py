@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from eventloom.session import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -45,9 +47,12 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     supplier = t("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select(*one(key("s:", "s_suppkey"), key("r:", "n_regionkey"), "belongs_to"))
     order = t("orders").select(*one(key("o:", "o_orderkey"), key("c:", "o_custkey"), "belongs_to"))
     provenance = F.element_at(F.create_map(*[F.lit(x) for x in ("N", "extracted", "R", "inferred", "A", "ambiguous")]), F.min("l_returnflag"))
-    depends = t("lineitem").groupBy("l_orderkey", "l_partkey").agg(provenance.alias("provenance"), F.count("*").alias("weight")).select(
+    lines = t("lineitem")
+    n = lines.count()  # by the files' footers
+    # dealt by one key, the pairs are grouped where they lie, in shares of a fixed size
+    depends = dealt(lines.select("l_orderkey", "l_partkey", "l_returnflag"), n, "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(provenance.alias("provenance"), F.count("*").alias("weight")).select(
         key("o:", "l_orderkey").alias("src"), key("p:", "l_partkey").alias("dst"), F.lit("depends_on").alias("kind"), "provenance", "weight")
-    refers = t("lineitem").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("weight")).select(
+    refers = dealt(lines.select("l_partkey", "l_suppkey"), n, "l_partkey", "l_suppkey").groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("weight")).select(
         key("p:", "l_partkey").alias("src"), key("s:", "l_suppkey").alias("dst"), F.lit("references").alias("kind"), F.lit("extracted").alias("provenance"), "weight")
     return customer.unionByName(supplier).unionByName(order).unionByName(depends).unionByName(refers)
 

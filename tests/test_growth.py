@@ -10,6 +10,7 @@ from eventloom.operators import code, graph, paths, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
 from eventloom.plans import reports as report_plans
+from eventloom.sources import views
 from eventloom.sources import workspace as w
 
 NODE, EDGE = "id string, kind string, title string, status string, tests int, scanned boolean, made string", "id string, src string, dst string, kind string, trust string, made string"
@@ -170,3 +171,10 @@ def test_of_the_nodes_and_edges_only_those_of_a_path_are_sent(spark):
     assert "LeftSemi" in explained  # edges meet the path before they are sent
     few, many = spark.range(3), spark.range(30)
     assert "Broadcast" in plan(many.join(session.sided(few, 3), "id")) and "Broadcast" not in plan(many.join(session.sided(few, session.FEW + 1), "id"))
+
+
+def test_line_items_are_dealt_in_fixed_shares(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE", 100)
+    lines = views.table(spark, SF, "lineitem").count()
+    dealt = plan(graph.degree(views.edges(spark, SF)))
+    assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in dealt
