@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from eventloom.session import kept
+from eventloom.session import kept, sided
 
 #: Sources of one target that meet in one task; targets that a source brings along as a list.
 TILE, LONGEST = 1024, 64
@@ -105,17 +105,23 @@ def hubs(edges: DataFrame, least: int = 12) -> DataFrame:
 
 
 def cheapest_paths(edges: DataFrame, sources: DataFrame, cost: Column, hops: int) -> DataFrame:
-    """id, cost, hops: cheapest directed walk of at most hops steps from any source; each step keeps one row a node."""
-    step = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), cost.alias("c")).groupBy("a", "b").agg(F.min("c").alias("c")), "steps")
+    """id, cost, hops: cheapest directed walk of at most hops steps from any source; each step keeps one row a node.
+
+    Parallel edges stay apart: what a step keeps is the least of them, so that edges are neither grouped nor, while few rows go on, moved.
+    """
+    step = kept(edges.select(F.col("src").alias("a"), F.col("dst").alias("b"), cost.alias("c")), "steps")
     best = changed = kept(sources.select("id").distinct().select("id", F.lit(0.0).alias("cost"), F.lit(0).alias("hops")), "best")
+    n = total = changed.count()
     for _ in range(hops):  # only what became cheaper goes on
-        more = changed.join(step, F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"))
+        more = step.join(sided(changed, n), F.col("id") == F.col("a")).select(F.col("b").alias("id"), (F.col("cost") + F.col("c")).alias("cost"), (F.col("hops") + 1).alias("hops"))
         more = more.groupBy("id").agg(F.min(F.struct("cost", "hops")).alias("m"))
-        known = best.select("id", F.struct("cost", "hops").alias("known"))
+        known = sided(best.select("id", F.struct("cost", "hops").alias("known")), total)
         changed = kept(more.join(known, "id", "left").filter(F.col("known").isNull() | (F.col("m") < F.col("known"))).select("id", "m.cost", "m.hops"), "best")
-        if changed.isEmpty():
+        n = changed.count()
+        if not n:
             break
-        best = kept(best.join(changed.select("id"), "id", "left_anti").unionByName(changed), "best")
+        total += n
+        best = kept(best.join(sided(changed.select("id"), n), "id", "left_anti").unionByName(changed), "best")
     return best
 
 

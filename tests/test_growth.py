@@ -178,3 +178,13 @@ def test_line_items_are_dealt_in_fixed_shares(spark, monkeypatch):
     lines = views.table(spark, SF, "lineitem").count()
     dealt = plan(graph.degree(views.edges(spark, SF)))
     assert f", {-(-lines // 100)}), REPARTITION_BY_NUM" in dealt
+
+
+def test_cheapest_paths_do_not_group_their_edges(spark, monkeypatch):
+    written, keep = {}, graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df, name: (written.setdefault(name, plan(df)), keep(df, name))[1])
+    rows = [("a", "b", 5.0), ("a", "b", 2.0), ("b", "c", 1.0), ("a", "c", 9.0), ("c", "d", 1.0)]
+    edges = spark.createDataFrame(rows, "src string, dst string, weight double")
+    got = graph.cheapest_paths(edges, spark.createDataFrame([("a",)], "id string"), edges["weight"], 3)
+    assert {(r["id"], r["cost"], r["hops"]) for r in got.collect()} == {("a", 0.0, 0), ("b", 2.0, 1), ("c", 3.0, 2), ("d", 4.0, 3)}
+    assert "Aggregate" not in written["steps"]
