@@ -12,13 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators.paths import levels, reachable
-from eventloom.session import kept
+from eventloom.session import dealt, kept
 
 STATES = {"node.executing": "executing", "node.completed": "completed", "node.failed": "failed", "node.superseded": "superseded"}
 GRAPH_STATES = {"run.started": "running", "run.completed": "completed", "run.failed": "blocked", "run.stopped": "stopped"}
 #: Severities of alerts, and their order.
 SEVERITY = {"run_completed": "info", "run_paused": "info", "run_blocked": "critical", "review_needed": "warning", "drift_worsening": "warning", "deterministic_failure": "warning", "run_stopped": "warning"}
 RANK = {"critical": 0, "warning": 1, "info": 2}
+MARKS, CONTROLS = ("run.completed", "run.paused", "run.stopped", "run.failed", "run.review_requested"), ("run.started", "run.paused", "run.completed", "run.stopped", "run.failed")
 
 
 def _map(pairs: dict, key: Column) -> Column:
@@ -78,32 +79,71 @@ def _judged(nodes: DataFrame) -> DataFrame:
     return nodes.filter("status = 'completed' AND drift IS NOT NULL").withColumn("k", F.row_number().over(w))
 
 
+def _trend(n: Column, delta: Column, step: float) -> Column:
+    return F.when(n < 2, "steady").when(F.round(delta, 9) > step, "improving").when(F.round(delta, 9) < -step, "worsening").otherwise("steady").alias("trend")
+
+
 def trend(nodes: DataFrame, n: int = 3, step: float = 0.08) -> DataFrame:
     """graph_id, trend of the last n drift scores, higher being better (WI1 over the fold)."""
     few = _judged(nodes).filter(F.col("k") <= n).groupBy("graph_id").agg(F.count("*").alias("n"), (F.min_by("drift", "k") - F.max_by("drift", "k")).alias("delta"))
-    return few.select("graph_id", F.when(F.col("n") < 2, "steady").when(F.round("delta", 9) > step, "improving").when(F.round("delta", 9) < -step, "worsening").otherwise("steady").alias("trend"))
+    return few.select("graph_id", _trend(F.col("n"), F.col("delta"), step))
 
 
-def health(nodes: DataFrame) -> DataFrame:
-    """Counts and rates of a graph's nodes; nothing of nothing is zero (AG5)."""
+def _counts() -> dict[str, Column]:
+    """Counts of a graph's nodes by name."""
     n = lambda c: F.count(F.when(c, 1))
     again, done = F.col("kind").isin("revision", "replan"), F.col("status") == "completed"
-    c = nodes.withColumn("coverage", evidence_coverage()).groupBy("graph_id").agg(
-        n(~again).alias("planned"), n(done).alias("completed"), n(F.col("status").isin("failed", "blocked")).alias("failed"), n(F.col("status") == "superseded").alias("superseded"), n(again).alias("revised"),
-        n(done & F.col("passed")).alias("passed"), n(done & (F.col("coverage") == "grounded")).alias("grounded"))
+    return {
+        "planned": n(~again), "completed": n(done), "failed": n(F.col("status").isin("failed", "blocked")), "superseded": n(F.col("status") == "superseded"), "revised": n(again),
+        "passed": n(done & F.col("passed")), "grounded": n(done & (evidence_coverage() == "grounded"))}
+
+
+def health(nodes: DataFrame) -> DataFrame:
+    """Counts and rates of a graph's nodes; nothing of nothing is zero (AG5)."""
+    c = nodes.groupBy("graph_id").agg(*[c.alias(name) for name, c in _counts().items()])
     rate = lambda a, b, name: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6).alias(name)
     return c.select("*", rate("passed", "completed", "pass_rate"), rate("revised", "planned", "revision_rate"), rate("grounded", "completed", "grounded_rate"))
 
 
+def _summed(nodes: DataFrame, last: int = 3, step: float = 0.08) -> DataFrame:
+    """One row a graph, of one pass over its nodes: planned, completed, trend, the rules of review, the latest completed and the latest unchecked node."""
+    judged = (F.col("status") == "completed") & F.col("drift").isNotNull()
+    of, back = Window.partitionBy("graph_id", F.coalesce("parent", "node_id")), Window.partitionBy("graph_id").orderBy(F.desc(judged), F.desc("completed_at"), F.desc("planned"))
+    rows = nodes.withColumn("same", F.count(F.when(F.col("kind") == "revision", 1)).over(of)).withColumn("k", F.row_number().over(back))
+    recent = lambda k: judged & (F.col("k") <= k)
+    n = lambda c: F.count(F.when(c, 1))
+    when_ = F.coalesce("completed_at", "updated_at")
+    latest = lambda c: F.max_by(F.when(c, F.struct("node_id", when_.alias("when_"))), F.when(c, F.struct(when_, "planned")))
+    at = lambda by: by(F.when(recent(last), F.col("drift")), F.when(recent(last), F.col("k")))
+    found = rows.groupBy("graph_id").agg(
+        *[_counts()[c].alias(c) for c in ("planned", "completed")], n(recent(last)).alias("n"), (at(F.min_by) - at(F.max_by)).alias("delta"), (F.max("same") >= 3).alias("often"),
+        (n(recent(2) & ~F.col("checks_ok")) == 2).alias("checks"), (n(recent(3) & (F.col("direction") == "drifting")) == 3).alias("drifting"), F.max(F.col("status").isin("pending", "ready")).alias("runnable"),
+        latest(F.col("status") == "completed").alias("done"), latest(~F.col("checks_ok")).alias("unchecked"))
+    return found.withColumn("trend", F.when(F.col("n") > 0, _trend(F.col("n"), F.col("delta"), step)))
+
+
+def _states(nodes: DataFrame, graphs: DataFrame, events: DataFrame | None = None) -> DataFrame:
+    """Graphs with status, updated_at, what _summed says of their nodes, reason, and marks of their events.
+
+    Nodes and graphs are counted first (they had better be written). Each table is dealt by graph in the same shares, so that
+    two joins follow without another shuffle and a task's rows don't grow with the input.
+    """
+    n = nodes.count() + graphs.count()
+    share = lambda rows, *columns: dealt(rows.select("graph_id", *columns), n, "graph_id")
+    summed = _summed(share(nodes, "node_id", "kind", "parent", "planned", "status", "completed_at", "updated_at", "drift", "direction", "checks_ok", "passed", "tools", "commands", "files", "checksums"))
+    rows = share(graphs, "status", "updated_at").join(summed.hint("merge"), "graph_id", "left")
+    blocked = (F.col("status") == "blocked") & ~F.coalesce("runnable", F.lit(False))
+    rows = rows.withColumn("reason", F.when(F.col("often"), "revised_often").when(F.col("checks"), "checks_failed").when(F.col("drifting"), "drifting").when(blocked, "nothing_runnable"))
+    if events is None:
+        return rows
+    at = lambda k: _last(F.col("ts"), F.col("kind") == k).alias(k.split(".")[1])
+    marks = share(events.filter(F.col("kind").isin(*MARKS, *CONTROLS)), "seq", "kind", "ts").groupBy("graph_id").agg(F.struct(*[at(k) for k in MARKS]).alias("marks"), _last(F.col("kind"), F.col("kind").isin(*CONTROLS)).alias("control"))
+    return rows.join(marks.hint("merge"), "graph_id", "left")
+
+
 def review(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
     """graph_id, reason: why a person should look, the first rule that holds; null for none (WI2)."""
-    often = nodes.filter("kind = 'revision'").groupBy("graph_id", F.coalesce("parent", "node_id").alias("of")).agg(F.count("*").alias("n")).groupBy("graph_id").agg((F.max("n") >= 3).alias("often"))
-    j = _judged(nodes).groupBy("graph_id").agg(
-        (F.count(F.when((F.col("k") <= 2) & ~F.col("checks_ok"), 1)) == 2).alias("checks"), (F.count(F.when((F.col("k") <= 3) & (F.col("direction") == "drifting"), 1)) == 3).alias("drifting"))
-    runnable = nodes.groupBy("graph_id").agg(F.max(F.col("status").isin("pending", "ready")).alias("runnable"))
-    rows = graphs.join(often, "graph_id", "left").join(j, "graph_id", "left").join(runnable, "graph_id", "left")
-    blocked = (F.col("status") == "blocked") & ~F.coalesce("runnable", F.lit(False))
-    return rows.select("graph_id", F.when(F.col("often"), "revised_often").when(F.col("checks"), "checks_failed").when(F.col("drifting"), "drifting").when(blocked, "nothing_runnable").alias("reason"))
+    return _states(nodes, graphs).select("graph_id", "reason")
 
 
 def frontier_status(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
@@ -116,24 +156,20 @@ def frontier_status(nodes: DataFrame, graphs: DataFrame) -> DataFrame:
     return graphs.join(last, "graph_id", "left").select("graph_id", status.alias("frontier"), state.alias("state"))
 
 
-def alerts(nodes: DataFrame, graphs: DataFrame, events: DataFrame) -> DataFrame:
-    """graph_id, type, severity, at, node_id, place: what a graph's state calls for, gravest and latest first (EV11, TK6)."""
-    at = lambda k: F.max_by(F.when(F.col("kind") == k, F.col("ts")), F.when(F.col("kind") == k, F.col("seq"))).alias(k.split(".")[1])
-    marks = events.groupBy("graph_id").agg(*[at(k) for k in ("run.completed", "run.paused", "run.stopped", "run.failed", "run.review_requested")], _last(F.col("kind"), F.col("kind").isin("run.started", "run.paused", "run.completed", "run.stopped", "run.failed")).alias("control"))
-    order = F.struct("when_", "planned")
-    when_ = F.coalesce("completed_at", "updated_at")
-    latest = nodes.withColumn("when_", when_).groupBy("graph_id").agg(
-        F.max_by(F.when(F.col("status") == "completed", F.struct("node_id", "when_")), F.when(F.col("status") == "completed", order)).alias("done"),
-        F.max_by(F.when(~F.col("checks_ok"), F.struct("node_id", "when_")), F.when(~F.col("checks_ok"), order)).alias("unchecked"))
-    rows = graphs.join(marks, "graph_id").join(latest, "graph_id", "left").join(trend(nodes), "graph_id", "left").join(review(nodes, graphs), "graph_id", "left")
+def _raised() -> Column:
+    """The list of what the state of a graph (_states) calls for: type, at, node_id."""
     one = lambda kind, on, when, node=None: F.when(on, F.struct(F.lit(kind).alias("type"), when.alias("at"), (F.lit(None).cast("string") if node is None else node).alias("node_id")))
-    status, updated = F.col("status"), F.col("updated_at")
-    found = F.array_compact(F.array(
-        one("review_needed", F.col("reason").isNotNull(), F.coalesce("review_requested", updated), F.col("unchecked.node_id")), one("run_blocked", (status == "blocked") & F.col("failed").isNotNull(), F.col("failed")),
-        one("run_paused", (F.col("control") == "run.paused"), F.col("paused")), one("run_stopped", (status == "stopped") & F.col("stopped").isNotNull(), F.col("stopped")),
+    status, updated, mark = F.col("status"), F.col("updated_at"), lambda k: F.col(f"marks.{k}")
+    return F.array_compact(F.array(
+        one("review_needed", F.col("reason").isNotNull(), F.coalesce(mark("review_requested"), updated), F.col("unchecked.node_id")), one("run_blocked", (status == "blocked") & mark("failed").isNotNull(), mark("failed")),
+        one("run_paused", (F.col("control") == "run.paused"), mark("paused")), one("run_stopped", (status == "stopped") & mark("stopped").isNotNull(), mark("stopped")),
         one("drift_worsening", F.col("trend") == "worsening", F.coalesce("done.when_", updated), F.col("done.node_id")), one("deterministic_failure", F.col("unchecked").isNotNull(), F.col("unchecked.when_"), F.col("unchecked.node_id")),
-        one("run_completed", (status == "completed") & F.col("completed").isNotNull(), F.col("completed"))))
-    out = rows.select("graph_id", F.explode(found).alias("x")).select("graph_id", "x.*").withColumn("severity", _map(SEVERITY, F.col("type")))
+        one("run_completed", (status == "completed") & mark("completed").isNotNull(), mark("completed"))))
+
+
+def alerts(nodes: DataFrame, graphs: DataFrame, events: DataFrame) -> DataFrame:
+    """graph_id, type, severity, at, node_id, place: what a graph's state calls for, gravest and latest first (EV11, TK6)."""
+    out = _states(nodes, graphs, events).select("graph_id", F.explode(_raised()).alias("x")).select("graph_id", "x.*").withColumn("severity", _map(SEVERITY, F.col("type")))
     place = F.row_number().over(Window.partitionBy("graph_id").orderBy(_map(RANK, F.col("severity")), F.desc("at"), "type"))
     return out.withColumn("place", place)
 
@@ -154,10 +190,10 @@ def lifecycle(graphs: DataFrame, reasons: DataFrame, now: str, seen: int, days:
 
 def dashboard(nodes: DataFrame, graphs: DataFrame, events: DataFrame) -> DataFrame:
     """One wide row a graph, with its place: gravest alert, need of review, latest event, id (EV14, TK1)."""
-    worst = alerts(nodes, graphs, events).filter("place = 1").select("graph_id", F.col("severity").alias("top_severity"))
-    rows = graphs.join(health(nodes).select("graph_id", "planned", "completed", "pass_rate"), "graph_id", "left").join(trend(nodes), "graph_id", "left").join(review(nodes, graphs), "graph_id", "left").join(worst, "graph_id", "left")
+    rank = F.array_min(F.transform(_raised(), lambda x: _map(RANK, _map(SEVERITY, x["type"]))))
     progress = F.when(F.col("planned") > 0, F.floor(F.col("completed") * 100 / F.col("planned") + 0.5)).otherwise(0).cast("long")
-    return rows.select("graph_id", "status", "updated_at", progress.alias("progress"), F.coalesce("trend", F.lit("steady")).alias("trend"), "reason", "top_severity")
+    return _states(nodes, graphs, events).select(
+        "graph_id", "status", "updated_at", progress.alias("progress"), F.coalesce("trend", F.lit("steady")).alias("trend"), "reason", _map({r: s for s, r in RANK.items()}, rank).alias("top_severity"))
 
 
 def ordered(rows: DataFrame, k: int) -> DataFrame:

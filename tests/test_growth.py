@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
-from collections import defaultdict
+import random
+from collections import Counter, defaultdict
 
 from eventloom import session
-from eventloom.operators import code, graph, paths, vectors
+from eventloom.operators import code, graph, paths, runs, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
 from eventloom.plans import reports as report_plans
@@ -188,3 +189,54 @@ def test_cheapest_paths_do_not_group_their_edges(spark, monkeypatch):
     got = graph.cheapest_paths(edges, spark.createDataFrame([("a",)], "id string"), edges["weight"], 3)
     assert {(r["id"], r["cost"], r["hops"]) for r in got.collect()} == {("a", 0.0, 0), ("b", 2.0, 1), ("c", 3.0, 2), ("d", 4.0, 3)}
     assert "Aggregate" not in written["steps"]
+
+
+CONTROLS = ("run.started", "run.paused", "run.completed", "run.stopped", "run.failed")
+
+
+def random_runs(spark, graphs=40, events=60):
+    """A log of graphs with and without nodes, judged or not, some of few events, some with nulls."""
+    pick, empty = random.Random(5), dict.fromkeys(w.run_log(spark, SF).columns)
+    kinds = ["node.planned"] + ["node.completed", "node.evaluated"] * 9 + ["node.executing", "node.failed", "node.superseded", "run.review_requested", *CONTROLS]
+    rows = []
+    for g in range(graphs):
+        for s in range(pick.choice((1, 9, events))):
+            kind = pick.choice(CONTROLS) if g % 6 == 5 else "node.planned" if s < 8 else pick.choice(kinds)
+            x = empty | {"graph_id": f"g{g}", "seq": s, "kind": kind, "node_id": f"n{s if s < 8 else pick.randrange(8)}" if kind.startswith("node.") else None, "ts": f"1995-01-{pick.randrange(1, 9):02}"}
+            if kind == "node.planned":
+                x |= {"node_kind": pick.choice(("revision", "task", "task", "replan")), "parent": pick.choice((None, "n0", "n1")), "needs": "", "depth": 0}
+            if kind == "node.evaluated":
+                x |= {"drift": pick.choice((None, 0.1, 0.5, 0.55, 0.9)), "direction": pick.choice(("drifting", "drifting", "closer")), "llm_ok": True, "checks_ok": pick.choice((None, True, True, g % 3 > 0))}
+            rows.append(tuple(x.values()))
+    return spark.createDataFrame(rows, w.run_log(spark, SF).schema)
+
+
+def board(nodes, graphs, events):
+    """The dashboard's rows by plain Python."""
+    for g in graphs:
+        mine, log = [n for n in nodes if n["graph_id"] == g["graph_id"]], sorted((e for e in events if e["graph_id"] == g["graph_id"]), key=lambda e: e["seq"])
+        judged = sorted((n for n in mine if n["status"] == "completed" and n["drift"] is not None), key=lambda n: (n["completed_at"], n["planned"]), reverse=True)
+        delta = round(judged[0]["drift"] - judged[:3][-1]["drift"], 9) if len(judged) > 1 else 0
+        trend = "improving" if delta > 0.08 else "worsening" if delta < -0.08 else "steady"
+        often = Counter(n["parent"] or n["node_id"] for n in mine if n["kind"] == "revision")
+        reason = (
+            "revised_often" if max(often.values(), default=0) >= 3 else "checks_failed" if sum(n["checks_ok"] is False for n in judged[:2]) == 2 else "drifting" if sum(n["direction"] == "drifting" for n in judged[:3]) == 3
+            else "nothing_runnable" if g["status"] == "blocked" and not any(n["status"] in ("pending", "ready") for n in mine) else None)
+        control = [e["kind"] for e in log if e["kind"] in CONTROLS][-1:]
+        worst = (
+            "critical" if g["status"] == "blocked" else "warning" if reason or g["status"] == "stopped" or trend == "worsening" or any(n["checks_ok"] is False for n in mine)
+            else "info" if control == ["run.paused"] or g["status"] == "completed" else None)
+        planned, done = sum(n["kind"] not in ("revision", "replan") for n in mine), sum(n["status"] == "completed" for n in mine)
+        yield g["graph_id"], g["status"], g["updated_at"], math.floor(done * 100 / planned + 0.5) if planned else 0, trend, reason, worst
+
+
+def test_a_dashboard_sums_a_graph_in_one_pass_of_fixed_shares(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE", 10)
+    events = random_runs(spark)
+    nodes, graphs = session.kept(runs.fold_nodes(events), "n"), session.kept(runs.fold_graphs(events), "g")
+    rows = runs.dashboard(nodes, graphs, events)
+    want = set(board(nodes.collect(), graphs.collect(), events.collect()))
+    assert {tuple(r) for r in rows.collect()} == want and len({x[4:] for x in want}) > 8
+    one, n = plan(runs.dashboard(nodes, graphs, events)), nodes.count() + graphs.count()
+    assert one.count("SortMergeJoin") == 2 and one.count("Sort [") <= 6 and "Broadcast" not in one
+    assert one.count(f", {-(-n // 10)}), REPARTITION_BY_NUM") == 3 and "ENSURE_REQUIREMENTS" not in one  # a task's rows don't grow, nor move again
