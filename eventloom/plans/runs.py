@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import runs as r
 from eventloom.plans.catalog import query
-from eventloom.session import kept
+from eventloom.session import dealt, kept
 from eventloom.sources import workspace as w
 
 R = w.RUNS_SQL
@@ -15,9 +15,10 @@ SEEN, NOW = 5000, "1998-01-01 00:00:00"
 
 
 def folded(spark, d):
-    """Nodes and graphs, written once, and the log."""
+    """Nodes and graphs, written once, and the log; its events are counted and dealt in fixed shares before they are folded."""
     log = w.run_log(spark, d)
-    return kept(r.fold_nodes(log), "run_nodes"), kept(r.fold_graphs(log), "run_graphs"), log
+    n = log.count()
+    return kept(r.fold_nodes(dealt(log, n, "graph_id", "node_id")), "run_nodes"), kept(r.fold_graphs(dealt(log, n, "graph_id")), "run_graphs"), log
 
 
 COVERAGE = "CASE WHEN tools IS NULL THEN 'none' WHEN tools > 0 AND checksums = 3 THEN 'grounded' WHEN tools > 0 OR commands > 0 OR files > 0 OR checksums > 0 THEN 'partial' ELSE 'none' END"

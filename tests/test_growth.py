@@ -11,6 +11,7 @@ from eventloom.operators import code, graph, paths, runs, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
 from eventloom.plans import reports as report_plans
+from eventloom.plans import runs as run_plans
 from eventloom.sources import views
 from eventloom.sources import workspace as w
 
@@ -240,3 +241,12 @@ def test_a_dashboard_sums_a_graph_in_one_pass_of_fixed_shares(spark, monkeypatch
     one, n = plan(runs.dashboard(nodes, graphs, events)), nodes.count() + graphs.count()
     assert one.count("SortMergeJoin") == 2 and one.count("Sort [") <= 6 and "Broadcast" not in one
     assert one.count(f", {-(-n // 10)}), REPARTITION_BY_NUM") == 3 and "ENSURE_REQUIREMENTS" not in one  # a task's rows don't grow, nor move again
+
+
+def test_events_are_folded_in_fixed_shares(spark, monkeypatch):
+    monkeypatch.setattr(session, "SHARE", 500)
+    written, keep = {}, session.kept
+    monkeypatch.setattr(run_plans, "kept", lambda df, name: (written.setdefault(name, plan(df)), keep(df, name))[1])
+    log = run_plans.folded(spark, SF)[2]
+    shares = f", {-(-log.count() // 500)}), REPARTITION_BY_NUM"
+    assert all(written[name].count(shares) == 1 and "ENSURE_REQUIREMENTS" not in written[name] for name in ("run_nodes", "run_graphs"))
