@@ -19,6 +19,8 @@ GRAPH_STATES = {"run.started": "running", "run.completed": "completed", "run.fai
 #: Severities of alerts, and their order.
 SEVERITY = {"run_completed": "info", "run_paused": "info", "run_blocked": "critical", "review_needed": "warning", "drift_worsening": "warning", "deterministic_failure": "warning", "run_stopped": "warning"}
 RANK = {"critical": 0, "warning": 1, "info": 2}
+#: What a graph's state (_states) needs of its folded nodes, besides graph_id.
+STATE_FIELDS = ("node_id", "kind", "parent", "planned", "status", "completed_at", "updated_at", "drift", "direction", "checks_ok")
 MARKS, CONTROLS = ("run.completed", "run.paused", "run.stopped", "run.failed", "run.review_requested"), ("run.started", "run.paused", "run.completed", "run.stopped", "run.failed")
 
 
@@ -130,7 +132,7 @@ def _states(nodes: DataFrame, graphs: DataFrame, events: DataFrame | None = None
     """
     n = nodes.count() + graphs.count()
     share = lambda rows, *columns: dealt(rows.select("graph_id", *columns), n, "graph_id")
-    summed = _summed(share(nodes, "node_id", "kind", "parent", "planned", "status", "completed_at", "updated_at", "drift", "direction", "checks_ok", "passed", "tools", "commands", "files", "checksums"))
+    summed = _summed(share(nodes, *STATE_FIELDS))
     rows = share(graphs, "status", "updated_at").join(summed.hint("merge"), "graph_id", "left")
     blocked = (F.col("status") == "blocked") & ~F.coalesce("runnable", F.lit(False))
     rows = rows.withColumn("reason", F.when(F.col("often"), "revised_often").when(F.col("checks"), "checks_failed").when(F.col("drifting"), "drifting").when(blocked, "nothing_runnable"))

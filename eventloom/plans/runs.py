@@ -14,11 +14,12 @@ BOUNDS = [10, 50, 100, 500, 1000, 10000]
 SEEN, NOW = 5000, "1998-01-01 00:00:00"
 
 
-def folded(spark, d):
-    """Nodes and graphs, written once, and the log; its events are counted and dealt in fixed shares before they are folded."""
+def folded(spark, d, *fields):
+    """Nodes (all their fields, or graph_id and those named: only what these need of the events is sent) and graphs, written once, and the log; its events are counted and dealt in fixed shares before they are folded."""
     log = w.run_log(spark, d)
     n = log.count()
-    return kept(r.fold_nodes(dealt(log, n, "graph_id", "node_id")), "run_nodes"), kept(r.fold_graphs(dealt(log, n, "graph_id")), "run_graphs"), log
+    nodes = r.fold_nodes(dealt(log, n, "graph_id", "node_id"))
+    return kept(nodes.select("graph_id", *fields) if fields else nodes, "run_nodes"), kept(r.fold_graphs(dealt(log, n, "graph_id")), "run_graphs"), log
 
 
 COVERAGE = "CASE WHEN tools IS NULL THEN 'none' WHEN tools > 0 AND checksums = 3 THEN 'grounded' WHEN tools > 0 OR commands > 0 OR files > 0 OR checksums > 0 THEN 'partial' ELSE 'none' END"
@@ -79,7 +80,7 @@ def run_health(spark, d):
 
 @query(f"{R}, {JUDGED}, {REVIEW} SELECT * FROM rvw")
 def run_review(spark, d):
-    return r.review(*folded(spark, d)[:2])
+    return r.review(*folded(spark, d, *r.STATE_FIELDS)[:2])
 
 
 @query(f"{R}, {JUDGED} SELECT graph_id, CASE WHEN rg.status = 'blocked' THEN 'blocked' WHEN direction IS NULL THEN CASE WHEN rg.status = 'failed' THEN 'drifting' ELSE 'on_track' END WHEN direction = 'drifting' THEN 'drifting' WHEN direction = 'holding' THEN 'exploring' ELSE 'on_track' END AS frontier, CASE WHEN direction IS NULL THEN CASE WHEN rg.status = 'blocked' THEN 'drifting' ELSE 'on_track' END WHEN direction = 'drifting' THEN 'drifting' WHEN direction = 'holding' THEN 'exploring' ELSE 'on_track' END AS state FROM rg LEFT JOIN (SELECT graph_id, direction FROM jd WHERE k = 1) USING (graph_id)")
@@ -89,41 +90,41 @@ def frontier_status(spark, d):
 
 @query(f"{R}, {ALERTS} SELECT graph_id, type, at_ AS raised, node_id, severity, place FROM al")
 def run_alerts(spark, d):
-    return r.alerts(*folded(spark, d)).withColumnRenamed("at", "raised")
+    return r.alerts(*folded(spark, d, *r.STATE_FIELDS)).withColumnRenamed("at", "raised")
 
 
 @query(f"{R}, {ALERTS} SELECT graph_id, type FROM al WHERE type <> 'run_completed'")
 def new_alerts(spark, d):
     """Alerts of all graphs against a list that held the completed ones only."""
-    nodes, graphs, log = folded(spark, d)
+    nodes, graphs, log = folded(spark, d, *r.STATE_FIELDS)
     before = r.alerts(nodes, graphs, log).filter("type = 'run_completed'").select("graph_id", "type")
     return r.new_alerts(nodes, graphs, log, before)
 
 
 @query(f"{R}, {JUDGED}, {REVIEW} SELECT graph_id, CASE WHEN reason IS NOT NULL OR status = 'blocked' THEN 'needs_attention' WHEN status IN ('completed', 'stopped', 'failed') AND last_seq <= {SEEN} AND epoch_ms(TIMESTAMP '{NOW}') - epoch_ms(updated_at::TIMESTAMP) >= 604800000 THEN 'archived' WHEN status = 'completed' THEN 'completed_recent' ELSE 'active' END AS bucket FROM rg JOIN rvw USING (graph_id)")
 def run_lifecycle(spark, d):
-    nodes, graphs, _ = folded(spark, d)
+    nodes, graphs, _ = folded(spark, d, *r.STATE_FIELDS)
     return r.lifecycle(graphs, r.review(nodes, graphs), NOW, SEEN)
 
 
 @query(f"{R}, {DASH} SELECT * FROM da")
 def dashboard_rows(spark, d):
-    return r.dashboard(*folded(spark, d))
+    return r.dashboard(*folded(spark, d, *r.STATE_FIELDS))
 
 
 @query(f"{R}, {DASH} SELECT graph_id, status, updated_at, progress FROM da ORDER BY {RANKS}, reason IS NULL, updated_at DESC, graph_id LIMIT 10")
 def dashboard_first(spark, d):
-    return r.ordered(r.dashboard(*folded(spark, d)), 10).select("graph_id", "status", "updated_at", "progress")
+    return r.ordered(r.dashboard(*folded(spark, d, *r.STATE_FIELDS)), 10).select("graph_id", "status", "updated_at", "progress")
 
 
 @query(f"{R}, {DASH} SELECT count(*)::BIGINT AS graphs, count(*) FILTER (top_severity = 'critical')::BIGINT AS urgent, count(reason)::BIGINT AS needs_review, count(*) FILTER (status = 'blocked')::BIGINT AS blocked, count(*) FILTER (status = 'running')::BIGINT AS active FROM da")
 def dashboard_summary(spark, d):
-    return r.dashboard_summary(r.dashboard(*folded(spark, d)))
+    return r.dashboard_summary(r.dashboard(*folded(spark, d, *r.STATE_FIELDS)))
 
 
 @query(f"{R}, {DASH} SELECT 'needs_review' AS filter, graph_id FROM da WHERE reason IS NOT NULL UNION ALL SELECT 'blocked', graph_id FROM da WHERE status = 'blocked' UNION ALL SELECT 'active', graph_id FROM da WHERE status IN ('running', 'planned') UNION ALL SELECT 'completed', graph_id FROM da WHERE status = 'completed'")
 def dashboard_filters(spark, d):
-    rows, out = kept(r.dashboard(*folded(spark, d)), "dashboard"), None
+    rows, out = kept(r.dashboard(*folded(spark, d, *r.STATE_FIELDS)), "dashboard"), None
     for name in ("needs_review", "blocked", "active", "completed"):
         one = r.filtered(rows, name).select(F.lit(name).alias("filter"), "graph_id")
         out = one if out is None else out.unionByName(one)

@@ -250,3 +250,15 @@ def test_events_are_folded_in_fixed_shares(spark, monkeypatch):
     log = run_plans.folded(spark, SF)[2]
     shares = f", {-(-log.count() // 500)}), REPARTITION_BY_NUM"
     assert all(written[name].count(shares) == 1 and "ENSURE_REQUIREMENTS" not in written[name] for name in ("run_nodes", "run_graphs"))
+
+
+def test_a_dashboard_folds_only_the_fields_that_it_needs(spark, monkeypatch):
+    written, keep, log = {}, session.kept, w.run_log(spark, SF)
+    monkeypatch.setattr(run_plans, "kept", lambda df, name: (written.setdefault(name, (df.columns, plan(df))), keep(df, name))[1])
+    got = [tuple(x) for x in run_plans.dashboard_first(spark, SF).collect()]
+    fields, one = written["run_nodes"]
+    assert fields == ["graph_id", *runs.STATE_FIELDS] and "direction" in one
+    assert not any(f"{c}#" in one for c in ("title", "needs", "depth", "tools", "commands", "files", "checksums", "llm_ok", "successor", "person"))  # nor are they sent
+    rows = sorted(board(runs.fold_nodes(log).collect(), runs.fold_graphs(log).collect(), log.collect()))
+    first = sorted(rows, key=lambda x: x[2], reverse=True)
+    assert got == [x[:4] for x in sorted(first, key=lambda x: (runs.RANK.get(x[6], 3), x[5] is None))][:10]
