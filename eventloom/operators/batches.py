@@ -6,13 +6,18 @@ budgets bound, so no second copy of them is made. A step writes the rows that ha
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import code as c
+from eventloom.operators import graph as g
 from eventloom.session import kept, sided
 
 RANK = "struct<cost:double,tests:int,structural:int,hubs:int,inheritance:int,hops:int>"
+#: The cost up to which both ends of a path go on at first, how it grows while they don't meet, and what rounding may make of a cost.
+REACH, WIDER, SLACK = 32.0, 2.0, 1e-6
 
 
 def around(edges: DataFrame, frontier: DataFrame) -> DataFrame:
@@ -77,6 +82,63 @@ def ranks_of(steps: DataFrame, tries: DataFrame, *, most: int = 12) -> DataFrame
     return changed.groupBy(*key, "id").agg(F.min("x").alias("x")).select(*key, "id", "x.*")
 
 
+def corridor(steps_of, tries: DataFrame, hows: list[tuple[str, str]], most: int = 12) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """how, id: the nodes that a least path of a try can be on; the tries that a path connects, with its cost whatever its hops; those given up.
+
+    Both ends of a try go on at once, from nodes within a reach that grows until they meet; from then on the reach is half the
+    least cost at which they met. Every node of a least path lies within half its cost of one end, so nothing further away is
+    looked at. A side that has no node left to go on from meets nothing; a try that isn't done after three times ``most`` rounds
+    is given up.
+    """
+    key, where = ["case_id", "pair"], ["case_id", "pair", "how", "way", "id"]
+    end = lambda x, way: tries.select(*key, "how", F.lit(way).alias("way"), F.col(x).alias("id"), F.lit(0.0).alias("cost"))
+    known = steps_of.placed(end("a", "out").unionByName(end("b", "in")), hows).withColumn("open", F.lit(True))
+    reach, some = REACH, lambda x: F.count(F.when(x, 1)) > 0
+    for _ in range(3 * most):
+        side = lambda way: known.filter(F.col("way") == way).select(*key, "id", F.col("cost").alias(way))
+        least = side("out").join(side("in"), [*key, "id"]).groupBy(*key).agg(F.min(F.col("out") + F.col("in")).alias("least"))
+        ways = known.groupBy(*key).agg((some(F.col("open") & (F.col("way") == "out")) & some(F.col("open") & (F.col("way") == "in"))).alias("both"))
+        within = F.when(F.col("least").isNotNull(), F.col("least") / 2 + SLACK * (1 + F.col("least"))).when(F.col("both"), F.lit(reach)).otherwise(-1.0)
+        rows = known.join(ways.join(least, key, "left"), key).withColumn("on", F.col("open") & (F.col("cost") <= within))
+        rows = kept(rows.withColumn("waits", F.col("open") & ~F.col("on") & F.col("least").isNull() & F.col("both")), "corridor_rows")
+        n, nearest = rows.agg(F.count(F.when(F.col("on"), 1)), F.min(F.when(F.col("waits"), F.col("cost")))).first()
+        if not n and nearest is None:
+            break
+        if n:
+            more = steps_of.placed(steps_of.near(rows.filter("on"), n, hows), hows).withColumn("open", F.lit(True))
+            rows = rows.withColumn("open", F.col("open") & ~F.col("on")).select(more.columns).unionByName(more)
+            # of equal costs the one that has gone on
+            x = F.min(F.struct("cost", "open")).alias("x")
+            known = rows.groupBy(*where).agg(x, F.first("penalty").alias("penalty"), F.first("t").alias("t")).select(*where, "x.*", "penalty", "t")
+        else:
+            known = rows.select(known.columns)
+            reach = max(reach * WIDER, nearest)
+    done = rows.filter("least IS NOT NULL")
+    ids = kept(done.filter(F.col("cost") <= F.col("least") / 2 + SLACK * (1 + F.col("least"))).select("how", "id").distinct(), "corridor_ids")
+    left = rows.filter("on OR waits").select(*key).distinct()
+    return ids, kept(tries.join(done.select(*key, "least").distinct(), key).join(left, key, "left_anti"), "corridor_met"), kept(tries.join(left, key, "left_semi"), "corridor_left")
+
+
+def least_ranks(steps_of, tries: DataFrame, *, most: int = 12) -> DataFrame:
+    """``ranks_of`` the nodes on the least paths of tries (case_id, pair, how, mode, intent, a, b) to their goals, by the steps of their corridors.
+
+    Where the least cost takes more than ``most`` steps, or a corridor was given up, all steps count.
+    """
+    key, hows = ["case_id", "pair"], [(r["mode"], r["intent"]) for r in tries.select("mode", "intent").distinct().collect()]  # a few modes by a few intents
+    steps = lambda among: reduce(DataFrame.unionByName, [among(*x).withColumn("how", F.lit("|".join(x))) for x in hows])
+    ids, met, left = corridor(steps_of, tries, hows, most)
+    best, n = None, ids.count()
+    if not met.isEmpty():
+        near = steps(lambda mode, intent: steps_of.within(mode, intent, ids.filter(F.col("how") == f"{mode}|{intent}").select("id"), n))
+        best = kept(ranks_of(kept(near, "steps"), met.select(*key, "how", "a", "b"), most=most), "path_ranks")
+        found = best.select(*key, F.col("id").alias("b"), F.col("rank.cost").alias("cost")).join(met.select(*key, "b", "least"), [*key, "b"])
+        left = kept(left.unionByName(met.join(found.filter(F.col("cost") <= F.col("least") + SLACK * (1 + F.col("least"))), key, "left_anti").select(left.columns)), "path_left")
+    if left.isEmpty():
+        return best
+    whole = kept(ranks_of(kept(steps(steps_of), "steps"), left.select(*key, "how", "a", "b"), most=most), "path_ranks")
+    return whole if best is None else best.join(left, key, "left_anti").unionByName(whole)
+
+
 def traced(best: DataFrame, goals: DataFrame) -> DataFrame:
     """case_id, pair, hop, id, edge, cost: the steps of each path from its start to its goal (case_id, pair, id), by their predecessors."""
     at, out, back = goals, None, 0
@@ -95,8 +157,8 @@ def ranked_paths(nodes: DataFrame, edges: DataFrame, cases: DataFrame, steps_of,
 
     Cases: case_id, a, b (the ends), mode, intent; and their steps: case_id, hop, id, edge, cost; none where no path was found.
     Only where the best pair of candidates isn't connected do other pairs count, the cheapest of them first. A balanced path
-    over hubs gives way to a semantic one without. steps_of(mode, intent) gives weighted steps; it is asked once for each of
-    the modes and intents that occur.
+    over hubs gives way to a semantic one without. steps_of: the graph's ``paths.Steps``. Cases with the same ends, mode and intent
+    are one search.
     """
     asked = cases.select(F.col("source").alias("query")).union(cases.select("target")).distinct().withColumn("query_id", F.col("query"))
     ends = kept(c.candidates_of(nodes, asked, 3).select("query", "place", "id", "kind"), "path_ends")
@@ -107,13 +169,13 @@ def ranked_paths(nodes: DataFrame, edges: DataFrame, cases: DataFrame, steps_of,
     def solved(tries: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The tries with the cost of their goal, and all ranks."""
         tries = tries.filter("a <> b").withColumn("how", F.concat_ws("|", "mode", "intent"))
-        steps = None
-        for row in tries.select("mode", "intent").distinct().collect():  # a few modes by a few intents
-            one = steps_of(row["mode"], row["intent"]).withColumn("how", F.lit(f"{row['mode']}|{row['intent']}"))
-            steps = one if steps is None else steps.unionByName(one)
-        if steps is None:
+        same = ["how", "mode", "intent", "a", "b"]
+        leads = kept(tries.groupBy(*same).agg(F.min(F.struct("case_id", "pair")).alias("x")).select("x.*", *same), "path_tries")
+        best = None if leads.isEmpty() else least_ranks(steps_of, leads, most=most)
+        if best is None:
             return tries.withColumn("cost", F.lit(0.0)).limit(0), None
-        best = kept(ranks_of(kept(steps, "steps"), tries, most=most), "path_ranks")
+        mine = tries.select(*same, "case_id", "pair").join(leads.select(*same, F.struct("case_id", "pair").alias("lead")), same).select("lead", "case_id", "pair")
+        best = kept(best.withColumn("lead", F.struct("case_id", "pair")).drop("case_id", "pair").join(mine, "lead").drop("lead"), "path_ranks")
         reached = best.select("case_id", "pair", F.col("id").alias("b"), F.col("rank.cost").alias("cost"))
         return kept(tries.join(reached, ["case_id", "pair", "b"]), "path_goals"), best
 
@@ -132,12 +194,14 @@ def ranked_paths(nodes: DataFrame, edges: DataFrame, cases: DataFrame, steps_of,
         others = others.withColumn("k", F.row_number().over(first)).filter("k = 1")
         paths, chosen = kept(paths.unionByName(steps_of_goals(others, best)), "paths"), kept(chosen.unionByName(others.select(chosen.columns)), "path_chosen")
     # balanced paths over hubs: a semantic one between the same ends, if it has none
-    hubs = c.with_degree(nodes, edges).filter(c.is_low_value_bridge() | (F.col("degree") >= 12)).select("id")
     last = F.max("hop").over(Window.partitionBy("case_id"))
 
     def over_hubs(rows: DataFrame) -> DataFrame:
         inner = rows.withColumn("last", last).filter((F.col("hop") > 0) & (F.col("hop") < F.col("last")))
-        met = hubs.join(F.broadcast(inner.select("id").distinct()), "id", "left_semi")  # of the hubs those on the paths alone are sent
+        ids = kept(inner.select("id").distinct(), "path_nodes")
+        degrees = g.degree_among(g.touching(edges.select("src", "dst"), ids, ids.count()))
+        on = nodes.join(F.broadcast(ids), "id", "left_semi").join(degrees, "id", "left")  # of nodes and edges those on the paths alone are sent
+        met = on.filter(c.is_low_value_bridge() | (F.coalesce("degree", F.lit(0)) >= 12)).select("id")
         return inner.join(F.broadcast(met), "id", "left_semi").select("case_id").distinct()
 
     retry = chosen.filter("mode = 'balanced'").join(over_hubs(paths), "case_id", "left_semi").withColumn("mode", F.lit("semantic"))

@@ -57,6 +57,8 @@ EDGE_KINDS = {
     "extends": "inherits", "implements": "implements", "tests": "tests", "imports": "depends_on", "calls": "depends_on", "uses": "depends_on", "route_to_handler": "depends_on",
     "asset_references": "depends_on",
 }
+#: Words that are looked up one by one.
+FEW_WORDS = 256
 CODE_KINDS, DOC_KINDS = ("symbol", "code_file", "test", "route", "command"), ("doc_file", "doc_section")
 CODE_QUERY = r"(?i)\b(fix|change|implement|debug|call|construct|handle|service|controller|class|method|function|adapter|repository)\b"
 DOCS_QUERY = r"(?i)\b(architecture|contract|guide|how does|how do|why|decision|runbook|readme|overview|handoff|wiki|docs?|documentation)\b"
@@ -408,15 +410,19 @@ def ranked_for(rows: DataFrame) -> DataFrame:
 def holding(nodes: DataFrame, queries: DataFrame) -> DataFrame:
     """Nodes with each query (query_id, query, ...) of which they hold a word: one pass over the nodes for all queries.
 
-    A word's first three letters (two, if it has no more) are its key in an index of the nodes' letters; only letters that
-    some query asks for leave the scan, and a key alone is no match.
+    Few words are looked up in every node. Of many a word's first three letters (two, if it has no more) are its key in an index
+    of the nodes' letters; only letters that some query asks for leave the scan, and a key alone is no match.
     """
     words_ = queries.select("query_id", F.explode(F.array_distinct(token_array(F.col("query")))).alias("word")).withColumn("gram", F.substring("word", 1, 3))
     words_ = kept(words_, "query_words")
     hay = nodes.select("id", haystack().alias("hay"))
+    n = words_.count()
+    if n <= FEW_WORDS:
+        pairs = hay.join(F.broadcast(words_), F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
+        return nodes.hint("merge").join(pairs, "id").join(queries, "query_id")
     at = F.sequence(F.lit(1), F.greatest(F.length("hay") - 1, F.lit(1)))
     grams = F.array_distinct(F.concat(F.transform(at, lambda i: F.substring("hay", i, F.lit(3))), F.transform(at, lambda i: F.substring("hay", i, F.lit(2)))))
-    pairs = hay.select("id", "hay", F.explode(grams).alias("gram")).join(sided(words_, words_.count()), "gram").filter(F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
+    pairs = hay.select("id", "hay", F.explode(grams).alias("gram")).join(sided(words_, n), "gram").filter(F.col("hay").contains(F.col("word"))).select("id", "query_id").distinct()
     # merged: the nodes' files are far smaller than their rows, which the driver can't hold
     return nodes.hint("merge").join(pairs, "id").join(queries, "query_id")
 

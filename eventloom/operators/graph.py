@@ -25,6 +25,18 @@ def degree(edges: DataFrame) -> DataFrame:
     return ends.groupBy("id").agg(F.sum("o").alias("out_degree"), F.sum("i").alias("in_degree")).withColumn("degree", F.col("out_degree") + F.col("in_degree"))
 
 
+def touching(edges: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Edges with an end among n distinct ids, and which (src_in, dst_in): one pass over the edges, which stay where they are while the ids are few."""
+    mark = lambda x: sided(ids.select(F.col("id").alias(x), F.lit(True).alias(f"{x}_in")), n)
+    return edges.join(mark("src"), "src", "left").join(mark("dst"), "dst", "left").filter("src_in OR dst_in")
+
+
+def degree_among(touched: DataFrame) -> DataFrame:
+    """id, degree: of the ids that ``touching`` was given."""
+    ends = touched.select(F.explode(F.array(F.when(F.col("src_in"), F.col("src")), F.when(F.col("dst_in"), F.col("dst")))).alias("id"))
+    return ends.filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("degree"))
+
+
 def induced(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Edges with both ends among nodes (FI3, JO3)."""
     ids = nodes.select("id")

@@ -6,13 +6,15 @@ number of steps, and only what has changed is followed. Results that a budget bo
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from eventloom.operators import batches
 from eventloom.operators import code as c
 from eventloom.operators import graph as g
-from eventloom.session import kept
+from eventloom.session import kept, sided
 
 # Costs of relations and kinds, multipliers of provenances, penalties of nodes.
 RELATION_COST = {"calls": 3.0, "references": 4.0, "depends_on": 5.0, "uses": 5.0, "route_to_handler": 6.0, "asset_references": 8.0}
@@ -158,9 +160,10 @@ def node_penalty(mode: str = "balanced", intent: str = "mixed_or_unknown", lens:
     return F.when(c.is_low_value_bridge(), 50_000).otherwise(out) if mode == "semantic" else out
 
 
-def weighted(nodes: DataFrame, edges: DataFrame, *, mode: str = "balanced", intent: str = "mixed_or_unknown", lens: str | None = None) -> DataFrame:
-    """Steps a to b of usable edges, with the parts of the rank that each adds (GR6, GR7)."""
-    n = c.with_degree(nodes, edges).select(
+def weighted(nodes: DataFrame, edges: DataFrame, *, mode: str = "balanced", intent: str = "mixed_or_unknown", lens: str | None = None, degrees: DataFrame | None = None) -> DataFrame:
+    """Steps a to b of usable edges, with the parts of the rank that each adds (GR6, GR7); degrees (id, degree) where edges are not all of the nodes'."""
+    known = c.with_degree(nodes, edges) if degrees is None else nodes.join(degrees, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    n = known.select(
         F.col("id"), node_penalty(mode, intent, lens).alias("penalty"), c.is_test().cast("int").alias("t"), (c.is_low_value_bridge() | (F.col("degree") >= 12)).cast("int").alias("hub"))
     r, kind = c.relation(), F.col("kind")
     structural = r.isin("belongs_to", "source_file", "declares", "constructor", "project_reference", "using_directive") | kind.isin("belongs_to", "declares")
@@ -196,16 +199,57 @@ def path_to(best: DataFrame, goal: str) -> list[dict] | None:
     return [{"id": r["id"], "edge": r["edge"], "cost": r["cost"]} for r in rows] or None
 
 
-def steps_by(nodes: DataFrame, edges: DataFrame, lens: str | None = None):
+class Steps:
+    """The weighted steps of a graph: all of a mode and an intent, those between some nodes, and those around some. The last two read the edges by the nodes, without moving them."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, lens: str | None = None):
+        self.nodes, self.edges, self.lens, self.weights = nodes, edges, lens, {}
+
+    def __call__(self, mode: str, intent: str) -> DataFrame:
+        return weighted(self.nodes, self.edges, mode=mode, intent=intent, lens=self.lens)
+
+    def within(self, mode: str, intent: str, ids: DataFrame, n: int) -> DataFrame:
+        """The steps with both ends among n ids."""
+        met = kept(g.touching(self.edges, ids, n), "path_edges")
+        return weighted(self.nodes.join(sided(ids, n), "id", "left_semi"), met.filter("src_in AND dst_in").select(self.edges.columns), mode=mode, intent=intent, lens=self.lens, degrees=g.degree_among(met))
+
+    def near(self, rows: DataFrame, n: int, hows: list[tuple[str, str]]) -> DataFrame:
+        """rows (way, id, cost, penalty, t; how and keys), n in number, one step on: of a step out the cost without the entered node's, and whether tests may take it."""
+        keys = ["case_id", "pair", "how", "way"]
+        # written, so that what the few edges cost isn't part of the pass over all
+        met = kept(g.touching(self.edges.select("src", "dst", "kind", "provenance", "relation"), rows.select("id").distinct(), n), "path_near")
+        ends = F.array(F.when(F.col("src_in"), F.struct(F.col("src").alias("at"), F.col("dst").alias("id"))), F.when(F.col("dst_in"), F.struct(F.col("dst").alias("at"), F.col("src").alias("id"))))
+        e = met.select("kind", "provenance", "relation", F.explode(ends).alias("end")).filter("end IS NOT NULL").select("kind", "provenance", "relation", "end.*")
+        e = e.join(rows.select(*keys, F.col("id").alias("at"), F.col("cost").alias("so_far"), "penalty", "t"), "at")
+        cost = F.coalesce(*[F.when(F.col("how") == "|".join(x), edge_cost(*x, self.lens).cast("double")) for x in hows])
+        e = e.withColumns({"src_test": F.lit(False), "dst_test": F.lit(False)}).withColumn("plain", cost).withColumn("src_test", F.lit(True)).withColumn("for_tests", cost.isNotNull())
+        e = e.filter(F.col("plain").isNotNull() & (F.col("for_tests") | (F.col("t") == 0)))
+        own = F.when(F.col("way") == "in", F.col("penalty")).otherwise(0)
+        return e.groupBy(*keys, "id", "for_tests").agg(F.min(F.col("so_far") + F.col("plain") + own).alias("cost"))
+
+    def placed(self, rows: DataFrame, hows: list[tuple[str, str]]) -> DataFrame:
+        """rows whose id is a node, with its penalty and whether it is a test; steps that tests may not take end at none, and the way out costs the node's penalty."""
+        for x in hows:
+            if x not in self.weights:
+                self.weights[x] = kept(self.nodes.select("id", node_penalty(*x, self.lens).cast("double").alias("penalty"), c.is_test().cast("int").alias("t")), "path_weights")
+        rows = kept(rows, "path_rows")
+        n = rows.count()
+        out = reduce(DataFrame.unionByName, [self.weights[x].join(sided(rows.filter(F.col("how") == "|".join(x)), n), "id") for x in hows])
+        if "for_tests" not in rows.columns:
+            return out
+        return out.filter(F.col("for_tests") | (F.col("t") == 0)).withColumn("cost", F.col("cost") + F.when(F.col("way") == "out", F.col("penalty")).otherwise(0)).drop("for_tests")
+
+
+def steps_by(nodes: DataFrame, edges: DataFrame, lens: str | None = None) -> Steps:
     """What ``batches`` asks for the weighted steps of a mode and an intent."""
-    return lambda mode, intent: weighted(nodes, edges, mode=mode, intent=intent, lens=lens)
+    return Steps(nodes, edges, lens)
 
 
 def ranked_path(nodes: DataFrame, edges: DataFrame, source: str, target: str, *, lens: str | None = None, mode: str = "balanced", most: int = 12, whole: bool = True) -> tuple[list[dict] | None, str, str]:
     """The path between the nodes that two queries name, its mode and its intent: a single case of ``batches.ranked_paths`` (GR8)."""
     if lens:
         nodes, edges = c.lens_graph(nodes, edges, lens)
-    nodes, edges = kept(nodes, "path_nodes"), kept(edges, "path_edges")
+        nodes, edges = kept(nodes, "path_nodes"), kept(edges, "path_edges")
     case = nodes.sparkSession.createDataFrame([(0, source, target, mode)], "case_id int, source string, target string, mode string")
     chosen, paths = batches.ranked_paths(nodes, edges, case, steps_by(nodes, edges, lens), most=most, whole=whole)
     one = chosen.first()

@@ -2,6 +2,7 @@
 
 import heapq
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from eventloom.operators import batches, code, docs, paths, runs
 from eventloom.plans import paths as plans
 from eventloom.session import kept
+from eventloom.sources import workspace as w
 
 SF = "/root/testdata/sf0.001"
 
@@ -126,3 +128,58 @@ def test_links_to_long_paths_and_repairs_of_common_names(spark):
     broken = spark.createDataFrame([("a.md", 1, "F07/README.md", "missing_file"), ("a.md", 2, "gone/readme.md", "missing_file")], "path string, line int, target string, reason string")
     got = {r["line"]: (r["file"], r["score"], r["ambiguous"]) for r in docs.repairs(broken, spark.createDataFrame([(m,) for m in many], "path string")).collect()}
     assert got == {1: ("f07/readme.md", 0.92, False), 2: ("f00/readme.md", 0.45, True)}
+
+
+def little_graph(spark, seed):
+    """Nodes of kinds that paths avoid and prefer, parallel edges, loops, and a part of its own."""
+    rng = random.Random(seed)
+    nodes = [(f"n{i:02}", rng.choice(("symbol", "symbol", "code_file", "code_file", "test", "community", "doc_file")), f"Thing{i} {rng.choice(('(class)', '(method)', ''))}", f"src/t{i}.ts") for i in range(40)]
+    links = [(*rng.sample(range(32), 2),) if k % 9 else (k % 32, k % 32) for k in range(90)] + [(33, 34), (34, 35), (35, 33)]
+    rows = [(f"e{k:03}", f"n{a:02}", f"n{b:02}", rng.choice(("references", "depends_on", "inherits", "belongs_to", "tests")), rng.choice(("extracted", "manual", "ambiguous")), rng.choice((None, "calls", "constructor", "uses"))) for k, (a, b) in enumerate(links)]
+    n = spark.createDataFrame(nodes, "id string, kind string, label string, path string")
+    return kept(n, "n"), kept(spark.createDataFrame([*rows, ("lost", "n01", "gone", "references", "manual", None)], "id string, src string, dst string, kind string, provenance string, relation string"), "e")
+
+
+@pytest.mark.parametrize("most", [12, 2])
+def test_least_paths_lie_in_their_corridor(spark, most):
+    nodes, edges = little_graph(spark, 5)
+    steps = paths.Steps(nodes, edges)
+    tries = [(i, i % 2, f"n{3 * i % 31:02}", f"n{7 * i % 29 + 1:02}") for i in range(9)] + [(9, 0, "n01", "n34"), (10, 0, "n33", "n35"), (11, 0, "n01", "n39")]
+    rows = [(case, pair, f"{m}|code_to_code", m, "code_to_code", a, b) for case, pair, a, b in tries if a != b for m in (("balanced", "semantic")[case % 2],)]
+    asked = kept(spark.createDataFrame(rows, "case_id int, pair int, how string, mode string, intent string, a string, b string"), "tries")
+    every = kept(reduce(lambda x, y: x.unionByName(y), [steps(m, "code_to_code").withColumn("how", F.lit(f"{m}|code_to_code")) for m in ("balanced", "semantic")]), "all")
+    goals = asked.select("case_id", "pair", F.col("b").alias("id"))
+    found = []
+    for best in (batches.ranks_of(every, asked.select("case_id", "pair", "how", "a", "b"), most=most), batches.least_ranks(steps, asked, most=most)):
+        best = kept(best, "best")
+        ends = {(r["case_id"], tuple(r["rank"])) for r in best.join(goals, ["case_id", "pair", "id"]).collect()}
+        found.append((ends, {(r["case_id"], r["hop"], r["id"], r["edge"], r["cost"]) for r in batches.traced(best, goals).collect()}))
+    assert found[0] == found[1] and most / 4 <= len(found[0][0]) < len(rows)
+    if most == 12:
+        ids, met, left = batches.corridor(steps, asked, [("balanced", "code_to_code"), ("semantic", "code_to_code")])
+        assert left.isEmpty() and {r["case_id"] for r in met.collect()} == {x[0] for x in found[0][0]}
+        assert ids.count() < 2 * nodes.count()
+
+
+def test_a_path_benchmark_neither_weighs_all_edges_nor_repeats_a_search(spark, monkeypatch):
+    nodes, edges = little_graph(spark, 5)
+    rows = [(name, "n02", "n20", "balanced", "(?i)thing", "(?i)thing", None, [], [], []) for name in ("one", "two", "three")]
+    cases = spark.createDataFrame(rows, "case_id string, source string, target string, mode string, from_pattern string, to_pattern string, path_pattern string, forbidden array<string>, required array<string>, preferred array<string>")
+    searched, real = [], batches.corridor
+    monkeypatch.setattr(batches, "corridor", lambda steps, tries, *x: searched.append(tries.count()) or real(steps, tries, *x))
+    monkeypatch.setattr(paths.Steps, "__call__", None)
+    for name in ("slug", "parent", "source_file"):
+        nodes = nodes.withColumn(name, F.lit(None).cast("string"))
+    got = batches.path_benchmark(nodes, edges, cases, paths.steps_by(nodes, edges)).collect()
+    assert {(r["passed"], r["fault"]) for r in got} == {(True, None)} and len({r["path"] for r in got}) == 1 and len(got) == 3
+    assert searched and set(searched) == {1}
+
+
+def test_few_words_are_looked_up_without_an_index_of_letters(spark, monkeypatch):
+    nodes = w.nodes(spark, SF)
+    queries = spark.createDataFrame([("a", "order service"), ("b", "OrderService1.ts"), ("c", "user")], "query_id string, query string")
+    rows = lambda: {(r["id"], r["query_id"]) for r in code.holding(nodes, queries).collect()}
+    few = rows()
+    assert "sequence" not in code.holding(nodes, queries)._jdf.queryExecution().optimizedPlan().toString()
+    monkeypatch.setattr(code, "FEW_WORDS", 0)
+    assert few == rows() and len(few) > 3
