@@ -25,14 +25,26 @@ STATUSES = ("proposed", "planned", "blocked", "in_progress", "completed", "resol
 INTENT_LINKS, AREA_LINKS = ("implements", "satisfies", "verifies"), ("touches", "implements", "depends_on")
 
 
+NODE_FIELDS, EDGE_FIELDS = ("kind", "title", "status", "tests", "scanned", "made"), ("src", "dst", "kind", "trust", "made")
+
+
+def folded(events: DataFrame, node_fields: tuple = NODE_FIELDS, edge_fields: tuple = EDGE_FIELDS) -> tuple[DataFrame, DataFrame]:
+    """The last state of nodes and edges that it doesn't archive, of these fields alone; edges whose ends may be gone (EV1)."""
+    def last(key: str, event: str, names: tuple, renamed: dict) -> DataFrame:
+        fields = [F.col(renamed.get(n, n)).alias(n) for n in names]
+        # whether it is there in place of the event's name, so that less is moved
+        x = F.max_by(F.struct((F.col("kind") == event).alias("there"), *fields), "seq").alias("x")
+        return events.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(x).filter("x.there").select("id", *[F.col(f"x.{n}").alias(n) for n in names])
+
+    return last("node_id", "product.node.upserted", node_fields, {"kind": "node_kind"}), last("edge_id", "product.edge.upserted", edge_fields, {"kind": "edge_kind"})
+
+
 def project(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The visible nodes and edges: the last event of an item decides, and an edge needs both its ends (EV1, EV2)."""
-    last = lambda key, *fields: events.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.max_by(F.struct(F.col("kind").alias("event"), *fields), "seq").alias("x"))
-    nodes = last("node_id", F.col("node_kind").alias("kind"), "title", "status", "tests", "scanned", "made").filter("x.event = 'product.node.upserted'").select("id", "x.*").drop("event")
-    edges = last("edge_id", "src", "dst", F.col("edge_kind").alias("kind"), "trust", "made").filter("x.event = 'product.edge.upserted'").select("id", "x.*").drop("event")
+    nodes, edges = folded(events)
     for end in ("src", "dst"):
         edges = edges.join(nodes.select(F.col("id").alias(end)), end, "left_semi")
-    return nodes, edges.select("id", "src", "dst", "kind", "trust", "made")
+    return nodes, edges.select("id", *EDGE_FIELDS)
 
 
 def unresolved() -> Column:
@@ -159,8 +171,9 @@ def union_sizes(near: DataFrame, of: DataFrame) -> DataFrame:
     sizes = marked.groupBy("a").agg(F.count("*").alias("n"), F.count(F.when(~F.col("shared"), 1)).alias("alone"))
     most = Window.partitionBy("task").orderBy(F.desc("n"), "a")
     near = kept(near.distinct().join(sizes, "a").withColumn("k", F.row_number().over(most)).withColumn("top", F.first("a").over(most)), "union_near")
-    listed = near.filter("k > 1").join(marked.filter("shared"), "a").select("task", "top", "b").distinct()
-    listed = listed.join(of.withColumnRenamed("a", "top"), ["top", "b"], "left_anti").select("task", F.lit(1).cast("long").alias("n"))
+    listed = near.filter("k > 1").join(marked.filter("shared"), "a").select("task", "top", "b")
+    # made distinct where they have met the top's, so that they move once
+    listed = listed.join(of.withColumnRenamed("a", "top"), ["top", "b"], "left_anti").distinct().select("task", F.lit(1).cast("long").alias("n"))
     return near.select("task", F.when(F.col("k") == 1, F.col("n")).otherwise(F.col("alone")).alias("n")).unionByName(listed).groupBy("task").agg(F.sum("n").alias("n"))
 
 
@@ -207,15 +220,21 @@ def readiness(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _behind(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, ...]:
     """What is beside code: its runs and tasks (a, b), and the intents of code, of tasks and of runs, the runs' own and their tasks'."""
-    code, run, task = is_code(), F.col("kind") == "agent_run", F.col("kind") == "task"
-    runs = kept(beside(nodes, edges, ("touches",), code, run), "code_runs")
-    of_run = kept(beside(nodes, edges, ("produced_by",), run, task), "run_tasks")
-    of_task = kept(beside(nodes, edges, INTENT_LINKS, task, is_anchor()), "task_intents")
+    # an edge takes its ends' roles along once; the roles stand in the order in which one is behind the other
+    code, run, task, anchor = range(4)
+    role = F.when(is_code(), code).when(F.col("kind") == "agent_run", run).when(F.col("kind") == "task", task).when(is_anchor(), anchor)
+    at = nodes.select("id", role.alias("role")).filter("role IS NOT NULL")
+    end = lambda x: at.select(F.col("id").alias(x), F.struct("role", F.col("id").alias("id")).alias(f"{x}_at"))
+    e = edges.filter(F.col("kind").isin(*sorted({"touches", "produced_by", *INTENT_LINKS, *AREA_LINKS}))).select("src", "dst", "kind")
+    e = e.join(end("src"), "src").join(end("dst"), "dst").select("kind", F.least("src_at", "dst_at").alias("a"), F.greatest("src_at", "dst_at").alias("b")).filter("a.role < b.role")
+    e = kept(e.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.role").alias("of"), F.col("b.role").alias("to"), "kind"), "role_links")
+    links = lambda kinds, of, to: e.filter(F.col("kind").isin(*kinds) & (F.col("of") == of) & (F.col("to") == to)).select("a", "b").distinct()
+    runs = kept(links(("touches",), code, run), "code_runs")
+    of_run = kept(links(("produced_by",), run, task), "run_tasks")
+    of_task = kept(links(INTENT_LINKS, task, anchor), "task_intents")
     by_task = of_run.join(of_task.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b"))
-    by_run = kept(beside(nodes, edges, ("produced_by", "verifies"), run, is_anchor()).unionByName(by_task).distinct(), "run_intents")
-    own = beside(nodes, edges, INTENT_LINKS, code, is_anchor())
-    area = kept(beside(nodes, edges, AREA_LINKS, code, task), "code_tasks")
-    return runs, of_run, area, own, of_task, by_run
+    by_run = kept(links(("produced_by", "verifies"), run, anchor).unionByName(by_task).distinct(), "run_intents")
+    return runs, of_run, kept(links(AREA_LINKS, code, task), "code_tasks"), links(INTENT_LINKS, code, anchor), of_task, by_run
 
 
 def code_intent(nodes: DataFrame, edges: DataFrame) -> DataFrame:

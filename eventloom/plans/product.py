@@ -20,6 +20,12 @@ def graph(spark, d):
     return kept(nodes, "product_nodes"), kept(edges, "product_edges")
 
 
+def roles(spark, d):
+    """Nodes with their kinds, written, and edges of all nodes that ever were, not written: the operators of intent read them once and look up both ends."""
+    nodes, edges = p.folded(w.product_events(spark, d), ("kind",), ("src", "dst", "kind"))
+    return kept(nodes, "product_kinds"), edges
+
+
 def beside(name: str, kinds: str, of: str, to: str) -> str:
     """CTE of distinct (a, b)."""
     return f"{name} AS (SELECT DISTINCT a, b FROM pa JOIN pn x ON x.id = a JOIN pn y ON y.id = b WHERE pa.kind IN ({kinds}) AND {of.format(n='x')} AND {to.format(n='y')})"
@@ -130,12 +136,12 @@ def task_readiness(spark, d):
 
 @query(f"{P}, {INTENT} SELECT *, runs > 0 AS changed, runs > 0 AND intents = 0 AS drift FROM cin")
 def code_intent(spark, d):
-    return p.code_intent(*graph(spark, d))
+    return p.code_intent(*roles(spark, d))
 
 
 @query(f"{P}, {INTENT} SELECT count(*)::BIGINT AS changed, count(*) FILTER (intents > 0)::BIGINT AS with_intent, count(*) FILTER (intents = 0)::BIGINT AS without FROM cin WHERE runs > 0")
 def intent_drift(spark, d):
-    return p.intent_drift(*graph(spark, d))
+    return p.intent_drift(*roles(spark, d))
 
 
 @query(f"{P}, {FRESH} SELECT *, scanned = 0 AND touched > 0 AS missing, scanned > 0 AND changed_after > 0 AS stale FROM fre")

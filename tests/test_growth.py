@@ -10,6 +10,7 @@ from eventloom import session
 from eventloom.operators import code, graph, paths, runs, vectors
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
+from eventloom.plans import product as product_plans
 from eventloom.plans import reports as report_plans
 from eventloom.plans import runs as run_plans
 from eventloom.sources import views
@@ -88,6 +89,28 @@ def test_drift_of_intent_counts_none(spark, monkeypatch):
     assert tuple(p.intent_drift(n, e).first()) == (len(rows), sum(x[2] > 0 for x in rows), sum(x[2] == 0 for x in rows))
 
 
+def test_code_looks_up_the_ends_of_its_edges_once(spark, monkeypatch):
+    n, e, kind, edges = product_graph(spark)
+    names, keep = [], p.kept
+    monkeypatch.setattr(p, "kept", lambda df, name: (names.append((name, plan(df).count("Join"))), keep(df, name))[1])
+    monkeypatch.setattr(p, "beside", None)
+    gone = spark.createDataFrame([("g1", "lost", "c1", "touches", "manual", "1995-01-01"), ("g2", "t1", "lost", "implements", "manual", "1995-01-01")], EDGE)
+    rows = behind(kind, edges)
+    assert {r["code"]: (r["runs"], r["tasks"], r["intents"]) for r in p.code_intent(n, e.unionByName(gone)).collect()} == rows
+    assert dict(names)["role_links"] == 2 and all(dict(names)[x] == 0 for x in ("code_runs", "run_tasks", "task_intents", "code_tasks"))
+    changed = [x for x in rows.values() if x[0]]
+    assert tuple(p.intent_drift(n, e.unionByName(gone)).first()) == (len(changed), sum(x[2] > 0 for x in changed), sum(x[2] == 0 for x in changed))
+
+
+def test_intent_of_code_writes_no_whole_edges(spark, monkeypatch):
+    names, keep = [], session.kept
+    for module in (p, product_plans):
+        monkeypatch.setattr(module, "kept", lambda df, name: (names.append(name), keep(df, name))[1])
+    for query in (product_plans.code_intent, product_plans.intent_drift):
+        assert query(spark, SF).count()
+    assert "product_edges" not in names and "role_links" in names
+
+
 def test_the_gate_computes_its_summaries_once(spark, monkeypatch):
     n, e, _, _ = product_graph(spark)
     names, real = [], p.kept
