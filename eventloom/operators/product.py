@@ -73,10 +73,18 @@ def beside(nodes: DataFrame, edges: DataFrame, kinds: tuple, of: Column, to: Col
     return both_ways(edges, *kinds).join(left, "a", "left_semi").join(right, "b", "left_semi").select("a", "b").distinct()
 
 
-def adjacency(edges: DataFrame) -> DataFrame:
-    """Each node's edges, by direction, with their place by time and id (EV1's lists as rows)."""
-    ends = edges.select(F.col("dst").alias("node"), F.lit("in").alias("way"), "id", "made").unionByName(edges.select(F.col("src").alias("node"), F.lit("out").alias("way"), "id", "made"))
-    return ends.select("node", "way", "id", F.row_number().over(Window.partitionBy("node", "way").orderBy("made", "id")).alias("place"))
+def adjacency(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """Each node's edges, by direction, with their place by time and id (EV1's lists as rows); with nodes only of edges that have both ends.
+
+    The ends are looked up where the edges are sorted: edges that meet their targets are numbered there, and move once more to their sources.
+    """
+    e = edges.select("src", "dst", "id", "made")
+    for end in ("src", "dst") if nodes is not None else ():
+        e = e.join(nodes.select(F.col("id").alias(end)).hint("merge"), end, "left_semi")
+    place = lambda end: F.row_number().over(Window.partitionBy(end).orderBy("made", "id"))
+    e = e.withColumn("in", place("dst")).withColumn("out", place("src"))
+    row = lambda end, way: F.struct(F.col(end).alias("node"), F.lit(way).alias("way"), "id", F.col(way).alias("place"))
+    return e.select(F.explode(F.array(row("dst", "in"), row("src", "out"))).alias("x")).select("x.*")
 
 
 def blockers(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -70,7 +70,8 @@ def product_edges(spark, d):
 
 @query(f"{P}, e AS (SELECT dst AS node, 'in' AS way, id, made FROM pe UNION ALL SELECT src, 'out', id, made FROM pe) SELECT node, way, id, row_number() OVER (PARTITION BY node, way ORDER BY made, id)::INT AS place FROM e")
 def product_adjacency(spark, d):
-    return p.adjacency(graph(spark, d)[1])
+    nodes, edges = p.folded(w.product_events(spark, d), (), ("src", "dst", "made"))
+    return p.adjacency(edges, kept(nodes, "product_ids"))
 
 
 @query("WITH pev AS (" + w.bound(w.PRODUCT) + ") SELECT seq::BIGINT AS seq, kind, coalesce(node_id, edge_id) AS item FROM pev")

@@ -106,11 +106,21 @@ def test_intent_of_code_writes_no_whole_edges(spark, monkeypatch):
     names, keep = [], session.kept
     for module in (p, product_plans):
         monkeypatch.setattr(module, "kept", lambda df, name: (names.append(name), keep(df, name))[1])
-    for query in (product_plans.code_intent, product_plans.intent_drift):
+    for query in (product_plans.code_intent, product_plans.intent_drift, product_plans.product_adjacency):
         assert query(spark, SF).count()
     assert "product_edges" not in names and "role_links" in names
 
 
+def test_lists_of_edges_are_numbered_where_their_ends_are_looked_up(spark):
+    n, e, _, edges = product_graph(spark)
+    gone = spark.createDataFrame([("g1", "lost", "c1", "touches", "manual", "1994-01-01"), ("g2", "t1", "lost", "implements", "manual", "1994-01-01")], EDGE)
+    want = {(end, way, x): k + 1 for i, way in ((1, "in"), (0, "out")) for end in {y[i] for y in edges} for k, x in enumerate(sorted(f"l{j}" for j, y in enumerate(edges) if y[i] == end))}
+    rows = p.adjacency(session.kept(e.unionByName(gone), "edges"), n)
+    assert plan(rows).count("Exchange hashpartitioning") == 5  # edges and nodes, by source and by target, and edges by source again
+    assert {(r["node"], r["way"], r["id"]): r["place"] for r in rows.collect()} == want
+    assert {(r["node"], r["way"], r["id"]): r["place"] for r in p.adjacency(e).collect()} == want
+
+
 def test_the_gate_computes_its_summaries_once(spark, monkeypatch):
     n, e, _, _ = product_graph(spark)
     names, real = [], p.kept
