@@ -168,25 +168,29 @@ def jaccard_neighbours(edges: DataFrame, kind: str, least: float, longest: int =
     e = edges.filter(F.col("kind") == kind).select("src", "dst").distinct()
     # prefix filter: a pair above the threshold shares one of the first few targets in a global rare-first order
     rare = kept(e.join(e.groupBy("dst").agg(F.count("*").alias("f")), "dst"), "jaccard_edges")
-    size = rare.groupBy("src").agg(F.count("*").alias("n"))
-    e = rare.select("src", "dst")
+    size = kept(rare.groupBy("src").agg(F.count("*").alias("n")), "jaccard_sizes")
     short = rare.join(size.filter(F.col("n") <= longest), "src").groupBy("src").agg(F.sort_array(F.collect_list(F.struct("f", "dst"))).alias("list"))
-    n = F.size("list")
-    short = short.select("src", n.cast("long").alias("n"), F.transform("list", lambda x: x["dst"]).alias("list"))
-    first = short.select("src", "n", "list", F.explode(F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("dst"))
+    short = kept(short.select("src", F.size("list").cast("long").alias("n"), "list"), "jaccard_lists")
+    targets = F.transform("list", lambda x: x["dst"])
+    first = short.select("src", "n", targets.alias("list"), F.explode(F.slice("list", F.lit(1), (F.col("n") - F.ceil(F.col("n") * least) + 1).cast("int"))).alias("x")).select("src", "n", "list", "x.dst", "x.f")
     many = rare.join(size.filter(F.col("n") > longest), "src").withColumn("k", F.row_number().over(Window.partitionBy("src").orderBy("f", "dst")))
-    many = many.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("src", "n", F.lit(None).cast("array<string>").alias("list"), "dst")
-    prefix = first.unionByName(many)
-    tiles = prefix.groupBy("dst").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    many = many.filter(F.col("k") <= F.col("n") - F.ceil(F.col("n") * least) + 1).select("src", "n", F.lit(None).cast("array<string>").alias("list"), "dst", "f")
+    long = size.filter(F.col("n") > longest).count()
+    prefix = first.unionByName(many) if long else first
+    # only a target that more than a tile's sources have can need tiles; the others are not looked up
+    popular = kept(prefix.filter(F.col("f") > TILE).groupBy("dst").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles")).filter("tiles > 1"), "jaccard_tiles")
+    tiled = prefix.join(sided(popular, popular.count()), "dst", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
     own = F.pmod(F.xxhash64("src"), F.col("tiles")).cast("int")
-    dealt = prefix.join(tiles, "dst").withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    dealt = dealt.select("src", "n", "list", "dst", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-    side = lambda x: dealt.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"), F.col("list").alias(f"list_{x}"), "dst", "lo", "hi")
+    dealt = tiled.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("src", "n", "list", F.col("list").isNotNull().alias("listed"), "dst", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
+    side = lambda rows, x, *more: rows.select(F.col("src").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{c}_{x}") for c in more], "dst", "lo", "hi")
     similarity = F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 6)
-    met = side("a").join(side("b"), ["dst", "lo", "hi"]).filter("a < b").filter(F.round(F.least("na", "nb") / F.greatest("na", "nb"), 6) >= least)
-    listed = F.col("list_a").isNotNull() & F.col("list_b").isNotNull()
-    here = met.filter(listed).withColumn("common", F.size(F.array_intersect("list_a", "list_b")).cast("long"))
+    meet = lambda rows, *more: side(rows, "a", *more).join(side(rows, "b", *more), ["dst", "lo", "hi"]).filter("a < b").filter(F.round(F.least("na", "nb") / F.greatest("na", "nb"), 6) >= least)
+    here = meet(dealt.filter("listed"), "list").withColumn("common", F.size(F.array_intersect("list_a", "list_b")).cast("long"))
     here = here.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity").distinct()
-    pairs = met.filter(~listed).select("a", "b", "na", "nb").distinct()
+    if not long:
+        return here
+    e = rare.select("src", "dst")
+    pairs = meet(dealt, "listed").filter(~(F.col("listed_a") & F.col("listed_b"))).select("a", "b", "na", "nb").distinct()
     there = pairs.join(e.select(F.col("src").alias("a"), "dst"), "a").join(e.select(F.col("src").alias("b"), "dst"), ["b", "dst"]).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("common"))
     return here.unionByName(there.withColumn("similarity", similarity).filter(F.col("similarity") >= least).select("a", "b", "common", "similarity"))

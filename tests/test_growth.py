@@ -138,6 +138,18 @@ def test_similar_sources_leave_their_task_alone(spark):
         assert len(rows) == len(want) and {(r["a"], r["b"], r["common"]) for r in rows} == want
 
 
+def test_lists_of_targets_move_once(spark, monkeypatch):
+    have = {f"s{i}": {f"p{(i * k) % 23}" for k in range(1, 2 + i % 6)} | {"hub"} for i in range(40)}
+    e = spark.createDataFrame([(a, b, "k") for a, bs in have.items() for b in sorted(bs)], "src string, dst string, kind string")
+    rows = graph.jaccard_neighbours(e, "k", 0.5)
+    one = plan(rows)
+    assert one.count("Join") == 3 and one.count("Exchange hashpartitioning") <= 3  # popular targets (sent to both sides), both sides, and the pairs
+    want = {(a, b, len(have[a] & have[b])) for a in have for b in have if a < b and round(len(have[a] & have[b]) / len(have[a] | have[b]), 6) >= 0.5}
+    assert {(r["a"], r["b"], r["common"]) for r in rows.collect()} == want
+    monkeypatch.setattr(graph, "TILE", 4)  # a popular target in tiles
+    assert {(r["a"], r["b"], r["common"]) for r in graph.jaccard_neighbours(e, "k", 0.5).collect()} == want
+
+
 def test_steps_of_paths_join_their_ends_once(spark):
     steps = paths.weighted(w.nodes(spark, SF), w.edges(spark, SF), intent="code_to_code")
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
