@@ -123,7 +123,8 @@ def community_relations(spark, d):
 
 @query(f"{G}, {HOME}, x AS (SELECT DISTINCT e.id, community FROM edges e JOIN hm ON hm.id IN (src, dst)), r AS (SELECT e.*, {RELATION} AS r FROM edges e) SELECT community, count(*)::BIGINT AS edges, count(*) FILTER (provenance = 'extracted')::BIGINT AS extracted, count(*) FILTER (provenance = 'inferred')::BIGINT AS inferred, count(*) FILTER (provenance = 'ambiguous')::BIGINT AS ambiguous, count(*) FILTER (provenance = 'manual')::BIGINT AS manual, count(*) FILTER (kind = 'depends_on')::BIGINT AS dependencies, count(*) FILTER (({CLASS}) = 'semantic')::BIGINT AS semantic, count(*) FILTER (dst IN (SELECT id FROM nodes WHERE kind = 'external_dep'))::BIGINT AS outside FROM x JOIN r USING (id) GROUP BY community")
 def community_mix(spark, d):
-    return o.community_mix(*graph(spark, d))
+    nodes, edges = w.nodes(spark, d).select("id", "kind", "path"), w.edges(spark, d).select("src", "dst", "kind", "provenance", "relation")
+    return o.community_mix(kept(nodes, "mix_nodes"), kept(edges, "mix_edges"))
 
 
 @query(f"{G}, dg AS (SELECT id, count(*)::BIGINT AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id) SELECT id, label, degree FROM dg JOIN nodes USING (id) WHERE kind = 'community' AND degree >= 12")

@@ -7,7 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 from eventloom import session
-from eventloom.operators import code, graph, paths, runs, vectors
+from eventloom.operators import code, graph, paths, runs, vectors, workspace
 from eventloom.operators import product as p
 from eventloom.plans import code as code_plans
 from eventloom.plans import product as product_plans
@@ -150,6 +150,22 @@ def test_lists_of_targets_move_once(spark, monkeypatch):
     assert {(r["a"], r["b"], r["common"]) for r in graph.jaccard_neighbours(e, "k", 0.5).collect()} == want
 
 
+def test_a_mix_of_communities_needs_no_edge_ids(spark):
+    kinds = [("community", "c0"), ("community", "c1"), *[("symbol", f"s{i}") for i in range(9)], ("external_dep", "x"), ("external_dep", "y")]
+    n = spark.createDataFrame([(i, k, None) for k, i in kinds], "id string, kind string, path string")
+    pick = random.Random(4)
+    home = {f"s{i}": f"c{i % 2}" for i in range(7)} | {"x": "c1", "c0": "c0", "c1": "c1"}
+    rows = [(a, c, "belongs_to", "manual", None) for a, c in home.items() if a != c]
+    rows += [(pick.choice(kinds)[1], pick.choice(("gone", *[i for _, i in kinds])), pick.choice(("depends_on", "references")), pick.choice(("extracted", "inferred", "ambiguous", None)), pick.choice((None, "calls", "contains"))) for _ in range(80)]
+    got = workspace.community_mix(n, spark.createDataFrame(rows, "src string, dst string, kind string, provenance string, relation string"))
+    for r in got.collect():
+        mine = [x for x in rows if r["community"] in (home.get(x[0]), home.get(x[1]))]
+        assert tuple(r)[1:6] == (len(mine), *[sum(x[3] == v for x in mine) for v in ("extracted", "inferred", "ambiguous", "manual")])
+        semantic = sum(x[4] == "calls" or x[4] is None and x[2] in ("depends_on", "references") for x in mine)
+        assert tuple(r)[6:] == (sum(x[2] == "depends_on" for x in mine), semantic, sum(x[1] in ("x", "y") for x in mine))
+    assert {r["community"] for r in got.collect()} == {"c0", "c1"}
+
+
 def test_steps_of_paths_join_their_ends_once(spark):
     steps = paths.weighted(w.nodes(spark, SF), w.edges(spark, SF), intent="code_to_code")
     plan = steps._jdf.queryExecution().optimizedPlan().toString()
